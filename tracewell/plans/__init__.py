@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tracewell.plans import text_queries  # noqa: F401
+from tracewell.plans import evidence_queries, retrieval_queries, text_queries  # noqa: F401
 from tracewell.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

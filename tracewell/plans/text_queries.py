@@ -81,7 +81,7 @@ SELECT doc_id, sha256({sql_clean('text')}) AS clean_sha, sha256({sql_norm('text'
        length({sql_clean('text')}) AS n_clean
 FROM documents""")
 def clean_text(t: Tables):
-    d = t.documents.select("doc_id", text.clean(F.col("text")).alias("c"), text.lexical_normalize(F.col("text")).alias("n"))
+    d = t.spread("documents").select("doc_id", text.clean(F.col("text")).alias("c"), text.lexical_normalize(F.col("text")).alias("n"))
     return d.select("doc_id", F.sha2("c", 256).alias("clean_sha"), F.sha2("n", 256).alias("norm_sha"),
                     F.length("c").alias("n_clean"))
 
@@ -92,7 +92,7 @@ WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10))
 k AS (SELECT doc_id, a, list_filter(a, lambda x, i: i = 1 OR a[i - 1] <> x) AS b FROM l)
 SELECT doc_id, len(a) AS n_lines, len(b) AS n_kept, sha256(array_to_string(b, chr(10))) AS kept_sha FROM k""")
 def dedupe_consecutive(t: Tables):
-    d = t.documents.select("doc_id", text.clean_lines(F.col("text")).alias("a"))
+    d = t.spread("documents").select("doc_id", text.clean_lines(F.col("text")).alias("a"))
     d = d.withColumn("b", text.consecutive_distinct(F.col("a")))
     return d.select("doc_id", F.size("a").alias("n_lines"), F.size("b").alias("n_kept"),
                     F.sha2(F.array_join("b", "\n"), 256).alias("kept_sha"))
@@ -133,7 +133,7 @@ SELECT CASE WHEN v = '' THEN 'empty' WHEN v IN ('-', '–', '—', 'N/A', 'n/a')
             WHEN regexp_full_match(v, '[+-]?(?:\p{Nd}+(?:\.\p{Nd}+)?|\.\p{Nd}+)%?') THEN 'number' ELSE 'text' END AS content_type,
        count(*) AS cells FROM c GROUP BY 1""")
 def content_type(t: Tables):
-    words = t.documents.select(F.explode(F.split("text", " ")).alias("v"))
+    words = t.spread("documents").select(F.explode(F.split("text", " ")).alias("v"))
     return words.groupBy(text.content_type(F.col("v")).alias("content_type")).agg(F.count(F.lit(1)).alias("cells"))
 
 
@@ -162,7 +162,7 @@ SELECT doc_id, sha256({sql_undouble('y')}) AS masked_sha FROM m""")
 def mask_numbers(t: Tables):
     masked = text.mask_style(F.col("text"), ["on", "tion"], target="TARGET", company="COMPANY", day="DATE",
                              period="PERIOD", value="NUM")
-    return t.documents.select("doc_id", F.sha2(masked, 256).alias("masked_sha"))
+    return t.spread("documents").select("doc_id", F.sha2(masked, 256).alias("masked_sha"))
 
 
 CITED = ("text || ' [ATT_' || substr(sha256(lang), 1, 20) || '] x , y [cr_' || substr(sha256(source), 1, 20) || '] ATT_' "
@@ -181,7 +181,7 @@ a AS (SELECT doc_id, regexp_replace(x, '(?i)\\[?{WS}*(?:CR|ATT)_[a-f0-9]{{20}}{W
 b AS (SELECT doc_id, regexp_replace(x, '{WS}+([.,;:])', '\\1', 'g') AS x FROM a)
 SELECT doc_id, sha256({sql_strip("regexp_replace(x, '[ \\t]{2,}', ' ', 'g')")}) AS visible_sha FROM b""")
 def strip_citations(t: Tables):
-    return t.documents.select("doc_id", F.sha2(text.visible_text(_cited()), 256).alias("visible_sha"))
+    return t.spread("documents").select("doc_id", F.sha2(text.visible_text(_cited()), 256).alias("visible_sha"))
 
 
 @query("cited_ids", f"""
@@ -210,7 +210,7 @@ SELECT doc_id, sha256(CASE WHEN regexp_matches(x, '[.!?。]') THEN regexp_replac
 def rollback_tail(t: Tables):
     # The start of these texts never begins with white space once stripped; only the end matters.
     unfinished = text.strip(F.concat(F.col("text"), F.lit(" [ATT_"), F.substring(F.sha2("lang", 256), 1, 20), F.lit("] unfinished")))
-    return t.documents.select("doc_id", F.sha2(text.rollback_tail(unfinished), 256).alias("tail_sha"))
+    return t.spread("documents").select("doc_id", F.sha2(text.rollback_tail(unfinished), 256).alias("tail_sha"))
 
 
 @query("overlap_merge", f"""
@@ -221,7 +221,7 @@ SELECT doc_id, CASE WHEN starts_with(v, base) THEN ltrim(substr(v, length(base)
                     WHEN n IS NOT NULL THEN ltrim(substr(v, n + 1)) ELSE v END AS addition FROM s""")
 def overlap_merge(t: Tables):
     tail = F.concat(F.substring(F.col("text"), F.greatest(F.length("text") - 59, F.lit(1)), F.lit(60)), F.lit(" tail "), F.col("source"))
-    return t.documents.select("doc_id", text.novel_continuation(F.col("text"), tail).alias("addition"))
+    return t.spread("documents").select("doc_id", text.novel_continuation(F.col("text"), tail).alias("addition"))
 
 
 @query("lexical_tokens", f"""
@@ -230,7 +230,7 @@ b AS (SELECT doc_id, w, flatten(list_transform(list_filter(w, lambda x: length(x
         lambda x: list_transform(range(1, length(x)), lambda i: 'c2:' || substr(x, i, 2)))) AS b FROM w)
 SELECT doc_id, len(w) AS n_words, len(b) AS n_bigrams, sha256(array_to_string(list_concat(w, b), ' ')) AS token_sha FROM b""")
 def lexical_tokens(t: Tables):
-    d = t.documents.select("doc_id", text.lexical_words(F.col("text")).alias("w"))
+    d = t.spread("documents").select("doc_id", text.lexical_words(F.col("text")).alias("w"))
     d = d.withColumn("b", text.bigrams(F.col("w")))
     return d.select("doc_id", F.size("w").alias("n_words"), F.size("b").alias("n_bigrams"),
                     F.sha2(F.array_join(F.concat("w", "b"), " "), 256).alias("token_sha"))
@@ -250,7 +250,7 @@ def query_expand(t: Tables):
 WITH d AS (SELECT doc_id, list_sort({sql_terms('text')}) AS a FROM documents)
 SELECT doc_id, len(a) AS n_terms, sha256(array_to_string(a, ' ')) AS terms_sha FROM d""")
 def terms(t: Tables):
-    d = t.documents.select("doc_id", F.array_sort(text.terms(F.col("text"), STOP, PARTICLES)).alias("a"))
+    d = t.spread("documents").select("doc_id", F.array_sort(text.terms(F.col("text"), STOP, PARTICLES)).alias("a"))
     return d.select("doc_id", F.size("a").alias("n_terms"), F.sha2(F.array_join("a", " "), 256).alias("terms_sha"))
 
 
@@ -259,7 +259,7 @@ WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[
      lambda x: {sql_strip('x')}), lambda x: x <> '') AS a FROM documents)
 SELECT doc_id, len(a) AS n_sentences, sha256(array_to_string(a, '|')) AS sentence_sha FROM d""")
 def sentences_naive(t: Tables):
-    d = t.documents.select("doc_id", text.sentences_naive(F.col("text")).alias("a"))
+    d = t.spread("documents").select("doc_id", text.sentences_naive(F.col("text")).alias("a"))
     return d.select("doc_id", F.size("a").alias("n_sentences"), F.sha2(F.array_join("a", "|"), 256).alias("sentence_sha"))
 
 
@@ -271,7 +271,7 @@ SELECT doc_id, 'A-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0')
 def claim_segment(t: Tables):
     from tracewell.operators.claims import segment_claims
 
-    c = segment_claims(t.documents.select("doc_id", F.lit("A").alias("item"), "text"), "doc_id")
+    c = segment_claims(t.spread("documents", "doc_id", "text").select("doc_id", F.lit("A").alias("item"), "text"), "doc_id")
     return c.select("doc_id", "claim_id", F.sha2("claim", 256).alias("claim_sha"), (F.col("stop") - F.col("start")).alias("claim_chars"))
 
 
@@ -397,7 +397,7 @@ def numeric_tokens(t: Tables):
     sentence = F.concat(
         F.date_format("l_shipdate", "yyyy'년 'M'월'"), F.lit(" rate "), F.round(F.col("l_discount") * 100).cast("int").cast("string"),
         F.lit("% page 3, amount "), F.col("l_quantity").cast("int").cast("string"), F.lit("백만원 B12=7"))
-    d = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.explode(spans.numeric_tokens(sentence)).alias("n"))
+    d = t.spread("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.explode(spans.numeric_tokens(sentence)).alias("n"))
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "n.kind", "n.canonical", "n.unit", F.array_join("n.periods", ",").alias("periods"))
 
 
