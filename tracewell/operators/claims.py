@@ -30,9 +30,9 @@ def segment_claims(sections: DataFrame, key: str, allowed: Column | None = None)
 
 
 def explode_tokens(rows: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    """(keys, canonical, kind, unit, periods, shown): one row per typed number."""
+    """(keys, raw, canonical, kind, unit, periods, shown): one row per typed number."""
     return rows.where(F.col(text).rlike(r"\p{Nd}")).select(*keys, F.explode(numeric_tokens(text)).alias("t")).select(
-        *keys, "t.canonical", "t.kind", "t.unit", "t.periods",
+        *keys, "t.raw", "t.canonical", "t.kind", "t.unit", "t.periods",
         F.concat(F.col("t.raw"), F.coalesce("t.unit", F.lit(""))).alias("shown"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.packing import pack_blocks, pack_rows
-from tracewell.functions.text import clean, consecutive_distinct, content_type, escape_markdown, let
+from tracewell.functions.text import clean, consecutive_distinct, content_type, let
 from tracewell.operators.chunks import markdown_row
 from tracewell.operators.upsert import require_unique
 
@@ -134,7 +134,9 @@ def text_windows(docs: DataFrame, max_chars: int = 4000, overlap: int = 240) ->
         "_costs": F.transform("blocks", lambda b: F.length(b["text"]) + 1),
         "_scopes": F.transform("blocks", lambda b: b["scope"])})
     packed = held.withColumn("_w", pack_blocks(max_chars, overlap)("_costs", "_scopes"))
-    rows = packed.select("doc_id", F.col("semantic_elements.headings").alias("_h"), "blocks", F.posexplode("_w").alias("n", "w"))
+    # The outer form keeps the optimizer from copying the packing UDF into a filter below it.
+    rows = packed.select("doc_id", F.col("semantic_elements.headings").alias("_h"), "blocks",
+                         F.posexplode_outer("_w").alias("n", "w")).where("w IS NOT NULL")
     rows = rows.withColumn("b", F.slice("blocks", F.col("w.start") + 1, F.col("w.stop") - F.col("w.start")))
     first = F.get("b", 0)
     heads = F.coalesce("_h", F.array().cast("array<struct<element_id:string,text:string,parent_id:string,page:int,bbox:array<double>>>"))
@@ -456,5 +458,3 @@ def level_matrix(docs: DataFrame, levels: tuple[int, ...] = (0, 1, 2), **sizes)
 def level_mismatches(matrix: DataFrame, levels: int) -> DataFrame:
     return matrix.groupBy("doc_id", "chunk_id").agg(F.count_distinct("representation_level").alias("levels")).where(F.col("levels") != levels)
 
-
-assert escape_markdown  # rendering of cells goes through markdown_row

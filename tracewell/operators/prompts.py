@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.text import token_estimate
 from tracewell.operators.ordered import ordered_columns
+from tracewell.operators.topk import top_k
 
 
 @dataclass(frozen=True)
@@ -71,3 +72,51 @@ def within_budget(rows: DataFrame, keys: Sequence[str], order: Sequence[tuple[st
     if keep_first:
         fits = fits | (F.col("position") == 1)
     return summed.where(fits)
+
+
+def fit_prefix(rows: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], group: str, header_chars: str,
+               entry_chars: str, fixed_tokens: int, budget: TokenBudget) -> DataFrame:
+    """Longest leading part of a selection whose grouped rendering fits the prompt.
+
+    "Drop the last row until the prompt fits, keep one" equals taking the largest prefix that
+    fits. Its length is a running sum: every entry, plus a header where a new view begins.
+    """
+    first = ordered_columns(rows, [*keys, group], order, number="_in_view")
+    sized = first.withColumn("_chars", F.col(entry_chars) + 1 + F.when(F.col("_in_view") == 1, F.col(header_chars) + 2).otherwise(0))
+    summed = ordered_columns(sized, keys, order, number="position", running={"_used": "_chars"})
+    tokens = F.ceil(F.col("_used") / F.lit(1.7)) + fixed_tokens
+    return summed.where((tokens <= budget.input) | (F.col("position") == 1)).drop("_in_view", "_chars", "_used")
+
+
+def keep_styles(styles: DataFrame, keys: Sequence[str], rank: str, text: Column, budget: TokenBudget) -> DataFrame:
+    """Style examples within their cap; the first is always kept.
+
+    The examples come from a top-n selection, so a case has only a handful of them.
+    """
+    costed = styles.withColumn("_c", token_estimate(text) + 8)
+    listed = costed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col("_c").alias("c")))).alias("_l"))
+    cap = budget.style_cap
+    state = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
+    fold = F.aggregate("_l", state, lambda s, e: F.when(
+        (F.size(s["kept"]) == 0) | (s["used"] + e["c"] <= cap),
+        F.struct((s["used"] + e["c"]).alias("used"), F.array_append(s["kept"], e["r"].cast("int")).alias("kept"))).otherwise(s))
+    chosen = listed.select(*keys, fold["kept"].alias("_k"))
+    return costed.join(chosen, list(keys)).where(F.array_contains("_k", F.col(rank).cast("int"))).drop("_c", "_k")
+
+
+def case_context(facts: DataFrame, hits: DataFrame, keys: Sequence[str], *, most_facts: int = 60, most_hits: int = 12,
+                 chars: int = 18000) -> DataFrame:
+    """Context of a case question: first facts, then first hits, cut at ``chars``.
+
+    ``facts``: keys, position, field_name, value, unit, period. ``hits``: keys, rank,
+    source_filename, pages, document. At most 72 blocks per case reach the final join.
+    """
+    some = lambda c, before: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(before), F.col(c))).otherwise("")
+    fact = F.concat(F.lit("신용조사서 | "), "field_name", F.lit("="), "value", some("unit", " "), some("period", " | 기간="))
+    pages = F.array_join(F.transform("pages", lambda p: p.cast("string")), ",")
+    hit = F.concat(F.lit("첨부자료 | "), F.coalesce("source_filename", F.lit("업로드 자료")), F.lit(" | 페이지="),
+                   F.when(F.coalesce(pages, F.lit("")) == "", "-").otherwise(pages), F.lit("\n"), "document")
+    left = top_k(facts, keys, [F.asc("position")], most_facts, "position", rank="_n").select(*keys, F.lit(0).alias("_k"), "_n", fact.alias("_b"))
+    right = top_k(hits, keys, [F.asc("rank")], most_hits, "rank", rank="_n").select(*keys, F.lit(1).alias("_k"), "_n", hit.alias("_b"))
+    joined = left.unionByName(right).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", "_n", "_b"))).alias("_l"))
+    return joined.select(*keys, F.substring(F.array_join("_l._b", "\n\n"), 1, chars).alias("context"))

@@ -295,7 +295,8 @@ def hybrid_search(
         part = part.withColumn("score", 1.0 / (rrf_k + F.col("dense_rank")) + 1.0 / (rrf_k + F.col("lexical_rank")))
         if boost is not None:
             texts = F.broadcast(spark.createDataFrame(list(enumerate(block.texts)), "q int, query_text string"))
-            held = corpus.select(F.col(doc_id).alias("id"), *attributes)
+            held = corpus if eligible is None else corpus.where(eligible)
+            held = held.select(F.col(doc_id).alias("id"), *attributes)
             part = held.join(F.broadcast(part), "id").join(texts, "q").withColumn("score", F.col("score") + boost)
         out = part if out is None else out.unionByName(part)
     if out is None:

@@ -11,7 +11,7 @@ from tracewell.operators.prompts import evidence_block, within_budget
 from tracewell.operators.scoring import search
 from tracewell.plans.registry import Tables, query
 from tracewell.plans.retrieval_queries import SQL_DENSE
-from tracewell.plans.text_queries import PARTICLES, STOP, sql_clean, sql_double, sql_numbers, sql_terms, sql_years
+from tracewell.plans.text_queries import PARTICLES, STOP, sql_clean, sql_numbers, sql_terms, sql_years
 
 WEIGHTS = {
     "A": {"the": 1.5, "tion": 0.8, "qu": 0.9}, "B": {"en": 1.2, "und": 1.7}, "C": {"que": 1.8, "of": 0.5, "license": 1.3},
@@ -290,7 +290,6 @@ WITH m AS (SELECT doc_id, source, chr(CAST(65 + doc_id % 5 AS INTEGER)) AS revie
    + least(0.7::DOUBLE, len({sql_numbers('text')}) * 0.08::DOUBLE)
    + CASE WHEN len(list_distinct({sql_years('text')})) >= 2 THEN 0.55::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN n_chars % 13 = 0 THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END
    + greatest(0.0::DOUBLE, least(1.0::DOUBLE, (n_chars % 150) / 100.0::DOUBLE)) * 0.35::DOUBLE, 4) AS score FROM documents)"""
-assert sql_double  # the number fragment builds on it
 
 
 def _material(t: Tables):
