@@ -9,10 +9,12 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.functions.spans import list_column
+
 WINDOWS = T.ArrayType(T.StructType().add("start", "integer").add("stop", "integer"))
 
 
@@ -41,12 +43,17 @@ def pack(costs: list[int], limit: int, *, scopes: list | None = None, carry_cost
     return out
 
 
+def _column(rows: list[list[tuple[int, int]]]) -> pa.Array:
+    return list_column(rows, ["start", "stop"], [pa.int32(), pa.int32()])
+
+
 def pack_blocks(limit: int, carry_cost: int):
     """UDF (costs, scopes) -> windows for text blocks."""
 
-    @F.pandas_udf(WINDOWS)
-    def run(costs: pd.Series, scopes: pd.Series) -> pd.Series:
-        return pd.Series([pack(list(c), limit, scopes=list(s), carry_cost=carry_cost) for c, s in zip(costs, scopes)])
+    @F.arrow_udf(WINDOWS)
+    def run(costs: pa.Array, scopes: pa.Array) -> pa.Array:
+        both = zip(costs.to_pylist(), scopes.to_pylist())
+        return _column([pack(c or [], limit, scopes=s, carry_cost=carry_cost) for c, s in both])
 
     return run
 
@@ -54,8 +61,8 @@ def pack_blocks(limit: int, carry_cost: int):
 def pack_rows(limit: int, carry_items: int):
     """UDF costs -> windows for table rows."""
 
-    @F.pandas_udf(WINDOWS)
-    def run(costs: pd.Series) -> pd.Series:
-        return costs.map(lambda c: pack(list(c), limit, carry_items=carry_items))
+    @F.arrow_udf(WINDOWS)
+    def run(costs: pa.Array) -> pa.Array:
+        return _column([pack(c or [], limit, carry_items=carry_items) for c in costs.to_pylist()])
 
     return run

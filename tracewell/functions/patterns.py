@@ -10,6 +10,7 @@ WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{2
 WS_INLINE = r"[ \t\r\f\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 WORD = r"[가-힣a-z]+|\p{Nd}+(?:[.,]\p{Nd}+)*"
+LETTER_PAIR = r"(?=([가-힣a-z]{2}))"
 TERM = r"[가-힣A-Za-z]{2,}"
 
 CITATION = r"(?i)(?:CR|ATT)_[a-f0-9]{20}"

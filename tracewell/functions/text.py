@@ -29,25 +29,22 @@ def lexical_normalize(c: Column) -> Column:
 
 
 def lexical_words(c: Column) -> Column:
-    return F.regexp_extract_all(lexical_normalize(c), F.lit(P.WORD), F.lit(0))
-
-
-def bigrams(words: Column) -> Column:
-    """``c2:xy`` for every adjacent character pair of every alphabetic word."""
-    alphabetic = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.rlike(r"^\p{Nd}"))
-    return F.flatten(
-        F.transform(
-            alphabetic,
-            lambda w: F.transform(
-                F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.concat(F.lit("c2:"), F.substring(w, i, F.lit(2)))
-            ),
-        )
-    )
+    """Words and grouped numbers of the normalised text.
+
+    Normalising only changes white space and separators, which no token contains, so the
+    lower-cased text is scanned directly.
+    """
+    return F.regexp_extract_all(F.lower(text_of(c)), F.lit(P.WORD), F.lit(0))
+
+
+def bigrams(c: Column) -> Column:
+    """``c2:xy`` for every adjacent letter pair; the zero-width match yields overlapping pairs."""
+    pairs = F.regexp_extract_all(F.lower(text_of(c)), F.lit(P.LETTER_PAIR), F.lit(1))
+    return F.transform(pairs, lambda x: F.concat(F.lit("c2:"), x))
 
 
 def lexical_tokens(c: Column) -> Column:
-    words = lexical_words(c)
-    return F.concat(words, bigrams(words))
+    return F.concat(lexical_words(c), bigrams(c))
 
 
 def consecutive_distinct(values: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,10 +37,12 @@ def hash_counts_of(text: str, dimension: int = HASH_DIMENSION) -> np.ndarray:
     return np.bincount((points + np.arange(len(points))) % dimension, minlength=dimension).astype(np.float32)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def hash_counts(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def hash_counts(texts: pa.Array) -> pa.Array:
     """Character counts per bucket (code point + position) mod 8: exact small integers."""
-    return texts.map(lambda t: hash_counts_of(t or ""))
+    rows = np.array([hash_counts_of(t or "") for t in texts.to_pylist()], dtype=np.float32).reshape(-1, HASH_DIMENSION)
+    offsets = pa.array(np.arange(len(rows) + 1) * HASH_DIMENSION, pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))
 
 
 def encoder_udf(load: Callable[[], Callable[[list[str]], np.ndarray]], prefix: str = "passage: "):

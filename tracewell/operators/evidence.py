@@ -15,6 +15,7 @@ from tracewell.functions.money import normalize_money, rewrite_amounts
 from tracewell.functions.text import numeric_lexemes, set_cosine, terms, years
 from tracewell.operators.ordered import ordered_columns
 from tracewell.operators.topk import first_rows, top_k
+from tracewell.session import cut_lineage
 
 
 # --- assembly -------------------------------------------------------------------------------
@@ -73,6 +74,8 @@ def conflict_pairs(credit: DataFrame, attachment: DataFrame, scope: Sequence[str
     candidates come from equi joins: on the rare-first prefix of the term lists (two sets with
     that similarity must meet there, so frequent terms generate nothing) and on (year, term).
     """
+    # The features are read four times below; they are far smaller than the texts.
+    credit, attachment = cut_lineage(credit), cut_lineage(attachment)
     frequency = (
         credit.select(F.explode("terms").alias("term")).unionAll(attachment.select(F.explode("terms").alias("term")))
         .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -281,15 +284,16 @@ def select_examples(cases: DataFrame, examples: DataFrame, *, case: str, n: int
     """
     profile = ["review_item", "loan_type", "industry_code", "tags"]
     approved = examples.where("approval_status = 'APPROVED'").select(
-        "example_id", "review_item", F.col("industry_codes"), F.col("tags").alias("_tags"),
+        "example_id", "review_item", "loan_types", F.col("industry_codes"), F.col("tags").alias("_tags"),
         F.explode(F.when(F.size("loan_types") == 0, F.array(F.lit(""))).otherwise(F.array_distinct("loan_types"))).alias("_loan"))
-    distinct = cases.select(*profile).distinct()
+    distinct = cases.select(*profile).distinct().withColumn("_profile", F.to_json(F.struct(*profile)))
     wanted = distinct.withColumn("_loan", F.explode(F.array_distinct(F.array(F.col("loan_type"), F.lit("*"), F.lit("")))))
     points = F.when(F.col("_loan") == "", 0).when(F.col("_loan") == F.col("loan_type"), 10).otherwise(1)
-    scored = wanted.join(approved, ["review_item", "_loan"]).withColumn("_loan_score", points)
-    scored = scored.withColumn("_ind", industry_score(F.col("industry_codes"), F.col("industry_code"))).where(F.col("_ind").isNotNull())
-    scored = scored.withColumn("_score", F.col("_loan_score") + F.col("_ind") + 2 * F.size(F.array_intersect("tags", "_tags")))
-    # An example that lists both the loan type and the wildcard counts once, with the better score.
-    best = scored.groupBy(*profile, "example_id").agg(F.max("_score").alias("score"))
-    ranked = top_k(best, profile, [F.desc("score"), F.asc("example_id")], n, "example_id")
-    return cases.select(case, *profile).join(ranked, profile).select(case, "review_item", "rank", "example_id", "score")
+    # An example that lists the loan type and the wildcard meets a case once, by the loan type.
+    twice = (F.col("_loan") == "*") & (F.col("loan_type") != "*") & F.array_contains("loan_types", F.col("loan_type"))
+    scored = wanted.join(approved, ["review_item", "_loan"]).where(~twice).withColumn(
+        "_ind", industry_score(F.col("industry_codes"), F.col("industry_code"))).where(F.col("_ind").isNotNull())
+    scored = scored.select("_profile", "example_id", (points + F.col("_ind") + 2 * F.size(F.array_intersect("tags", "_tags"))).alias("score"))
+    ranked = top_k(scored, ["_profile"], [F.desc("score"), F.asc("example_id")], n, "example_id")
+    held = cases.select(case, *profile).withColumn("_profile", F.to_json(F.struct(*profile)))
+    return held.join(ranked, "_profile").select(case, "review_item", "rank", "example_id", "score")

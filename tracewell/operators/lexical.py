@@ -13,9 +13,16 @@ def tokenized(corpus: DataFrame, id_col: str, text: Column) -> DataFrame:
 
 
 def term_frequency(tokens: DataFrame, id_col: str) -> DataFrame:
-    """(document, term, tf). All tokens of a text sit in one task, so tf is complete map-side."""
-    return tokens.select(id_col, F.explode("tokens").alias("term")).groupBy(id_col, "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+    """(document, term, tf) without a shuffle.
+
+    All tokens of a text are in its row: sort them, find where each run starts, and the
+    distance to the next start is the frequency.
+    """
+    runs = tokens.select(id_col, F.sort_array("tokens").alias("t")).where(F.size("t") > 0).withColumn("s", F.filter(
+        F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1))))
+    pairs = F.transform("s", lambda i, k: F.struct(
+        F.get("t", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("t")) - i).cast("long").alias("tf")))
+    return runs.select(id_col, F.inline(pairs))
 
 
 def document_frequency(tokens: DataFrame) -> DataFrame:

@@ -75,8 +75,8 @@ SELECT doc_id, 'CH_TEXT_' || lpad(CAST(part AS VARCHAR), 5, '0') AS chunk_id, e
 FROM w JOIN q USING (doc_id) WHERE part > 0""")
 def text_windows(t: Tables):
     d = t.spread("documents", "doc_id", "text").select("doc_id", text.clean_lines(F.col("text")).alias("a"))
-    d = d.withColumn("w", pack_blocks(LIMIT, CARRY)(F.transform("a", lambda x: F.length(x) + 1), F.transform("a", lambda x: F.lit("scope"))))
-    rows = d.select("doc_id", "a", F.posexplode("w").alias("n", "w"))
+    windows = pack_blocks(LIMIT, CARRY)(F.transform("a", lambda x: F.length(x) + 1), F.transform("a", lambda x: F.lit("scope")))
+    rows = d.select("doc_id", "a", F.posexplode(windows).alias("n", "w"))
     body = F.slice("a", F.col("w.start") + 1, F.col("w.stop") - F.col("w.start"))
     return rows.select("doc_id", F.concat(F.lit("CH_TEXT_"), padded(F.col("n") + 1, 5)).alias("chunk_id"),
                        (F.col("w.stop") - F.col("w.start")).alias("blocks"), F.sha2(F.array_join(body, "\n"), 256).alias("content_sha"))
@@ -88,7 +88,7 @@ SELECT doc_id, 'CH_TABLE_' || doc_id || '_' || CASE WHEN part < 1000 THEN lpad(C
 def table_windows(t: Tables):
     d = t.spread("documents", "doc_id", "text").select("doc_id", text.clean_lines(F.col("text")).alias("a"))
     costs = F.transform("a", lambda x: F.aggregate(F.transform(F.split(x, " "), lambda v: F.length(v) + 3), F.lit(0), lambda s, v: s + v))
-    rows = d.withColumn("w", pack_rows(400, 2)(costs)).select("doc_id", F.posexplode("w").alias("n", "w"))
+    rows = d.select("doc_id", F.posexplode(pack_rows(400, 2)(costs)).alias("n", "w"))
     return rows.select("doc_id", F.concat(F.lit("CH_TABLE_"), F.col("doc_id").cast("string"), F.lit("_"), padded(F.col("n") + 1, 3)).alias("chunk_id"),
                        F.col("w.start").cast("long").alias("first_row"), (F.col("w.stop") - F.col("w.start")).alias("rows"))
 

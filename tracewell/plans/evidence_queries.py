@@ -114,7 +114,7 @@ k AS (SELECT * FROM p WHERE NOT (dated AND NOT same) AND ((common >= 2 AND commo
 
 
 def _pairs(t: Tables):
-    docs = t.documents.join(t.labels.select("doc_id", "quality"), "doc_id", "left").withColumn(
+    docs = t.spread("documents", "doc_id", "lang", "text").join(t.labels.select("doc_id", "quality"), "doc_id", "left").withColumn(
         "credit", F.coalesce(F.col("quality"), F.lit(0)) == 1)
     parts = [evidence.conflict_features(docs.where(side), ["lang"], "doc_id", "text", STOP, PARTICLES)
              for side in (F.col("credit"), ~F.col("credit"))]
@@ -344,7 +344,7 @@ def fewshot_topn(t: Tables):
         F.col("c_nationkey").cast("string").alias("industry_code"),
         F.array(F.when(F.col("c_acctbal") > 5000, "red").otherwise("blue"), F.lit("gear")).alias("tags"))
     none = F.array().cast("array<string>")
-    examples = t.part.select(
+    examples = t.spread("part").select(
         F.col("p_partkey").alias("example_id"), F.lit("B").alias("review_item"),
         F.when(size != 13, "APPROVED").otherwise("DRAFT").alias("approval_status"),
         F.when(size % 4 == 0, none).when(size % 4 == 1, F.array(F.lit("*"), "p_type")).otherwise(F.array("p_type")).alias("loan_types"),

@@ -230,8 +230,7 @@ b AS (SELECT doc_id, w, flatten(list_transform(list_filter(w, lambda x: length(x
         lambda x: list_transform(range(1, length(x)), lambda i: 'c2:' || substr(x, i, 2)))) AS b FROM w)
 SELECT doc_id, len(w) AS n_words, len(b) AS n_bigrams, sha256(array_to_string(list_concat(w, b), ' ')) AS token_sha FROM b""")
 def lexical_tokens(t: Tables):
-    d = t.spread("documents").select("doc_id", text.lexical_words(F.col("text")).alias("w"))
-    d = d.withColumn("b", text.bigrams(F.col("w")))
+    d = t.spread("documents").select("doc_id", text.lexical_words(F.col("text")).alias("w"), text.bigrams(F.col("text")).alias("b"))
     return d.select("doc_id", F.size("w").alias("n_words"), F.size("b").alias("n_bigrams"),
                     F.sha2(F.array_join(F.concat("w", "b"), " "), 256).alias("token_sha"))
 

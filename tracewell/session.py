@@ -53,12 +53,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a small input arrives in very few splits.
+    """Use all cores when a small input would arrive in fewer useful splits than cores.
 
-    Large inputs already have more splits than cores and pass through without a shuffle.
+    A small file often is one row group and so one task, however many splits are planned. The
+    decision uses the size estimate; inputs above one full split per core pass unshuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df if int(str(size)) > cores * split else df.repartition(cores)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
