@@ -58,11 +58,10 @@ def assemble(facts: DataFrame, hits: DataFrame, items: Sequence[str] = P.REVIEW_
 
 def conflict_features(rows: DataFrame, scope: Sequence[str], key: str, content: str,
                       stop: Sequence[str] = P.STOP_TERMS, particles: Sequence[str] = P.PARTICLES) -> DataFrame:
-    """Distinct terms, numbers and years of rows that have both terms and numbers."""
-    base = rows.where(F.col(content).rlike(r"\p{Nd}")).select(
+    """Distinct terms, numbers and years of rows with a digit."""
+    return rows.where(F.col(content).rlike(r"\p{Nd}")).select(
         *scope, F.col(key).alias("id"), terms(F.col(content), stop, particles).alias("terms"),
         F.array_sort(numeric_lexemes(F.col(content))).alias("numbers"), years(F.col(content)).alias("years"))
-    return base.where((F.size("terms") > 0) & (F.size("numbers") > 0))
 
 
 def conflict_pairs(credit: DataFrame, attachment: DataFrame, scope: Sequence[str], *, jaccard: float = 0.20) -> DataFrame:
@@ -75,7 +74,8 @@ def conflict_pairs(credit: DataFrame, attachment: DataFrame, scope: Sequence[str
     that similarity must meet there, so frequent terms generate nothing) and on (year, term).
     """
     # The features are read four times below; they are far smaller than the texts.
-    credit, attachment = cut_lineage(credit), cut_lineage(attachment)
+    both = (F.size("terms") > 0) & (F.size("numbers") > 0)
+    credit, attachment = cut_lineage(credit).where(both), cut_lineage(attachment).where(both)
     frequency = (
         credit.select(F.explode("terms").alias("term")).unionAll(attachment.select(F.explode("terms").alias("term")))
         .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -96,8 +96,8 @@ def conflict_pairs(credit: DataFrame, attachment: DataFrame, scope: Sequence[str
         left, right = a.withColumnRenamed("id", "credit_id"), b.withColumnRenamed("id", "attachment_id")
         if limit is not None:
             left, right = left.withColumnRenamed("n", "n_c"), right.withColumnRenamed("n", "n_a")
-        both = left.join(right, [*scope, *on])
-        return (both if limit is None else both.where(limit)).select(*scope, "credit_id", "attachment_id")
+        met = left.join(right, [*scope, *on])
+        return (met if limit is None else met.where(limit)).select(*scope, "credit_id", "attachment_id")
 
     close = (F.col("n_a") >= F.col("n_c") * jaccard - 1e-9) & (F.col("n_c") >= F.col("n_a") * jaccard - 1e-9)
     candidates = pair(prefix(credit), prefix(attachment), ["term"], close).unionByName(

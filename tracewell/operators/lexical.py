@@ -18,15 +18,16 @@ def term_frequency(tokens: DataFrame, id_col: str) -> DataFrame:
     All tokens of a text are in its row: sort them, find where each run starts, and the
     distance to the next start is the frequency.
     """
-    runs = tokens.select(id_col, F.sort_array("tokens").alias("t")).where(F.size("t") > 0).withColumn("s", F.filter(
-        F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1))))
+    runs = tokens.select(id_col, F.sort_array("tokens").alias("t")).withColumn("s", F.when(F.size("t") > 0, F.filter(
+        F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))))
     pairs = F.transform("s", lambda i, k: F.struct(
         F.get("t", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("t")) - i).cast("long").alias("tf")))
-    return runs.select(id_col, F.inline(pairs))
+    # The outer form: an inner one makes the optimizer evaluate the array once more in a filter.
+    return runs.select(id_col, F.inline_outer(pairs)).where("term IS NOT NULL")
 
 
 def document_frequency(tokens: DataFrame) -> DataFrame:
-    return tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(
+    return tokens.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).where("term IS NOT NULL").groupBy("term").agg(
         F.count(F.lit(1)).alias("df"))
 
 

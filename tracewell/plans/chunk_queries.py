@@ -99,7 +99,7 @@ n AS (SELECT doc_id, line, {sql_norm('line')} AS norm FROM l),
 r AS (SELECT doc_id, norm FROM n WHERE length(line) <= 160 AND norm <> '' GROUP BY ALL HAVING count(*) >= 3)
 SELECT doc_id, count(*) AS kept_lines, CAST(sum(length(line)) AS BIGINT) AS kept_chars FROM n ANTI JOIN r USING (doc_id, norm) GROUP BY doc_id""")
 def repeated_lines(t: Tables):
-    lines = t.spread("documents", "doc_id", "text").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = t.spread("documents", "doc_id", "text").select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line")).where("line IS NOT NULL")
     kept = drop_repeated_lines(lines, "doc_id", "line")
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept_lines"), F.sum(F.length("line")).alias("kept_chars"))
 
@@ -109,7 +109,7 @@ WITH {SQL_LINES}, r AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a,
 c AS (SELECT doc_id, r, unnest(string_split(line, ' ')) AS v, generate_subscripts(string_split(line, ' '), 1) - 1 AS c FROM r)
 SELECT doc_id, 'c' || c AS column_id, count(*) AS cells, max(r) AS last_row, CAST(sum(length(v)) AS BIGINT) AS chars FROM c WHERE c < 40 GROUP BY ALL""")
 def unpivot_cells(t: Tables):
-    d = t.spread("documents", "doc_id", "text").select("doc_id", F.posexplode(text.clean_lines(F.col("text"))).alias("r", "line"))
+    d = t.spread("documents", "doc_id", "text").select("doc_id", F.posexplode_outer(text.clean_lines(F.col("text"))).alias("r", "line")).where("line IS NOT NULL")
     cells = d.select("doc_id", "r", F.posexplode(F.split("line", " ")).alias("c", "v")).where("c < 40")
     return cells.groupBy("doc_id", F.concat(F.lit("c"), F.col("c").cast("string")).alias("column_id")).agg(
         F.count(F.lit(1)).alias("cells"), F.max("r").alias("last_row"), F.sum(F.length("v")).alias("chars"))

@@ -133,7 +133,7 @@ SELECT CASE WHEN v = '' THEN 'empty' WHEN v IN ('-', '–', '—', 'N/A', 'n/a')
             WHEN regexp_full_match(v, '[+-]?(?:\p{Nd}+(?:\.\p{Nd}+)?|\.\p{Nd}+)%?') THEN 'number' ELSE 'text' END AS content_type,
        count(*) AS cells FROM c GROUP BY 1""")
 def content_type(t: Tables):
-    words = t.spread("documents").select(F.explode(F.split("text", " ")).alias("v"))
+    words = t.spread("documents").select(F.explode_outer(F.split("text", " ")).alias("v")).where("v IS NOT NULL")
     return words.groupBy(text.content_type(F.col("v")).alias("content_type")).agg(F.count(F.lit(1)).alias("cells"))
 
 
