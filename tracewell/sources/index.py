@@ -12,6 +12,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.operators.retrieval import require_scope
 from tracewell.operators.scoring import hybrid_search
@@ -52,7 +53,9 @@ class ChunkIndex:
     # -- reading ----------------------------------------------------------------------------
 
     def read(self, filters: Mapping[str, object] | None = None) -> DataFrame:
-        rows = self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data")
+        # The stored schema keeps an emptied index readable.
+        schema = T.StructType.fromJson(self.metadata()["schema"])
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/data")
         for key, value in (filters or {}).items():
             rows = rows.where(F.col(key).eqNullSafe(F.lit(value)) if value is None else F.col(key) == F.lit(value))
         return rows
@@ -89,8 +92,11 @@ class ChunkIndex:
         placed = self._placed(chunks)
         require_unique(placed, ["tenant_id", "case_id", "chunk_no"])
         placed.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*PLACE).parquet(f"{self.path}/data")
-        self.spark.createDataFrame([(json.dumps(dict(metadata), ensure_ascii=False),)], "value string").coalesce(1).write.mode(
-            "overwrite").text(f"{self.path}/_meta")
+        self._describe(metadata, placed.schema)
+
+    def _describe(self, metadata: Mapping[str, object], schema: T.StructType) -> None:
+        text = json.dumps({**metadata, "schema": json.loads(schema.json())}, ensure_ascii=False)
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_meta")
 
     def upsert(self, chunks: DataFrame, metadata: Mapping[str, object]) -> None:
         """Replace every document that occurs in ``chunks``; all others stay."""
@@ -103,7 +109,10 @@ class ChunkIndex:
         touched = newer.select(*PLACE).distinct()
         near = self.read().join(touched, list(PLACE), "left_semi")
         # The result is written down before the partitions it was read from are replaced.
-        self._write(cut_lineage(replace_documents(near, newer)))
+        merged = cut_lineage(replace_documents(near, newer))
+        self._write(merged)
+        if set(merged.columns) != set(self.read().columns):
+            self._describe(metadata, merged.schema)
 
     def delete(self, **scope: str) -> int:
         """Delete a document or a case; returns the number of removed chunks and verifies zero remain."""
