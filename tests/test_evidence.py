@@ -17,9 +17,11 @@ def test_conflict_pairs_equal_brute_force(spark):
         return " ".join(said)
 
     data = [(i, rng.choice(["t1", "t1", "t2"]), "credit" if i % 3 == 0 else "att", text()) for i in range(150)]
+    data += [(i, data[i % 40][1], rng.choice(["credit", "att"]), data[i % 40][3]) for i in range(150, 260)]  # copies
     df = spark.createDataFrame(data, "id long, tenant string, side string, content string")
     parts = [evidence.conflict_features(df.where(F.col("side") == s), ["tenant"], "id", "content", [], []) for s in ("credit", "att")]
-    got = {(r["credit_id"], r["attachment_id"]) for r in evidence.conflict_pairs(*parts, ["tenant"]).collect()}
+    found = evidence.Conflicts(*parts, ["tenant"])
+    got = {(r["credit_id"], r["attachment_id"]) for r in found.pairs().collect()}
 
     def features(t):
         parts = t.split()
@@ -38,6 +40,10 @@ def test_conflict_pairs_equal_brute_force(spark):
                 want.add((c[0], a[0]))
     assert len(want) > 50
     assert got == want
+    marks = {r["id"]: (r["conflicts_with_credit"], r["conflicting_attachments"], r["first_partner"]) for r in found.annotate(df.select("id"), "id").collect()}
+    for i, _, side, _ in data:
+        partners = sorted([a for c, a in want if c == i] + [c for c, a in want if a == i])
+        assert marks[i] == ((len(partners), 0) if side == "att" else (0, len(partners))) + (partners[0] if partners else None,)
 
 
 def greedy(rows, budget, share=0.5):

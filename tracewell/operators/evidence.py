@@ -64,75 +64,105 @@ def conflict_features(rows: DataFrame, scope: Sequence[str], key: str, content:
         F.array_sort(numeric_lexemes(F.col(content))).alias("numbers"), years(F.col(content)).alias("years"))
 
 
-def conflict_pairs(credit: DataFrame, attachment: DataFrame, scope: Sequence[str], *, jaccard: float = 0.20) -> DataFrame:
-    """Pairs whose numbers differ although they speak about the same thing.
-
-    Both sides come from ``conflict_features``. A pair conflicts when its numbers differ, its
-    explicit years are not disjoint, and it either shares at least two terms with Jaccard
-    similarity >= ``jaccard`` or shares a year and a term. Instead of comparing every pair,
-    candidates come from equi joins: on the rare-first prefix of the term lists (two sets with
-    that similarity must meet there, so frequent terms generate nothing) and on (year, term).
+def _signature() -> Column:
+    lists = [F.array_join(F.array_sort(c), "\x1e") for c in ("numbers", "years", "terms")]
+    return F.sha2(F.concat_ws("\x1f", *lists), 256)
+
+
+def _signatures(features: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """One row per distinct feature set with its number of members.
+
+    Copies share their features, so however many there are they take part once.
     """
-    # The features are read four times below; they are far smaller than the texts.
-    both = (F.size("terms") > 0) & (F.size("numbers") > 0)
-    credit, attachment = cut_lineage(credit).where(both), cut_lineage(attachment).where(both)
-    frequency = (
-        credit.select(F.explode("terms").alias("term")).unionAll(attachment.select(F.explode("terms").alias("term")))
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    )
-
-    def prefix(side: DataFrame) -> DataFrame:
-        words = side.select(*scope, "id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-        place = Window.partitionBy(*scope, "id").orderBy("df", "term")
-        ranked = words.join(frequency, "term").withColumn("at", F.row_number().over(place))
-        need = F.greatest(F.ceil(F.col("n") * F.lit(jaccard) - 1e-9), F.lit(2))
-        return ranked.where(F.col("at") <= F.col("n") - need + 1)
-
-    def dated(side: DataFrame) -> DataFrame:
-        return side.where(F.size("years") > 0).select(
-            *scope, "id", F.explode("years").alias("year"), "terms").withColumn("term", F.explode("terms")).drop("terms")
-
-    def pair(a: DataFrame, b: DataFrame, on: Sequence[str], limit: Column | None = None) -> DataFrame:
-        left, right = a.withColumnRenamed("id", "credit_id"), b.withColumnRenamed("id", "attachment_id")
-        if limit is not None:
-            left, right = left.withColumnRenamed("n", "n_c"), right.withColumnRenamed("n", "n_a")
-        met = left.join(right, [*scope, *on])
-        return (met if limit is None else met.where(limit)).select(*scope, "credit_id", "attachment_id")
-
-    close = (F.col("n_a") >= F.col("n_c") * jaccard - 1e-9) & (F.col("n_c") >= F.col("n_a") * jaccard - 1e-9)
-    candidates = pair(prefix(credit), prefix(attachment), ["term"], close).unionByName(
-        pair(dated(credit), dated(attachment), ["year", "term"])).distinct()
-
-    def named(side: DataFrame, name: str) -> DataFrame:
-        return side.select(*scope, F.col("id").alias(name + "_id"), *[
-            F.col(c).alias(f"{name}_{c}") for c in ("terms", "numbers", "years")])
-
-    full = candidates.join(named(credit, "credit"), [*scope, "credit_id"]).join(
-        named(attachment, "attachment"), [*scope, "attachment_id"])
-    common = F.size(F.array_intersect("credit_terms", "attachment_terms"))
-    union = F.size(F.array_union("credit_terms", "attachment_terms"))
-    both_dated = (F.size("credit_years") > 0) & (F.size("attachment_years") > 0)
-    same_year = F.arrays_overlap("credit_years", "attachment_years")
-    keep = (
-        (F.col("credit_numbers") != F.col("attachment_numbers"))
-        & ~(both_dated & ~same_year)
-        & (((common >= 2) & (common / union >= jaccard)) | (both_dated & same_year & (common >= 1)))
-    )
-    return full.where(keep).select(*scope, "credit_id", "attachment_id", common.alias("common"))
-
-
-def annotate_conflicts(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """Mark rows on either side of a conflict with the number of partners and the smallest one.
-
-    The partner list itself stays in the pair table: one row may have any number of partners,
-    and an array per row could not be bounded.
+    return features.withColumn("signature", _signature()).groupBy(*scope, "signature").agg(
+        *[F.any_value(c).alias(c) for c in ("terms", "numbers", "years")], F.count(F.lit(1)).alias("members"), F.min("id").alias("first_id"))
+
+
+class Conflicts:
+    """Direct conflicts between two sides of ``conflict_features``.
+
+    A pair conflicts when its numbers differ, its explicit years are not disjoint, and it either
+    shares at least two terms with Jaccard similarity >= ``jaccard`` or shares a year and a term.
+    Everything is decided between distinct feature sets (``groups``); ``pairs`` lists the single
+    rows, ``annotate`` only needs counts and never expands the members.
     """
-    sides = pairs.select(F.col("attachment_id").alias(key), F.col("credit_id").alias("other"), F.lit("attachment").alias("side")).unionByName(
-        pairs.select(F.col("credit_id").alias(key), F.col("attachment_id").alias("other"), F.lit("credit").alias("side")))
-    marks = sides.groupBy(key).agg(
-        F.count_if(F.col("side") == "attachment").alias("conflicts_with_credit"),
-        F.count_if(F.col("side") == "credit").alias("conflicting_attachments"), F.min("other").alias("first_partner"))
-    return rows.join(marks, key, "left").fillna(0, ["conflicts_with_credit", "conflicting_attachments"])
+
+    def __init__(self, credit: DataFrame, attachment: DataFrame, scope: Sequence[str], *, jaccard: float = 0.20):
+        both = (F.size("terms") > 0) & (F.size("numbers") > 0)
+        self.scope, self.jaccard = list(scope), jaccard
+        # The features are read several times; they are far smaller than the texts.
+        self.rows = {"credit": cut_lineage(credit).where(both), "attachment": cut_lineage(attachment).where(both)}
+        self.sets = {k: cut_lineage(_signatures(v, self.scope)) for k, v in self.rows.items()}
+        self.groups = cut_lineage(self._groups())
+
+    def _groups(self) -> DataFrame:
+        """Pairs of conflicting feature sets.
+
+        Candidates come from equi joins: on the rare-first prefix of the term lists (two sets
+        with that similarity must meet there, so frequent terms generate nothing) and on
+        (year, term). The full test runs on the candidates only.
+        """
+        scope, jaccard = self.scope, self.jaccard
+        frequency = self.sets["credit"].select(F.explode("terms").alias("term")).unionAll(
+            self.sets["attachment"].select(F.explode("terms").alias("term"))).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+        def prefix(side: str) -> DataFrame:
+            words = self.sets[side].select(*scope, "signature", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+            place = Window.partitionBy(*scope, "signature").orderBy("df", "term")
+            ranked = words.join(frequency, "term").withColumn("at", F.row_number().over(place))
+            need = F.greatest(F.ceil(F.col("n") * F.lit(jaccard) - 1e-9), F.lit(2))
+            kept = ranked.where(F.col("at") <= F.col("n") - need + 1)
+            return kept.select(*scope, "term", F.col("signature").alias(side), F.col("n").alias("n_" + side))
+
+        def dated(side: str) -> DataFrame:
+            held = self.sets[side].select(*scope, F.col("signature").alias(side), F.explode("years").alias("year"), "terms")
+            return held.withColumn("term", F.explode("terms")).drop("terms")
+
+        near = (F.col("n_attachment") >= F.col("n_credit") * jaccard - 1e-9) & (F.col("n_credit") >= F.col("n_attachment") * jaccard - 1e-9)
+        ids = [*scope, "credit", "attachment"]
+        candidates = prefix("credit").join(prefix("attachment"), [*scope, "term"]).where(near).select(*ids).unionByName(
+            dated("credit").join(dated("attachment"), [*scope, "year", "term"]).select(*ids)).distinct()
+        for side in ("credit", "attachment"):
+            named = self.sets[side].select(*scope, F.col("signature").alias(side), *[
+                F.col(c).alias(f"{side}_{c}") for c in ("terms", "numbers", "years", "members", "first_id")])
+            candidates = candidates.join(named, [*scope, side])
+        common = F.size(F.array_intersect("credit_terms", "attachment_terms"))
+        union = F.size("credit_terms") + F.size("attachment_terms") - common
+        both_dated = (F.size("credit_years") > 0) & (F.size("attachment_years") > 0)
+        same_year = F.arrays_overlap("credit_years", "attachment_years")
+        keep = (
+            (F.col("credit_numbers") != F.col("attachment_numbers")) & ~(both_dated & ~same_year)
+            & (((common >= 2) & (common / union >= jaccard)) | (both_dated & same_year & (common >= 1))))
+        return candidates.where(keep).select(
+            *ids, common.alias("common"), *[f"{s}_{c}" for s in ("credit", "attachment") for c in ("members", "first_id")])
+
+    def _members(self, side: str) -> DataFrame:
+        """(scope, row id, signature) of the rows that take part in a conflict."""
+        rows = self.rows[side].select(*self.scope, F.col("id").alias(side + "_id"), _signature().alias(side))
+        return rows.join(self.groups.select(*self.scope, side).distinct(), [*self.scope, side], "left_semi")
+
+    def pairs(self) -> DataFrame:
+        out = self.groups.select(*self.scope, "credit", "attachment", "common")
+        for side in ("credit", "attachment"):
+            out = out.join(self._members(side), [*self.scope, side])
+        return out.select(*self.scope, "credit_id", "attachment_id", "common")
+
+    def annotate(self, rows: DataFrame, key: str) -> DataFrame:
+        """Number of partners and the smallest one for every row of either side.
+
+        The partner list itself stays in the pairs: a row may have any number of partners, and
+        an array per row could not be bounded.
+        """
+        parts = []
+        for side, other in (("attachment", "credit"), ("credit", "attachment")):
+            marks = self.groups.groupBy(*self.scope, side).agg(
+                F.sum(other + "_members").alias("n"), F.min(other + "_first_id").alias("first_partner"))
+            parts.append(self._members(side).join(marks, [*self.scope, side]).select(
+                F.col(side + "_id").alias(key), F.lit(side).alias("_side"), "n", "first_partner"))
+        marks = parts[0].unionByName(parts[1]).groupBy(key).agg(
+            F.sum(F.when(F.col("_side") == "attachment", F.col("n"))).alias("conflicts_with_credit"),
+            F.sum(F.when(F.col("_side") == "credit", F.col("n"))).alias("conflicting_attachments"), F.min("first_partner").alias("first_partner"))
+        return rows.join(marks, key, "left").fillna(0, ["conflicts_with_credit", "conflicting_attachments"])
 
 
 # --- ranking --------------------------------------------------------------------------------
@@ -181,7 +211,7 @@ def select_within_budget(rows: DataFrame, case: str, *, group: str, score: str,
     strata = ["case", "credit", "cost", "is_first"]
     order = [F.desc("score"), F.asc("key")]
     quota = 2 * F.floor(F.lit(budget) / F.col("cost"))
-    salted = fitting.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(32)))
+    salted = fitting.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(256)))
     near = salted.withColumn("_n", F.row_number().over(Window.partitionBy(*strata, "_salt").orderBy(*order))).where(F.col("_n") <= quota)
     cut = near.withColumn("_n", F.row_number().over(Window.partitionBy(*strata).orderBy(*order))).where(F.col("_n") <= quota)
     held = cut.drop("_n", "_salt").join(totals, "case", "left").fillna(0, ["credit_total"])

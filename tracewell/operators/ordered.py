@@ -19,6 +19,7 @@ from tracewell.session import cut_lineage
 
 HOT_ROWS_CONF = "spark.tracewell.hotGroupRows"
 HOT_ROWS_DEFAULT = 2_000_000
+BROADCAST_ROWS = 100_000
 
 Order = Sequence[tuple[str, bool]]  # (column, ascending); together unique within a group
 
@@ -83,14 +84,16 @@ def ordered_columns(
         return _windowed(df, keys, order, *spec)
     schema = df.select(*keys).schema
     keyed = df.sparkSession.createDataFrame([tuple(r) for r in hot], schema)
-    keyed = F.broadcast(keyed.select(*[F.col(k).alias("_k_" + k) for k in keys]))
+    keyed = keyed.select(*[F.col(k).alias("_k_" + k) for k in keys])
+    small = len(hot) <= BROADCAST_ROWS
+    keyed = F.broadcast(keyed) if small else keyed
     condition = _match(df, keyed, keys)
     cold_part = _windowed(df.join(keyed, condition, "left_anti"), keys, order, *spec)
-    hot_part = _segmented(df.join(keyed, condition, "left_semi"), keys, order, *spec)
+    hot_part = _segmented(df.join(keyed, condition, "left_semi"), keys, order, *spec, small)
     return cold_part.unionByName(hot_part)
 
 
-def _segmented(df: DataFrame, keys, order: Order, number, lag, running, carry) -> DataFrame:
+def _segmented(df: DataFrame, keys, order: Order, number, lag, running, carry, small: bool) -> DataFrame:
     tasks = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # spark_partition_id is only stable once written, hence the checkpoint.
     spread = cut_lineage(
@@ -115,7 +118,7 @@ def _segmented(df: DataFrame, keys, order: Order, number, lag, running, carry) -
         *[F.sum("r_" + o).over(before).alias("o_r_" + o) for o in running],
         *[F.last("c_" + o, ignorenulls=True).over(before).alias("o_c_" + o) for o in carry],
     )
-    joined = local.join(F.broadcast(offsets), _match(local, offsets, [*keys, "_seg"]), "left")
+    joined = local.join(F.broadcast(offsets) if small else offsets, _match(local, offsets, [*keys, "_seg"]), "left")
     final: dict[str, Column] = {}
     if number:
         final[number] = (F.col("_rn") + F.coalesce("o_n", F.lit(0))).cast("long")

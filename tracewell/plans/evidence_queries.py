@@ -113,17 +113,17 @@ p AS (SELECT c.lang, c.doc_id AS credit_id, a.doc_id AS attachment_id, len(list_
 k AS (SELECT * FROM p WHERE NOT (dated AND NOT same) AND ((common >= 2 AND common / u >= 0.2) OR (dated AND same AND common >= 1)))"""
 
 
-def _pairs(t: Tables):
+def _conflicts(t: Tables):
     docs = t.spread("documents", "doc_id", "lang", "text").join(t.labels.select("doc_id", "quality"), "doc_id", "left").withColumn(
         "credit", F.coalesce(F.col("quality"), F.lit(0)) == 1)
     parts = [evidence.conflict_features(docs.where(side), ["lang"], "doc_id", "text", STOP, PARTICLES)
              for side in (F.col("credit"), ~F.col("credit"))]
-    return evidence.conflict_pairs(*parts, ["lang"])
+    return evidence.Conflicts(*parts, ["lang"])
 
 
 @query("conflict_pairs", SQL_CONFLICT + " SELECT lang, credit_id, attachment_id, common FROM k")
 def conflict_pairs(t: Tables):
-    return _pairs(t)
+    return _conflicts(t).pairs()
 
 
 @query("conflict_annotate", SQL_CONFLICT + """,
@@ -131,7 +131,7 @@ s AS (SELECT attachment_id AS doc_id, credit_id AS other, 1 AS a, 0 AS c FROM k
 m AS (SELECT doc_id, sum(a) AS a, sum(c) AS c, min(other) AS o FROM s GROUP BY ALL)
 SELECT doc_id, CAST(coalesce(a, 0) AS BIGINT) AS conflicts_with_credit, CAST(coalesce(c, 0) AS BIGINT) AS conflicting_attachments, o AS first_partner FROM documents LEFT JOIN m USING (doc_id)""")
 def conflict_annotate(t: Tables):
-    return evidence.annotate_conflicts(t.documents.select("doc_id"), _pairs(t), "doc_id")
+    return _conflicts(t).annotate(t.documents.select("doc_id"), "doc_id")
 
 
 # --- ranking and selection ------------------------------------------------------------------
@@ -206,7 +206,7 @@ def _budget_blocks(t: Tables):
     docs = t.spread("documents").withColumn("vector", hash_counts("text"))
     queries = t.benchmark.withColumn("vector", hash_counts("text"))
     hits = search(docs, queries, k=10, by="dense", doc=("doc_id", "vector"), query=("item_id", "vector"))
-    held = t.documents.select(F.col("doc_id").alias("id"), "text", "source").join(F.broadcast(hits), "id")  # 10 rows per query
+    held = t.documents.select(F.col("doc_id").alias("id"), "text", "source").join(hits, "id")
     key = F.col("id").cast("string")
     return held.withColumn("cost", F.length(evidence_block(
         query_id=F.col("query_id"), level=F.lit(0), rank=F.col("rank"), global_id=key, local_id=key, document_id=key,

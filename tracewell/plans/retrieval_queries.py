@@ -206,8 +206,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS positi
 def _overfetched(t: Tables):
     docs, queries = _encoded(t)
     hits = search(docs, queries, k=32, by="dense", doc=("doc_id", "vector"), query=("item_id", "vector"))
-    held = t.documents.select(F.col("doc_id").alias("id"), text.content_hash(F.col("text")).alias("content_hash"))
-    return held.join(F.broadcast(hits), "id")  # hits: 32 per query
+    held = t.documents.select(F.col("doc_id").alias("id"), "text").join(hits, "id")
+    return held.withColumn("content_hash", text.content_hash(F.col("text"))).drop("text")
 
 
 @query("retrieve_dedupe", SQL_ACCEPT + " SELECT item_id AS query_id, position, doc_id, round(score, 6) AS score FROM k WHERE position <= 8")
