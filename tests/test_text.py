@@ -114,3 +114,10 @@ def test_pack_equals_naive_fold():
         carry = rng.choice([0, 10, 40])
         assert pack(costs, 80, scopes=scopes, carry_cost=carry) == naive(costs, 80, scopes, carry)
     assert pack([5, 5, 5, 5, 5], 11, carry_items=1) == [(0, 2), (1, 3), (2, 4), (3, 5)]
+
+
+def test_scaffolding(spark):
+    data = ["신용조사서 근거 요약\n\n| a | b |\n|---|---|\n2024.12\t1\t2\n의견이다.\n\n끝.", "그대로\n둔다", "앞\n| x | y |\n뒤", "근거요약\n| a |",
+            "```markdown\n본문\n```"]
+    got = values(spark, data, text.strip_scaffolding(F.col("x")))
+    assert got == ["의견이다.\n\n끝.", "그대로\n둔다", "앞\n뒤", "근거요약\n| a |", "본문"]

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tracewell.operators import claims, prompts, validation
+from tracewell.operators import claims, prompts, reasoning, validation
 
 A, B, C = "CR_" + "a" * 20, "ATT_" + "b" * 20, "CR_" + "c" * 20
 
@@ -57,3 +57,21 @@ def test_prompt_budgets(spark):
     hits = spark.createDataFrame([("q", 1, None, [3], "본문")], "q string, rank int, source_filename string, pages array<int>, document string")
     context = prompts.case_context(facts, hits, ["q"]).first()["context"]
     assert context.startswith("신용조사서 | f=0 | 기간=2024\n\n") and context.endswith("첨부자료 | 업로드 자료 | 페이지=3\n본문") and "f=60" not in context
+
+
+def test_generator_plans_are_whitelisted(spark):
+    import json
+
+    issues = [{"title": "no ids", "evidence_ids": ["x"]}, {"title": "low", "materiality": "LOW", "evidence_ids": [A]}] + [
+        {"title": f"t{i}", "materiality": "high", "evidence_ids": ["x", A, B]} for i in range(7)]
+    reply = "생각: ```" + json.dumps({"items": {"A": {"judgment_focus": "f", "priority_issues": issues}, "B": {"priority_issues": issues[:1]}},
+                                    "cross_item_signals": [{"type": "S", "evidence_ids": [C, "x"]}, {"type": "T", "evidence_ids": ["x"]}]}) + "```"
+    replies = spark.createDataFrame([("k", reply), ("m", "no json"), ("n", "{broken")], "case string, reply string")
+    evidence = spark.createDataFrame([("k", "A", A), ("k", "A", B), ("k", "C", C)], "case string, review_item string, evidence_id string")
+    got = reasoning.accept_issues(replies, evidence)
+    assert [(r["review_item"], r["rank"], r["title"], r["materiality"], r["evidence_ids"]) for r in got.orderBy("rank").collect()] == [
+        ("A", n, f"t{n - 1}", "HIGH", [A, B]) for n in range(1, 6)]
+    fallback = spark.createDataFrame([("k", "A", 1, "unused"), ("k", "B", 1, "fallback")], "case string, review_item string, rank int, title string")
+    assert {(r["review_item"], r["title"]) for r in reasoning.with_fallback(got, fallback).where("rank = 1").collect()} == {("A", "t0"), ("B", "fallback")}
+    signals = reasoning.accept_signals(replies, evidence).orderBy("rank").collect()
+    assert [(r["type"], r["evidence_ids"]) for r in signals] == [("S", [C]), ("T", [])]

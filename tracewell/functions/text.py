@@ -159,6 +159,38 @@ def strip_placeholders(c: Column) -> Column:
     )
 
 
+def strip_scaffolding(c: Column) -> Column:
+    """Remove an evidence-summary heading with its table and stray Markdown tables.
+
+    After such a heading, blank and tabular lines are dropped until ordinary text returns. If
+    nothing was removed or nothing would be left, the text stays.
+    """
+    value = strip(F.replace(F.replace(text_of(c), F.lit("```markdown"), F.lit("")), F.lit("```"), F.lit("")))
+
+    def count(line: Column, piece: str) -> Column:
+        return (F.length(line) - F.length(F.replace(line, F.lit(piece), F.lit("")))) / len(piece)
+
+    def look(line: Column) -> Column:
+        bare = strip(line)
+        row, rule = bare.rlike(r"^\|.*\|$"), bare.rlike(rf"^\|?{P.WS}*:?-{{3,}}")
+        header = bare.rlike(rf"20\p{{Nd}}{{2}}[-./]?(?:0?[1-9]|1[0-2])|추정{P.WS}*\p{{Nd}}*기") & (
+            (count(line, "\t") > 0) | (count(line, "  ") >= 2))
+        return F.struct(
+            line.alias("line"), bare.rlike(rf"근거{P.WS}*요약").alias("title"), (row | rule).alias("table"), (bare == "").alias("blank"),
+            (header | (count(line, "\t") >= 2)).alias("columns"))
+
+    def step(s: Column, x: Column) -> Column:
+        hidden = x["title"] | (s["hide"] & (x["blank"] | x["table"] | x["columns"])) | x["table"]
+        hide = F.when(x["title"], True).when(s["hide"] & ~x["blank"] & ~x["table"] & ~x["columns"], False).otherwise(s["hide"])
+        return F.struct(F.when(hidden, s["kept"]).otherwise(F.array_append(s["kept"], x["line"])).alias("kept"),
+                        hide.alias("hide"), (s["removed"] | hidden).alias("removed"))
+
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("hide"), F.lit(False).alias("removed"))
+    end = F.aggregate(F.transform(F.split(value, "\n"), look), start, step)
+    cleaned = strip(F.array_join(end["kept"], "\n"))
+    return F.when(end["removed"] & (cleaned != ""), cleaned).otherwise(value)
+
+
 def mask_style(c: Column, forbidden: Sequence[str] = (), *, target="특정대상", company="특정기업",
                day="특정일자", period="특정기간", value="수치") -> Column:
     """Replace forbidden tokens (longest first), companies, dates, years and numbers."""
