@@ -52,6 +52,7 @@ def normalize_money(value: Column, unit: Column) -> Column:
     )
 
 
+# Fixed value: an amount with its unit in running text.
 _AMOUNT = re.compile(r"(\(?[+-]?\d[\d,]*(?:\.\d+)?\)?)\s*(백만원|억원|만원|천원|원)(?![가-힣])")
 
 

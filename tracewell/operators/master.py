@@ -33,6 +33,7 @@ MASTER = (
     "raw_document struct<physical_tables:array<struct<page:int,bbox:array<double>>>>,"
     "table_continuity array<struct<to:string,status:string,parent_child_mapping:struct<successor_columns_per_parent:array<int>>>>"
 )
+# Mandatory sections, level names and labels of the renderings.
 REQUIRED = ("annotation", "semantic_elements", "raw_document")
 LEVELS = {0: "plain", 1: "structured", 2: "hierarchical"}
 ROW_LABEL, COLUMN_LABEL, STUB_LABEL = "행", "열", "구분"

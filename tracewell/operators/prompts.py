@@ -54,6 +54,7 @@ def budget_snapshot(messages: DataFrame, keys: Sequence[str], text: Column, budg
 
 def evidence_block(*, query_id: Column, level: Column, rank: Column, global_id: Column, local_id: Column,
                    document_id: Column, filename: Column, pages: Column, content: Column) -> Column:
+    # Fixed text format of one block.
     return F.format_string(
         "[근거 %s]\nevidence_id=%s-L%s-R%s\nglobal_chunk_id=%s\nlocal_chunk_id=%s\ndocument_id=%s\n"
         "source_filename=%s\nsource_pages=%s\ncontent:\n%s\n",

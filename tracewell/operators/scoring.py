@@ -23,7 +23,7 @@ from tracewell.operators.topk import top_k
 
 QUERY_BLOCK = 512
 SUB_BATCH = 512
-K1, B = 1.5, 0.75
+K1, B = 1.5, 0.75  # fixed values of the BM25 formula
 DIGITS = 9  # scores are compared at this precision, so summation order cannot change a rank
 
 _WORD = re.compile(r"[가-힣a-z]+|\d+(?:[.,]\d+)*")
