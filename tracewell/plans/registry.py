@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.session import spread, table
+from tracewell.session import ship_package, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,7 @@ class Tables:
     """``t.documents`` reads the documents table of one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = ship_package(spark), folder
 
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
