@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import bpe_count, lang_bits, line_rules, secret_guess
+from tracewell.llm import anchor_simhash, bpe_count, lang_bits, line_rules, secret_guess
 from tracewell.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
 
 
+@query
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return anchor_simhash.report(table(spark, folder, "documents"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_count.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
