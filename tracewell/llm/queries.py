@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import anchor_simhash, bpe_count, lang_bits, line_rules, secret_guess
+from tracewell.llm import anchor_simhash, bpe_count, fm_decontaminate, lang_bits, line_rules, secret_guess, warc_chain
 from tracewell.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op3_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.judge(table(spark, folder, "documents"))
 
 
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return fm_decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -43,6 +48,11 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return anchor_simhash.report(table(spark, folder, "documents"))
 
 
+@query
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_chain.report(table(spark, folder, "pages"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_count.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
