@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracewell.session import ship_package
+from tracewell.session import shared_folder, ship_package
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BATCH_BYTES = 32 << 20
@@ -68,3 +69,10 @@ def pieces(texts: Iterable[bytes], limit: int, overlap: int) -> Iterator[tuple[l
             at += limit - overlap
     if rows:
         yield rows, parts
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder and read back."""
+    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import anchor_simhash, bpe_count, fm_decontaminate, lang_bits, line_rules, secret_guess, warc_chain
+from tracewell.llm import anchor_simhash, bpe_count, fm_decontaminate, lang_bits, line_rules, maxplus_pieces, secret_guess, warc_chain
 from tracewell.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op3_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.judge(table(spark, folder, "documents"))
 
 
+@query
+def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return maxplus_pieces.report(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return fm_decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
