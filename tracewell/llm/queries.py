@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import anchor_simhash, bpe_count, fm_decontaminate, lang_bits, line_rules, maxplus_pieces, secret_guess, warc_chain
+from tracewell.llm import anchor_simhash, bpe_count, fm_decontaminate, lang_bits, line_rules, maxplus_pieces, secret_guess, warc_chain, wrappers
 from tracewell.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return fm_decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.report(table(spark, folder, "pages"))
+
+
 @query
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")

@@ -7,6 +7,7 @@ slot. The wrapper's slots that hold the article are then read from every page of
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -112,23 +113,31 @@ class Elements:
                 return
 
 
-# Wrapper nodes: ["T", literal or None], ["E", token], ["?", nodes], ["+", nodes].
+# Wrapper nodes [kind, value, optional]: "T" a text slot, "E" a token, "+" a repeated group of nodes.
 
 def shape(nodes: list) -> str:
-    return " ".join("T" if n[0] == "T" else n[1] if n[0] == "E" else f"({shape(n[1])}){n[0]}" for n in nodes)
+    """The wrapper written out; equal shapes are equal wrappers."""
+    def one(node: list) -> str:
+        kind, value, optional = node
+        return ("T" if kind == "T" else value if kind == "E" else f"({shape(value)})+") + "?" * optional
 
+    return " ".join(map(one, nodes))
 
-def _slots(nodes: list) -> list:
-    """The same nodes with every text a slot."""
-    return [["T", None] if n[0] == "T" else n if n[0] == "E" else [n[0], _slots(n[1])] for n in nodes]
+
+def _key(node: list) -> str:
+    """What aligns: slots with slots, equal tokens, groups that begin alike."""
+    kind, value, _ = node
+    return "T" if kind == "T" else value if kind == "E" else "(" + (_key(value[0]) if value else "")
 
 
 def folded(page: str) -> list:
-    """The page as a wrapper of its own: adjacent repeats become groups, inner ones first."""
+    """The page as a wrapper of its own: adjacent repeats become groups, the shortest first.
+
+    A lone occurrence of what is repeated elsewhere on the page is that group too.
+    """
     letters: dict[str, str] = {}
     nodes: dict[str, list] = {}
-    texts: list[str] = []
-    line: list[str] = []
+    groups: dict[str, str] = {}
 
     def letter(key: str, node: list) -> str:
         if key not in letters:
@@ -136,75 +145,69 @@ def folded(page: str) -> list:
             nodes[letters[key]] = node
         return letters[key]
 
-    text = letter("T", ["T", None])
+    def group(found: re.Match) -> str:
+        inner = found[1]
+        if len(inner) == 1 and nodes[inner][0] == "+":
+            return inner
+        groups[inner] = letter(f"({inner})+", ["+", [nodes[c] for c in inner], False])
+        return groups[inner]
+
+    line = []
     for kind, value in tokens(page):
         if kind == "text":
-            value = " ".join(value.split())
-            if value:
-                line.append(text)
-                texts.append(value)
+            if value.strip() and (not line or line[-1] != letter("T", ["T", None, False])):
+                line.append(letter("T", ["T", None, False]))
         elif kind == "=" or not (element_name(value) in INLINE and element_name(value) != "a"):
-            line.append(letter(kind + value, ["E", kind + value]))
-    stream = "".join(line)
-    while True:
-        def group(found: re.Match) -> str:
-            inner = [nodes[c] for c in found[1]]
-            return letter(f"({found[1]})+", inner[0] if len(inner) == 1 and inner[0][0] == "+" else ["+", _slots(inner)])
-
-        changed = re.sub(rf"(?s)(.{{1,{LONGEST_REPEAT}}}?)\1+", group, stream)
-        if changed == stream or len(letters) > 60_000:
-            break
-        stream = changed
-    given = iter(texts)
-
-    def count(node: list) -> int:
-        return 1 if node[0] == "T" else 0 if node[0] == "E" else sum(map(count, node[1]))
-
-    out, only = [], not any(nodes[c][0] == "+" and count(nodes[c]) for c in stream)
-    for c in stream:
-        node = nodes[c]
-        # Behind a group it is not known how many texts it took, so only leading texts keep their words.
-        if node[0] == "T":
-            value = next(given, None) if only is not None else None
-            out.append(["T", value])
-        else:
-            out.append(node)
-            if node[0] == "+" and count(node):
-                only = None
-    return out
+            line.append(letter(kind + value, ["E", kind + value, False]))
+    stream, before = "".join(line), ""
+    while stream != before:
+        before = stream
+        stream = re.sub(rf"(?s)(.{{1,{LONGEST_REPEAT}}}?)\1+", group, stream)
+        for inner, own in groups.items():
+            stream = stream.replace(inner, own)
+    return [nodes[c] for c in stream]
+
+
+def _grouped(nodes: list, groups: list[list]) -> list:
+    """Lone runs of a repeated group's nodes written as the group."""
+    keys = [_key(n) for n in nodes]
+    for group in groups:
+        inner = [_key(n) for n in group[1]]
+        at = 0
+        while len(inner) > 1 and at + len(inner) <= len(keys):
+            if keys[at:at + len(inner)] == inner:
+                nodes[at:at + len(inner)] = [["+", merged(group[1], nodes[at:at + len(inner)]), False]]
+                keys[at:at + len(inner)] = [_key(group)]
+            at += 1
+    return nodes
 
 
 def merged(left: list, right: list) -> list:
-    """Align two wrappers of a host; the result accepts the pages of both."""
+    """Align two wrappers of a host; the result accepts the pages of both.
+
+    A mismatch of a group and a lone run becomes the group, all others become optional.
+    """
     if left == right:
         return left
+    left, right = (_grouped(list(mine), [n for n in other if n[0] == "+"]) for mine, other in ((left, right), (right, left)))
     out: list = []
-    keys = [[shape([n]) for n in side] for side in (left, right)]
-    for kind, a, b, c, d in SequenceMatcher(None, *keys, autojunk=False).get_opcodes():
+    for kind, a, b, c, d in SequenceMatcher(None, [_key(n) for n in left], [_key(n) for n in right], autojunk=False).get_opcodes():
         if kind == "equal":
             for x, y in zip(left[a:b], right[c:d]):
-                out.append(["T", x[1] if x[1] == y[1] else None] if x[0] == "T" else x)
-            continue
-        mine, other = left[a:b], right[c:d]
-        if len(mine) == len(other) == 1 and mine[0][0] in "+?" and other[0][0] in "+?" and _first(mine[0]) == _first(other[0]):
-            inner = merged(mine[0][1], other[0][1])
-            out.append(["+" if "+" in (mine[0][0], other[0][0]) else "?", inner])
-            if "?" in (mine[0][0], other[0][0]) and out[-1][0] == "+":
-                out[-1] = ["?", [out[-1]]]
-            continue
-        out += [side[0] if len(side) == 1 and side[0][0] == "?" else ["?", side] for side in (mine, other) if side]
+                out.append([x[0], merged(x[1], y[1]) if x[0] == "+" else x[1], x[2] or y[2]])
+        else:
+            out += [[n[0], n[1], True] for n in (*left[a:b], *right[c:d])]
     return out
 
 
-def _first(node: list) -> str:
-    while node[0] in "+?" and node[1]:
-        node = node[1][0]
-    return node[1] if node[0] == "E" else node[0]
-
-
 def expression(nodes: list, letter) -> str:
     """The wrapper as a regular expression over one letter per token."""
-    return "".join(re.escape(letter("T" if n[0] == "T" else n[1])) if n[0] in "TE" else f"(?:{expression(n[1], letter)}){n[0]}" for n in nodes)
+    def one(node: list) -> str:
+        kind, value, optional = node
+        inner = re.escape(letter("T" if kind == "T" else value)) if kind in "TE" else f"(?:{expression(value, letter)})+"
+        return f"(?:{inner})?" if optional else inner
+
+    return "".join(map(one, nodes))
 
 
 def beside(element: str) -> bool:
@@ -230,39 +233,56 @@ def slot_kind(path: tuple[str, ...]) -> str:
     return "inner" if any(map(beside, path[:place])) else "main"
 
 
-def slots_of(wrapper: list) -> dict[tuple[str, ...], bool]:
-    """Paths of the wrapper's text slots; True where all pages have the same words there."""
-    found: dict[tuple[str, ...], bool] = {}
+def words_of(page: str) -> dict[str, str]:
+    """Digest of the words at each path of the body outside the article, and of the whole page at the empty path."""
+    elements, found = Elements(), {}
+    for kind, value in tokens(page):
+        if kind == "+":
+            elements.start(value)
+        elif kind == "-":
+            elements.end(value)
+        elif kind == "text" and slot_kind(elements.path) == "body":
+            found.setdefault(" ".join(elements.path), []).append(value)
+    return {path: hashlib.md5(" ".join(" ".join(own).split()).encode()).hexdigest() for path, own in found.items()} | {"": hashlib.md5(page.encode()).hexdigest()}
+
+
+def _same(left: dict[str, str | None], right: dict[str, str | None]) -> dict[str, str | None]:
+    return {path: left[path] if path not in right or right.get(path) == left.get(path) else None if path in left else right[path] for path in {**left, **right}}
+
+
+def slots_of(wrapper: list) -> set[tuple[str, ...]]:
+    """Paths of the wrapper's text slots."""
+    found: set[tuple[str, ...]] = set()
     elements = Elements()
 
     def walk(nodes: list) -> None:
-        for node in nodes:
-            if node[0] == "T":
-                found[elements.path] = found.get(elements.path, True) and node[1] is not None
-            elif node[0] == "E":
-                kind, value = node[1][0], node[1][1:]
-                if kind == "+":
-                    elements.start(value)
-                elif kind == "-":
-                    elements.end(value)
-            else:
-                walk(node[1])
+        for kind, value, _ in nodes:
+            if kind == "T":
+                found.add(elements.path)
+            elif kind == "+":
+                walk(value)
+            elif value[0] == "+":
+                elements.start(value[1:])
+            elif value[0] == "-":
+                elements.end(value[1:])
 
     walk(wrapper)
     return found
 
 
-def plan_of(wrapper: list, pages: int) -> dict[str, str]:
-    """The kind of each slot that may hold article text, by its path."""
-    slots = slots_of(wrapper)
-    varied = pages > 2 and not all(slots.values())
+def plan_of(wrapper: list, words: dict[str, str | None]) -> dict[str, str]:
+    """The kind of each slot that may hold article text, by its path.
+
+    Outside an article, links and words that do not differ between different pages are left out.
+    """
+    differ = words.get("") is None
     plan = {}
-    for path, same in slots.items():
-        kind = slot_kind(path)
-        if kind == "body" and (same and varied or any(element_name(e) == "a" for e in path)):
+    for path in slots_of(wrapper):
+        kind, name = slot_kind(path), " ".join(path)
+        if kind == "body" and (differ and words.get(name) is not None or any(element_name(e) == "a" for e in path)):
             kind = "beside"
         if kind != "beside":
-            plan[" ".join(path)] = kind
+            plan[name] = kind
     return plan
 
 
@@ -296,27 +316,31 @@ def text_of(page: str, plan: dict[str, str]) -> str:
     return ""
 
 
+def _joined(own: list[tuple[list, dict]]) -> tuple[list, dict]:
+    """All wrappers of a host in one, the longest first so that short pages meet a full frame."""
+    (wrapper, words), *others = sorted(own, key=lambda x: (-len(x[0]), shape(x[0])))
+    for other, more in others:
+        wrapper, words = merged(wrapper, other), _same(words, more)
+    return wrapper, words
+
+
 def _inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task one wrapper of each host, given out early when there are many."""
-    held: dict[str, dict[str, list]] = {}
+    held: dict[str, dict[str, tuple[list, dict]]] = {}
 
     def give() -> pa.RecordBatch:
         rows = [(host, *_joined(list(own.values()))) for host, own in held.items()]
-        return batch_of({"host": (pa.string(), [r[0] for r in rows]), "wrapper": (pa.string(), [json.dumps(r[1]) for r in rows]), "pages": (pa.int64(), [r[2] for r in rows])})
+        return batch_of({"host": (pa.string(), [r[0] for r in rows]), "wrapper": (pa.string(), [json.dumps(r[1]) for r in rows]), "words": (pa.string(), [json.dumps(r[2]) for r in rows])})
 
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = folded(page)
+            own, words = folded(page), words_of(page)
             shapes = held.setdefault(host, {})
             key = shape(own)
-            if key in shapes:
-                before, n = shapes[key]
-                shapes[key] = [merged(before, own), n + 1]
-            else:
-                shapes[key] = [own, 1]
+            shapes[key] = (own, _same(shapes[key][1], words) if key in shapes else words)
             if len(shapes) > 64:
-                whole, n = _joined(list(shapes.values()))
-                held[host] = {shape(whole): [whole, n]}
+                whole = _joined(list(shapes.values()))
+                held[host] = {shape(whole[0]): whole}
         if len(held) > HELD_WRAPPERS:
             yield give()
             held.clear()
@@ -324,25 +348,16 @@ def _inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield give()
 
 
-def _joined(own: list) -> tuple[list, int]:
-    """Neighbours aligned level by level, the longest first, so that short pages meet a full frame."""
-    own = sorted(own, key=lambda x: (-len(x[0]), shape(x[0])))
-    wrapper, pages = own[0]
-    for other, n in own[1:]:
-        wrapper, pages = merged(wrapper, other), pages + n
-    return wrapper, pages
-
-
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Rows (host, wrapper as JSON, pages): one wrapper over all pages of each host.
+    """Rows (host, wrapper, words as JSON): one wrapper over all pages of each host.
 
     Pages are aligned within their tasks first, so a host with many pages sends one wrapper per task.
     """
     def joined(group: pa.Table) -> pa.Table:
-        wrapper, n = _joined([[json.loads(w), n] for w, n in zip(group.column("wrapper").to_pylist(), group.column("pages").to_pylist())])
-        return pa.table({"host": group.column("host").slice(0, 1), "wrapper": [json.dumps(wrapper)], "pages": pa.array([n], pa.int64())})
+        wrapper, words = _joined([(json.loads(w), json.loads(d)) for w, d in zip(group.column("wrapper").to_pylist(), group.column("words").to_pylist())])
+        return pa.table({"host": group.column("host").slice(0, 1), "wrapper": [json.dumps(wrapper)], "words": [json.dumps(words)]})
 
-    kind = "host string, wrapper string, pages long"
+    kind = "host string, wrapper string, words string"
     held = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(html_col, F.lit("")).alias("html"))
     return held.mapInArrow(_inferred, kind).groupBy("host").applyInArrow(joined, kind)
 
@@ -354,8 +369,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_
     Wrappers are sent to ``SALT`` parts of each host, so a host with many pages is spread.
     """
     @F.arrow_udf("string")
-    def plans(wrapper: pa.Array, n: pa.Array) -> pa.Array:
-        return pa.array([json.dumps(plan_of(json.loads(w), k)) for w, k in zip(wrapper.to_pylist(), n.to_pylist())], pa.string())
+    def plans(wrapper: pa.Array, words: pa.Array) -> pa.Array:
+        return pa.array([json.dumps(plan_of(json.loads(w), json.loads(d))) for w, d in zip(wrapper.to_pylist(), words.to_pylist())], pa.string())
 
     @F.arrow_udf("string")
     def texts(html: pa.Array, plan: pa.Array) -> pa.Array:
@@ -370,7 +385,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_
         return pa.array(out, pa.string())
 
     host, part, plan = "wrapper host", "wrapper part", "wrapper plan"
-    wrappers = infer(pages, url_col, html_col).select(F.col("host").alias(host), plans("wrapper", "pages").alias(plan)) \
+    wrappers = infer(pages, url_col, html_col).select(F.col("host").alias(host), plans("wrapper", "words").alias(plan)) \
         .withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     held = pages.drop(out_col).withColumn(host, host_of(F.col(url_col))).withColumn(
         part, F.pmod(F.xxhash64(F.coalesce(url_col, F.lit("")), F.length(html_col)), F.lit(SALT)).cast("int"))
