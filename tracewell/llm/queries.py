@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import anchor_simhash, bpe_count, fm_decontaminate, lang_bits, line_rules, maxplus_pieces, secret_guess, warc_chain, wrappers
+from tracewell.llm import anchor_simhash, attention_lm, bpe_count, fm_decontaminate, lang_bits, line_rules, maxplus_pieces, secret_guess, warc_chain, wrappers
 from tracewell.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_guess.scan(table(spark, folder, "documents"))
 
 
+@query
+def op2_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return attention_lm.score(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 @query
 def op3_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.judge(table(spark, folder, "documents"))
