@@ -43,10 +43,11 @@ class LineRules:
 def failing(line: bytes, rules: LineRules) -> str | None:
     """Name of the first rule that a line with a word fails."""
     words = line.split()
-    size = len(line) - len(line.translate(None, SPACE))
+    size = len(line.translate(None, SPACE))
+    symbols = len(line) - len(line.translate(None, SYMBOLS))
     if len(SEPARATORS.findall(line)) >= rules.separators:
         return "navigation"
-    if line.count(b"#") + len(line) - len(line.translate(None, SYMBOLS[1:])) > rules.symbol_share * size and size > 8:
+    if size > 8 and symbols > rules.symbol_share * size:
         return "symbols"
     if len(words) >= rules.shout_words:
         text = line.decode("utf-8", "replace")
