@@ -39,9 +39,11 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 @dataclass(frozen=True)
 class Settings:
-    """``share``: one in so many runs of ``CHUNK_WORDS`` words is fitted; ``frequent``: most words sent to every task."""
+    """``share``: one in so many runs of ``CHUNK_WORDS`` words is fitted; ``steps``: a task with fewer
+    takes its last runs again; ``frequent``: most words sent to every task."""
 
     share: int = 8
+    steps: int = 100
     rate: float = 0.01
     batch: int = 128
     frequent: int = FREQUENT
@@ -244,7 +246,7 @@ def fit(training: DataFrame, held: Classes, path: str, settings: Settings = Sett
     begin = start_weights(held.prior)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, moments, number, parts, load = {k: v.copy() for k, v in begin.items()}, {}, 0, [], 0
+        w, moments, number, parts, last, load = {k: v.copy() for k, v in begin.items()}, {}, 0, [], [], 0
         for batch in batches:
             for text in raw(batch.column(0)):
                 words = words_in(text)
@@ -255,9 +257,11 @@ def fit(training: DataFrame, held: Classes, path: str, settings: Settings = Sett
                     load += len(part)
                 if load > 1 << 16:
                     number += fit_here(w, parts, held, settings, moments)
-                    parts, load = [], 0
+                    last, parts, load = parts, [], 0
         if parts:
             number += fit_here(w, parts, held, settings, moments)
+        while (parts or last) and moments["t"] < settings.steps:
+            fit_here(w, parts or last, held, settings, moments)
         if number:
             flat = np.concatenate([w[k].ravel() for k in sorted(w)]).astype(np.float64)
             yield batch_of({"at": (pa.int64(), np.arange(len(flat))), "value": (pa.float64(), flat * number), "n": (pa.int64(), np.full(len(flat), number))})
