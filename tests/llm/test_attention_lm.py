@@ -60,6 +60,15 @@ def test_probabilities_of_all_next_ids_sum_to_one():
     assert abs(sum(10.0 ** x for x in last) - 1) < 1e-4
 
 
+def test_word_table_gives_the_ids_of_the_whole_text():
+    stock = [w.encode() for w in ["the", "of", "été", "a,b", "日本", "x'sy", "\u00a0odd", "odd\u00a0", "don't", "\u2003", "😀"]]
+    table = a.WordIds(stock[:4], [4, 3, 2, 1], PATH)
+    rng = np.random.default_rng(5)
+    texts = [[stock[k] for k in rng.integers(0, len(stock), int(n))] for n in [0, 1, 5, 40, 0, 200]]
+    for got, words_ in zip(table.sequences([(t, table.numbers(t)) for t in texts]), texts):
+        assert got.tolist() == a.ids_of(words_, PATH).tolist()
+
+
 @pytest.mark.parametrize("frequent", [0, 8, 10_000])
 def test_base_scores_equal_a_plain_count(spark, frequent):
     rng = np.random.default_rng(3)

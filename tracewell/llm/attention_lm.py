@@ -25,12 +25,13 @@ from tracewell.llm.common import LOWER, batch_of, raw, remainder, written
 
 HALF = 16
 WIDTH = 16
-CLASSES = 64
+CLASSES = 192
 INPUTS = 2048
 FREQUENT = 200_000
 HELD_WORDS = 1 << 19
-CHUNK_WINDOWS = 512
-CHUNK_WORDS = 256
+CHUNK_WINDOWS = 128
+GROUP_WORDS = 1 << 14
+RUN_BYTES = 1536
 #: The word that stands for the end of a text; no text has it, as it holds white space.
 END = " "
 # Fixed value: the public pre-token pattern of byte-level BPE.
@@ -39,10 +40,10 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 @dataclass(frozen=True)
 class Settings:
-    """``share``: one in so many runs of ``CHUNK_WORDS`` words is fitted; ``steps``: a task with fewer
+    """``share``: one in so many runs of ``RUN_BYTES`` bytes is fitted; ``steps``: a task with fewer
     takes its last runs again; ``frequent``: most words sent to every task."""
 
-    share: int = 8
+    share: int = 32
     steps: int = 100
     rate: float = 0.01
     batch: int = 128
@@ -205,7 +206,7 @@ def windows_of(parts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndar
     """
     blocks = np.array([1 + -(-len(p) // HALF) for p in parts])
     first = np.cumsum(blocks) - blocks
-    flat = np.zeros(int(blocks.sum()) * HALF, np.int64)
+    flat = np.zeros(int(blocks.sum()) * HALF, np.int32)
     scored = np.ones(int(blocks.sum()), bool)
     scored[first] = False
     opening = np.zeros(len(scored), bool)
@@ -239,7 +240,7 @@ def fit_here(w: Weights, parts: list[np.ndarray], held: Classes, settings: Setti
 
 
 def fit(training: DataFrame, held: Classes, path: str, settings: Settings = Settings()) -> Weights:
-    """Weights fitted on one in ``share`` runs of words of all training texts, averaged over the tasks.
+    """Weights fitted on one in ``share`` runs of all training texts, averaged over the tasks.
 
     The average is formed on the executors; one set of weights comes to the driver.
     """
@@ -249,11 +250,13 @@ def fit(training: DataFrame, held: Classes, path: str, settings: Settings = Sett
         w, moments, number, parts, last, load = {k: v.copy() for k, v in begin.items()}, {}, 0, [], [], 0
         for batch in batches:
             for text in raw(batch.column(0)):
-                words = words_in(text)
-                mark = zlib.crc32(text or b"")
-                for k in range(mark % settings.share, len(words) // CHUNK_WORDS + 1, settings.share):
-                    part = ids_of(words[k * CHUNK_WORDS:(k + 1) * CHUNK_WORDS], path)
-                    parts.append(part if (k + 1) * CHUNK_WORDS >= len(words) else part[:-1])
+                text = text or b""
+                for k in range(zlib.crc32(text) % settings.share, len(text) // RUN_BYTES + 1, settings.share):
+                    stop = (k + 1) * RUN_BYTES
+                    # Words cut at the edges of a run are left out; only a run with the text's end has the end.
+                    words = words_in(text[k * RUN_BYTES:stop])[k > 0:]
+                    part = ids_of(words if stop >= len(text) else words[:-1], path)
+                    parts.append(part if stop >= len(text) else part[:-1])
                     load += len(part)
                 if load > 1 << 16:
                     number += fit_here(w, parts, held, settings, moments)
@@ -279,44 +282,58 @@ def fit(training: DataFrame, held: Classes, path: str, settings: Settings = Sett
 
 
 class Scorer:
-    """Batched masked attention with the projections of all input vectors formed beforehand."""
+    """Batched masked attention with the projections of all input vectors formed beforehand.
+
+    A query meets the input vectors themselves, as its own projection already holds that of the
+    keys; the projection of the values is part of the output weights.
+    """
 
     def __init__(self, w: Weights, held: Classes):
-        scale = np.float32(1 / np.sqrt(WIDTH))
         self.held, self.w = held, w
-        table = lambda m: (np.ascontiguousarray(w["E"] @ m), (w["P"] @ m)[None])
-        value = w["V"] @ w["O"]
-        self.q, self.k, self.v = table(w["Q"] * scale), table(w["K"]), table(value)
+        # The id after the last one stands for the start mark.
+        self.inputs, self.classes = np.append(held.inputs, len(w["E"]) - 1).astype(np.int32), np.append(held.classes, 0).astype(np.int32)
+        asking = w["Q"] @ w["K"].T / np.float32(np.sqrt(WIDTH))
+        self.q, self.q_place = w["E"] @ asking, w["P"][HALF - 1:-1] @ asking
+        self.out = np.concatenate([w["U"], w["V"] @ w["O"] @ w["U"]])
+        length = lambda a: float(np.sqrt((a * a).sum(axis=-1)).max())
+        x = length(w["E"]) + length(w["P"])
+        # Only weights that could overflow an exponential need the largest value taken off.
+        self.small = (length(self.q) + length(self.q_place)) * x < 60 and float(np.abs(w["b"]).max()) + np.sqrt(2) * x * length(self.out.T) < 60
 
     def class_scores(self, parts: list[np.ndarray]) -> list[np.ndarray]:
         """log10 of the probability of the class of each id, given the ids before it."""
-        start = len(self.w["E"]) - 1
-        flat, chosen, opening = windows_of([self.held.inputs[p] for p in parts], start)
-        target, _, _ = windows_of([self.held.classes[p] for p in parts], 0)
+        start = len(self.inputs) - 1
+        ids, chosen, opening = windows_of(parts, start)
+        flat = self.inputs[ids]
+        target = self.classes[ids].reshape(-1, HALF)
         blocks = flat.reshape(-1, HALF)
-        before = np.append(start, flat[:-1]).reshape(-1, HALF)
+        before = np.append(self.inputs[start], flat[:-1]).reshape(-1, HALF)
         out = np.zeros((len(blocks), HALF), np.float64)
+        every, keys = np.ones(self.out.shape[1], np.float32), np.ones((2 * HALF, 1), np.float32)
         for at in range(0, len(chosen), CHUNK_WINDOWS):
             own, first = chosen[at:at + CHUNK_WINDOWS], opening[at:at + CHUNK_WINDOWS]
-            near = np.concatenate([blocks[own - 1], blocks[own]], axis=1)
-            asking = before[own]
-            q = self.q[0][asking] + self.q[1][:, HALF - 1:-1]
-            k, v = (t[0][near] + t[1] for t in (self.k, self.v))
-            seen = q @ k.transpose(0, 2, 1)
+            x = np.empty((len(own), 2 * HALF, WIDTH), np.float32)
+            x[:, :HALF], x[:, HALF:] = self.w["E"][blocks[own - 1]], self.w["E"][blocks[own]]
+            x += self.w["P"]
+            q = self.q[before[own]]
+            q += self.q_place
+            seen = q @ x.transpose(0, 2, 1)
             seen += CAUSAL
             seen[first] += OPENING
-            seen -= seen.max(axis=-1, keepdims=True)
+            if not self.small:
+                seen -= seen.max(axis=-1, keepdims=True)
             np.exp(seen, out=seen)
-            mixed = seen @ v
-            mixed /= seen.sum(axis=-1, keepdims=True)
-            mixed += self.w["E"][asking]
-            mixed += self.w["P"][HALF - 1:-1]
-            z = mixed.reshape(-1, WIDTH) @ self.w["U"]
+            both = np.empty((len(own), HALF, 2 * WIDTH), np.float32)
+            both[:, :, :WIDTH] = x[:, HALF - 1:-1]
+            np.matmul(seen, x, out=both[:, :, WIDTH:])
+            both[:, :, WIDTH:] /= seen @ keys
+            z = both.reshape(-1, 2 * WIDTH) @ self.out
             z += self.w["b"]
-            z -= z.max(axis=1, keepdims=True)
-            right = z[np.arange(len(z)), target.reshape(-1, HALF)[own].ravel()]
+            if not self.small:
+                z -= z.max(axis=1, keepdims=True)
+            right = z[np.arange(len(z)), target[own].ravel()]
             np.exp(z, out=z)
-            out[own] = (right - np.log(z.sum(axis=1))).reshape(-1, HALF)
+            out[own] = (right - np.log(z @ every)).reshape(-1, HALF)
         out /= np.log(10)
         whole, at, found = out.ravel(), 0, []
         for part in parts:
@@ -330,6 +347,43 @@ class Scorer:
         return [float(c.sum() + self.held.within[p].sum()) for c, p in zip(self.class_scores(parts), parts)]
 
 
+class WordIds:
+    """Numbers of the frequent words with their counts and ids; the ids of other words are found when they come."""
+
+    def __init__(self, words: list[bytes], counts: list[int], path: str):
+        self.number = {w: k for k, w in enumerate(words)}
+        self.counts = np.array(counts, np.int64)
+        coder = subwords(path)
+        own = [coder.encode_ordinary(" " + w.decode()) for w in words]
+        self.sizes = np.array([len(o) for o in own], np.int32)
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+        self.ids = np.array([i for o in own for i in o], np.int32)
+        self.path = path
+        # Only the first id of a word begins with the space before it.
+        self.opens = np.array([coder.decode_single_token_bytes(k)[:1] == b" " for k in range(coder.n_vocab)])
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The word numbers, -1 for the others."""
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+
+    def sequences(self, texts: list[tuple[list[bytes], np.ndarray]]) -> list[np.ndarray]:
+        """The id sequences of several texts, each with the end."""
+        number = np.concatenate([np.append(n, -2) for _, n in texts])
+        others = [words[k] for words, n in texts for k in np.flatnonzero(n < 0)]
+        coder = subwords(self.path)
+        own = np.array(coder.encode_ordinary((b" " + b" ".join(others)).decode("utf-8", "replace")) if others else [], np.int32)
+        first = np.flatnonzero(self.opens[own])
+        place, frequent, ends = (np.flatnonzero(x) for x in (number == -1, number >= 0, number == -2))
+        # One pool of ids: those of the frequent words, the end, those of the other words here.
+        pool = np.concatenate([self.ids, np.array([coder.n_vocab], np.int32), own])
+        sizes, source = np.ones(len(number), np.int32), np.full(len(number), len(self.ids), np.int32)
+        sizes[frequent], source[frequent] = self.sizes[number[frequent]], self.starts[number[frequent]]
+        sizes[place], source[place] = np.diff(np.append(first, len(own))), len(self.ids) + 1 + first
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        out = pool[np.repeat(source - starts, sizes) + np.arange(int(sizes.sum()), dtype=np.int32)]
+        return np.split(out, starts[ends[:-1]] + 1)
+
+
 def score(docs: DataFrame, path: str, modulus: int = 7, left: int = 2, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -352,32 +406,32 @@ def score(docs: DataFrame, path: str, modulus: int = 7, left: int = 2, settings:
         if taken + row["count"] > settings.frequent:
             break
         taken, least = taken + row["count"], row.level
-    frequent = {r.word.encode(): r.n for r in words.where(level >= least).collect()} if least is not None else {}
-    known_end = frequent.get(END.encode(), 0) or (words.where(F.col("word") == END).first() or [0, 0])[1]
+    often = words.where((level >= least) & (F.col("word") != END)).collect() if least is not None else []
+    frequent = WordIds([r.word.encode() for r in often], [r.n for r in often], path)
+    known_end = (words.where(F.col("word") == END).first() or [END, 0])[1]
     floor = total + distinct + 1
     model = docs.sparkSession.sparkContext.broadcast((frequent, weights, held))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, w, classes = model.value
+        frequent, w, classes = model.value
         scorer = Scorer(w, classes)
         for batch in batches:
-            n, known, base, rare, final, parts, load = [], [], [], [], [], [], 0
+            n, known, base, rare, final, group, load = [], [], [], [], [], [], 0
             for text in raw(batch.column("text")):
                 own = words_in(text)
-                count = np.fromiter(map(counts.get, own, repeat(0)), np.int64, len(own))
-                seldom = Counter(own[k] for k in np.flatnonzero(count == 0))
-                count = np.append(count[count > 0], known_end)
+                number = frequent.numbers(own)
+                count = np.append(frequent.counts[number[number >= 0]], known_end)
                 n.append(len(own) + 1)
                 known.append(int((count > 0).sum()))
                 base.append(float(np.log10((count + 1) / floor).sum()))
-                rare.append([{"word": k, "n": v} for k, v in seldom.items()])
-                parts.append(ids_of(own, path))
-                load += len(parts[-1])
-                if load > CHUNK_WINDOWS * HALF * 4:
-                    final += scorer.scores(parts)
-                    parts, load = [], 0
-            if parts:
-                final += scorer.scores(parts)
+                rare.append([{"word": k, "n": v} for k, v in Counter(own[k] for k in np.flatnonzero(number < 0)).items()])
+                group.append((own, number))
+                load += len(own) + 1
+                if load > GROUP_WORDS:
+                    final += scorer.scores(frequent.sequences(group))
+                    group, load = [], 0
+            if group:
+                final += scorer.scores(frequent.sequences(group))
             kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
             yield batch_of({"row": (pa.int64(), batch.column("row")), "doc_id": (None, batch.column("doc_id")), "n_tokens": (pa.int64(), n), "n_known": (pa.int64(), known),
                             "base_score": (pa.float64(), base), "rare": (kind, pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))).cast(kind)),
