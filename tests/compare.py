@@ -74,7 +74,7 @@ if __name__ == "__main__":
 
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = build_session("compare", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false"})
+        "spark.sql.shuffle.partitions": "8", "spark.tracewell.spreadTasks": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     queries, oracles = entry.queries(), entry.oracle_sql()
     con = connect(folder)

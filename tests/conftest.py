@@ -12,7 +12,7 @@ def spark():
     from tracewell.session import build_session
 
     session = build_session("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "8", "spark.tracewell.spreadTasks": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
         "spark.sql.session.timeZone": "UTC"})
     session.sparkContext.setLogLevel("ERROR")
     yield session

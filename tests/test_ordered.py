@@ -34,16 +34,16 @@ def test_hot_groups_equal_plain_windows(spark):
     df = spark.createDataFrame(data, "k string, o int, id long, v string, c int").repartition(7)
     for descending in (False, True):
         want = expected(data, descending)
-        for limit in (10_000, 30):  # plain windows, then the segmented way for the hot key
+        for bounded in (True, False):  # plain windows, then the segmented way
             got = ordered_columns(df, ["k"], [("o", not descending), ("id", True)], number="n", lag={"before": "v"},
-                                  running={"total": "c"}, carry={"last": "v"}, hot_rows=limit).collect()
+                                  running={"total": "c"}, carry={"last": "v"}, bounded=bounded).collect()
             assert len(got) == len(data)
             assert {r["id"]: (r["n"], r["before"], r["total"], r["last"]) for r in got} == want
 
 
 def test_whole_table_as_one_group(spark):
     df = spark.range(500).withColumn("x", F.lit(2))
-    got = ordered_columns(df, [], [("id", False)], number="n", running={"s": "x"}, hot_rows=50).collect()
+    got = ordered_columns(df, [], [("id", False)], number="n", running={"s": "x"}).collect()
     assert all(r["n"] == 500 - r["id"] and r["s"] == 2 * r["n"] for r in got)
 
 

@@ -41,19 +41,25 @@ def test_claims_keep_decimals(spark):
     assert [s["text"] for s in row["s"]] == row["a"] and row["s"][2]["start"] == said.index("다음")
 
 
-def test_numeric_tokens():
-    got = spans.numeric_tokens_of("2024년 3월 매출 1,250.50백만원, 증가율 12.30% 3 B12=99 -5 2023.01.02 기준 CR_" + "a" * 20)
-    kinds = [(t[1], t[2], t[3]) for t in got]
-    assert kinds == [("2023-01-02", "date", None), ("2024-03", "period", "월"), ("12.3", "percent", "%"),
-                     ("1250.5", "number", "백만원"), ("99", "number", None), ("-5", "number", None)]
-    assert got[3][4] == ["2023", "2024"] and got[0][4] == ["2023"]
-    assert spans.numeric_tokens_of("2025년 말")[0][1:4] == ("2025", "year", "년")
-    assert spans.plain_decimal("-0.00") == "0" and spans.plain_decimal("+007.10") == "7.1" and spans.plain_decimal("100") == "100"
-
-
-def test_canonical_number_agrees_with_helper(spark):
-    data = ["1,000", "-0.0", "+7.10", "100", "000.50", "-12.3400", "0", "1.0"]
-    assert values(spark, data, text.canonical_number(F.col("x"))) == [spans.plain_decimal(d) for d in data]
+def test_numeric_tokens(spark):
+    data = ["2024년 3월 매출 1,250.50백만원, 증가율 12.30% 3 B12=99 -5 2023.01.02 기준 CR_" + "a" * 20, "2025년 말", "12,2024.01.02", "1.2.3%", "+2024-1-2 7",
+            "A1:B22 2024.13.01 x5 5x 12%a 3 배", "2023년 5월 말 5월", None, "1999 년 12 월 31 일 + 2,000     원"]
+    got = [[tuple(t) for t in v] for v in values(spark, data, spans.numeric_tokens("x"))]
+    assert [t[1:4] for t in got[0]] == [
+        ("2023-01-02", "date", None), ("2024-03", "period", "월"), ("12.3", "percent", "%"), ("1250.5", "number", "백만원"), ("99", "number", None), ("-5", "number", None)]
+    assert got[0][3][4] == ["2023", "2024"] and got[0][0][4] == ["2023"]
+    assert got[1][0][1:4] == ("2025", "year", "년")
+    assert got[2] == [("2024.01.02", "2024-01-02", "date", None, ["2024"])]
+    assert [t[:3] for t in got[3]] == [("2.3%", "2.3", "percent")]
+    assert [t[1:3] for t in got[4]] == [("2024-01-02", "date")]
+    assert [t[:4] for t in got[5]] == [("2024.13", "2024.13", "number", None), ("01", "1", "number", None), ("12", "12", "number", None), ("3", "3", "number", "배")]
+    assert [t[1:4] for t in got[6]] == [("2023-05", "period", "월"), ("5", "number", "월")] and got[7] == []
+    assert [t[:4] for t in got[8]] == [("1999 년 12 월 31 일", "1999-12-31", "date", None), ("2,000", "2000", "number", "원")]
+
+
+def test_canonical_number(spark):
+    data = ["1,000", "-0.0", "+7.10", "100", "000.50", "-12.3400", "0", "1.0", "-0.00", "+007.10"]
+    assert values(spark, data, text.canonical_number(F.col("x"))) == ["1000", "0", "7.1", "100", "0.5", "-12.34", "0", "1", "0", "7.1"]
 
 
 def test_money(spark):

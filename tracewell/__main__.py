@@ -57,7 +57,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--situation-tag", action="append", default=[])
     p.add_argument("--max-examples", type=int, default=3)
     for action in sub.choices.values():
-        action.add_argument("--output", help="folder for JSON output; without it rows are shown")
+        action.add_argument("--output", help="folder for JSON output; without it all rows are printed as JSON lines")
     return top
 
 
@@ -122,7 +122,8 @@ def main(argv: list[str] | None = None) -> None:
     if a.output:
         documents.write_json(out, a.output)
     else:
-        out.show(50, truncate=False)
+        for row in out.toJSON().toLocalIterator():
+            print(row)
 
 
 if __name__ == "__main__":

@@ -240,8 +240,14 @@ def escape_markdown(c: Column) -> Column:
     return F.replace(clean(c), F.lit("|"), F.lit("\\|"))
 
 
-def content_hash(c: Column, head: int = 1200) -> Column:
-    return F.sha2(F.substring(clean(F.lower(text_of(c))), 1, head), 256)
+def content_hash(c: Column) -> Column:
+    """Digest of the whole text, lower-cased and with single blanks."""
+    return F.sha2(clean(F.lower(text_of(c))), 256)
+
+
+def exact_hash(c: Column) -> Column:
+    """Digest of the text as it is; an encoder tells apart what ``content_hash`` does not."""
+    return F.sha2(text_of(c), 256)
 
 
 def token_estimate(c: Column) -> Column:

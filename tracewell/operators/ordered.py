@@ -1,10 +1,10 @@
 """Order-dependent columns that stay distributed when one group is huge.
 
-A plain window puts a whole group into one task. ``ordered_columns`` measures the groups
-first (one map-side combined count). Groups up to ``hot_rows`` rows take the plain window.
-Larger ones are range-partitioned by (keys, order), so that one group spreads over many
-tasks; every task works on its own segment and the segment totals (at most one row per hot
-key and task, hence safe to broadcast) carry the state from one segment to the next.
+A plain window puts a whole group into one task. ``ordered_columns`` range-partitions the rows by
+(keys, order), so that a large group spreads over many tasks; every task works on its own segment
+and the segment totals (at most one row per key and task) carry the state from one segment to the
+next. The plan is the same for all sizes. A caller that knows its groups to be of a fixed size
+says ``bounded`` and gets the plain window.
 """
 
 from __future__ import annotations
@@ -17,17 +17,9 @@ from pyspark.sql import functions as F
 
 from tracewell.session import cut_lineage
 
-HOT_ROWS_CONF = "spark.tracewell.hotGroupRows"
-HOT_ROWS_DEFAULT = 2_000_000
-BROADCAST_ROWS = 100_000
-
 Order = Sequence[tuple[str, bool]]  # (column, ascending); together unique within a group
 
 
-def _hot_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
-
-
 def _sort(order: Order) -> list[Column]:
     return [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in order]
 
@@ -51,12 +43,6 @@ def _windowed(df: DataFrame, keys: Sequence[str], order: Order, number, lag, run
     return df.withColumns(added)
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> list:
-    """Keys of groups above ``limit`` rows; there can be at most rows/limit of them."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.where(F.col("_rows") > limit).select(*keys).collect()
-
-
 def ordered_columns(
     df: DataFrame,
     keys: Sequence[str],
@@ -66,34 +52,22 @@ def ordered_columns(
     lag: Mapping[str, str] | None = None,
     running: Mapping[str, str] | None = None,
     carry: Mapping[str, str] | None = None,
-    hot_rows: int | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add row number, previous value, inclusive running sum and last non-null value.
 
-    ``lag``, ``running`` and ``carry`` map an output name to a source column.
+    ``lag``, ``running`` and ``carry`` map an output name to a source column. ``bounded`` states
+    that no group can be large.
     """
     spec = (number, dict(lag or {}), dict(running or {}), dict(carry or {}))
-    limit = _hot_rows(df) if hot_rows is None else hot_rows
-    if not keys:
-        df = df.withColumn("_all", F.lit(1))
-        return ordered_columns(
-            df, ["_all"], order, number=number, lag=lag, running=running, carry=carry, hot_rows=limit
-        ).drop("_all")
-    hot = hot_groups(df, keys, limit)
-    if not hot:
+    if bounded and keys:
         return _windowed(df, keys, order, *spec)
-    schema = df.select(*keys).schema
-    keyed = df.sparkSession.createDataFrame([tuple(r) for r in hot], schema)
-    keyed = keyed.select(*[F.col(k).alias("_k_" + k) for k in keys])
-    small = len(hot) <= BROADCAST_ROWS
-    keyed = F.broadcast(keyed) if small else keyed
-    condition = _match(df, keyed, keys)
-    cold_part = _windowed(df.join(keyed, condition, "left_anti"), keys, order, *spec)
-    hot_part = _segmented(df.join(keyed, condition, "left_semi"), keys, order, *spec, small)
-    return cold_part.unionByName(hot_part)
-
-
-def _segmented(df: DataFrame, keys, order: Order, number, lag, running, carry, small: bool) -> DataFrame:
+    if not keys:
+        return _segmented(df.withColumn("_all", F.lit(1)), ["_all"], order, *spec).drop("_all")
+    return _segmented(df, keys, order, *spec)
+
+
+def _segmented(df: DataFrame, keys, order: Order, number, lag, running, carry) -> DataFrame:
     tasks = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # spark_partition_id is only stable once written, hence the checkpoint.
     spread = cut_lineage(
@@ -118,7 +92,7 @@ def _segmented(df: DataFrame, keys, order: Order, number, lag, running, carry, s
         *[F.sum("r_" + o).over(before).alias("o_r_" + o) for o in running],
         *[F.last("c_" + o, ignorenulls=True).over(before).alias("o_c_" + o) for o in carry],
     )
-    joined = local.join(F.broadcast(offsets) if small else offsets, _match(local, offsets, [*keys, "_seg"]), "left")
+    joined = local.join(offsets, _match(local, offsets, [*keys, "_seg"]), "left")
     final: dict[str, Column] = {}
     if number:
         final[number] = (F.col("_rn") + F.coalesce("o_n", F.lit(0))).cast("long")

@@ -91,12 +91,12 @@ def missing_keys(t: Tables):
         upsert.missing_values(["assistant", "system", "the", "user", "que"], present)), ",").alias("missing"))
 
 
-@query("embed_missing", f"""
-WITH d AS (SELECT lang, sha256(substr({sql_clean('lower(text)')}, 1, 1200)) AS h, doc_id FROM documents),
+@query("embed_missing", """
+WITH d AS (SELECT lang, sha256(text) AS h, doc_id FROM documents),
 k AS (SELECT h FROM d JOIN labels USING (doc_id))
 SELECT DISTINCT h AS content_hash FROM d WHERE h NOT IN (SELECT h FROM k)""")
 def embed_missing(t: Tables):
-    chunks = t.documents.select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
+    chunks = t.documents.select("doc_id", text.exact_hash(F.col("text")).alias("content_hash"))
     return upsert.unseen_contents(chunks, chunks.join(t.labels.select("doc_id"), "doc_id", "left_semi"), ["content_hash"])
 
 

@@ -197,7 +197,7 @@ def hybrid_scoped(t: Tables):
 
 SQL_ACCEPT = f"""
 WITH {SQL_DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dense DESC, doc_id) AS rank FROM ds),
-o AS (SELECT item_id, doc_id, rank, dense AS score, sha256(substr({sql_clean('lower(text)')}, 1, 1200)) AS h FROM r JOIN documents USING (doc_id) WHERE rank <= 32),
+o AS (SELECT item_id, doc_id, rank, dense AS score, sha256({sql_clean('lower(text)')}) AS h FROM r JOIN documents USING (doc_id) WHERE rank <= 32),
 b AS (SELECT *, max(score) OVER (PARTITION BY item_id) AS best FROM o), f AS (SELECT * FROM b WHERE score >= greatest(0.10, best - 0.12)),
 u AS (SELECT *, row_number() OVER (PARTITION BY item_id, h ORDER BY rank) AS n FROM f),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS position FROM u WHERE n = 1)"""

@@ -284,7 +284,7 @@ def anchor(t: Tables):
 
 
 @query("content_hash", f"""
-SELECT doc_id, sha256(substr({sql_clean('lower(text)')}, 1, 1200)) AS content_hash FROM documents""")
+SELECT doc_id, sha256({sql_clean('lower(text)')}) AS content_hash FROM documents""")
 def content_hash(t: Tables):
     return t.documents.select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
 

@@ -80,18 +80,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SPREAD = "spark.tracewell.spreadTasks"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a small input would arrive in fewer useful splits than cores.
+    """Rows dealt anew over the number of tasks that the caller set as ``spark.tracewell.spreadTasks``.
 
-    A small file often is one row group and so one task, however many splits are planned. The
-    decision uses the size estimate; inputs above one full split per core pass unshuffled.
+    Unset, as on a cluster, rows stay in the splits they were read in; a shuffle of all texts would
+    cost more than it gains. It helps with a few small files of one row group each.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return df if int(str(size)) > cores * split else df.repartition(cores)
+    tasks = int(df.sparkSession.conf.get(SPREAD, "0"))
+    return df.repartition(tasks) if tasks > 0 else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

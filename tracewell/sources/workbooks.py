@@ -108,7 +108,7 @@ def semantic_facts(cells: DataFrame, scope: tuple[Column, Column, Column], filen
     for position, (sheet, names) in enumerate(SHEET_ITEMS.items()):
         default = F.when(F.col("sheet") == sheet, items(names)).otherwise(default)
         order = F.when(F.col("sheet") == sheet, position).otherwise(order)
-    carried = ordered_columns(rows.withColumn("_seen", seen), ["path", "sheet"], [("row", True)], carry={"_items": "_seen"})
+    carried = ordered_columns(rows.withColumn("_seen", seen), ["path", "sheet"], [("row", True)], carry={"_items": "_seen"}, bounded=True)  # a sheet has a fixed most of rows
     field = F.concat("sheet", F.lit(":row:"), F.col("row").cast("string"))
     carried = carried.withColumns({"_field": field, "sheet_order": order})
     return carried.select(
