@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tracewell.session import shared_folder, ship_package
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 1024
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Ship the package and bound an Arrow batch by bytes, since a text can be very long."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(key, str(2**31 - 1))).rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    """Ship the package and bound an Arrow batch by rows and bytes, since a text can be very long."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        if not 0 < int(str(spark.conf.get(key)).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
     return ship_package(spark)
 
 
