@@ -20,7 +20,8 @@ from tracewell.llm.fm_index import MOST, FmIndex
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
-SHARD = MOST - 2
+#: Words of an index; an index over more takes more memory and finds the same.
+SHARD = MOST // 2 - 2
 LOCATE_ROWS = 1 << 18
 #: ASCII letters lower-cased, digits and bytes from 128 kept, all else to space.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
