@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracewell.llm.common import batch_of, pieces, raw, struct_of
 
 WIDTH = 4
-PIECE = 1 << 19
+PIECE = 1 << 18
 KEEP_GRAMS = 1 << 21
 # Odd multipliers of the hash functions.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -93,7 +93,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 grams, n = np.unique(_grams(parts)[0], return_counts=True)
                 mine = held.setdefault(lang, [])
                 mine.append((grams, n))
-                if len(mine) >= 32:
+                if len(mine) >= 8:
                     whole = give(lang, mine)
                     if whole.num_rows > KEEP_GRAMS // max(1, len(held)):
                         yield whole
@@ -184,4 +184,5 @@ def predict(text: Column, model: LanguageFilter, hashes: int = 3) -> Column:
             scores.append(float(own[best]) / whole if whole > 0 else 0.0)
         return struct_of({"lang": (pa.string(), langs), "score": (pa.float64(), scores)})
 
-    return predicted(text)
+    # Not deterministic for the optimizer: a filter on the result must not evaluate it a second time.
+    return predicted.asNondeterministic()(text)
