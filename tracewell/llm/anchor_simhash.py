@@ -24,6 +24,7 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 3
 PART = 1 << 17
+BROADCAST_IDS = 2_000_000
 
 
 def fingerprint_of(text: bytes | None) -> int:
@@ -193,8 +194,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of rows that repeat a doc_id one stays; documents without doc_id stay.
     """
     found = cut_lineage(near_duplicates(docs, id_col, text_col))
-    lost = found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(lost, id_col, "left_anti")
+    lost = cut_lineage(found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct())
+    # Up to this many ids go to the documents, which then are not shuffled; beyond it both sides are.
+    kept = docs.join(F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost, id_col, "left_anti")
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
     if repeated.isEmpty():
         return kept
