@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracewell.llm.common import batch_of, struct_of, written
 
 CHUNK = 1 << 16
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 250_000
 MEMO_CHARS = 64
 SPACE = "▁"
 START = ""
@@ -51,7 +51,7 @@ class Pieces(dict):
             raise ValueError(f"{path} is not a plain byte-pair model with byte fallback")
         self.prefix = SPACE if rule.add_dummy_prefix else ""
         self.score = {p.piece: p.score for p in model.pieces if p.type == 1}
-        self.ids = {p.piece: k for k, p in enumerate(model.pieces) if p.type == 1}
+        self.ids = {p.piece: k.to_bytes(4, "little") for k, p in enumerate(model.pieces) if p.type == 1}
         self.byte_ids = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == 6}
         self.plain = {k: p.piece.replace(SPACE, " ").encode() for k, p in enumerate(model.pieces) if p.type == 1}
         self.plain |= {k: bytes([b]) for b, k in self.byte_ids.items()}
@@ -64,9 +64,9 @@ class Pieces(dict):
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.score))
         marks = "".join(c for c in string.punctuation if c != "_" and not any(a.isalnum() and b == c for p in self.score for a, b in zip(p, p[1:])))
         lines, marks = re.escape(alone), f"[{re.escape(marks)}]" if marks else "(?!)"
-        stop = f"{SPACE}|[{lines}]" if alone else SPACE
-        self.words = re.compile("(?s:.+)" if crossing else
-                                rf"{SPACE}*[^\W_]++(?={stop}|{marks}|\Z)|{SPACE}*[^{SPACE}{lines}]+?(?={stop}|\Z|(?<=[^\W_]){marks})|{SPACE}+"
+        stop = f" |[{lines}]" if alone else " "
+        # Words are looked up with plain spaces, which keeps most of them in one byte per character.
+        self.words = re.compile("(?s:.+)" if crossing else rf" *[^\W_]++(?={stop}|{marks}|\Z)| *[^ {lines}]+?(?={stop}|\Z|(?<=[^\W_]){marks})| +"
                                 + (f"|[{lines}]" if alone else ""))
         self.cut = None if crossing else re.compile(f"(?<=[^{SPACE}]){SPACE}" + (f"|[{lines}]" if alone else ""))
 
@@ -122,16 +122,16 @@ class Pieces(dict):
         return pieces[::-1]
 
     def coded(self, pieces: list[str]) -> bytes:
-        ids: list[int] = []
-        for piece in pieces:
-            known = self.ids.get(piece)
-            ids += [known] if known is not None else [self.byte_ids[b] for b in piece.encode()]
-        return np.array(ids, "<i4").tobytes()
+        try:
+            return b"".join([self.ids[piece] for piece in pieces])
+        except KeyError:  # characters that no piece has are written as bytes
+            return b"".join(self.ids[piece] if piece in self.ids else np.array([self.byte_ids[b] for b in piece.encode()], "<i4").tobytes() for piece in pieces)
 
     def __missing__(self, word: str) -> bytes:
         coded = self.older.get(word)
         if coded is None:
-            coded = self.coded(self.back(self.forward(word, 0, START, len(word)), len(word)))
+            own = word.replace(" ", SPACE)
+            coded = self.coded(self.back(self.forward(own, 0, START, len(own)), len(own)))
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
                 self.older = dict(self)
@@ -144,7 +144,16 @@ class Pieces(dict):
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, four little-endian bytes each."""
-        return b"".join(map(self.__getitem__, self.words.findall(self.normal(text))))
+        return self.by_words(self.normal(text))
+
+    def by_words(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.words.findall(text.replace(SPACE, " "))))
+
+    def pieces_in(self, text: str) -> int:
+        """Number of pieces, where the bytes of one unknown character count as one piece of the lattice."""
+        coded = np.frombuffer(self.by_words(text), "<i4")
+        lead = [k for b, k in self.byte_ids.items() if 0x80 <= b < 0xC0]
+        return len(coded) - int(np.isin(coded, lead).sum())
 
     def joined(self, ids: bytes) -> bytes:
         return b"".join(map(self.plain.__getitem__, np.frombuffer(ids, "<i4").tolist()))
@@ -181,7 +190,7 @@ class Pieces(dict):
         matrix = np.full((len(here), len(there)), NEVER)
         tails = None
         if middle:
-            inner = sum(len(self[w]) // 4 for w in self.words.findall(text[middle[0]:middle[1]]))
+            inner = self.pieces_in(text[middle[0]:middle[1]])
             tails = self._ends(text, middle[1], START, there, middle[1])
         for row, (a, b) in enumerate(here):
             state = text[a:b] if b > a else START
@@ -210,7 +219,7 @@ class Pieces(dict):
         middle = self._middle(text, start, stop)
         if middle:
             head, tail = self.forward(text, b, state, middle[0]), self.forward(text, middle[1], START, c)
-            ids = self.coded(self.back(head, len(head) - 1)) + b"".join(map(self.__getitem__, self.words.findall(text[middle[0]:middle[1]]))) \
+            ids = self.coded(self.back(head, len(head) - 1)) + self.by_words(text[middle[0]:middle[1]]) \
                 + self.coded([*self.back(tail, len(tail) - 1), text[c:d]])
         else:
             ids = self.coded([*self.back(self.forward(text, b, state, c), c - b), text[c:d]])
