@@ -40,10 +40,10 @@ def test_conflict_pairs_equal_brute_force(spark):
                 want.add((c[0], a[0]))
     assert len(want) > 50
     assert got == want
-    marks = {r["id"]: (r["conflicts_with_credit"], r["conflicting_attachments"], r["first_partner"]) for r in found.annotate(df.select("id"), "id").collect()}
+    marks = {r["id"]: (r["conflicts_with_credit"], r["conflicting_attachments"]) for r in found.annotate(df.select("id"), "id").collect()}
     for i, _, side, _ in data:
         partners = sorted([a for c, a in want if c == i] + [c for c, a in want if a == i])
-        assert marks[i] == ((len(partners), 0) if side == "att" else (0, len(partners))) + (partners[0] if partners else None,)
+        assert marks[i] == ((partners, []) if side == "att" else ([], partners))
 
 
 def greedy(rows, budget, share=0.5):

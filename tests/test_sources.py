@@ -106,6 +106,13 @@ def test_index_life_cycle(spark, tmp_path):
     hits = index.search(queries, {"tenant_id": "t", "case_id": "c"}, k=2).join(index.read(), F.col("id") == F.col("chunk_no")).orderBy("rank").collect()
     assert hits[0]["embedding_text"] == "new liquidity text" and {h["case_id"] for h in hits} == {"c"}
     assert index.search(queries, {"tenant_id": "t", "case_id": "nowhere"}).count() == 0
+    assert index.search(queries, {"tenant_id": "t", "case_id": ["c", "c2"]}, k=9).count() == 4
+    plan = index.search(queries, {"tenant_id": "t", "case_id": "c"})._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    read = [line.split("PartitionFilters: ")[1][:200] for line in plan.splitlines() if "PartitionFilters: " in line]
+    assert read and all("tenant_id" in line and "case_id" in line for line in read)
+    places = index.read().select("tenant_id", "case_id", "bucket").distinct().count()
+    assert len(list((tmp_path / "index" / "data").rglob("part-*.parquet"))) == places
     with pytest.raises(ValueError, match="scope"):
         index.search(queries, {"tenant_id": "t"})
     with pytest.raises(ValueError, match="compatible"):

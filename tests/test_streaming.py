@@ -45,6 +45,23 @@ def test_life_cycle(spark, tmp_path):
     assert got[("y", 3)] == ("FAILED", "progress cannot decrease")  # 25 is below the 100 of FAILED
 
 
+def test_order_holds_over_small_pieces(spark, tmp_path):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        folder = str(tmp_path / "req")
+        steps = [("d", 4, "INDEXING", None), ("d", 3, "PARSING", None), ("d", 2, "VALIDATING", None), ("d", 1, "UPLOADED", None), ("d", 5, "READY", None)]
+        spark.createDataFrame(steps, "document_id string, event_id long, status string, progress int").coalesce(1).write.parquet(folder)
+        stream = ev.read_events(spark, folder, spark.read.parquet(folder).schema)
+        rows = run(spark, ev.lifecycle(stream), "small_lc", tmp_path)
+        assert sorted((r["event_id"], r["status"], r["verdict"]) for r in rows) == [
+            (1, "UPLOADED", "registered"), (2, "VALIDATING", "accepted"), (3, "PARSING", "accepted"), (4, "INDEXING", "accepted"), (5, "READY", "accepted")]
+        rows = run(spark, ev.numbered(stream, "document_id", "event_id"), "small_num", tmp_path)
+        assert all(r["sequence"] == r["event_id"] for r in rows) and len(rows) == 5
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_idle_sessions_and_windows(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     at = lambda s: t0 + dt.timedelta(seconds=s)

@@ -11,9 +11,12 @@ SEPARATOR = "\x1f"
 
 
 def _part(c) -> Column:
-    """Missing, zero and false parts hash as the empty text."""
+    """A part as text; missing, zero and false parts are the empty text, a text "0" is itself."""
     column = c if isinstance(c, Column) else F.lit(c)
-    return strip(column.cast("string"))
+    said = strip(column.cast("string"))
+    kind = F.typeof(column)
+    empty = (kind != "string") & said.rlike(r"^(?:false|-?0(?:\.0*)?(?:E-?\d+)?)$")
+    return F.when(empty, "").when((kind == "boolean") & (said == "true"), "True").otherwise(said)
 
 
 def _level(c) -> Column:

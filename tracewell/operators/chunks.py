@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import escape_markdown, lexical_normalize
+from tracewell.functions.text import escape_markdown, let, lexical_normalize
 
 
 def chunk_metadata(chunks: DataFrame, chunk_id: str, body: Column, active: Column, level: int) -> DataFrame:
@@ -26,12 +26,25 @@ def markdown_row(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(F.transform(cells, escape_markdown), " | "), F.lit(" |"))
 
 
-def drop_repeated_lines(lines: DataFrame, document: str, line: str, *, at_least: int = 3, longest: int = 160,
-                        margin: Column | None = None) -> DataFrame:
-    """Remove margin lines whose normalised text occurs ``at_least`` times in their document.
+def unrepeated_lines(lines: Column, *, at_least: int = 3, longest: int = 160) -> Column:
+    """The lines of a document without those whose normalised text occurs ``at_least`` times in it.
 
-    Counting is a map-side combined aggregation; the few repeated texts are then anti-joined.
+    A document is one row, so nothing is shuffled: of the sorted short lines, one that equals the
+    line ``at_least - 1`` places later is repeated.
     """
+    held = F.transform(lines, lambda x: F.struct(x.alias("line"), lexical_normalize(x).alias("norm")))
+
+    def cleaned(own: Column) -> Column:
+        short = F.array_sort(F.transform(F.filter(own, lambda x: (F.length(x["line"]) <= longest) & (x["norm"] != "")), lambda x: x["norm"]))
+        repeated = let(short, lambda s: F.array_distinct(F.filter(s, lambda x, i: F.get(s, i + at_least - 1) == x)))
+        return let(repeated, lambda r: F.transform(F.filter(own, lambda x: ~F.array_contains(r, x["norm"])), lambda x: x["line"]))
+
+    return let(held, cleaned)
+
+
+def drop_repeated_lines(lines: DataFrame, document: str, line: str, *, at_least: int = 3, longest: int = 160,
+                        margin: Column | None = None) -> DataFrame:
+    """The same over a table of lines, as blocks of a page arrive, with a test of what lies in the margin."""
     marked = lines.withColumn("_norm", lexical_normalize(F.col(line))).withColumn(
         "_margin", F.lit(True) if margin is None else margin)
     repeated = (

@@ -83,8 +83,9 @@ class Conflicts:
 
     A pair conflicts when its numbers differ, its explicit years are not disjoint, and it either
     shares at least two terms with Jaccard similarity >= ``jaccard`` or shares a year and a term.
-    Everything is decided between distinct feature sets (``groups``); ``pairs`` lists the single
-    rows, ``annotate`` only needs counts and never expands the members.
+    Everything is decided between distinct feature sets (``groups``); ``pairs`` and ``annotate``
+    list the single rows. ``scope`` is the case and the review item: only rows that share them are
+    compared.
     """
 
     def __init__(self, credit: DataFrame, attachment: DataFrame, scope: Sequence[str], *, jaccard: float = 0.20):
@@ -98,9 +99,9 @@ class Conflicts:
     def _groups(self) -> DataFrame:
         """Pairs of conflicting feature sets.
 
-        Candidates come from equi joins: on the rare-first prefix of the term lists (two sets
-        with that similarity must meet there, so frequent terms generate nothing) and on
-        (year, term). The full test runs on the candidates only.
+        Candidates come from equi joins within a scope: on the rare-first prefix of the term lists
+        (two sets with that similarity must meet there, which leaves the most frequent terms out)
+        and on (year, term), where one common term is enough. The full test runs on the candidates.
         """
         scope, jaccard = self.scope, self.jaccard
         frequency = self.sets["credit"].select(F.explode("terms").alias("term")).unionAll(
@@ -148,21 +149,19 @@ class Conflicts:
         return out.select(*self.scope, "credit_id", "attachment_id", "common")
 
     def annotate(self, rows: DataFrame, key: str) -> DataFrame:
-        """Number of partners and the smallest one for every row of either side.
+        """Sorted partner ids of every row: ``conflicts_with_credit`` and ``conflicting_attachments``.
 
-        The partner list itself stays in the pairs: a row may have any number of partners, and
-        an array per row could not be bounded.
+        Partners lie in the row's own scope, a case and review item, which bounds the lists.
         """
-        parts = []
-        for side, other in (("attachment", "credit"), ("credit", "attachment")):
-            marks = self.groups.groupBy(*self.scope, side).agg(
-                F.sum(other + "_members").alias("n"), F.min(other + "_first_id").alias("first_partner"))
-            parts.append(self._members(side).join(marks, [*self.scope, side]).select(
-                F.col(side + "_id").alias(key), F.lit(side).alias("_side"), "n", "first_partner"))
-        marks = parts[0].unionByName(parts[1]).groupBy(key).agg(
-            F.sum(F.when(F.col("_side") == "attachment", F.col("n"))).alias("conflicts_with_credit"),
-            F.sum(F.when(F.col("_side") == "credit", F.col("n"))).alias("conflicting_attachments"), F.min("first_partner").alias("first_partner"))
-        return rows.join(marks, key, "left").fillna(0, ["conflicts_with_credit", "conflicting_attachments"])
+        pairs = self.pairs()
+
+        def partners(own: str, other: str, name: str) -> DataFrame:
+            return pairs.groupBy(F.col(own).alias(key)).agg(F.array_sort(F.collect_list(other)).alias(name))
+
+        marks = partners("attachment_id", "credit_id", "conflicts_with_credit").join(
+            partners("credit_id", "attachment_id", "conflicting_attachments"), key, "full")
+        return rows.join(marks, key, "left").withColumns({
+            c: F.coalesce(F.col(c), F.array().cast(marks.schema[c].dataType)) for c in ("conflicts_with_credit", "conflicting_attachments")})
 
 
 # --- ranking --------------------------------------------------------------------------------

@@ -45,22 +45,23 @@ def parent_paths(nodes: DataFrame, node: str, parent: str, title: str, separator
     base = nodes.select(F.col(node).alias("id"), F.col(parent).alias("at"), F.coalesce(F.col(title), F.lit("")).alias("path"))
     ids = base.select(F.col("id").alias("_id"))
     base = base.join(ids, base["at"] == ids["_id"], "left").select("id", F.col("_id").alias("at"), "path")
-    state = cut_lineage(base)
-    waiting = state.where("at IS NOT NULL").count()
-    while waiting:
-        upper = state.select(F.col("id").alias("u_id"), F.col("at").alias("u_at"), F.col("path").alias("u_path"))
-        moved = state.join(upper, F.col("at") == F.col("u_id"), "left").select(
-            "id", F.col("u_at").alias("at"),
-            F.when(F.col("u_id").isNull(), F.col("path")).otherwise(_joined(F.col("u_path"), F.col("path"), separator)).alias("path"))
-        state = cut_lineage(moved)
-        left = state.where("at IS NOT NULL").count()
-        if left == waiting:
+    base = cut_lineage(base)
+    done, waiting = [base.where("at IS NULL")], base.where("at IS NOT NULL")
+    left = waiting.count()
+    while left:
+        # Only waiting rows move; finished ones are looked up.
+        known = reduce(DataFrame.unionByName, done, waiting)
+        upper = known.select(F.col("id").alias("at"), F.col("at").alias("u_at"), F.col("path").alias("u_path"))
+        moved = cut_lineage(waiting.join(upper, "at").select("id", F.col("u_at").alias("at"), _joined(F.col("u_path"), F.col("path"), separator).alias("path")))
+        done.append(moved.where("at IS NULL"))
+        waiting = moved.where("at IS NOT NULL")
+        before, left = left, waiting.count()
+        if left == before:
             break
-        waiting = left
-    finished = state.where("at IS NULL").select(F.col("id").alias(node), "path")
-    if not waiting:
+    finished = reduce(DataFrame.unionByName, done).select(F.col("id").alias(node), "path")
+    if not left:
         return finished
-    stuck = base.join(state.where("at IS NOT NULL").select("id"), "id", "left_semi")
+    stuck = base.join(waiting.select("id"), "id", "left_semi")
     return finished.unionByName(_walk(base, stuck, separator).withColumnRenamed("id", node))
 
 

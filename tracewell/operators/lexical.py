@@ -5,25 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import lexical_tokens
+from tracewell.functions.text import let, lexical_tokens
 
 
 def tokenized(corpus: DataFrame, id_col: str, text: Column) -> DataFrame:
     return corpus.select(F.col(id_col), lexical_tokens(text).alias("tokens"))
 
 
-def term_frequency(tokens: DataFrame, id_col: str) -> DataFrame:
-    """(document, term, tf) without a shuffle.
+def term_counts(tokens: DataFrame, id_col: str) -> DataFrame:
+    """(document, counts), an array of (term, tf), without a shuffle.
 
     All tokens of a text are in its row: sort them, find where each run starts, and the
     distance to the next start is the frequency.
     """
-    runs = tokens.select(id_col, F.sort_array("tokens").alias("t")).withColumn("s", F.when(F.size("t") > 0, F.filter(
-        F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))))
-    pairs = F.transform("s", lambda i, k: F.struct(
-        F.get("t", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("t")) - i).cast("long").alias("tf")))
+    def starts(t: Column) -> Column:
+        return F.when(F.size(t) > 0, F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1))))
+
+    def counted(r: Column) -> Column:
+        return F.transform(r["s"], lambda i, k: F.struct(
+            F.get(r["t"], i).alias("term"), (F.coalesce(F.get(r["s"], k + 1), F.size(r["t"])) - i).cast("long").alias("tf")))
+
+    runs = let(F.sort_array("tokens"), lambda t: F.struct(t.alias("t"), starts(t).alias("s")))
+    return tokens.select(id_col, let(runs, counted).alias("counts"))
+
+
+def term_frequency(tokens: DataFrame, id_col: str) -> DataFrame:
+    """One row (document, term, tf) per distinct term."""
     # The outer form: an inner one makes the optimizer evaluate the array once more in a filter.
-    return runs.select(id_col, F.inline_outer(pairs)).where("term IS NOT NULL")
+    return term_counts(tokens, id_col).select(id_col, F.inline_outer("counts")).where("term IS NOT NULL")
 
 
 def document_frequency(tokens: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.vectors import l2_normalize
+from tracewell.session import cut_lineage
 
+BROADCAST_HITS = 200_000
 REQUIRED_SCOPE = ("tenant_id", "case_id")
 
 
@@ -65,6 +67,16 @@ def accept_hits(hits: DataFrame, *, k: int = 8, minimum: float = 0.10, gap: floa
     return unique.withColumn("position", F.row_number().over(per_query.orderBy("rank"))).where(F.col("position") <= k)
 
 
+def with_documents(hits: DataFrame, documents: DataFrame, most: int = BROADCAST_HITS) -> DataFrame:
+    """Hits with the columns of their documents (both have ``id``).
+
+    Hits are at most k per query. Up to ``most`` of them go to the documents, which then are not
+    shuffled; beyond that both sides are.
+    """
+    held = cut_lineage(hits)
+    return documents.join(F.broadcast(held) if held.count() <= most else held, "id")
+
+
 def search_quality(queries: DataFrame, hits: DataFrame, accepted: DataFrame, *, minimum: float = 0.10, gap: float = 0.12) -> DataFrame:
     """Per query: best score, floor, raw hits and the label empty / accepted / low_relevance."""
     raw = hits.groupBy("query_id").agg(F.max("score").alias("best_score"), F.count(F.lit(1)).alias("raw_hit_count"))

@@ -2,8 +2,9 @@
 
 Each task scores its Arrow batches with matrix products and keeps only running top lists or
 counters, so what leaves a task is bounded by queries x k and never by the pairs. A query set
-above ``QUERY_BLOCK`` is processed in several passes, so the block shipped to the tasks is
-always of a checked size.
+above ``QUERY_BLOCK`` queries or ``BLOCK_TERMS`` terms is processed in several passes, so the
+block shipped to the tasks and the tables made there are always of a checked size. (One query of
+more terms than that is a block by itself.)
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from tracewell.functions.text import lexical_words
 from tracewell.operators.topk import top_k
 
 QUERY_BLOCK = 512
+BLOCK_TERMS = 20_000
 SUB_BATCH = 512
+CELLS = 1 << 22
 K1, B = 1.5, 0.75  # fixed values of the BM25 formula
 DIGITS = 9  # scores are compared at this precision, so summation order cannot change a rank
 
@@ -53,14 +56,28 @@ def query_blocks(queries: DataFrame, id_col: str, text_col: str | None, vector_c
     columns.append((F.col(text_col) if text_col else F.lit("")).alias("t"))
     if vector_col:
         columns.append(F.col(vector_col).alias("v"))
-    buffer: list = []
-    for row in queries.select(*columns).orderBy("i").toLocalIterator():
-        buffer.append(row)
-        if len(buffer) == QUERY_BLOCK:
-            yield _block(buffer, bool(vector_col))
-            buffer = []
-    if buffer:
-        yield _block(buffer, bool(vector_col))
+    for rows in _bounded(queries.select(*columns).orderBy("i"), lambda r: query_tokens(r["t"] or "")):
+        yield _block(rows, bool(vector_col))
+
+
+def _bounded(queries: DataFrame, terms_of) -> Iterator[list]:
+    """Rows in blocks of bounded number and bounded distinct terms, read one partition at a time."""
+    held: list = []
+    seen: set = set()
+    for row in queries.toLocalIterator():
+        own = set(terms_of(row))
+        if held and (len(held) == QUERY_BLOCK or len(seen | own) > BLOCK_TERMS):
+            yield held
+            held, seen = [], set()
+        held.append(row)
+        seen |= own
+    if held:
+        yield held
+
+
+def _rows_at_once(width: int) -> int:
+    """Rows whose table over ``width`` terms stays within ``CELLS``."""
+    return max(1, min(SUB_BATCH, CELLS // max(1, width)))
 
 
 def _block(rows: list, with_vectors: bool) -> QueryBlock:
@@ -132,18 +149,18 @@ def _lexical(counter: _TermCounter, words: pa.ListArray, block: QueryBlock) -> n
 
 
 def _scores(batches: Iterator[pa.RecordBatch], block: QueryBlock):
-    """(ids, eligible, dense, lexical) for every sub-batch; an unused side is all zero."""
+    """(ids, dense, lexical) for every sub-batch; an unused side is all zero."""
     counter = _TermCounter(block.vocabulary, True)
+    step = _rows_at_once(len(block.vocabulary))
     for whole in batches:
         names = whole.schema.names
-        for at in range(0, whole.num_rows, SUB_BATCH):
-            batch = whole.slice(at, SUB_BATCH)
+        for at in range(0, whole.num_rows, step):
+            batch = whole.slice(at, step)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            ok = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             shape = (len(ids), len(block.ids))
             dense = _dense(batch.column("vector"), block.vectors) if "vector" in names else np.zeros(shape)
             lexical = _lexical(counter, batch.column("words"), block) if "words" in names else np.zeros(shape)
-            yield ids[ok], np.round(dense[ok], DIGITS), np.round(lexical[ok], DIGITS)
+            yield ids, np.round(dense, DIGITS), np.round(lexical, DIGITS)
 
 
 def _with_statistics(side: DataFrame, block: QueryBlock) -> QueryBlock:
@@ -152,10 +169,11 @@ def _with_statistics(side: DataFrame, block: QueryBlock) -> QueryBlock:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _TermCounter(vocabulary, True)
+        step = _rows_at_once(len(vocabulary))
         rows, tokens, found = 0, 0.0, np.zeros(len(vocabulary), dtype=np.int64)
         for whole in batches:
-            for at in range(0, whole.num_rows, SUB_BATCH):
-                frequency, length = counter(whole.slice(at, SUB_BATCH).column("words"))
+            for at in range(0, whole.num_rows, step):
+                frequency, length = counter(whole.slice(at, step).column("words"))
                 rows, tokens = rows + len(length), tokens + float(length.sum())
                 found += (frequency > 0).sum(0)
         keys = np.concatenate([[-2, -1], np.nonzero(found)[0]])
@@ -172,12 +190,13 @@ def _with_statistics(side: DataFrame, block: QueryBlock) -> QueryBlock:
 
 
 def _side(corpus: DataFrame, id_col: str, text_col: str | None, vector_col: str | None, eligible: Column | None) -> DataFrame:
-    columns = [F.col(id_col).alias("id"), (F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))).alias("ok")]
+    """What scoring reads of the eligible rows; the filter comes first, so partitions are pruned by it."""
+    columns = [F.col(id_col).alias("id")]
     if text_col:
         columns.append(lexical_words(F.col(text_col)).alias("words"))
     if vector_col:
         columns.append(F.col(vector_col).alias("vector"))
-    return corpus.select(*columns)
+    return (corpus if eligible is None else corpus.where(eligible)).select(*columns)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -251,7 +270,7 @@ def search(
     for block in query_blocks(queries, query[0], None if dense else query[1], query[1] if dense else None):
         side = _side(corpus, doc[0], None if dense else doc[1], doc[1] if dense else None, eligible)
         if not dense:
-            block = _with_statistics(side, block)
+            block = _with_statistics(_side(corpus, doc[0], doc[1], None, None), block)
         top = _global_top(_partial_top(side, block, k, (0,) if dense else (1,)), k)
         part = top.join(_query_ids(spark, block, queries, query[0]), "q").select(
             "query_id", "rank", "id", F.col("_s").alias("score"))
@@ -287,7 +306,7 @@ def hybrid_search(
     out = None
     for block in query_blocks(queries, *query):
         side = _side(corpus, doc_id, doc_text, doc_vector, eligible)
-        block = _with_statistics(side, block)
+        block = _with_statistics(_side(corpus, doc_id, doc_text, None, None), block)
         top = _global_top(_partial_top(side, block, candidates, (0, 1)), candidates)
         rows = top.select("q", "id", "dense", "lexical").distinct().collect()  # <= 2 x candidates x block
         counted = _ranks(side, block, [tuple(r) for r in rows])
@@ -315,19 +334,26 @@ def _ranks(side: DataFrame, block: QueryBlock, rows: list[tuple]) -> DataFrame:
         mine = [r for r in rows if r[0] == q]
         if mine:
             groups[q] = np.array([(r[1], r[2], r[3]) for r in mine], dtype=[("id", "i8"), ("d", "f8"), ("l", "f8")])
+    # Candidates of each query and side from the best on, and their negated scores for bisection.
+    order = {(q, s): np.lexsort((g["id"], -g["dl"[s]])) for q, g in groups.items() for s in range(2)}
+    bars = {(q, s): -groups[q]["dl"[s]][o] for (q, s), o in order.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ahead = {q: np.zeros((2, len(g)), dtype=np.int64) for q, g in groups.items()}
+        ahead = {k: np.zeros(len(o) + 1, dtype=np.int64) for k, o in order.items()}
         for ids, dense, lexical in _scores(batches, block):
-            for q, g in groups.items():
-                earlier = ids[:, None] < g["id"][None, :]
-                for which, (have, want) in enumerate(((dense[:, q], g["d"]), (lexical[:, q], g["l"]))):
-                    gap = have[:, None] - want[None, :]
-                    ahead[q][which] += ((gap > 0) | ((gap == 0) & earlier)).sum(0)
-        for q, n in ahead.items():
+            for (q, s), bar in bars.items():
+                have = -(dense, lexical)[s][:, q]
+                first, beyond = np.searchsorted(bar, have, "left"), np.searchsorted(bar, have, "right")
+                # A row is ahead of all candidates from ``beyond`` on; among equal scores the id decides.
+                for row in np.flatnonzero(first != beyond):
+                    beyond[row] = first[row] + np.searchsorted(groups[q]["id"][order[q, s][first[row]:beyond[row]]], ids[row], "right")
+                ahead[q, s] += np.bincount(beyond, minlength=len(bar) + 1)
+        for q, g in groups.items():
+            n = np.zeros((2, len(g)), dtype=np.int64)
+            for s in range(2):
+                n[s][order[q, s]] = np.cumsum(ahead[q, s])[:-1]
             yield pa.RecordBatch.from_pydict({
-                "q": pa.array([q] * n.shape[1], pa.int32()), "id": pa.array(groups[q]["id"]),
-                "d": pa.array(n[0]), "l": pa.array(n[1])})
+                "q": pa.array([q] * len(g), pa.int32()), "id": pa.array(g["id"]), "d": pa.array(n[0]), "l": pa.array(n[1])})
 
     counts = side.mapInArrow(run, "q int, id long, d long, l long").groupBy("q", "id").agg(
         (F.sum("d") + 1).alias("dense_rank"), (F.sum("l") + 1).alias("lexical_rank"))
@@ -352,9 +378,10 @@ def best_overlap(
 
         def run(batches, ids=ids, vocabulary=vocabulary, member=member, sizes=sizes):
             counter = _TermCounter(vocabulary, False)
+            step = _rows_at_once(len(vocabulary))
             for whole in batches:
-                for at in range(0, whole.num_rows, SUB_BATCH):
-                    batch = whole.slice(at, SUB_BATCH)
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
                     have, length = counter(batch.column("words"))
                     shared = have @ member
                     scale = np.maximum(1.0, np.sqrt(length[:, None] * sizes[None, :]))
@@ -385,11 +412,5 @@ def _term_blocks(queries: DataFrame, id_col: str, terms_col: str):
                 member[vocabulary[t], q] = 1.0
         return [r["i"] for r in rows], vocabulary, member
 
-    buffer: list = []
-    for row in queries.select(F.col(id_col).alias("i"), F.col(terms_col).alias("t")).orderBy("i").toLocalIterator():
-        buffer.append(row)
-        if len(buffer) == QUERY_BLOCK:
-            yield build(buffer)
-            buffer = []
-    if buffer:
-        yield build(buffer)
+    for rows in _bounded(queries.select(F.col(id_col).alias("i"), F.col(terms_col).alias("t")).orderBy("i"), lambda r: r["t"]):
+        yield build(rows)

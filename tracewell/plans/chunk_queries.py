@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import spans, text
 from tracewell.functions.packing import pack_blocks, pack_rows
 from tracewell.operators import layout
-from tracewell.operators.chunks import drop_repeated_lines
+from tracewell.operators.chunks import unrepeated_lines
 from tracewell.operators.claims import padded
 from tracewell.operators.ordered import ordered_columns
 from tracewell.plans.registry import Tables, query
@@ -99,9 +99,9 @@ n AS (SELECT doc_id, line, {sql_norm('line')} AS norm FROM l),
 r AS (SELECT doc_id, norm FROM n WHERE length(line) <= 160 AND norm <> '' GROUP BY ALL HAVING count(*) >= 3)
 SELECT doc_id, count(*) AS kept_lines, CAST(sum(length(line)) AS BIGINT) AS kept_chars FROM n ANTI JOIN r USING (doc_id, norm) GROUP BY doc_id""")
 def repeated_lines(t: Tables):
-    lines = t.spread("documents", "doc_id", "text").select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line")).where("line IS NOT NULL")
-    kept = drop_repeated_lines(lines, "doc_id", "line")
-    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept_lines"), F.sum(F.length("line")).alias("kept_chars"))
+    kept = t.spread("documents", "doc_id", "text").select("doc_id", unrepeated_lines(F.split("text", "\n")).alias("kept")).where(F.size("kept") > 0)
+    chars = F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    return kept.select("doc_id", F.size("kept").alias("kept_lines"), chars.alias("kept_chars"))
 
 
 @query("unpivot_cells", f"""

@@ -102,36 +102,45 @@ def embed_missing(t: Tables):
 
 # --- conflicts ------------------------------------------------------------------------------
 
-CELL_FREE = "regexp_replace(text, '(^|[^\\p{L}\\p{N}_])[A-Z]{1,3}\\p{Nd}{1,7}=', '\\1=', 'g')"
+# Evidence of an order as case and a return flag as item: the name of the part, a size, often a year.
 SQL_CONFLICT = f"""
-WITH f AS (SELECT d.doc_id, lang, coalesce(quality, 0) = 1 AS credit, {sql_terms('text')} AS t, list_sort(list_distinct({sql_numbers(CELL_FREE)})) AS n,
-   list_distinct({sql_years('text')}) AS y FROM documents d LEFT JOIN labels USING (doc_id) WHERE regexp_matches(text, '[0-9]')),
+WITH e AS (SELECT l_orderkey, l_returnflag, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS evidence_id, l_linestatus = 'O' AS credit,
+   p_name || ' ' || p_type || ' size ' || CAST(l_quantity AS INTEGER) || CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE ' in ' || (1993 + l_suppkey % 3) || '년' END AS text
+   FROM lineitem JOIN part ON p_partkey = l_partkey),
+f AS (SELECT *, {sql_terms('text')} AS t, list_sort(list_distinct({sql_numbers('text')})) AS n, list_distinct({sql_years('text')}) AS y FROM e),
 g AS (SELECT * FROM f WHERE len(t) > 0 AND len(n) > 0),
-p AS (SELECT c.lang, c.doc_id AS credit_id, a.doc_id AS attachment_id, len(list_intersect(c.t, a.t)) AS common,
+p AS (SELECT c.l_orderkey, c.l_returnflag, c.evidence_id AS credit_id, a.evidence_id AS attachment_id, len(list_intersect(c.t, a.t)) AS common,
    len(list_distinct(list_concat(c.t, a.t))) AS u, len(c.y) > 0 AND len(a.y) > 0 AS dated, list_has_any(c.y, a.y) AS same
-   FROM g c JOIN g a ON c.lang = a.lang AND c.credit AND NOT a.credit WHERE c.n <> a.n),
+   FROM g c JOIN g a ON c.l_orderkey = a.l_orderkey AND c.l_returnflag = a.l_returnflag AND c.credit AND NOT a.credit WHERE c.n <> a.n),
 k AS (SELECT * FROM p WHERE NOT (dated AND NOT same) AND ((common >= 2 AND common / u >= 0.2) OR (dated AND same AND common >= 1)))"""
 
 
+def _evidence_rows(t: Tables):
+    name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    year = F.concat(F.lit(" in "), (F.lit(1993) + F.col("l_suppkey") % 3).cast("string"), F.lit("년"))
+    said = F.concat("p_name", F.lit(" "), "p_type", F.lit(" size "), F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_suppkey") % 3 == 0, "").otherwise(year))
+    lines = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type"), "l_partkey")
+    return lines.select("l_orderkey", "l_returnflag", name.alias("evidence_id"), (F.col("l_linestatus") == "O").alias("credit"), said.alias("text"))
+
+
 def _conflicts(t: Tables):
-    docs = t.spread("documents", "doc_id", "lang", "text").join(t.labels.select("doc_id", "quality"), "doc_id", "left").withColumn(
-        "credit", F.coalesce(F.col("quality"), F.lit(0)) == 1)
-    parts = [evidence.conflict_features(docs.where(side), ["lang"], "doc_id", "text", STOP, PARTICLES)
-             for side in (F.col("credit"), ~F.col("credit"))]
-    return evidence.Conflicts(*parts, ["lang"])
+    rows, scope = _evidence_rows(t), ["l_orderkey", "l_returnflag"]
+    parts = [evidence.conflict_features(rows.where(side), scope, "evidence_id", "text", STOP, PARTICLES) for side in (F.col("credit"), ~F.col("credit"))]
+    return evidence.Conflicts(*parts, scope)
 
 
-@query("conflict_pairs", SQL_CONFLICT + " SELECT lang, credit_id, attachment_id, common FROM k")
+@query("conflict_pairs", SQL_CONFLICT + " SELECT l_orderkey, l_returnflag, credit_id, attachment_id, common FROM k")
 def conflict_pairs(t: Tables):
     return _conflicts(t).pairs()
 
 
 @query("conflict_annotate", SQL_CONFLICT + """,
-s AS (SELECT attachment_id AS doc_id, credit_id AS other, 1 AS a, 0 AS c FROM k UNION ALL SELECT credit_id, attachment_id, 0, 1 FROM k),
-m AS (SELECT doc_id, sum(a) AS a, sum(c) AS c, min(other) AS o FROM s GROUP BY ALL)
-SELECT doc_id, CAST(coalesce(a, 0) AS BIGINT) AS conflicts_with_credit, CAST(coalesce(c, 0) AS BIGINT) AS conflicting_attachments, o AS first_partner FROM documents LEFT JOIN m USING (doc_id)""")
+a AS (SELECT attachment_id AS evidence_id, string_agg(credit_id, ',' ORDER BY credit_id) AS c FROM k GROUP BY ALL),
+c AS (SELECT credit_id AS evidence_id, string_agg(attachment_id, ',' ORDER BY attachment_id) AS a FROM k GROUP BY ALL)
+SELECT evidence_id, coalesce(a.c, '') AS conflicts_with_credit, coalesce(c.a, '') AS conflicting_attachments FROM e LEFT JOIN a USING (evidence_id) LEFT JOIN c USING (evidence_id)""")
 def conflict_annotate(t: Tables):
-    return _conflicts(t).annotate(t.documents.select("doc_id"), "doc_id")
+    found = _conflicts(t).annotate(_evidence_rows(t).select("evidence_id"), "evidence_id")
+    return found.select("evidence_id", *[F.array_join(c, ",").alias(c) for c in ("conflicts_with_credit", "conflicting_attachments")])
 
 
 # --- ranking and selection ------------------------------------------------------------------

@@ -56,8 +56,10 @@ WITH {DOC_TOKENS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY A
 SELECT doc_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_tokens, max(tf) AS max_tf FROM tf GROUP BY doc_id""")
 def term_freq(t: Tables):
     tokens = lexical.tokenized(t.spread("documents", "doc_id", "text"), "doc_id", F.col("text"))
-    return lexical.term_frequency(tokens, "doc_id").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"), F.max("tf").alias("max_tf"))
+    summary = text.let(F.col("counts"), lambda c: F.struct(
+        F.size(c).alias("n_terms"), F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["tf"]).alias("n_tokens"),
+        F.array_max(F.transform(c, lambda x: x["tf"])).alias("max_tf")))
+    return lexical.term_counts(tokens, "doc_id").select("doc_id", F.explode_outer(F.array(summary)).alias("s")).where("s.n_terms > 0").select("doc_id", "s.*")
 
 
 @query("doc_freq", f"WITH {DOC_TOKENS} SELECT term, count(DISTINCT doc_id) AS df FROM dt GROUP BY term")
@@ -206,7 +208,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS positi
 def _overfetched(t: Tables):
     docs, queries = _encoded(t)
     hits = search(docs, queries, k=32, by="dense", doc=("doc_id", "vector"), query=("item_id", "vector"))
-    held = t.documents.select(F.col("doc_id").alias("id"), "text").join(hits, "id")
+    held = retrieval.with_documents(hits, t.documents.select(F.col("doc_id").alias("id"), "text"))
     return held.withColumn("content_hash", text.content_hash(F.col("text"))).drop("text")
 
 

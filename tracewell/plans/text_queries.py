@@ -106,7 +106,7 @@ SELECT doc_id,
   substr(sha256(source), 1, 20) AS segment
 FROM documents""")
 def global_ids(t: Tables):
-    key = [F.col("lang"), F.col("source"), F.col("doc_id")]
+    key = [F.col("lang"), F.col("source"), F.col("doc_id").cast("string")]
     return t.documents.select(
         "doc_id",
         identity.global_chunk_id(*key, "CH_TEXT_00001", 0).alias("level0_id"),
@@ -117,14 +117,16 @@ def global_ids(t: Tables):
 
 @query("evidence_ids", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  'CR_' || substr(sha256(l_returnflag || chr(31) || l_orderkey || chr(31) || l_partkey), 1, 20) AS credit_id,
-  'ATT_' || substr(sha256(l_linestatus || chr(31) || l_suppkey || chr(31)), 1, 20) AS attachment_id
+  'CR_' || substr(sha256(l_returnflag || chr(31) || coalesce(nullif(l_orderkey, 0)::VARCHAR, '') || chr(31) || coalesce(nullif(l_partkey, 0)::VARCHAR, '')), 1, 20) AS credit_id,
+  'ATT_' || substr(sha256(l_linestatus || chr(31) || coalesce(nullif(l_suppkey, 0)::VARCHAR, '') || chr(31)), 1, 20) AS attachment_id,
+  'ATT_' || substr(sha256(l_linestatus || chr(31) || CASE WHEN l_linenumber = 1 THEN '' ELSE CAST(l_linenumber - 1 AS VARCHAR) END || chr(31) || CASE WHEN l_quantity > 25 THEN 'True' ELSE '' END), 1, 20) AS falsy_id
 FROM lineitem""")
 def evidence_ids(t: Tables):
     return t.lineitem.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         identity.evidence_id("CR", F.col("l_returnflag"), F.col("l_orderkey"), F.col("l_partkey")).alias("credit_id"),
-        identity.evidence_id("ATT", F.col("l_linestatus"), F.col("l_suppkey"), F.lit(None)).alias("attachment_id"))
+        identity.evidence_id("ATT", F.col("l_linestatus"), F.col("l_suppkey"), F.lit(None)).alias("attachment_id"),
+        identity.evidence_id("ATT", F.col("l_linestatus"), F.col("l_linenumber") - 1, F.col("l_quantity") > 25).alias("falsy_id"))
 
 
 @query("content_type", r"""

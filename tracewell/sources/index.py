@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.operators.retrieval import require_scope
+from tracewell.operators.retrieval import overlap_filter, overlap_filter_arrays, require_scope
 from tracewell.operators.scoring import hybrid_search
 from tracewell.operators.upsert import SCOPE, delete_scope, replace_documents, require_unique
 from tracewell.session import cut_lineage
@@ -69,13 +69,18 @@ class ChunkIndex:
     def search(self, queries: DataFrame, filters: Mapping[str, object], k: int = 5, **options) -> DataFrame:
         """Hybrid search for (query_id, text, vector); tenant and case must be given.
 
-        BM25 statistics come from the whole index; only the named case is eligible.
+        A filter value may be a list, and so may an index column: a row passes when the two meet.
+        BM25 statistics come from the whole index; scoring and ranking read the named cases only.
         """
         require_scope(filters)
-        eligible = F.lit(True)
-        for key, value in filters.items():
-            eligible = eligible & (F.col(key) == F.lit(value))
-        return hybrid_search(self.read(), queries, doc=("chunk_no", "embedding_text", "vector"),
+        rows = self.read()
+        lists = {f.name for f in rows.schema if isinstance(f.dataType, T.ArrayType)}
+        plain = {k: v for k, v in filters.items() if k not in lists}
+        eligible = overlap_filter({k: F.col(k) for k in plain if k in rows.columns}, plain)
+        for key in filters.keys() & lists:
+            value = filters[key]
+            eligible = eligible & overlap_filter_arrays(F.col(key), list(value) if isinstance(value, (list, tuple, set)) else [value])
+        return hybrid_search(rows, queries, doc=("chunk_no", "embedding_text", "vector"),
                              query=("query_id", "text", "vector"), k=k, eligible=eligible, **options)
 
     # -- writing ----------------------------------------------------------------------------
@@ -85,13 +90,18 @@ class ChunkIndex:
         return rows.withColumns({
             "bucket": F.pmod(F.xxhash64("document_id"), F.lit(self.buckets)).cast("int"), "chunk_no": number})
 
+    @staticmethod
+    def _by_place(rows: DataFrame) -> DataFrame:
+        """Rows of a place together, so that it gets few files; a large place is split over tasks."""
+        return rows.hint("rebalance", *[F.col(c) for c in PLACE])
+
     def _write(self, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(f"{self.path}/data")
+        self._by_place(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(f"{self.path}/data")
 
     def create(self, chunks: DataFrame, metadata: Mapping[str, object]) -> None:
         placed = self._placed(chunks)
         require_unique(placed, ["tenant_id", "case_id", "chunk_no"])
-        placed.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*PLACE).parquet(f"{self.path}/data")
+        self._by_place(placed).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*PLACE).parquet(f"{self.path}/data")
         self._describe(metadata, placed.schema)
 
     def _describe(self, metadata: Mapping[str, object], schema: T.StructType) -> None:

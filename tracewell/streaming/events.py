@@ -1,7 +1,8 @@
 """Structured Streaming over job and document events.
 
-Batch twins live in ``operators.states``. State per key is a few numbers; a micro-batch of a
-key arrives in pieces and is folded piece by piece, never held as a whole.
+Batch twins live in ``operators.states``. State per key is a few numbers. A key's events of one
+micro-batch arrive in pieces; order holds over all of them, so their few columns are put together
+first. ``files_per_batch`` bounds a micro-batch.
 """
 
 from __future__ import annotations
@@ -30,12 +31,10 @@ def numbered(events: DataFrame, key: str, event: str) -> DataFrame:
 
     def fold(keys, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else 0
-        for frame in frames:
-            part = frame[[key, event]].sort_values(event)
-            part["sequence"] = range(last + 1, last + 1 + len(part))
-            last += len(part)
-            yield part
-        state.update((last,))
+        part = pd.concat([frame[[key, event]] for frame in frames]).sort_values(event)
+        part["sequence"] = range(last + 1, last + 1 + len(part))
+        state.update((last + len(part),))
+        yield part
 
     return events.groupBy(key).applyInPandasWithState(fold, out, state_type, "append", GroupStateTimeout.NoTimeout)
 
@@ -67,13 +66,12 @@ def lifecycle(requests: DataFrame) -> DataFrame:
 
     def fold(keys, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, progress = state.get if state.exists else (None, 0)
-        for frame in frames:
-            rows = []
-            for r in frame.sort_values("event_id").itertuples():
-                asked = None if pd.isna(r.progress) else int(r.progress)
-                status, progress, verdict = step(status, progress, r.status, asked)
-                rows.append((keys[0], r.event_id, r.status, status, progress, verdict))
-            yield pd.DataFrame(rows, columns=LIFECYCLE.names)
+        rows = []
+        for r in pd.concat(list(frames)).sort_values("event_id").itertuples():
+            asked = None if pd.isna(r.progress) else int(r.progress)
+            status, progress, verdict = step(status, progress, r.status, asked)
+            rows.append((keys[0], r.event_id, r.status, status, progress, verdict))
+        yield pd.DataFrame(rows, columns=LIFECYCLE.names)
         if status is not None:
             state.update((status, progress))
 
@@ -100,13 +98,12 @@ def idle_watch(touches: DataFrame, idle_seconds: float = 30.0, late: str = "10 s
             return
         last = state.get[0] if state.exists else None
         changes: list[tuple] = []
-        for frame in frames:
-            for ms in sorted(frame["ts"].astype("datetime64[ms]").astype("int64")):
-                if last is None:
-                    changes.append((keys[0], "RUNNABLE", ms))
-                elif ms - last >= limit:  # the pause lies inside the data, not behind the watermark
-                    changes += [(keys[0], "SUSPENDED", last + limit), (keys[0], "RUNNABLE", ms)]
-                last = ms if last is None else max(last, ms)
+        for ms in pd.concat([frame["ts"] for frame in frames]).astype("datetime64[ms]").astype("int64").sort_values():
+            if last is None:
+                changes.append((keys[0], "RUNNABLE", ms))
+            elif ms - last >= limit:  # the pause lies inside the data, not behind the watermark
+                changes += [(keys[0], "SUSPENDED", last + limit), (keys[0], "RUNNABLE", ms)]
+            last = ms if last is None else max(last, ms)
         state.update((last,))
         state.setTimeoutTimestamp(max(last + limit, state.getCurrentWatermarkMs() + 1))
         if changes:
