@@ -90,18 +90,23 @@ def or_by_group(rows: DataFrame, group: str, test: Column, name: str) -> DataFra
 def coalesce_blocks(blocks: DataFrame, document: str, *, max_chars: int, gap: float = 28.0, overlap: float = 12.0) -> DataFrame:
     """Merge neighbouring blocks of a page whose boxes are close, up to ``max_chars``.
 
-    ``blocks``: document, page, position, text, bbox. One page holds few blocks, and a merged
-    block never spans pages, so windows are per page.
+    ``blocks``: document, page, position, text, bbox, location. One page holds few blocks, and a
+    merged block never spans pages, so windows are per page. Blocks without a page or box, as texts
+    and paragraphs have, stay as they are and are not gathered.
     """
     from tracewell.functions.packing import pack_blocks
 
+    placed = F.col("page").isNotNull() & (F.size("bbox") == 4)
+    alone = blocks.where(~F.coalesce(placed, F.lit(False))).select(
+        document, "page", "position", "text", "location", "bbox", F.array(F.struct("text", "location", "bbox")).alias("source_spans"))
+    blocks = blocks.where(placed)
     page = Window.partitionBy(document, "page").orderBy("position")
     before = F.lag("bbox").over(page)
     close = (
         (F.get("bbox", 1) - F.get(before, 3) <= gap)
         & (F.least(F.get(before, 2), F.get("bbox", 2)) - F.greatest(F.get(before, 0), F.get("bbox", 0)) >= -overlap)
     )
-    marked = blocks.withColumn("_new", F.when(F.coalesce(close, F.lit(False)) & F.col("page").isNotNull(), 0).otherwise(1))
+    marked = blocks.withColumn("_new", F.when(F.coalesce(close, F.lit(False)), 0).otherwise(1))
     runs = marked.withColumn("_run", F.sum("_new").over(page.rowsBetween(Window.unboundedPreceding, 0)))
     held = runs.groupBy(document, "page").agg(F.array_sort(F.collect_list(F.struct("position", "text", "bbox", "location", "_run"))).alias("b"))
     packed = held.withColumn("_w", pack_blocks(max_chars, 0)(
@@ -110,8 +115,9 @@ def coalesce_blocks(blocks: DataFrame, document: str, *, max_chars: int, gap: fl
         "m", F.slice("b", F.col("w.start") + 1, F.col("w.stop") - F.col("w.start")))
     edge = lambda i, f: f(F.transform("m", lambda x: F.get(x["bbox"], i)))
     first, last = F.get("m", 0), F.element_at("m", -1)
-    return rows.select(
+    merged = rows.select(
         document, "page", first["position"].alias("position"), F.array_join("m.text", "\n").alias("text"),
         F.when(F.size("m") == 1, first["location"]).otherwise(F.concat(first["location"], F.lit(".."), last["location"])).alias("location"),
         F.array(edge(0, F.array_min), edge(1, F.array_min), edge(2, F.array_max), edge(3, F.array_max)).alias("bbox"),
         F.transform("m", lambda x: F.struct(x["text"].alias("text"), x["location"].alias("location"), x["bbox"].alias("bbox"))).alias("source_spans"))
+    return merged.unionByName(alone)
