@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.spans import claim_spans, numeric_tokens
 from tracewell.functions.text import citations
+from tracewell.operators.fields import scale_finding, splice_patch
 
 
 def padded(n: Column, width: int = 3) -> Column:
@@ -104,3 +105,29 @@ def apply_patches(text: Column, patches: Column, limit: int = 1) -> Column:
     chosen = F.reverse(F.slice(F.array_sort(patches), 1, limit))
     return F.aggregate(chosen, text, lambda t, p: F.concat(
         F.substring(t, F.lit(1), p["start"]), p["text"], F.substring(t, p["stop"] + 1, F.length(t))))
+
+
+MODES = ("OFF", "SHADOW", "ENFORCE")
+
+
+def verified(sections: DataFrame, findings: DataFrame, mode: str) -> DataFrame:
+    """Sections after verification: (section, text, findings, patched).
+
+    ``sections``: section, text. ``findings``: section, position, claim, span, replacement, status,
+    severity, reason_code, evidence_rows, evidence_ids (counts). OFF ignores the findings, SHADOW
+    counts the failing ones, ENFORCE also applies the first that passes the patch guard.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown verification mode {mode}")
+    if mode == "OFF":
+        return sections.select("section", "text", F.lit(0).cast("long").alias("findings"), F.lit(False).alias("patched"))
+    judged = findings.withColumn("_f", scale_finding(*[F.col(c) for c in ("status", "severity", "reason_code", "span", "claim", "evidence_rows", "evidence_ids")]))
+    failing = judged.where("_f.status = 'FAIL'").withColumn("_new", splice_patch(F.col("claim"), F.col("span"), F.col("replacement"), F.upper("severity")))
+    at = F.when(F.col("_new").isNotNull(), F.col("position"))
+    marks = failing.groupBy("section").agg(F.count(F.lit(1)).alias("findings"), F.min_by("claim", at).alias("_claim"), F.min_by("_new", at).alias("_new"))
+    held = sections.join(marks, "section", "left").withColumn("findings", F.coalesce("findings", F.lit(0).cast("long")))
+    place = F.instr(F.col("text"), F.col("_claim"))
+    usable = F.coalesce(place > 0, F.lit(False)) & F.lit(mode == "ENFORCE")
+    text = F.when(usable, F.concat(F.substring(F.col("text"), F.lit(1), place - 1), F.col("_new"), F.substring(
+        F.col("text"), place + F.length("_claim"), F.length("text")))).otherwise(F.col("text"))
+    return held.select("section", text.alias("text"), "findings", usable.alias("patched"))

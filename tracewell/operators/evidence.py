@@ -18,6 +18,11 @@ from tracewell.operators.topk import first_rows, top_k
 from tracewell.session import cut_lineage
 
 
+#: What an attachment carries about its place in the source.
+TRACE = {"bbox": "array<double>", "page_size": "array<double>", "location": "string", "logical_table_id": "string",
+         "source_spans": "array<struct<text:string,location:string,bbox:array<double>>>"}
+
+
 # --- assembly -------------------------------------------------------------------------------
 
 def assemble(facts: DataFrame, hits: DataFrame, items: Sequence[str] = P.REVIEW_ITEMS) -> DataFrame:
@@ -25,7 +30,9 @@ def assemble(facts: DataFrame, hits: DataFrame, items: Sequence[str] = P.REVIEW_
 
     ``facts``: fact_id, field_name, value, unit, period, review_items, common, document_id,
     source_filename, sheet_name, cell_range. ``hits``: review_item, global_chunk_id, document,
-    document_id, source_filename, pages, score. A common fact without items goes everywhere.
+    document_id, source_filename, pages, score, and where known bbox, page_size, location,
+    logical_table_id and source_spans. A common fact without items goes everywhere. What leads back
+    to the source (cell, box, place, raw value and unit) stays with every row.
     """
     everywhere = F.array(*[F.lit(i) for i in items])
     routed = F.when(F.col("common") & (F.size("review_items") == 0), everywhere).otherwise(F.col("review_items"))
@@ -40,7 +47,8 @@ def assemble(facts: DataFrame, hits: DataFrame, items: Sequence[str] = P.REVIEW_
         evidence_id("CR", F.col("review_item"), F.col("fact_id")).alias("evidence_id"), "review_item",
         F.when(F.col("common"), 2).otherwise(1).alias("source_tier"), F.lit("credit_report").alias("source_class"),
         content.alias("content"), "document_id", "source_filename", F.lit(None).cast("int").alias("page"),
-        F.lit(None).cast("double").alias("score"), "sheet_name", "cell_range")
+        F.lit(None).cast("double").alias("score"), "sheet_name", "cell_range", F.col("value").cast("string").alias("raw_value"),
+        credit["unit"].cast("string").alias("raw_unit"), *[F.lit(None).cast(kind).alias(name) for name, kind in TRACE.items()])
     money = F.col("document").rlike(r"\p{Nd}\)?\s*(?:백만원|억원|만원|천원|원)")
     # Only texts with an amount go through the per-match helper.
     rewritten = hits.where(money).withColumn("content", rewrite_amounts("document")).unionByName(
@@ -50,7 +58,8 @@ def assemble(facts: DataFrame, hits: DataFrame, items: Sequence[str] = P.REVIEW_
         F.lit(3).alias("source_tier"), F.lit("attachment").alias("source_class"), "content",
         F.coalesce("document_id", F.lit("unknown")).alias("document_id"), "source_filename",
         F.get("pages", 0).cast("int").alias("page"), F.col("score").cast("double").alias("score"),
-        F.lit(None).cast("string").alias("sheet_name"), F.lit(None).cast("string").alias("cell_range"))
+        *[F.lit(None).cast("string").alias(name) for name in ("sheet_name", "cell_range", "raw_value", "raw_unit")],
+        *[(F.col(name) if name in hits.columns else F.lit(None)).cast(kind).alias(name) for name, kind in TRACE.items()])
     return left.unionByName(right)
 
 

@@ -67,3 +67,16 @@ def aspect_fit(width: Column, height: Column, max_width: float, max_height: floa
 def repeat_each(values: Column, counts: Column) -> Column:
     """Element i of ``values`` repeated ``counts[i]`` times."""
     return F.flatten(F.zip_with(values, counts, lambda v, n: F.array_repeat(v, n)))
+
+
+def merge_maps(left: Column, right: Column) -> Column:
+    """Both maps in one; of equal keys the right one counts."""
+    return F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)
+
+
+def strict_zip(left: Column, right: Column, names: tuple[str, str]) -> Column:
+    """Pairs by position; arrays of different length are an error."""
+    pairs = F.zip_with(left, right, lambda a, b: F.struct(a.alias(names[0]), b.alias(names[1])))
+    return F.when(F.size(left) == F.size(right), pairs).otherwise(F.raise_error(F.concat(
+        F.lit("lengths differ: "), F.size(left).cast("string"), F.lit(" and "), F.size(right).cast("string"))).cast(
+        "void"))

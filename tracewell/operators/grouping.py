@@ -58,3 +58,30 @@ def view_extent(cited: DataFrame, case: str, key: str, bbox: str) -> DataFrame:
     return cited.groupBy(case, key).agg(
         F.count(F.lit(1)).alias("members"), F.min(at(0)).alias("x0"), F.min(at(1)).alias("y0"),
         F.max(at(2)).alias("x1"), F.max(at(3)).alias("y1"))
+
+
+def location_label(source_class: Column, sheet: Column, cell_range: Column, page: Column, table: Column, location: Column) -> Column:
+    """Where a reader finds the view: sheet and cells, or page and table or place."""
+    some = lambda c, other: F.coalesce(F.when(strip(c) != "", strip(c)), F.lit(other))
+    label = F.coalesce(F.when(strip(table) != "", strip(table)), strip(location))
+    where = F.when(page.isNotNull() & (page != 0), F.concat(page.cast("string"), F.lit("페이지"))).otherwise("원문")
+    return F.when(source_class == "credit_report", F.concat(some(sheet, "시트"), F.lit(" · "), some(cell_range, "범위"))).otherwise(
+        F.when(label != "", F.concat(where, F.lit(" · "), label)).otherwise(where))
+
+
+def trace_references(cited: DataFrame, case: str) -> DataFrame:
+    """One row per numbered source view of a case with what to highlight in it.
+
+    ``cited``: <case>, position, the columns of ``assemble``. Highlights are the distinct boxes and
+    cell ranges of the cited rows; a view is one place of a document, which bounds both lists.
+    """
+    keyed = cited.withColumn("view", view_key(
+        F.col("source_class"), F.col("document_id"), sheet=F.col("sheet_name"), cell_range=F.col("cell_range"), page=F.col("page"),
+        table=F.coalesce("logical_table_id", F.lit("")), location=F.coalesce("location", F.lit("")), bbox=F.col("bbox")))
+    numbered = reference_numbers(keyed, case, "view", "position", "evidence_id")
+    shown = numbered.withColumn("_where", location_label(
+        F.col("source_class"), F.col("sheet_name"), F.col("cell_range"), F.col("page"), F.coalesce("logical_table_id", F.lit("")), F.coalesce("location", F.lit(""))))
+    return shown.groupBy(case, "ref_no").agg(
+        F.first("representative_id").alias("representative_id"), F.count_distinct("evidence_id").alias("members"), F.min_by("source_class", "position").alias("source_class"),
+        F.min_by("source_filename", "position").alias("source_filename"), F.min_by("page", "position").alias("page"), F.min_by("_where", "position").alias("location"),
+        F.array_sort(F.collect_set("bbox")).alias("highlight_bboxes"), F.array_sort(F.collect_set("cell_range")).alias("highlight_cell_ranges"))

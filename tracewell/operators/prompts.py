@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import token_estimate
+from tracewell.functions.text import strip, token_estimate, visible_text
 from tracewell.operators.ordered import ordered_columns
 from tracewell.operators.topk import top_k
 
@@ -121,3 +121,21 @@ def case_context(facts: DataFrame, hits: DataFrame, keys: Sequence[str], *, most
     right = top_k(hits, keys, [F.asc("rank")], most_hits, "rank", rank="_n").select(*keys, F.lit(1).alias("_k"), "_n", hit.alias("_b"))
     joined = left.unionByName(right).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", "_n", "_b"))).alias("_l"))
     return joined.select(*keys, F.substring(F.array_join("_l._b", "\n\n"), 1, chars).alias("context"))
+
+
+def opinion_context(sections: DataFrame, evidence: DataFrame, keys: Sequence[str], *, chars: int = 12000) -> DataFrame:
+    """Context of a question about a finished opinion: its sections, then evidence up to ``chars``.
+
+    ``sections``: keys, review_item, title, text. ``evidence``: keys, position, source_filename,
+    location, content. Evidence stops at the first block that would not fit.
+    """
+    told = F.concat("review_item", F.lit(". "), "title", F.lit("\n"), visible_text(F.col("text")))
+    opinion = sections.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("review_item", told.alias("t")))).alias("_s"))
+    content = strip(F.col("content"))
+    block = F.concat(F.lit("자료: "), F.coalesce("source_filename", F.lit("업로드 자료")), F.lit(" / 위치: "), F.coalesce("location", F.lit("-")), F.lit("\n"), content)
+    blocks = evidence.where(content != "").withColumn("_b", block).withColumn("_c", F.length("_b"))
+    kept = within_budget(blocks, keys, [("position", True)], "_c", chars, keep_first=False)
+    listed = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "_b"))).alias("_l"))
+    shown = F.when(F.size("_l") > 0, F.array_join("_l._b", "\n\n")).otherwise("별도 근거자료 없음")
+    return opinion.join(listed, list(keys), "left").select(*keys, F.concat(
+        F.lit("[완료된 심사의견]\n"), F.array_join("_s.t", "\n\n"), F.lit("\n\n[관련 근거]\n"), shown).alias("context"))

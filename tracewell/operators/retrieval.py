@@ -95,3 +95,14 @@ def mean_vectors(vectors: DataFrame, owner: str, vector: str) -> DataFrame:
     means = cells.groupBy(owner, "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
     whole = means.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("v"))
     return whole.select(owner, F.col("v.m").alias("mean")).withColumn("unit", l2_normalize(F.col("mean")))
+
+
+def pooled_vectors(texts: DataFrame, owner: str, text: str, encode, *, size: int = 1000, stride: int = 900) -> DataFrame:
+    """One vector per owner: long texts are encoded in overlapping windows and averaged.
+
+    ``encode`` maps a text column to a vector column.
+    """
+    last = F.floor((F.greatest(F.length(text) - (size - stride), F.lit(1)) - 1) / stride).cast("int")
+    windows = texts.select(owner, F.col(text).alias("_t"), F.explode(F.sequence(F.lit(0), last)).alias("_n")).select(
+        owner, F.substring(F.col("_t"), F.col("_n") * stride + 1, F.lit(size)).alias("piece"))
+    return mean_vectors(windows.select(owner, encode("piece").alias("vector")), owner, "vector")

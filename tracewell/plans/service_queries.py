@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tracewell.functions import spans, text
 from tracewell.functions.money import rewrite_amounts
 from tracewell.functions.vectors import hash_counts
-from tracewell.operators import evidence, layout, reasoning, registry, validation
+from tracewell.operators import claims, evidence, fields, grouping, layout, prompts, reasoning, registry, retrieval, validation
+from tracewell.operators.upload import process_uploads
 from tracewell.plans.chunk_queries import OVERLAP, SIZE, SQL_SPLIT
 from tracewell.plans.registry import Tables, query
 from tracewell.plans.retrieval_queries import sql_fused
@@ -224,3 +225,104 @@ def original_evidence(t: Tables):
         F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" of "), F.col("l_suppkey").cast("string")).alias("content"))
     shown = t.lineitem.where("l_returnflag = 'R'").select("l_orderkey", _line_id().alias("evidence_id"), F.lit("part ...").alias("content"))
     return registry.original_rows(shown, rows, ["l_orderkey"]).select("evidence_id", "content")
+
+
+# --- flows ------------------------------------------------------------------------------------
+
+@query("upload_flow", SQL_SPLIT + """,
+u AS (SELECT doc_id, count(*) AS chunks FROM p WHERE piece <> '' GROUP BY doc_id)
+SELECT 'd' || doc_id || CASE WHEN doc_id % 9 = 4 THEN '.exe' ELSE '.txt' END AS path, CASE WHEN doc_id % 9 = 4 THEN 'EXCLUDED' ELSE 'READY' END AS status,
+  CASE WHEN doc_id % 9 = 4 THEN 'ValueError: unsupported attachment type: .exe' END AS error, CASE WHEN doc_id % 9 = 4 THEN 0 ELSE chunks END AS chunks FROM documents JOIN u USING (doc_id)""")
+def upload_flow(t: Tables):
+    files = t.spread("documents", "doc_id", "text").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 9 == 4, ".exe").otherwise(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return process_uploads(files, tenant="t", case="c", size=SIZE, overlap=OVERLAP)[1]
+
+
+@query("delete_lifecycle", """
+SELECT 'DELETING' AS status, count(*) AS chunks FROM documents WHERE lang = 'de' AND source = 'src1' UNION ALL SELECT 'DELETED', 0""")
+def delete_lifecycle(t: Tables):
+    index, chunks = _index(t)
+    index.create(chunks, META)
+    return index.delete_with_events(tenant_id="de", case_id="src1")
+
+
+@query("pooled_encode", """
+WITH w AS (SELECT doc_id, i, substr(text, CAST(i * 900 + 1 AS BIGINT), 1000) AS piece FROM documents, range(0, 100000) r(i) WHERE i * 900 < greatest(length(text) - 100, 1)),
+c AS (SELECT doc_id, i, unnest(string_split(piece, '')) AS ch, generate_subscripts(string_split(piece, ''), 1) - 1 AS k FROM w),
+b AS (SELECT doc_id, (unicode(ch) + k) % 8 AS dim, count(*) AS n FROM c GROUP BY ALL), n AS (SELECT doc_id, count(*) AS windows FROM w GROUP BY ALL),
+m AS (SELECT doc_id, dim, n / windows AS m FROM b JOIN n USING (doc_id)), z AS (SELECT doc_id, sqrt(sum(m * m)) AS z, max(m) AS top, sum(m) AS total FROM m GROUP BY ALL)
+SELECT doc_id, round(total, 6) AS total, round(top / z, 6) AS largest FROM z""")
+def pooled_encode(t: Tables):
+    found = retrieval.pooled_vectors(t.spread("documents", "doc_id", "text"), "doc_id", "text", hash_counts)
+    return found.select("doc_id", F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.array_max("unit"), 6).alias("largest"))
+
+
+@query("verification_modes", """
+WITH f AS (SELECT o_orderkey, 'order ' || o_orderpriority || ' is ' || o_orderstatus || '. Rest.' AS text, o_custkey % 3 = 0 AS failing, o_custkey % 2 = 0 AS located, o_orderstatus AS s, o_orderpriority AS p FROM orders)
+SELECT 'OFF' AS mode, o_orderkey, text, 0 AS findings, false AS patched FROM f
+UNION ALL SELECT 'SHADOW', o_orderkey, text, CASE WHEN failing AND located THEN 1 ELSE 0 END, false FROM f
+UNION ALL SELECT 'ENFORCE', o_orderkey, CASE WHEN failing AND located THEN 'order ' || p || ' is fine. Rest.' ELSE text END, CASE WHEN failing AND located THEN 1 ELSE 0 END, failing AND located FROM f""")
+def verification_modes(t: Tables):
+    claim = F.concat(F.lit("order "), "o_orderpriority", F.lit(" is "), "o_orderstatus", F.lit("."))
+    sections = t.orders.select(F.col("o_orderkey").alias("section"), F.concat(claim, F.lit(" Rest.")).alias("text"))
+    findings = t.orders.select(
+        F.col("o_orderkey").alias("section"), F.lit(1).alias("position"), claim.alias("claim"),
+        F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("is "), "o_orderstatus")).otherwise("absent").alias("span"), F.lit("is fine").alias("replacement"),
+        F.when(F.col("o_custkey") % 3 == 0, "FAIL").otherwise("PASS").alias("status"), F.lit("MINOR").alias("severity"), F.lit("UNIT_MISMATCH").alias("reason_code"),
+        F.lit(1).alias("evidence_rows"), F.lit(1).alias("evidence_ids"))
+    found = [claims.verified(sections, findings, mode).withColumn("mode", F.lit(mode)) for mode in claims.MODES]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("mode", F.col("section").alias("o_orderkey"), "text", "findings", "patched")
+
+
+@query("opinion_context", """
+WITH b AS (SELECT source, doc_id, '자료: ' || source || ' / 위치: ' || doc_id || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS block FROM documents WHERE trim(text) <> ''),
+u AS (SELECT *, sum(length(block)) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM b),
+k AS (SELECT source, string_agg(block, chr(10) || chr(10) ORDER BY doc_id) AS l FROM u WHERE used <= 12000 GROUP BY source)
+SELECT source, sha256('[완료된 심사의견]' || chr(10) || 'A. first' || chr(10) || 'view of ' || source || chr(10) || chr(10) || 'B. second' || chr(10) || 'more on ' || source || '.'
+  || chr(10) || chr(10) || '[관련 근거]' || chr(10) || coalesce(l, '별도 근거자료 없음')) AS context_sha FROM (SELECT DISTINCT source FROM documents) LEFT JOIN k USING (source)""")
+def opinion_context(t: Tables):
+    cases = t.documents.select("source").distinct()
+    cite = " [CR_" + "a" * 20 + "]"
+    sections = cases.select("source", F.lit("A").alias("review_item"), F.lit("first").alias("title"), F.concat(F.lit("view of "), "source").alias("text")).unionByName(
+        cases.select("source", F.lit("B").alias("review_item"), F.lit("second").alias("title"), F.concat(F.lit("more on "), "source", F.lit(cite + ".")).alias("text")))
+    rows = t.documents.select("source", F.col("doc_id").alias("position"), F.col("source").alias("source_filename"), F.col("doc_id").cast("string").alias("location"), F.col("text").alias("content"))
+    return prompts.opinion_context(sections, rows, ["source"]).select("source", F.sha2("context", 256).alias("context_sha"))
+
+
+@query("evidence_trace", """
+WITH f AS (SELECT 'A' AS item, 'CR_' || substr(sha256('A' || chr(31) || p_partkey), 1, 20) AS id, 'credit_report' AS class, 'c' || (p_size - 1) // 12 AS view, 's · B' || p_size AS place, 'B' || p_size AS cell, NULL AS box FROM part
+ UNION ALL SELECT 'A', 'ATT_' || substr(sha256('A' || chr(31) || 'G' || doc_id), 1, 20), 'attachment', source || '/' || doc_id % 3, '1페이지 · T' || doc_id % 3, NULL, doc_id % 4 FROM documents),
+v AS (SELECT item, view, min(id) AS first, count(DISTINCT id) AS members, arg_min(class, id) AS source_class, arg_min(place, id) AS location, count(DISTINCT cell) AS cells, count(DISTINCT box) AS boxes FROM f GROUP BY ALL)
+SELECT item AS review_item, row_number() OVER (PARTITION BY item ORDER BY first) AS ref_no, first AS representative_id, members, source_class, location, cells, boxes FROM v""")
+def evidence_trace(t: Tables):
+    facts = t.part.select(
+        F.col("p_partkey").cast("string").alias("fact_id"), F.col("p_brand").alias("field_name"), F.col("p_size").cast("string").alias("value"), F.lit("억원").alias("unit"), F.lit("2024").alias("period"),
+        F.array(F.lit("A")).alias("review_items"), F.lit(False).alias("common"), F.lit("d").alias("document_id"), F.lit("f").alias("source_filename"), F.lit("s").alias("sheet_name"),
+        F.concat(F.lit("B"), F.col("p_size").cast("string")).alias("cell_range"))
+    box = F.array(F.lit(0.0), (F.col("doc_id") % 4).cast("double"), F.lit(10.0), (F.col("doc_id") % 4 + 5).cast("double"))
+    hits = t.documents.select(
+        F.lit("A").alias("review_item"), F.concat(F.lit("G"), F.col("doc_id").cast("string")).alias("global_chunk_id"), F.col("text").alias("document"), F.col("source").alias("document_id"),
+        F.col("source").alias("source_filename"), F.array(F.lit(1)).alias("pages"), F.lit(0.5).alias("score"), box.alias("bbox"),
+        F.concat(F.lit("T"), (F.col("doc_id") % 3).cast("string")).alias("logical_table_id"))
+    cited = evidence.assemble(facts, hits).withColumn("position", F.col("evidence_id"))
+    found = grouping.trace_references(cited, "review_item")
+    return found.select("review_item", "ref_no", "representative_id", "members", "source_class", "location",
+                        F.size("highlight_cell_ranges").alias("cells"), F.size("highlight_bboxes").alias("boxes"))
+
+
+@query("map_merge", """
+SELECT o_orderkey, o_orderstatus || '/' || o_orderpriority || '/' || CASE WHEN o_custkey % 2 = 0 THEN 'right' ELSE 'left' END AS merged FROM orders""")
+def map_merge(t: Tables):
+    right = F.when(F.col("o_custkey") % 2 == 0, F.create_map(F.lit("c"), F.lit("right"), F.lit("b"), F.col("o_orderpriority"))).otherwise(
+        F.create_map(F.lit("b"), F.col("o_orderpriority")))
+    m = fields.merge_maps(F.create_map(F.lit("a"), F.col("o_orderstatus"), F.lit("b"), F.lit("old"), F.lit("c"), F.lit("left")), right)
+    return t.orders.select("o_orderkey", m.alias("m")).select("o_orderkey", F.concat_ws("/", F.col("m")["a"], F.col("m")["b"], F.col("m")["c"]).alias("merged"))
+
+
+@query("strict_zip", """
+SELECT vec_id, unnest(range(0, len(embedding))) AS dim, round(unnest(embedding), 6) AS x FROM embeddings""")
+def strict_zip(t: Tables):
+    dims = F.sequence(F.lit(0), F.size("embedding") - 1)
+    pairs = t.embeddings.select("vec_id", F.explode(fields.strict_zip(dims, F.col("embedding"), ("dim", "x"))).alias("p"))
+    return pairs.select("vec_id", "p.dim", F.round("p.x", 6).alias("x"))

@@ -142,3 +142,17 @@ class ChunkIndex:
         if self.count(scope):
             raise RuntimeError("deletion could not be verified: chunks remain")
         return removed
+
+    def delete_with_events(self, **scope: str) -> DataFrame:
+        """The life cycle of a deletion as rows (status, chunks): DELETING, then DELETED or FAILED with what remains."""
+        rows = [("DELETING", self.count(scope))]
+        try:
+            self.delete(**scope)
+            rows.append(("DELETED", 0))
+        except RuntimeError:
+            rows.append(("FAILED", self.count(scope)))
+        return self.spark.createDataFrame(rows, "status string, chunks long")
+
+    def check_rows(self) -> DataFrame:
+        """Rows whose vector is missing or has another dimension than the index says."""
+        return self.read().where(F.coalesce(F.size("vector") != int(self.metadata()["dimension"]), F.lit(True)))
