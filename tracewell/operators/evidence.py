@@ -318,12 +318,21 @@ def select_examples(cases: DataFrame, examples: DataFrame, *, case: str, n: int
 
     ``cases``: <case>, review_item, loan_type, industry_code, tags. ``examples``: example_id,
     review_item, approval_status, loan_types, industry_codes, tags. Cases with equal attributes
-    are scored once; candidates come from an equi join on item and loan type.
+    are scored once; candidates come from an equi join on item and loan type. Examples that no case
+    can tell apart (same item, loan types, industries and tags that occur in a case) always score
+    alike, so only the first ``n`` of them enter the join, however many wildcards there are.
     """
     profile = ["review_item", "loan_type", "industry_code", "tags"]
     approved = examples.where("approval_status = 'APPROVED'").select(
         "example_id", "review_item", "loan_types", F.col("industry_codes"), F.col("tags").alias("_tags"),
         F.explode(F.when(F.size("loan_types") == 0, F.array(F.lit(""))).otherwise(F.array_distinct("loan_types"))).alias("_loan"))
+    asked = cases.select(F.explode("tags").alias("_tag")).distinct()
+    known = approved.select("example_id", F.explode("_tags").alias("_tag")).distinct().join(asked, "_tag", "left_semi").groupBy("example_id").agg(
+        F.array_sort(F.collect_set("_tag")).alias("_tags"))
+    alike = approved.drop("_tags").join(known, "example_id", "left").withColumns({
+        "_tags": F.coalesce("_tags", F.array().cast("array<string>")), "loan_types": F.array_sort(F.array_distinct("loan_types")),
+        "industry_codes": F.array_sort(F.array_distinct("industry_codes"))})
+    approved = top_k(alike, ["review_item", "_loan", "loan_types", "industry_codes", "_tags"], [F.asc("example_id")], n, "example_id", rank="_first").drop("_first")
     distinct = cases.select(*profile).distinct().withColumn("_profile", F.to_json(F.struct(*profile)))
     wanted = distinct.withColumn("_loan", F.explode(F.array_distinct(F.array(F.col("loan_type"), F.lit("*"), F.lit("")))))
     points = F.when(F.col("_loan") == "", 0).when(F.col("_loan") == F.col("loan_type"), 10).otherwise(1)
