@@ -52,6 +52,11 @@ def test_main_text_of_several_layouts():
     assert text_of("<body><div class='site-header'>Site</div><div id=menu><a href=x>m</a></div><div class=content><p>Real text.<p>More text.</div>"
                    "<div class='cookie-notice'>We use</div></body>") == "Real text. More text."
     assert text_of("<p>plain") == "plain"
+    assert text_of("<div class='page has-sidebar'><P>Kept <BR/>text&nbsp;here.</P></div><div role=complementary><p>x</p></div>") == "Kept text here. x"
+    assert text_of("<div class=content><p>The story is here.</p></div><aside><article><p>teaser</p></article></aside>") == "The story is here."
+    assert text_of("<article></article><div class='ad'>Buy</div><p>stray</p>") == ""
+    assert text_of("<article><p>One</p><div class='newsletter-signup'><p>Mail</p></div><p class=ad>Ad</p><p>Two <a href=x>link</a>.</p><table><tr><td>a<td>b</table></article>"
+                   "<section id=comments><article class=comment><p>nice</p></article></section>") == "One Two link. a b"
     assert text_of("a < b and <i>c</i>") == "a < b and c"
     assert text_of("<nav><ul><li><a href=/>x</a></ul><main><p>kept</p></main>") == "kept"
     assert text_of("<article><p>own</p></article><aside><article>teaser</article></aside>") == "own"

@@ -224,10 +224,13 @@ def _is_main(element: str) -> bool:
 
 
 def slot_kind(path: tuple[str, ...]) -> str:
-    """Where a slot lies: main, main within a side element, body or beside."""
+    """Where a slot lies: main, main within a side element (inner), body, body within a container
+    that only its names call a side element (rest), or beside."""
     place = next((k for k, e in enumerate(path) if _is_main(e)), None)
     if place is None:
-        return "beside" if any(map(beside, path)) else "body"
+        if any(element_name(e) in BESIDE for e in path):
+            return "beside"
+        return "rest" if any(map(beside, path)) else "body"
     if any(map(beside, path[place:])):
         return "beside"
     return "inner" if any(map(beside, path[:place])) else "main"
@@ -279,7 +282,7 @@ def plan_of(wrapper: list, words: dict[str, str | None]) -> dict[str, str]:
     plan = {}
     for path in slots_of(wrapper):
         kind, name = slot_kind(path), " ".join(path)
-        if kind == "body" and (differ and words.get(name) is not None or any(element_name(e) == "a" for e in path)):
+        if kind == "rest" and any(element_name(e) == "a" for e in path) or kind == "body" and (differ and words.get(name) is not None or any(element_name(e) == "a" for e in path)):
             kind = "beside"
         if kind != "beside":
             plan[name] = kind
@@ -287,9 +290,15 @@ def plan_of(wrapper: list, words: dict[str, str | None]) -> dict[str, str]:
 
 
 def text_of(page: str, plan: dict[str, str]) -> str:
-    """The words of the page's article slots: those of the main element, or else of the body."""
-    elements, parts = Elements(), {"main": [], "inner": [], "body": []}
+    """The words of the page's article slots.
+
+    A page with a main element has only that. Without one the body counts, or a main element found
+    within a side element if that holds more; containers that only their names call side elements
+    are the last resort.
+    """
+    elements, parts = Elements(), {"main": [], "inner": [], "body": [], "rest": []}
     known: dict[tuple[str, ...], str | None] = {}
+    has_main = False
     for kind, value in tokens(page):
         if kind == "text":
             path = elements.path
@@ -303,17 +312,14 @@ def text_of(page: str, plan: dict[str, str]) -> str:
         else:
             if kind == "+":
                 elements.start(value)
+                has_main = has_main or _is_main(value) and slot_kind(elements.path) == "main"
             elif kind == "-":
                 elements.end(value)
-            name = element_name(value)
-            if name not in INLINE:
+            if element_name(value) not in INLINE:
                 for own in parts.values():
                     own.append(" ")
-    for own in parts.values():
-        words = "".join(own).split()
-        if words:
-            return " ".join(words)
-    return ""
+    main, inner, body, rest = (" ".join("".join(own).split()) for own in parts.values())
+    return main if has_main else max(body, inner, key=len) or rest
 
 
 def _joined(own: list[tuple[list, dict]]) -> tuple[list, dict]:
