@@ -19,6 +19,20 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+def sql(text: str):
+    """The SQL of the query below; the others have models, fingerprints or tokenizers that SQL lacks."""
+    def held(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        ORACLES[build.__name__] = text
+        return build
+
+    return held
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SQL_ITEM_WORDS = rf"coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
 @query
 def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_guess.scan(table(spark, folder, "documents"))
@@ -39,6 +53,17 @@ def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return maxplus_pieces.report(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@sql(f"""
+WITH d AS (SELECT doc_id, {SQL_ITEM_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {SQL_ITEM_WORDS} AS w FROM benchmark),
+s AS (SELECT item, w, least(len(w), 13) AS size, unnest(range(0, greatest(len(w) - 12, 1))) AS k FROM i WHERE len(w) > 0),
+x AS (SELECT DISTINCT item, size, array_to_string(w[k + 1:k + size], ' ') AS key FROM s),
+p AS (SELECT doc_id, size, unnest(range(0, len(w) - size + 1)) AS k, w FROM d, (SELECT DISTINCT size FROM x) WHERE len(w) >= size),
+h AS (SELECT doc_id, item, k, p.size FROM p JOIN x ON x.size = p.size AND x.key = array_to_string(w[k + 1:k + p.size], ' ')),
+n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS place FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""")
 @query
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return fm_decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -63,6 +88,11 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return anchor_simhash.report(table(spark, folder, "documents"))
 
 
+@sql(f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+v AS (SELECT *, list_transform(range(0, 8), lambda g: CAST('0x' || substr(sha1(html), 1 + 5 * g, 5) AS BIGINT)) AS v FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, array_to_string(flatten(list_transform(v, lambda x: list_transform([15, 10, 5, 0], lambda b: '{BASE32}'[CAST(((x >> b) & 31) + 1 AS INTEGER)]))), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM v""")
 @query
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc_chain.report(table(spark, folder, "pages"))
