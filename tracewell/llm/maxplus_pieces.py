@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracewell.llm.common import batch_of, struct_of, written
 
 CHUNK = 1 << 16
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 400_000
+PAIR_ENTRIES = 300_000
 MEMO_CHARS = 64
 SPACE = "▁"
 START = ""
@@ -58,7 +59,8 @@ class Pieces(dict):
         self.longest = max(map(len, self.score))
         self.valid = {p for p in self.score if len(p) == 1 or self.merged(p) == [p]}
         self.begins = {p[:k] for p in self.valid for k in range(1, len(p) + 1)}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.score)
         # Line ends and marks after a letter or digit that no piece holds part words as well.
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.score))
@@ -85,11 +87,15 @@ class Pieces(dict):
         return own
 
     def neighbours(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
+        """Whether a text may have these two one after the other; False for what is no piece at all."""
+        known = self.pairs[left].get(right) if left in self.pairs else None
         if known is None:
-            if len(self.pairs) >= MEMO_ENTRIES:
+            if self.n_pairs >= PAIR_ENTRIES:
                 self.pairs.clear()
-            known = self.pairs[left, right] = left == START or self.merged(left + right) == [left, right]
+                self.n_pairs = 0
+            self.n_pairs += 1
+            known = (len(right) == 1 or right in self.valid) and (left == START or self.merged(left + right) == [left, right])
+            self.pairs.setdefault(left, {})[right] = known
         return known
 
     def forward(self, text: str, start: int, state: str, stop: int) -> list[str | None]:
@@ -97,17 +103,18 @@ class Pieces(dict):
         of its only valid path, or None."""
         last: list[str | None] = [None] * (stop - start + 1)
         last[0] = state
-        begins, valid, pairs = self.begins, self.valid, self.pairs.get
+        begins, pairs, none = self.begins, self.pairs, {}
         for place in range(start, stop):
             before = last[place - start]
             if before is None:
                 continue
+            after = pairs.get(before, none).get
             for end in range(place + 1, stop + 1):
                 piece = text[place:end]
                 if end > place + 1 and piece not in begins:
                     break
-                if last[end - start] is None and (piece in valid or end == place + 1):
-                    known = pairs((before, piece))
+                if last[end - start] is None:
+                    known = after(piece)
                     if known or known is None and self.neighbours(before, piece):
                         last[end - start] = piece
         return last
