@@ -25,6 +25,7 @@ SEED = 42
 DISTANCE = 3
 PART = 1 << 17
 BROADCAST_IDS = 2_000_000
+SETTLED = 64
 
 
 def fingerprint_of(text: bytes | None) -> int:
@@ -118,7 +119,7 @@ def links_in(anchor: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Rows sorted by anchor: links that join all fingerprints near each other at an anchor, at most one per row."""
     n = len(own)
     parent = np.arange(n)
-    end = np.searchsorted(anchor, anchor, "right")
+    begin, end = np.searchsorted(anchor, anchor, "left"), np.searchsorted(anchor, anchor, "right")
     bits = own.view(np.uint64)
     active, step = np.arange(n), 1
     while True:
@@ -128,6 +129,14 @@ def links_in(anchor: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarra
         near = np.bitwise_count(bits[active] ^ bits[active + step]) <= DISTANCE
         if near.any():
             _unite(parent, active[near], active[near] + step)
+        if step >= SETTLED and step & (step - 1) == 0:
+            # Where an anchor's rows are all joined by now, further pairs can add nothing.
+            heads = np.unique(begin[active])
+            root = _roots(parent, np.arange(n))
+            whole = np.zeros(n, bool)
+            for head in heads:
+                whole[head] = (root[head:end[head]] == root[head]).all()
+            active = active[~whole[begin[active]]]
         step += 1
     root = _roots(parent, np.arange(n))
     linked = np.flatnonzero(root != np.arange(n))
