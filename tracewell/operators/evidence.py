@@ -211,7 +211,9 @@ def select_within_budget(rows: DataFrame, case: str, *, group: str, score: str,
     What reaches the fold is therefore bounded by the budget alone, whatever the case size.
     ``cost`` must be at least 1.
     """
-    marked = mark_first_of_group(rows, case, group, score, key).select(
+    # The few columns needed are scored once and written down; they are read three times.
+    slim = cut_lineage(rows.select(case, group, score, key, cost, source_class))
+    marked = mark_first_of_group(slim, case, group, score, key).select(
         F.col(case).alias("case"), F.col(group).alias("view"), F.col(score).alias("score"), F.col(key).alias("key"),
         F.col(cost).cast("long").alias("cost"), (F.col(source_class) == "credit_report").alias("credit"), "is_first")
     totals = marked.where("credit").groupBy("case").agg(F.sum("cost").alias("credit_total"))

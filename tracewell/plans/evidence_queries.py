@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text
 from tracewell.functions.vectors import hash_counts
-from tracewell.operators import claims, evidence, grouping, upsert
+from tracewell.operators import claims, evidence, grouping, retrieval, upsert
 from tracewell.operators.prompts import evidence_block, within_budget
 from tracewell.operators.scoring import search
 from tracewell.plans.registry import Tables, query
@@ -215,7 +215,7 @@ def _budget_blocks(t: Tables):
     docs = t.spread("documents").withColumn("vector", hash_counts("text"))
     queries = t.benchmark.withColumn("vector", hash_counts("text"))
     hits = search(docs, queries, k=10, by="dense", doc=("doc_id", "vector"), query=("item_id", "vector"))
-    held = t.documents.select(F.col("doc_id").alias("id"), "text", "source").join(hits, "id")
+    held = retrieval.with_documents(hits, t.documents.select(F.col("doc_id").alias("id"), "text", "source"))
     key = F.col("id").cast("string")
     return held.withColumn("cost", F.length(evidence_block(
         query_id=F.col("query_id"), level=F.lit(0), rank=F.col("rank"), global_id=key, local_id=key, document_id=key,
