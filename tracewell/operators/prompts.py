@@ -139,3 +139,21 @@ def opinion_context(sections: DataFrame, evidence: DataFrame, keys: Sequence[str
     shown = F.when(F.size("_l") > 0, F.array_join("_l._b", "\n\n")).otherwise("별도 근거자료 없음")
     return opinion.join(listed, list(keys), "left").select(*keys, F.concat(
         F.lit("[완료된 심사의견]\n"), F.array_join("_s.t", "\n\n"), F.lit("\n\n[관련 근거]\n"), shown).alias("context"))
+
+
+def assemble_prompt(styles: DataFrame, evidence: DataFrame, keys: Sequence[str], budget: TokenBudget, *, fixed_tokens: int) -> DataFrame:
+    """One prompt per case: styles within their cap, then the longest leading part of the evidence that fits.
+
+    ``styles``: keys, rank, text. ``evidence``: keys, position, view, header, entry; a header stands
+    where a new view begins. ``fixed_tokens`` is what everything else in the prompt costs. What is
+    gathered per case is bounded by the budget.
+    """
+    kept = keep_styles(styles, keys, "rank", F.col("text"), budget)
+    told = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_s"))
+    sized = evidence.withColumns({"_header": F.length("header"), "_entry": F.length("entry")})
+    fitting = fit_prefix(sized, keys, [("position", True)], "view", "_header", "_entry", fixed_tokens, budget)
+    first = fitting.groupBy(*keys, "view").agg(F.min("position").alias("_from"), F.array_sort(F.collect_list(F.struct("position", "entry"))).alias("_e"), F.first("header").alias("header"))
+    block = F.concat("header", F.lit("\n"), F.array_join("_e.entry", "\n"))
+    shown = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_from", block.alias("b")))).alias("_v"), F.sum(F.size("_e")).alias("evidence_rows"))
+    return shown.join(told, list(keys), "left").select(*keys, F.coalesce(F.size("_s"), F.lit(0)).alias("style_rows"), "evidence_rows", F.concat(
+        F.lit("[style]\n"), F.coalesce(F.array_join("_s.text", "\n"), F.lit("")), F.lit("\n\n[evidence]\n"), F.array_join("_v.b", "\n\n")).alias("prompt"))

@@ -326,3 +326,23 @@ def strict_zip(t: Tables):
     dims = F.sequence(F.lit(0), F.size("embedding") - 1)
     pairs = t.embeddings.select("vec_id", F.explode(fields.strict_zip(dims, F.col("embedding"), ("dim", "x"))).alias("p"))
     return pairs.select("vec_id", "p.dim", F.round("p.x", 6).alias("x"))
+
+
+@query("review_prompt", """
+WITH e AS (SELECT source, doc_id, doc_id % 7 AS view, 'view ' || doc_id % 7 AS header, lang || text AS entry FROM documents),
+f AS (SELECT *, length(entry) + 1 + CASE WHEN row_number() OVER (PARTITION BY source, view ORDER BY doc_id) = 1 THEN length(header) + 2 ELSE 0 END AS chars FROM e),
+u AS (SELECT *, sum(chars) OVER (PARTITION BY source ORDER BY doc_id) AS used, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM f),
+k AS (SELECT * FROM u WHERE ceil(used / 1.7) + 300 <= 2100 OR n = 1),
+v AS (SELECT source, view, min(doc_id) AS first, count(*) AS rows, min(header) || chr(10) || string_agg(entry, chr(10) ORDER BY doc_id) AS block FROM k GROUP BY ALL)
+SELECT source, 2 AS style_rows, CAST(sum(rows) AS BIGINT) AS evidence_rows,
+  sha256('[style]' || chr(10) || repeat('a', 1000) || chr(10) || source || repeat('c', 90) || chr(10) || chr(10) || '[evidence]' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY first)) AS prompt_sha
+FROM v GROUP BY source""")
+def review_prompt(t: Tables):
+    cases = t.documents.select("source").distinct()
+    styles = cases.select("source", F.posexplode(F.array(F.lit("a" * 1000), F.lit("b" * 1000), F.concat("source", F.lit("c" * 90)))).alias("rank", "text"))
+    view = (F.col("doc_id") % 7).cast("string")
+    rows = t.documents.select("source", F.col("doc_id").alias("position"), view.alias("view"), F.concat(F.lit("view "), view).alias("header"),
+                              F.concat("lang", "text").alias("entry"))
+    budget = prompts.TokenBudget(model=6000, generation=2000, completion=700, margin=1200)
+    found = prompts.assemble_prompt(styles, rows, ["source"], budget, fixed_tokens=300)
+    return found.select("source", "style_rows", "evidence_rows", F.sha2("prompt", 256).alias("prompt_sha"))
