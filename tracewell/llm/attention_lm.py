@@ -25,11 +25,11 @@ from tracewell.llm.common import LOWER, batch_of, raw, remainder, written
 
 HALF = 16
 WIDTH = 16
-CLASSES = 192
+CLASSES = 160
 INPUTS = 2048
 FREQUENT = 200_000
 HELD_WORDS = 1 << 19
-CHUNK_WINDOWS = 128
+CHUNK_WINDOWS = 64
 GROUP_WORDS = 1 << 14
 RUN_BYTES = 1536
 #: The word that stands for the end of a text; no text has it, as it holds white space.
