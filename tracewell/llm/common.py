@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -15,10 +16,16 @@ BATCH_BYTES = 4 << 20
 BATCH_ROWS = 1024
 
 
+def _bytes(said: str) -> int:
+    """A size as Spark takes it: 4194304, 4194304b, 4m, 4MB; anything else counts as unlimited."""
+    found = re.fullmatch(r"(\d+)\s*([kmg]?)b?", said.strip().lower())
+    return int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[found[2]] if found else 1 << 62
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Ship the package and bound an Arrow batch by rows and bytes, since a text can be very long."""
     for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
-        if not 0 < int(str(spark.conf.get(key)).rstrip("b")) <= most:
+        if not 0 < _bytes(str(spark.conf.get(key))) <= most:
             spark.conf.set(key, str(most))
     return ship_package(spark)
 
