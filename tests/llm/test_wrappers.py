@@ -69,6 +69,14 @@ def test_words_common_to_a_host_are_left_out_of_the_body(spark):
     assert got == {k: f"Story {k} of the day" for k in range(6)}
 
 
+def test_two_templates_and_ids_of_single_pages_on_one_host(spark):
+    """Start tags that exclude each other are no path of any page."""
+    rows = [(k, "http://ids.example/x", f"<body><div id=post-{k}><p>Story {k} is told.</p></div></body>") for k in range(1, 4)]
+    rows += [(k, "http://two.example/x", f"<body><{tag} class={tag}><p>Story {k} is told.</p></{tag}></body>") for k, tag in enumerate(["div", "section"] * 3, 4)]
+    got = {r.page_id: r.text for r in w.report(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {k: f"Story {k} is told." for k in range(1, 10)}
+
+
 def test_table_equals_the_known_articles(spark):
     rows = []
     for k in range(60):

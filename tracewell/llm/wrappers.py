@@ -274,7 +274,7 @@ def slots_of(wrapper: list) -> set[tuple[str, ...]]:
 
 
 def plan_of(wrapper: list, words: dict[str, str | None]) -> dict[str, str]:
-    """The kind of each slot that may hold article text, by its path.
+    """The kind of each slot by its path.
 
     Outside an article, links and words that do not differ between different pages are left out.
     """
@@ -284,31 +284,28 @@ def plan_of(wrapper: list, words: dict[str, str | None]) -> dict[str, str]:
         kind, name = slot_kind(path), " ".join(path)
         if kind == "rest" and any(element_name(e) == "a" for e in path) or kind == "body" and (differ and words.get(name) is not None or any(element_name(e) == "a" for e in path)):
             kind = "beside"
-        if kind != "beside":
-            plan[name] = kind
+        plan[name] = kind
     return plan
 
 
+def _read_kind(path: tuple[str, ...]) -> str:
+    kind = slot_kind(path)
+    return "beside" if kind in ("body", "rest") and any(element_name(e) == "a" for e in path) else kind
+
+
 def text_of(page: str, plan: dict[str, str]) -> str:
     """The words of the page's article slots.
 
     A page with a main element has only that. Without one the body counts, or a main element found
     within a side element if that holds more; containers that only their names call side elements
-    are the last resort.
+    are the last resort. The page's own paths count whether or not the plan has them: in a wrapper
+    whose optional parts exclude each other a slot's path need not be any page's.
     """
-    elements, parts = Elements(), {"main": [], "inner": [], "body": [], "rest": []}
-    known: dict[tuple[str, ...], str | None] = {}
+    elements, pieces = Elements(), []
     has_main = False
     for kind, value in tokens(page):
         if kind == "text":
-            path = elements.path
-            if path not in known:
-                # A slot within a link belongs to the text around it.
-                known[path] = plan.get(" ".join(path)) or plan.get(" ".join(e for e in path if element_name(e) != "a"))
-                if known[path] is None and slot_kind(path) == "main":
-                    known[path] = "main"
-            if known[path]:
-                parts[known[path]].append(entities.unescape(value))
+            pieces.append((elements.path, value))
         else:
             if kind == "+":
                 elements.start(value)
@@ -316,9 +313,26 @@ def text_of(page: str, plan: dict[str, str]) -> str:
             elif kind == "-":
                 elements.end(value)
             if element_name(value) not in INLINE:
-                for own in parts.values():
-                    own.append(" ")
-    main, inner, body, rest = (" ".join("".join(own).split()) for own in parts.values())
+                pieces.append((None, " "))
+    own = {path for path, value in pieces if path is not None and value.strip()}
+
+    def kind_of(path: tuple[str, ...]) -> str:
+        kind = plan.get(" ".join(path)) or _read_kind(path)
+        around = tuple(e for e in path if element_name(e) != "a")
+        if kind == "beside" and around != path:
+            # A slot within a link belongs to the text around it.
+            kind = plan.get(" ".join(around)) or (_read_kind(around) if around in own else "beside")
+        return kind
+
+    kinds = {path: kind_of(path) for path in {path for path, _ in pieces if path is not None}}
+    parts = {"main": [], "inner": [], "body": [], "rest": []}
+    for path, value in pieces:
+        if path is None:
+            for part in parts.values():
+                part.append(value)
+        elif kinds[path] != "beside":
+            parts[kinds[path]].append(entities.unescape(value))
+    main, inner, body, rest = (" ".join("".join(part).split()) for part in parts.values())
     return main if has_main else max(body, inner, key=len) or rest
 
 
