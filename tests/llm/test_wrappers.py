@@ -77,6 +77,21 @@ def test_two_templates_and_ids_of_single_pages_on_one_host(spark):
     assert got == {k: f"Story {k} is told." for k in range(1, 10)}
 
 
+def test_words_of_single_pages_and_near_copies_stay(spark):
+    rows = [(k, "http://h.example/x", f"<body><div><p>Sign here</p></div><div class=c><p>Story {k} of the day</p>{'<blockquote>Only here</blockquote>' if k == 2 else ''}</div></body>")
+            for k in range(6)]
+    rows += [(k, "http://n.example/x", f"<body><div class=day>{k} May</div><div class=c><p>One long story that all of the pages tell</p></div></body>") for k in range(10, 20)]
+    rows += [(k, "http://m.example/x", f"<body><div class=day>{k} May</div><div class=c><p>The story</p></div></body>") for k in (20, 21, 21, 21, 21)]
+    got = {r.page_id: r.text for r in w.report(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[k] for k in range(6)] == [f"Story {k} of the day" + (" Only here" if k == 2 else "") for k in range(6)]
+    assert [got[k] for k in range(10, 20)] == [f"{k} May One long story that all of the pages tell" for k in range(10, 20)]
+    assert got[20] == "20 May The story" and got[21] == "21 May The story"
+    changed = (30, "http://h.example/y", "<body><div><p>Closed</p></div><div class=c><p>Story 30 of the day</p></div></body>")
+    more = [(k, "http://h.example/x", rows[0][2].replace("Story 0", f"Story {k}")) for k in range(40, 60)]
+    got = {r.page_id: r.text for r in w.report(spark.createDataFrame([*rows, *more, changed], PAGES)).collect()}
+    assert got[30] == "Closed Story 30 of the day" and got[40] == "Story 40 of the day"
+
+
 def test_table_equals_the_known_articles(spark):
     rows = []
     for k in range(60):

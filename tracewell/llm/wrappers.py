@@ -21,6 +21,9 @@ from tracewell.llm.common import batch_of
 
 SALT = 32
 HELD_WRAPPERS = 20_000
+# A frame is on this part of a host's distinct pages, at least so many.
+NEARLY_ALL = 0.9
+STORIES = 4
 LONGEST_REPEAT = 24
 
 # Elements inside a line of text, elements without an end, elements whose content is no text.
@@ -236,21 +239,64 @@ def slot_kind(path: tuple[str, ...]) -> str:
     return "inner" if any(map(beside, path[:place])) else "main"
 
 
-def words_of(page: str) -> dict[str, str]:
-    """Digest of the words at each path of the body outside the article, and of the whole page at the empty path."""
-    elements, found = Elements(), {}
+def _digest(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "replace")).hexdigest()
+
+
+def _read(page: str) -> tuple[list[tuple[tuple[str, ...] | None, str]], bool]:
+    """The page's texts with their paths, a space without path at each element's edge, and whether it has a main element."""
+    elements, pieces = Elements(), []
+    has_main = False
     for kind, value in tokens(page):
-        if kind == "+":
-            elements.start(value)
-        elif kind == "-":
-            elements.end(value)
-        elif kind == "text" and slot_kind(elements.path) == "body":
-            found.setdefault(" ".join(elements.path), []).append(value)
-    return {path: hashlib.md5(" ".join(" ".join(own).split()).encode()).hexdigest() for path, own in found.items()} | {"": hashlib.md5(page.encode()).hexdigest()}
+        if kind == "text":
+            pieces.append((elements.path, value))
+        else:
+            if kind == "+":
+                elements.start(value)
+                has_main = has_main or _is_main(value) and slot_kind(elements.path) == "main"
+            elif kind == "-":
+                elements.end(value)
+            if element_name(value) not in INLINE:
+                pieces.append((None, " "))
+    return pieces, has_main
+
+
+def _words(pieces: list[tuple[tuple[str, ...] | None, str]]) -> dict[tuple[str, ...], str]:
+    """The words at each path of the body."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for path, value in pieces:
+        if path is not None and value.strip():
+            found.setdefault(path, []).append(value)
+    return {path: " ".join(" ".join(own).split()) for path, own in found.items() if slot_kind(path) == "body"}
+
 
+Words = dict[str, tuple[str, int, int]]
 
-def _same(left: dict[str, str | None], right: dict[str, str | None]) -> dict[str, str | None]:
-    return {path: left[path] if path not in right or right.get(path) == left.get(path) else None if path in left else right[path] for path in {**left, **right}}
+
+def words_of(page: str) -> Words:
+    """(digest, pages, characters) of the words at each path of a page's body, of all its body at the empty path.
+
+    Nothing for a page with a main element, whose body is not read.
+    """
+    pieces, has_main = _read(page)
+    own = {} if has_main else _words(pieces)
+    if not own:
+        return {}
+    return {" ".join(path): (_digest(text), 1, len(text)) for path, text in own.items()} | {
+        "": (_digest(json.dumps([[" ".join(path), text] for path, text in own.items()])), 1, sum(map(len, own.values())))}
+
+
+def frame_of(words: Words) -> dict[str, str]:
+    """Paths of a host's frame and the digest of the words there, from counts over its distinct pages.
+
+    A frame is on nearly all of at least ``STORIES`` different pages in the same words and is not the
+    larger part of their text: where it is, the pages are near copies and the equal part is the story.
+    """
+    _, pages, characters = words.get("", ("", 0, 0))
+    same = {path: own for path, own in words.items() if path and own[1] >= NEARLY_ALL * pages}
+    if pages < STORIES or 2 * sum(own[2] for own in same.values()) > characters:
+        return {}
+    return {path: own[0] for path, own in same.items()}
 
 
 def slots_of(wrapper: list) -> set[tuple[str, ...]]:
@@ -273,19 +319,12 @@ def slots_of(wrapper: list) -> set[tuple[str, ...]]:
     return found
 
 
-def plan_of(wrapper: list, words: dict[str, str | None]) -> dict[str, str]:
-    """The kind of each slot by its path.
+def plan_of(wrapper: list, words: Words) -> dict[str, str]:
+    """The kind of each slot by its path; for paths of the host's frame "frame" and the digest of its words.
 
-    Outside an article, links and words that do not differ between different pages are left out.
+    Outside an article links are left out, and so are words that are the same on nearly all pages.
     """
-    differ = words.get("") is None
-    plan = {}
-    for path in slots_of(wrapper):
-        kind, name = slot_kind(path), " ".join(path)
-        if kind == "rest" and any(element_name(e) == "a" for e in path) or kind == "body" and (differ and words.get(name) is not None or any(element_name(e) == "a" for e in path)):
-            kind = "beside"
-        plan[name] = kind
-    return plan
+    return {" ".join(path): _read_kind(path) for path in slots_of(wrapper)} | {path: f"frame {digest}" for path, digest in frame_of(words).items()}
 
 
 def _read_kind(path: tuple[str, ...]) -> str:
@@ -301,28 +340,19 @@ def text_of(page: str, plan: dict[str, str]) -> str:
     are the last resort. The page's own paths count whether or not the plan has them: in a wrapper
     whose optional parts exclude each other a slot's path need not be any page's.
     """
-    elements, pieces = Elements(), []
-    has_main = False
-    for kind, value in tokens(page):
-        if kind == "text":
-            pieces.append((elements.path, value))
-        else:
-            if kind == "+":
-                elements.start(value)
-                has_main = has_main or _is_main(value) and slot_kind(elements.path) == "main"
-            elif kind == "-":
-                elements.end(value)
-            if element_name(value) not in INLINE:
-                pieces.append((None, " "))
+    pieces, has_main = _read(page)
+    words = {} if has_main else _words(pieces)
     own = {path for path, value in pieces if path is not None and value.strip()}
 
     def kind_of(path: tuple[str, ...]) -> str:
-        kind = plan.get(" ".join(path)) or _read_kind(path)
+        kind = _read_kind(path)
         around = tuple(e for e in path if element_name(e) != "a")
         if kind == "beside" and around != path:
             # A slot within a link belongs to the text around it.
-            kind = plan.get(" ".join(around)) or (_read_kind(around) if around in own else "beside")
-        return kind
+            path, kind = around, _read_kind(around) if around in own or plan.get(" ".join(around), "beside") != "beside" else "beside"
+        # Only the very words of the frame are left out.
+        framed = kind == "body" and path in words and plan.get(" ".join(path)) == f"frame {_digest(words[path])}"
+        return "beside" if framed else kind
 
     kinds = {path: kind_of(path) for path in {path for path, _ in pieces if path is not None}}
     parts = {"main": [], "inner": [], "body": [], "rest": []}
@@ -336,31 +366,30 @@ def text_of(page: str, plan: dict[str, str]) -> str:
     return main if has_main else max(body, inner, key=len) or rest
 
 
-def _joined(own: list[tuple[list, dict]]) -> tuple[list, dict]:
+def _joined(own: list[list]) -> list:
     """All wrappers of a host in one, the longest first so that short pages meet a full frame."""
-    (wrapper, words), *others = sorted(own, key=lambda x: (-len(x[0]), shape(x[0])))
-    for other, more in others:
-        wrapper, words = merged(wrapper, other), _same(words, more)
-    return wrapper, words
+    wrapper, *others = sorted(own, key=lambda x: (-len(x), shape(x)))
+    for other in others:
+        wrapper = merged(wrapper, other)
+    return wrapper
 
 
 def _inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task one wrapper of each host, given out early when there are many."""
-    held: dict[str, dict[str, tuple[list, dict]]] = {}
+    held: dict[str, dict[str, list]] = {}
 
     def give() -> pa.RecordBatch:
-        rows = [(host, *_joined(list(own.values()))) for host, own in held.items()]
-        return batch_of({"host": (pa.string(), [r[0] for r in rows]), "wrapper": (pa.string(), [json.dumps(r[1]) for r in rows]), "words": (pa.string(), [json.dumps(r[2]) for r in rows])})
+        rows = [(host, _joined(list(own.values()))) for host, own in held.items()]
+        return batch_of({"host": (pa.string(), [r[0] for r in rows]), "wrapper": (pa.string(), [json.dumps(r[1]) for r in rows])})
 
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own, words = folded(page), words_of(page)
+            own = folded(page)
             shapes = held.setdefault(host, {})
-            key = shape(own)
-            shapes[key] = (own, _same(shapes[key][1], words) if key in shapes else words)
+            shapes[shape(own)] = own
             if len(shapes) > 64:
                 whole = _joined(list(shapes.values()))
-                held[host] = {shape(whole[0]): whole}
+                held[host] = {shape(whole): whole}
         if len(held) > HELD_WRAPPERS:
             yield give()
             held.clear()
@@ -368,18 +397,42 @@ def _inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield give()
 
 
+def _spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, page, path, digest, characters) of the body words of pages without a main element."""
+    for batch in batches:
+        rows = []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = words_of(page)
+            rows += [(host, words[""][0], path, digest if path else "", n) for path, (digest, _, n) in words.items()]
+        yield batch_of({name: (kind, [r[k] for r in rows]) for k, (name, kind) in enumerate(
+            [("host", pa.string()), ("page", pa.string()), ("path", pa.string()), ("digest", pa.string()), ("characters", pa.int64())])})
+
+
+def frames(held: DataFrame) -> DataFrame:
+    """Rows (host, words as JSON) from columns host and html: for each path the words on nearly all distinct pages of the host."""
+    spoken = held.mapInArrow(_spoken, "host string, page string, path string, digest string, characters long").distinct()
+    counted = spoken.groupBy("host", "path", "digest").agg(F.count("*").alias("pages"), F.sum("characters").alias("characters"))
+    whole = counted.where("path = ''").select("host", F.col("pages").alias("all pages")).where(F.col("all pages") >= STORIES)
+    often = counted.join(whole, "host").where(F.col("pages") >= NEARLY_ALL * F.col("all pages"))
+
+    @F.arrow_udf("string")
+    def told(own: pa.Array) -> pa.Array:
+        return pa.array([json.dumps({x["path"]: (x["digest"], x["pages"], x["characters"]) for x in row}) for row in own.to_pylist()], pa.string())
+
+    return often.groupBy("host").agg(F.collect_list(F.struct("path", "digest", "pages", "characters")).alias("own")).select("host", told("own").alias("words"))
+
+
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Rows (host, wrapper, words as JSON): one wrapper over all pages of each host.
+    """Rows (host, wrapper, words as JSON): one wrapper over all pages of each host, and the words that most of its pages share.
 
     Pages are aligned within their tasks first, so a host with many pages sends one wrapper per task.
     """
     def joined(group: pa.Table) -> pa.Table:
-        wrapper, words = _joined([(json.loads(w), json.loads(d)) for w, d in zip(group.column("wrapper").to_pylist(), group.column("words").to_pylist())])
-        return pa.table({"host": group.column("host").slice(0, 1), "wrapper": [json.dumps(wrapper)], "words": [json.dumps(words)]})
+        return pa.table({"host": group.column("host").slice(0, 1), "wrapper": [json.dumps(_joined([json.loads(w) for w in group.column("wrapper").to_pylist()]))]})
 
-    kind = "host string, wrapper string, words string"
     held = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(html_col, F.lit("")).alias("html"))
-    return held.mapInArrow(_inferred, kind).groupBy("host").applyInArrow(joined, kind)
+    wrappers = held.mapInArrow(_inferred, "host string, wrapper string").groupBy("host").applyInArrow(joined, "host string, wrapper string")
+    return wrappers.join(frames(held), "host", "left").withColumn("words", F.coalesce("words", F.lit("{}")))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "text") -> DataFrame:
