@@ -2,7 +2,8 @@
 
 The token streams of a host's pages are folded and aligned into one union-free regular expression:
 repeats become groups, parts that some pages lack become optional, and text that differs becomes a
-slot. The wrapper's slots that hold the article are then read from every page of the host.
+slot. Pages are not matched against that expression: lists of element, class and id names decide which
+of a page's paths hold the article, less the words that nearly all pages of the host share.
 """
 
 from __future__ import annotations
