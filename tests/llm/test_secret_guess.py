@@ -65,6 +65,17 @@ def test_guessable_values_are_left_and_costly_ones_found():
     assert s.guess_cost("password123456") < s.guess_cost("zk8vq2mt9rw4xp")
 
 
+def test_whole_values_of_any_length_and_of_letters_alone(spark):
+    rnd = random.Random(3)
+    long = "".join(rnd.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789+/") for _ in range(5000))
+    values = ["hunter22!S3cr#tRest", "qZxKvWmRtYpLbNcD", long]
+    texts = [f"password: {values[0]} end", f"pwd: {values[1]} end", f"private_key: {values[2]} end"]
+    frame = docs(spark, texts)
+    assert [r[0] for r in frame.select(s.masked(frame.text)).collect()] == ["[SECRET] end", "pwd: [SECRET] end", "private_key: [SECRET] end"]
+    assert [k for _, _, k in s.find(texts[0].encode())] == ["assign", "guess"]
+    assert s.find(f"pwd: {'z' * 100000}".encode()) == [] and s.find(f"pwd: {'=-' * 50000} x".encode()) == []
+
+
 def test_masking_and_odd_rows(spark):
     rows = s.scan(odd_rows(spark)).collect()
     assert len(rows) == 8 and all(r.base_sha256 for r in rows)

@@ -26,7 +26,7 @@ KINDS = ("assign", "access", "hex", "guess")
 # Names of fields that hold credentials, beyond those of the first pattern.
 CONTEXT = re.compile(
     rb"""(?<![a-z0-9])(?:[a-z0-9]{1,20}[_-])?(?:password|passphrase|passcode|passwd|pass|pwd|secret|token|bearer|credentials?|auth|private[_-]?key"""
-    rb"""|access[_-]?key|api[_-]?key|client[_-]?secret|login|pin)(?![a-z0-9])["']?\s{0,4}(?:[:=]>?|\x20is\x20)\s{0,4}["'`]?([^\s"'`<>,;]{6,256})""", re.I)
+    rb"""|access[_-]?key|api[_-]?key|client[_-]?secret|login|pin)(?![a-z0-9])["']?\s{0,4}(?:[:=]>?|\x20is\x20)\s{0,4}["'`]?([^\s"'`<>,;]{6,})""", re.I)
 
 # Frequent words of guessed passwords, the most frequent first.
 WORDS = """password the and admin welcome login master dragon monkey letmein sunshine princess football baseball secret
@@ -37,6 +37,9 @@ december example sample token server access computer internet service company pr
 KEYS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@431!05$7", "aaeiiosst")
 BRUTE = math.log10(10)
+BLOCK = 256
+KEPT_REPEATS = 20
+LONG_REPEAT = re.compile(rf"(?s)(.{{1,12}}?)\1{{{KEPT_REPEATS},}}")
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d|(?:19|20)\d\d")
 
 
@@ -94,8 +97,30 @@ def spans_of(value: str, costs: GuessCosts) -> list[tuple[int, int, float]]:
     return found
 
 
-def guess_cost(value: str, costs: GuessCosts = GuessCosts()) -> float:
-    """log10 of the guesses for the cheapest cut of a value."""
+def guess_cost(value: str, costs: GuessCosts = GuessCosts(), enough: float = math.inf) -> float:
+    """log10 of the guesses for the cheapest cut of a value, or some number from ``enough`` on once that is passed.
+
+    A value over ``BLOCK`` characters counts as the sum of blocks of that size, after each long
+    repeat was shortened; what the repeat's number adds is added to the sum.
+    """
+    if len(value) <= BLOCK:
+        return _block_cost(value, costs)
+    whole = 0.0
+
+    def shortened(found: re.Match) -> str:
+        nonlocal whole
+        whole += math.log10((found.end() - found.start()) / (len(found[1]) * KEPT_REPEATS))
+        return found[1] * KEPT_REPEATS
+
+    value = LONG_REPEAT.sub(shortened, value)
+    for k in range(0, len(value), BLOCK):
+        if whole >= enough:
+            break
+        whole += _block_cost(value[k:k + BLOCK], costs) + (costs.join if k else 0)
+    return whole
+
+
+def _block_cost(value: str, costs: GuessCosts) -> float:
     n = len(value)
     ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for start, end, cost in spans_of(value, costs):
@@ -121,7 +146,8 @@ def find(text: bytes, costs: GuessCosts = GuessCosts()) -> list[tuple[int, int,
         while end > start and text[end - 1:end] in (b".", b")", b"]", b"}", b"!", b"?", b":"):
             end -= 1
         value = text[start:end].decode("utf-8", "replace")
-        if end - start >= 6 and not any(a < end and start < b for a, b in base) and guess_cost(value, costs) >= costs.threshold and not value.isalpha():
+        # A value within a base span is found already; one that reaches beyond it counts as a whole.
+        if end - start >= 6 and not any(a <= start and end <= b for a, b in base) and guess_cost(value, costs, costs.threshold) >= costs.threshold:
             found.append((start, end, "guess"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
