@@ -103,6 +103,20 @@ def test_training_beats_the_class_rates(spark):
     assert fitted > 0.5 * start
 
 
+def test_long_texts_without_white_space_are_learned_from(spark):
+    assert a.Settings().share == 1
+    frame = docs(spark, ["".join("日月水火"[(s + k) % 4] for k in range(6000)) for s in range(4)])
+    held = a.classes_of(a.id_counts(a.word_counts(frame.select("text")), PATH))
+    ids = [a.ids_of(["水火日月".encode() * 50], PATH)]
+    start = sum(a.Scorer(a.start_weights(held.prior), held).class_scores(ids)[0])
+    for share in (1, 8):
+        weights = a.fit(frame.select("text"), held, PATH, a.Settings(share=share))
+        assert sum(a.Scorer(weights, held).class_scores(ids)[0]) > 0.5 * start, share
+    text = frame.first().text.encode()
+    whole = a.ids_of([text], PATH)
+    assert np.array_equal(np.concatenate(a.runs_of(text, PATH, 1)), whole)
+
+
 def test_odd_rows_and_empty_tables(spark):
     rows = a.score(odd_rows(spark), PATH).collect()
     assert len(rows) == 8 and sum(r.doc_id == 4 for r in rows) == 2 and not any(r.held_out for r in rows if r.doc_id is None)

@@ -3,8 +3,8 @@
 Subword ids are predicted in two steps: attention over the ids before gives the class of the next
 id, and the corpus gives the id within its class. Windows of 32 ids overlap by half; each scores the
 second half, so that every id is scored once and sees at least 16 ids before it. Word counts, id
-counts and the base score cover all training documents; the weights are fitted on a documented share
-of all their windows, in every task by itself, and averaged by the number of windows.
+counts, the base score and the weights cover all training documents; the weights are fitted in every
+task by itself and averaged by the number of windows.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ from tracewell.llm.common import LOWER, batch_of, raw, remainder, written
 
 HALF = 16
 WIDTH = 16
-CLASSES = 160
+CLASSES = 192
 INPUTS = 2048
 FREQUENT = 200_000
 HELD_WORDS = 1 << 19
 CHUNK_WINDOWS = 64
 GROUP_WORDS = 1 << 14
-RUN_BYTES = 1536
+RUN_IDS = 384
 #: The word that stands for the end of a text; no text has it, as it holds white space.
 END = " "
 # Fixed value: the public pre-token pattern of byte-level BPE.
@@ -40,10 +40,10 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 @dataclass(frozen=True)
 class Settings:
-    """``share``: one in so many runs of ``RUN_BYTES`` bytes is fitted; ``steps``: a task with fewer
+    """``share``: one in so many runs of ``RUN_IDS`` ids is fitted, 1 for all; ``steps``: a task with fewer
     takes its last runs again; ``frequent``: most words sent to every task."""
 
-    share: int = 32
+    share: int = 1
     steps: int = 100
     rate: float = 0.01
     batch: int = 128
@@ -162,8 +162,11 @@ def start_weights(prior: np.ndarray, inputs: int = INPUTS, seed: int = 7) -> Wei
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    return x / x.sum(axis=-1, keepdims=True)
+    """Along the last axis, in place."""
+    x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=-1, keepdims=True)
+    return x
 
 
 def loss_and_gradient(w: Weights, inputs: np.ndarray, target: np.ndarray, weight: np.ndarray, opening: np.ndarray) -> tuple[float, Weights]:
@@ -172,7 +175,11 @@ def loss_and_gradient(w: Weights, inputs: np.ndarray, target: np.ndarray, weight
     x = w["E"][inputs] + w["P"]
     own = x[:, HALF - 1:-1]
     q, k, v = own @ w["Q"], x @ w["K"], x @ w["V"]
-    seen = _softmax(q @ k.transpose(0, 2, 1) * scale + CAUSAL + np.where(opening[:, None], OPENING, 0)[:, None, :])
+    q *= scale
+    seen = q @ k.transpose(0, 2, 1)
+    seen += CAUSAL
+    seen[opening] += OPENING
+    seen = _softmax(seen)
     mixed = seen @ v
     hidden = own + mixed @ w["O"]
     p = _softmax(hidden @ w["U"] + w["b"])
@@ -180,7 +187,8 @@ def loss_and_gradient(w: Weights, inputs: np.ndarray, target: np.ndarray, weight
     total = max(float(weight.sum()), 1.0)
     loss = float(-(weight * np.log(p[rows, places, target] + 1e-30)).sum() / total)
     p[rows, places, target] -= 1
-    dz = p * (weight / total)[:, :, None].astype(np.float32)
+    dz = p
+    dz *= (weight / total)[:, :, None].astype(np.float32)
     flat = lambda a: a.reshape(-1, a.shape[-1])
     g: Weights = {"U": flat(hidden).T @ flat(dz), "b": flat(dz).sum(axis=0)}
     dh = dz @ w["U"].T
@@ -188,8 +196,9 @@ def loss_and_gradient(w: Weights, inputs: np.ndarray, target: np.ndarray, weight
     dmixed = dh @ w["O"].T
     dseen = dmixed @ v.transpose(0, 2, 1)
     dv = seen.transpose(0, 2, 1) @ dmixed
-    ds = seen * (dseen - (dseen * seen).sum(axis=-1, keepdims=True)) * scale
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    ds = seen * (dseen - (dseen * seen).sum(axis=-1, keepdims=True))
+    # The scale is part of q.
+    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
     g["Q"], g["K"], g["V"] = flat(own).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
     dx = dk @ w["K"].T + dv @ w["V"].T
     dx[:, HALF - 1:-1] += dh + dq @ w["Q"].T
@@ -239,8 +248,17 @@ def fit_here(w: Weights, parts: list[np.ndarray], held: Classes, settings: Setti
     return len(chosen)
 
 
+def runs_of(text: bytes | None, path: str, share: int) -> list[np.ndarray]:
+    """The ids of a text that are fitted: all in one, or one in ``share`` runs of ``RUN_IDS`` ids."""
+    ids = ids_of(words_in(text), path)
+    if share == 1:
+        return [ids]
+    starts = range(zlib.crc32(text or b"") % share * RUN_IDS, len(ids), share * RUN_IDS)
+    return [ids[k:k + RUN_IDS] for k in starts]
+
+
 def fit(training: DataFrame, held: Classes, path: str, settings: Settings = Settings()) -> Weights:
-    """Weights fitted on one in ``share`` runs of all training texts, averaged over the tasks.
+    """Weights fitted on all training texts (or one in ``share`` runs of them), averaged over the tasks.
 
     The average is formed on the executors; one set of weights comes to the driver.
     """
@@ -250,13 +268,8 @@ def fit(training: DataFrame, held: Classes, path: str, settings: Settings = Sett
         w, moments, number, parts, last, load = {k: v.copy() for k, v in begin.items()}, {}, 0, [], [], 0
         for batch in batches:
             for text in raw(batch.column(0)):
-                text = text or b""
-                for k in range(zlib.crc32(text) % settings.share, len(text) // RUN_BYTES + 1, settings.share):
-                    stop = (k + 1) * RUN_BYTES
-                    # Words cut at the edges of a run are left out; only a run with the text's end has the end.
-                    words = words_in(text[k * RUN_BYTES:stop])[k > 0:]
-                    part = ids_of(words if stop >= len(text) else words[:-1], path)
-                    parts.append(part if stop >= len(text) else part[:-1])
+                for part in runs_of(text, path, settings.share):
+                    parts.append(part)
                     load += len(part)
                 if load > 1 << 16:
                     number += fit_here(w, parts, held, settings, moments)
