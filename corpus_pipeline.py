@@ -12,15 +12,15 @@ from tracewell.llm.common import prepare, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: A language below this part of the evidence is not believed.
-LEAST_SCORE = 0.3
+#: A language whose filter contains less than this part of a text's n-grams is not believed.
+LEAST_HELD = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; a missing label is filled in."""
     prepare(spark)
     found = lang_bits.predict(F.col("text"), lang_bits.fit(docs))
-    held = docs.withColumn("language found", found).where((F.col("language found.lang") != "und") & (F.col("language found.score") >= LEAST_SCORE))
+    held = docs.withColumn("language found", found).where((F.col("language found.lang") != "und") & (F.col("language found.held") >= LEAST_HELD))
     return held.withColumn("lang", F.coalesce("lang", "language found.lang")).drop("language found")
 
 

@@ -54,6 +54,26 @@ def test_more_languages_than_one_byte(spark):
     assert all(r.lang == r.p.lang for r in rows)
 
 
+def test_close_languages_stay_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(6)
+    words = "kuća more grad čovjek vrijeme dobar dan velika rijeka stara knjiga putuje kroz planinu".split()
+    texts = [" ".join(rnd.choice(words) for _ in range(30)) for _ in range(80)]
+    frame = docs(spark, [*texts, "qwx zzkp vvrt jjkl wqpf bbnm xxcz"], [("bs", "hr", "sh", "sr")[k % 4] for k in range(80)] + [None])
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, frame, "").collect()}
+    assert kept == set(range(80))
+
+
+def test_more_than_64_languages(spark):
+    texts = [" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}{chr(97 + k % 26)}" for j in range(8)) for k in range(130)]
+    frame = docs(spark, texts * 3, [f"l{k:03d}" for k in range(130)] * 3)
+    model = b.fit(frame)
+    assert len(model.languages) == 130 and model.bits.shape[0] == 3
+    rows = frame.select("lang", b.predict(frame.text, model).alias("p")).collect()
+    assert all(r.lang == r.p.lang for r in rows)
+
+
 def test_odd_rows_and_empty_tables(spark):
     texts, langs = sample(30, 4)
     model = b.fit(docs(spark, texts, langs), least=1)

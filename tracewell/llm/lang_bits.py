@@ -1,6 +1,6 @@
 """Language identification with bit-sliced Bloom filters of n-grams (operator 7).
 
-Every position of the filter holds one bit per language. The AND of the words at an n-gram's
+Every position of the filter holds one bit per language, in one word for each 64 of them. The AND of the words at an n-gram's
 positions is the set of languages whose filter contains it. A text's bits are counted per
 language, the expected false positives are taken off, and the best language wins.
 """
@@ -28,6 +28,8 @@ LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 els
 
 @dataclass
 class LanguageFilter:
+    """``bits``: one row of words for each 64 languages."""
+
     languages: list[str]
     bits: np.ndarray
     false_rate: np.ndarray
@@ -110,36 +112,38 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", siz
     """Learn the filters from all labelled rows; rows without text or language teach nothing.
 
     A language's filter takes an n-gram seen ``least`` times whose rate is at least ``share`` of the
-    highest rate in any language. What reaches the driver is at most one word for each of the
-    ``size`` positions. Up to 64 languages are told apart.
+    highest rate in any language. What reaches the driver is the name and total of each
+    language and at most one word for each of the ``size`` positions and 64 languages.
     """
     held = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = held.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    wide = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("own"))
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(65).collect()}
-    if len(totals) > 64:
-        raise ValueError("more than 64 languages")
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
+    groups = -(-len(languages) // 64)
     if not languages:
-        return LanguageFilter([], np.zeros(size, np.uint64), np.zeros(0))
-    total = F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(totals[lang]))])
-    bit = F.create_map(*[F.lit(x) for k, lang in enumerate(languages) for x in (lang, (1 << k) - (1 << 64 if k == 63 else 0))])
-    rated = wide.withColumn("own", F.transform("own", lambda x: F.struct(x.lang.alias("lang"), x.n.alias("n"), (x.n / total[x.lang]).alias("rate"))))
-    rated = rated.withColumn("top", F.array_max(F.transform("own", lambda x: x.rate)))
-    taken = rated.withColumn("own", F.filter("own", lambda x: (x.n >= least) & (x.rate >= share * F.col("top")))).where(F.size("own") > 0)
-    mask = taken.select("gram", F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit[x.lang])).alias("mask"))
+        return LanguageFilter([], np.zeros((0, size), np.uint64), np.zeros(0))
+    # A bit by its place among 64, as a signed long.
+    numbered = labelled.sparkSession.createDataFrame(
+        [(lang, float(totals[lang]), k // 64, (1 << k % 64) - (1 << 64 if k % 64 == 63 else 0)) for k, lang in enumerate(languages)],
+        "lang string, total double, word int, bit long")
+    each = counts.join(F.broadcast(numbered), "lang").select("gram", "word", "bit", "n", (F.col("n") / F.col("total")).alias("rate"))
+    wide = each.groupBy("gram").agg(F.collect_list(F.struct("word", "bit", "n", "rate")).alias("own"), F.max("rate").alias("top"))
+    taken = wide.withColumn("own", F.filter("own", lambda x: (x.n >= least) & (x.rate >= share * F.col("top")))).where(F.size("own") > 0)
+    words = F.transform(F.array_distinct(F.transform("own", lambda x: x.word)), lambda w: F.struct(w.alias("word"), F.aggregate(
+        F.filter("own", lambda x: x.word == w), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x.bit)).alias("mask")))
+    mask = taken.select("gram", F.explode(words).alias("word")).select("gram", "word.word", "word.mask")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, masks = batch.column(0).to_numpy(), batch.column(1)
+            grams = batch.column(0).to_numpy()
             for at in _positions(grams, size, hashes):
-                yield batch_of({"at": (pa.int64(), at), "mask": (pa.int64(), masks)})
+                yield batch_of({"at": (pa.int64(), at), "word": (pa.int32(), batch.column(1)), "mask": (pa.int64(), batch.column(2))})
 
-    bits = np.zeros(size, np.uint64)
-    found = mask.mapInArrow(placed, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-    bits[found.column("at").to_numpy()] = found.column("mask").to_numpy().astype(np.int64).view(np.uint64)
-    fill = np.array([np.mean((bits >> np.uint64(k)) & np.uint64(1)) for k in range(len(languages))])
-    narrow = next(t for t, width in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= width)
+    bits = np.zeros((groups, size), np.uint64)
+    found = mask.mapInArrow(placed, "at long, word int, mask long").groupBy("at", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bits[found.column("word").to_numpy(), found.column("at").to_numpy()] = found.column("mask").to_numpy().astype(np.int64).view(np.uint64)
+    fill = np.array([np.mean((bits[k // 64] >> np.uint64(k % 64)) & np.uint64(1)) for k in range(len(languages))])
+    narrow = next(t for t, width in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if min(len(languages), 64) <= width)
     return LanguageFilter(languages, bits.astype(narrow), fill ** hashes)
 
 
@@ -149,40 +153,45 @@ def tallies(model: LanguageFilter, texts: list[bytes], hashes: int = 3) -> tuple
     one = model.bits.dtype.type(1)
     for rows, parts in pieces(map(_folded, texts), PIECE, WIDTH - 1):
         grams, sizes = _grams(parts)
-        mask = None
-        for at in _positions(grams, len(model.bits), hashes):
-            word = model.bits[at]
-            mask = word if mask is None else mask & word
         np.add.at(n, rows, sizes)
         edges = np.append(0, np.cumsum(sizes))
-        for k in range(len(model.languages)):
-            before = np.append(0, np.cumsum((mask >> model.bits.dtype.type(k)) & one, dtype=np.int64))
-            np.add.at(hits[:, k], rows, np.diff(before[edges]))
+        places = list(_positions(grams, model.bits.shape[1], hashes))
+        for first, words in zip(range(0, len(model.languages), 64), model.bits):
+            mask = None
+            for at in places:
+                word = words[at]
+                mask = word if mask is None else mask & word
+            for k in range(min(64, len(model.languages) - first)):
+                before = np.append(0, np.cumsum((mask >> model.bits.dtype.type(k)) & one, dtype=np.int64))
+                np.add.at(hits[:, first + k], rows, np.diff(before[edges]))
     return n, hits
 
 
 def predict(text: Column, model: LanguageFilter, hashes: int = 3) -> Column:
-    """Struct (lang, score) of a text.
+    """Struct (lang, score, held) of a text.
 
     ``und`` with score 0 for NULL and for texts without a letter; ties go to the first language by
-    name. The score is the best language's part of all corrected counts.
+    name. The score is the best language's part of all corrected counts; ``held`` is the part of the text's n-grams that its filter contains,
+    corrected as well, which close languages do not lower.
     """
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, held double")
     def predicted(column: pa.Array) -> pa.Array:
         texts = raw(column)
         n, hits = tallies(model, texts, hashes)
         fair = np.maximum(hits - n[:, None] * model.false_rate, 0) / np.maximum(1 - model.false_rate, 1e-9)
-        langs, scores = [], []
-        for text, own in zip(texts, fair):
+        langs, scores, held = [], [], []
+        for text, own, grams in zip(texts, fair, n):
             letters = bool(text) and (any(map(str.isalpha, text[:200].decode("utf-8", "ignore"))) or any(map(str.isalpha, text.decode("utf-8", "replace"))))
             if not letters or not len(own):
                 langs.append("und")
                 scores.append(0.0)
+                held.append(0.0)
                 continue
             best, whole = int(np.argmax(own)), float(own.sum())
             langs.append(model.languages[best])
             scores.append(float(own[best]) / whole if whole > 0 else 0.0)
-        return struct_of({"lang": (pa.string(), langs), "score": (pa.float64(), scores)})
+            held.append(float(own[best]) / grams if grams > 0 else 0.0)
+        return struct_of({"lang": (pa.string(), langs), "score": (pa.float64(), scores), "held": (pa.float64(), held)})
 
     # Not deterministic for the optimizer: a filter on the result must not evaluate it a second time.
     return predicted.asNondeterministic()(text)
