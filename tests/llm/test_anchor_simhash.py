@@ -103,3 +103,12 @@ def test_one_of_each_and_odd_rows(spark):
     assert set(kept.columns) == set(frame.columns)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, None, 4, 5, 6], key=str)
     assert a.report(docs(spark, [])).count() == 0
+
+
+def test_one_of_each_keeps_one_row_of_every_group_whatever_the_ids(spark):
+    story, other, third = (" ".join(f"{w}{k}" for k in range(40)) for w in ("river", "stone", "cloud"))
+    rows = [(1, story), (2, story), (2, other), (3, other), (4, third), (4, story + " end of another text altogether " + third),
+            (None, "no id here at all"), (None, "no id here at all"), (5, "the same"), (5, "the same")]
+    frame = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in a.one_of_each(frame).collect()), key=str)
+    assert kept == sorted([(1, story), (2, other), rows[4], rows[5], rows[6], rows[8]], key=str)

@@ -177,18 +177,23 @@ def links(fingerprints: DataFrame) -> DataFrame:
     return met.mapInArrow(_compared, "a long, b long").distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, name: Column, *more: Column) -> DataFrame:
+    """Rows (doc_id, fp, name, more): ``name``, over doc_id and more, is the least of the row's component."""
+    prints = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp"), *more))
+    nodes = prints.groupBy("fp").agg(F.min(name).alias("first"))
+    roots = components(links(nodes)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    held = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    names = held.groupBy("root").agg(F.min("first").alias("name"))
+    return prints.join(held.join(names, "root").select("fp", "name"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp (long) and component_id, the smallest doc_id reachable by links.
 
     Texts without a word share fingerprint zero and so a component. A NULL doc_id gets its
     component but is never one's name unless all its members are NULL. Repeated rows stay repeated.
     """
-    prints = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(nodes)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    held = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = held.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(held.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, id_col, text_col, F.col("doc_id")).select("doc_id", "fp", F.col("name").alias("component_id"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -198,16 +203,24 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that have a smaller doc_id in their component.
-
-    Of rows that repeat a doc_id one stays; documents without doc_id stay.
+    """One document of each component: that with the smallest doc_id, NULL last, and of rows that share it
+    with different texts that with the smallest hash. Of rows that repeat both one stays.
     """
-    found = cut_lineage(near_duplicates(docs, id_col, text_col))
-    lost = cut_lineage(found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct())
-    # Up to this many ids go to the documents, which then are not shuffled; beyond it both sides are.
-    kept = docs.join(F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost, id_col, "left_anti")
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, id_col, "left_anti").unionByName(once)
+    number = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("kept number")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("kept number").alias("number"))
+    found = cut_lineage(_grouped(docs, id_col, text_col, name, number).withColumn(
+        "stays", F.col("doc_id").eqNullSafe(F.col("name.id")) & (F.col("kept number") == F.col("name.number"))).groupBy("doc_id", "kept number", "stays").count())
+
+    def rows(own: DataFrame) -> DataFrame:
+        return own.select(F.col("doc_id").alias("kept id"), F.col("kept number").alias("found number"))
+
+    numbered = docs.withColumn("kept number", number)
+    same = numbered[id_col].eqNullSafe(F.col("kept id")) & (F.col("kept number") == F.col("found number"))
+    # Up to this many rows go to the documents, which then are not shuffled; beyond it both sides are.
+    lost = rows(found.where("NOT stays"))
+    kept = numbered.join(F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost, same, "left_anti")
+    repeated = rows(found.where("stays AND count > 1"))
+    if not repeated.isEmpty():
+        once = kept.join(repeated, same, "left_semi").dropDuplicates([id_col, "kept number"])
+        kept = kept.join(repeated, same, "left_anti").unionByName(once)
+    return kept.drop("kept number")
