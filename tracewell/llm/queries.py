@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import anchor_simhash, attention_lm, bpe_count, fm_decontaminate, lang_bits, line_rules, maxplus_pieces, secret_guess, warc_chain, wrappers
+from tracewell.llm import (anchor_simhash, attention_lm, bpe_count, fm_decontaminate, hyperplane_tree, lang_bits, line_rules, maxplus_pieces, norm_buckets,
+                           pivotal_grams, secret_guess, warc_chain, wrappers)
 from tracewell.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,37 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_count.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+#: Vectors that take part, as whole numbers.
+SQL_VECTORS = """SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+SQL_SCORE = "CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT)"
+
+
+@sql(f"""
+WITH e AS ({SQL_VECTORS}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, {SQL_SCORE} AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+@query
+def op11_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    return norm_buckets.top_products(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@sql(f"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM ({SQL_VECTORS}) WHERE label IS NOT NULL),
+s AS (SELECT q.vec_id AS anchor_id, c.vec_id AS other_id, q.label = c.label AS same, {SQL_SCORE} AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (SELECT p.anchor_id, p.other_id AS positive_id, p.score AS positive_score, s.other_id AS negative_id, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""")
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hyperplane_tree.hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return pivotal_grams.report(table(spark, folder, "documents"))
