@@ -104,9 +104,12 @@ def test_each_way_of_pruning_is_taken(monkeypatch):
     monkeypatch.setattr(n, "BUCKET", 40)
     rng = np.random.default_rng(3)
     centre = rng.normal(size=16) * 200
-    near = np.rint(centre + rng.normal(size=(300, 16)) * 2).astype(np.int64)
-    wide = np.rint(rng.normal(size=(700, 16)) * 200).astype(np.int64)
-    rows = np.concatenate([near, wide, (wide // 50)])
+
+    def of_length(x):
+        return np.rint(800 * x / v.lengths(x)[:, None]).astype(np.int64)
+
+    near, wide = of_length(centre + rng.normal(size=(300, 16)) * 2), of_length(rng.normal(size=(700, 16)))
+    rows = np.concatenate([near, wide, wide // 50])
     rows = rows[np.argsort(-v.lengths(rows), kind="stable")]
     import pyarrow as pa
     ids = v.Ids(pa.array([[k] for k in range(len(rows))], pa.list_(pa.int64())))
