@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.identity import upload_chunk_id
@@ -36,9 +36,22 @@ def audit_events(changes: DataFrame, entity: str, kind: str, payload: Sequence[s
                           F.col(kind).alias("event_type"), body.alias("payload_json"), F.col(at).alias("created_at"))
 
 
-def append_audit(events: DataFrame, path: str) -> None:
-    """The log only grows; rows already written are never touched."""
-    events.write.mode("append").parquet(path)
+BATCH = "batch"
+
+
+def append_audit(events: DataFrame, path: str, batch: str) -> None:
+    """Append the events of one batch, named uniquely by the caller, to the log at ``path``.
+
+    Each batch has a partition of its own, which is replaced as a whole when the batch is written again
+    after a failure. Rows of other batches are never touched; one with no rows leaves nothing.
+    """
+    held = events.dropDuplicates(["event_id"]).withColumn(BATCH, F.lit(batch))
+    held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """All events of the log; one that several batches hold, such as a source read anew, counts once."""
+    return spark.read.parquet(path).drop(BATCH).dropDuplicates(["event_id"])
 
 
 def purge_case(tables: Mapping[str, DataFrame], cases: DataFrame, key: Sequence[str]) -> dict[str, DataFrame]:

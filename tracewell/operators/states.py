@@ -25,6 +25,21 @@ def replay(events: DataFrame, after: int, sequence: str = "sequence") -> DataFra
     return events.where(F.col(sequence) > max(0, after))
 
 
+def replay_to_end(events: DataFrame, job: str, ends: Column, sequence: str = "sequence", after: int = 0) -> DataFrame:
+    """Events behind a cursor up to the first that ends its job; of a job without one, all."""
+    last = events.where(ends).groupBy(F.col(job).alias("_job")).agg(F.min(sequence).alias("_end"))
+    held = events.join(last, F.col(job) == F.col("_job"), "left").where((F.col(sequence) <= F.col("_end")) | F.col("_end").isNull())
+    return replay(held, after, sequence).drop("_job", "_end")
+
+
+def heartbeats(events: DataFrame, job: str, ts: str, tie: str, silent_seconds: float = 15.0) -> DataFrame:
+    """Per job its events and how often nothing had come for ``silent_seconds`` since the last event or heartbeat."""
+    seen = ordered_columns(events, [job], [(ts, True), (tie, True)], lag={"_before": ts})
+    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))
+    beats = F.greatest(F.ceil(gap / F.lit(int(silent_seconds * 1_000_000))) - 1, F.lit(0))
+    return seen.groupBy(job).agg(F.count(F.lit(1)).alias("events"), F.sum(F.coalesce(beats, F.lit(0)).cast("long")).alias("heartbeats"))
+
+
 def _allowed(source: Column, target: Column) -> Column:
     legal = F.lit(False)
     for status, (nexts, _) in P.TRANSITIONS.items():

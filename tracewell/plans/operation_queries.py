@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracewell.functions import patterns as P
 from tracewell.operators import states
 from tracewell.plans.registry import Tables, query
+from tracewell.session import shared_folder
+from tracewell.streaming import replay
+from tracewell.streaming.events import read_events
 
 STATUS_OF = {"click": "VALIDATING", "view": "PARSING", "purchase": "INDEXING", "signup": "READY", "error": "FAILED"}
 ORDER = [("ts", True), ("event_id", True)]
@@ -37,6 +42,40 @@ def replay_after(t: Tables):
     return states.replay(numbered, 50).select("user_id", "sequence", "event_id", "event_type")
 
 
+@query("replay_to_end", """
+WITH s AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events),
+e AS (SELECT user_id, min(sequence) AS last FROM s WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT s.user_id, sequence, event_id, event_type FROM s LEFT JOIN e USING (user_id) WHERE sequence > 1 AND sequence <= coalesce(last, sequence)""")
+def replay_to_end(t: Tables):
+    numbered = states.number_events(t.events.select("event_id", "user_id", "ts", "event_type"), "user_id", ORDER)
+    held = states.replay_to_end(numbered, "user_id", F.col("event_type") == "purchase", after=1)
+    return held.select("user_id", "sequence", "event_id", "event_type")
+
+
+@query("heartbeats", """
+WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)
+SELECT user_id, count(*) AS events, CAST(sum(CASE WHEN gap > 15000000 THEN (gap - 1) // 15000000 ELSE 0 END) AS BIGINT) AS heartbeats FROM g GROUP BY user_id""")
+def heartbeats(t: Tables):
+    return states.heartbeats(t.events.select("event_id", "user_id", "ts"), "user_id", "ts", "event_id")
+
+
+@query("stream_replay", """
+WITH e AS (SELECT user_id, min(event_id) AS last FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS sequence, event_type, CASE WHEN event_id > last THEN 'refused' ELSE 'event' END AS verdict
+FROM events LEFT JOIN e USING (user_id) WHERE event_id > 10 OR event_id > last""")
+def stream_replay(t: Tables):
+    """The events table as a stream, read to its end: what the reader of each job gets behind its cursor."""
+    folder = f"{shared_folder(t.spark)}/jobs-{uuid.uuid4().hex}"
+    # A glob also takes a table that is a single file.
+    stream = read_events(t.spark, f"{t.folder}/events.parque[t]", t.events.schema, files_per_batch=1_000_000)
+    told = stream.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("sequence"), "event_type")
+    with replay.read_to_the_end(t.spark):
+        running = replay.job_stream(told, F.col("event_type") == "purchase", after=10).writeStream.format("parquet").option(
+            "path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return t.spark.read.schema(replay.JOB_STREAM).parquet(f"{folder}/out").where("verdict <> 'heartbeat'").drop("at")
+
+
 @query("illegal_transitions", SQL_LOG + " SELECT event_id, user_id, ps AS previous_status, status FROM p WHERE ps IS NOT NULL AND ps <> status AND NOT ("
        + " OR ".join(f"(ps = '{k}' AND status IN ({', '.join(repr(x) for x in v[0])}))" for k, v in P.TRANSITIONS.items() if v[0]) + ")")
 def illegal_transitions(t: Tables):
