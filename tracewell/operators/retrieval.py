@@ -1,4 +1,4 @@
-"""Filters, score floors, first-seen deduplication and vector means."""
+"""Filters, score floors, first-seen deduplication and pooled vectors."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.vectors import l2_normalize
+from tracewell.operators.means import mean_vectors
 from tracewell.session import cut_lineage
 
 BROADCAST_HITS = 200_000
@@ -89,14 +89,6 @@ def search_quality(queries: DataFrame, hits: DataFrame, accepted: DataFrame, *,
         .otherwise("low_relevance").alias("retrieval_quality"))
 
 
-def mean_vectors(vectors: DataFrame, owner: str, vector: str) -> DataFrame:
-    """Mean vector per owner, L2-normalised. Sums merge map-side; a result row is one vector."""
-    cells = vectors.select(owner, F.posexplode(vector).alias("dim", "x"))
-    means = cells.groupBy(owner, "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    whole = means.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("v"))
-    return whole.select(owner, F.col("v.m").alias("mean")).withColumn("unit", l2_normalize(F.col("mean")))
-
-
 def pooled_vectors(texts: DataFrame, owner: str, text: str, encode, *, size: int = 1000, stride: int = 900) -> DataFrame:
     """One vector per owner: long texts are encoded in overlapping windows and averaged.
 

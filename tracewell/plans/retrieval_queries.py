@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
 from tracewell.functions.vectors import cosine, hash_counts, l2_normalize, norm
 from tracewell.operators import lexical, retrieval
+from tracewell.operators.means import mean_vectors
+from tracewell.operators.postings import Postings
 from tracewell.operators.scoring import best_overlap, hybrid_search, search
 from tracewell.operators.topk import first_rows
 from tracewell.plans.registry import Tables, query
+from tracewell.session import shared_folder
 from tracewell.plans.text_queries import PARTICLES, STOP, sql_clean, sql_terms, sql_words
 
 AMOUNT_MARKERS = ["that", "when"]
@@ -89,6 +94,15 @@ def bm25(t: Tables):
     return hits.select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@query("bm25_postings", f"""
+WITH {SQL_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lexical DESC, doc_id) AS rank FROM bm)
+SELECT item_id AS query_id, rank, doc_id, round(lexical, 6) AS score FROM r WHERE rank <= 10""")
+def bm25_postings(t: Tables):
+    index = Postings(t.spark, f"{shared_folder(t.spark)}/postings-{uuid.uuid4().hex}").build(t.spread("documents", "doc_id", "text"), "doc_id", "text")
+    hits = index.search(t.benchmark, 10, "item_id")
+    return hits.select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query("hash_encode", f"""
 WITH {sql_counts('dv', 'documents', 'doc_id')}
 SELECT g_id AS doc_id, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY k) AS counts
@@ -112,7 +126,7 @@ WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding,
 m AS (SELECT label, dim, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY ALL)
 SELECT label, dim, round(m, 6) AS mean, round(m / greatest(n, 1e-12), 6) AS unit FROM m JOIN n USING (label)""")
 def centroids(t: Tables):
-    c = retrieval.mean_vectors(t.embeddings, "label", "embedding")
+    c = mean_vectors(t.embeddings, "label", "embedding")
     return c.select("label", F.posexplode(F.arrays_zip("mean", "unit")).alias("dim", "z")).select(
         "label", "dim", F.round("z.mean", 6).alias("mean"), F.round("z.unit", 6).alias("unit"))
 

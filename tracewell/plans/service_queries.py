@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import spans, text
 from tracewell.functions.money import rewrite_amounts
-from tracewell.functions.vectors import hash_counts
+from tracewell.functions.vectors import hash_counts, window_encoder
 from tracewell.operators import claims, evidence, fields, grouping, layout, prompts, reasoning, registry, retrieval, validation
 from tracewell.operators.upload import process_uploads
 from tracewell.plans.chunk_queries import OVERLAP, SIZE, SQL_SPLIT
@@ -259,6 +260,28 @@ def pooled_encode(t: Tables):
     return found.select("doc_id", F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.array_max("unit"), 6).alias("largest"))
 
 
+def _word_model():
+    """Words as tokens, the bucket of a word's first letter and length as its hidden state."""
+    def tokens(said: str) -> list[int]:
+        return [(ord(w[0]) + len(w)) % 8 for w in said.split(" ") if w]
+
+    return tokens, lambda ids, mask: np.eye(8)[ids]
+
+
+@query("window_encode", """
+WITH d AS (SELECT doc_id, list_transform(list_filter(string_split('passage: ' || text, ' '), lambda w: w <> ''), lambda w: (unicode(w) + length(w)) % 8) AS k FROM documents),
+w AS (SELECT doc_id, i, k[i * 56 + 1:i * 56 + 64] AS part FROM (SELECT doc_id, k, unnest(range(0, greatest(1, (len(k) - 8 + 55) // 56))) AS i FROM d)),
+c AS (SELECT doc_id, i, b, len(list_filter(part, lambda x: x = b)) / len(part) AS x FROM w, range(8) r(b)),
+u AS (SELECT doc_id, i, b, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, i)) AS x FROM c), m AS (SELECT doc_id, b, avg(x) AS x FROM u GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(x * x)) AS n, max(x) AS top, sum(x) AS total FROM m GROUP BY ALL)
+SELECT doc_id, round(top / n, 4) AS largest, round(total / n, 4) AS total FROM n""")
+def window_encode(t: Tables):
+    encode = window_encoder(_word_model, room=64, shared=8)
+    d = t.spread("documents", "doc_id", "text").select("doc_id", encode("text").alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return d.select("doc_id", F.round(F.array_max("v").cast("double"), 4).alias("largest"), F.round(total, 4).alias("total"))
+
+
 @query("verification_modes", """
 WITH f AS (SELECT o_orderkey, 'order ' || o_orderpriority || ' is ' || o_orderstatus || '. Rest.' AS text, o_custkey % 3 = 0 AS failing, o_custkey % 2 = 0 AS located, o_orderstatus AS s, o_orderpriority AS p FROM orders)
 SELECT 'OFF' AS mode, o_orderkey, text, 0 AS findings, false AS patched FROM f
