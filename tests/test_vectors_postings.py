@@ -118,3 +118,30 @@ def test_posting_maxima_bound_their_blocks(spark, tmp_path, monkeypatch):
 def test_an_empty_corpus_has_no_hits(spark, tmp_path):
     index = postings.Postings(spark, str(tmp_path / "p")).build(spark.createDataFrame([], DOCS), "doc_id", "text")
     assert index.search(spark.createDataFrame([(1, "word")], "query_id long, text string"), 3).count() == 0
+
+
+def plain_cosine(rows, queries, k):
+    def unit(v):
+        return np.array(v, float) / max(math.sqrt(sum(x * x for x in v)), 1e-12)
+
+    found = []
+    for q, w in queries:
+        best = sorted((-round(float(unit(v) @ unit(w)), 9) + 0.0, i) for i, v in rows if v is not None)[:k]
+        found += [(q, rank + 1, i, round(-s, 6) + 0.0) for rank, (s, i) in enumerate(best)]
+    return sorted(found)
+
+
+def test_clusters_equal_plain_comparison_and_leave_rings_out(spark, tmp_path, monkeypatch):
+    from tracewell.operators import clusters
+    monkeypatch.setattr(clusters, "PLACE", 40)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 9))
+    rows = [(k, (centres[k % 12] + rng.normal(size=9) * 0.08).tolist()) for k in range(600)] + [(900, [0.0] * 9), (901, None)] + [(1000 + k, centres[0].tolist()) for k in range(90)]
+    queries = [("a", rows[0][1]), ("b", rows[5][1]), ("far", rng.normal(size=9).tolist()), ("zero", [0.0] * 9), ("same", centres[0].tolist()), ("none", None)]
+    table = spark.createDataFrame(rows, "id long, v array<double>")
+    asked = spark.createDataFrame(queries, "q string, w array<double>")
+    index = clusters.Clusters(spark, str(tmp_path / "c")).build(table, "id", "v", size=50)
+    found = sorted((r.query_id, r["rank"], r.id, round(r.score, 6) + 0.0) for r in index.search(asked, 6, "q", "w").collect())
+    assert found == plain_cosine(rows, [x for x in queries if x[1]], 6)
+    work = {r.query_id: (r.vectors, r.scored) for r in index.work(asked, 6, "q", "w").collect()}
+    assert all(whole == 691 for whole, _ in work.values()) and work["a"][1] < 480 and work["b"][1] < 480

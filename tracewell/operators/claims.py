@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.spans import claim_spans, numeric_tokens
+from tracewell.functions.spans import claim_spans, exploded_numbers
 from tracewell.functions.text import citations
 from tracewell.operators.fields import scale_finding, splice_patch
 
@@ -32,7 +32,7 @@ def segment_claims(sections: DataFrame, key: str, allowed: Column | None = None)
 
 def explode_tokens(rows: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """(keys, raw, canonical, kind, unit, periods, shown): one row per typed number."""
-    return rows.where(F.col(text).rlike(r"\p{Nd}")).select(*keys, F.explode(numeric_tokens(text)).alias("t")).select(
+    return exploded_numbers(rows.where(F.col(text).rlike(r"\p{Nd}")), text, *keys, name="t").select(
         *keys, "t.raw", "t.canonical", "t.kind", "t.unit", "t.periods",
         F.concat(F.col("t.raw"), F.coalesce("t.unit", F.lit(""))).alias("shown"))
 

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from tracewell.functions import text
 from tracewell.functions.vectors import cosine, hash_counts, l2_normalize, norm
 from tracewell.operators import lexical, retrieval
+from tracewell.operators.clusters import Clusters
 from tracewell.operators.means import mean_vectors
 from tracewell.operators.postings import Postings
 from tracewell.operators.scoring import best_overlap, hybrid_search, search
 from tracewell.operators.topk import first_rows
 from tracewell.plans.registry import Tables, query
-from tracewell.session import shared_folder
 from tracewell.plans.text_queries import PARTICLES, STOP, sql_clean, sql_terms, sql_words
+from tracewell.session import shared_folder
 
 AMOUNT_MARKERS = ["that", "when"]
 UNIT_MARKER = "tion"
@@ -144,6 +145,17 @@ def cosine_topk(t: Tables):
     return hits.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+@query("cosine_clusters", f"""
+WITH {SQL_LABEL_QUERY}, s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])), 9) AS s FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, round(s, 6) AS score FROM r WHERE rank <= 5""")
+def cosine_clusters(t: Tables):
+    chosen = first_rows(t.embeddings.select("label", "vec_id", "embedding"), ["label"], ["vec_id"])
+    index = Clusters(t.spark, f"{shared_folder(t.spark)}/clusters-{uuid.uuid4().hex}").build(t.embeddings, "vec_id", "embedding")
+    hits = index.search(chosen, 5, "label", "embedding")
+    return hits.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 @query("dot_pairs", """
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 f AS (SELECT label, arg_min(v, vec_id) AS q FROM e GROUP BY label)

@@ -384,7 +384,7 @@ def numeric_lexemes(t: Tables):
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS canonical, 'date' AS kind, strftime(o_orderdate, '%Y') AS period FROM orders""")
 def dates(t: Tables):
     d = t.orders.select("o_orderkey", F.concat(F.lit("on "), F.date_format("o_orderdate", "yyyy/M/d"), F.lit(" due")).alias("s"))
-    d = d.select("o_orderkey", F.explode(spans.numeric_tokens("s")).alias("n")).where("n.kind = 'date'")
+    d = spans.exploded_numbers(d, "s", "o_orderkey").where("n.kind = 'date'")
     return d.select("o_orderkey", "n.canonical", "n.kind", F.array_join("n.periods", ",").alias("period"))
 
 
@@ -398,7 +398,7 @@ def numeric_tokens(t: Tables):
     sentence = F.concat(
         F.date_format("l_shipdate", "yyyy'년 'M'월'"), F.lit(" rate "), F.round(F.col("l_discount") * 100).cast("int").cast("string"),
         F.lit("% page 3, amount "), F.col("l_quantity").cast("int").cast("string"), F.lit("백만원 B12=7"))
-    d = t.spread("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.explode(spans.numeric_tokens(sentence)).alias("n"))
+    d = spans.exploded_numbers(t.spread("lineitem"), sentence, "l_orderkey", "l_linenumber", "l_partkey")
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "n.kind", "n.canonical", "n.unit", F.array_join("n.periods", ",").alias("periods"))
 
 
