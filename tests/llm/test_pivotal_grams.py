@@ -120,3 +120,20 @@ def test_ties_repeated_rows_and_chains(spark):
 def test_long_texts_are_counted_whole(spark):
     text = "lengthy words " * 90_000
     assert {r.word: r.n for r in p.vocabulary(docs(spark, [text])).collect()} == plain_words([(0, text)])
+
+
+def test_edits_are_told_in_numpy_as_one_by_one():
+    import numpy as np
+    r = random.Random(8)
+    words = ["".join(r.choice("abß") for _ in range(r.randint(1, 7))) for _ in range(60)] + ["a" * 48, "a" * 47, "a" * 47 + "b", "a" * 49, "b" + "a" * 48, "a" * 60 + "b", "a" * 61]
+    x, y = (z.ravel() for z in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    found = p._near(words, np.array(list(map(len, words))), x, y)
+    assert found.tolist() == [one_edit(words[i], words[j]) for i, j in zip(x, y)] == [p.one_edit(words[i], words[j]) for i, j in zip(x, y)]
+
+
+def test_small_blocks_of_rows_and_meetings(spark, monkeypatch):
+    monkeypatch.setattr(p, "ROWS", 7)
+    monkeypatch.setattr(p, "MEETINGS", 3)
+    texts = some_texts(12)
+    found = sorted(map(key, p.report(docs(spark, texts)).collect()), key=lambda x: x[0])
+    assert found == plain_variants(plain_words(enumerate(texts)))

@@ -15,6 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -96,29 +97,132 @@ def pivots_of(prefix: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 START, END = 0, 1
+KEPT, ASKS = 0, 1
+#: Rows and meetings that a task looks at in one go.
+ROWS = 1 << 14
+MEETINGS = 1 << 20
+#: Words up to this length are compared in one matrix.
+SHORT = 48
 
+KEYED = "key long, kind int, word string, letters long, last int"
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], order: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """One row for each key under which a word is kept (prefix) or asked for (pivots)."""
+    def key(gram: int, side: int, place: int, size: int) -> int:
+        return (gram << 1 | side) << 42 | (place & 0x1FFFFF) << 21 | size & 0x1FFFFF
 
-def _keyed(batches: Iterator[pa.RecordBatch], order: dict[str, int], pivots: bool) -> Iterator[pa.RecordBatch]:
-    """One row for each key under which a word is looked up (pivots) or kept (prefix)."""
     for batch in batches:
-        rows: tuple[list, ...] = ([], [], [], [], [], [], [])
-        for word in batch.column(0).to_pylist():
+        keys, kinds, owner, letters, lasts = [], [], [], [], []
+        for number, word in enumerate(batch.column(0).to_pylist()):
             size, prefix = len(word), prefix_of(word, order)
-            letters, last = 0, max(g for g, _ in prefix)
+            mask = 0
             for c in word:
-                letters |= 1 << (ord(c) * 7 & 63)
-            letters -= (letters >> 63) << 64
-            for gram, at in pivots_of(prefix) if pivots else prefix:
-                # Of equal length, a bigram that lives on stays at its place; else it keeps its distance from the start or the end.
-                for side, place, other in ((START, at, size), (START, at, size + 1), (START, at, size - 1), (END, size - at, size + 1), (END, size - at, size - 1)) if pivots else (
-                        (START, at, size), (END, size - at, size)):
-                    for held, value in zip(rows, (gram, side, place, other, word, letters, last)):
-                        held.append(value)
-        kinds = dict(zip(("gram", "side", "place", "size", "word", "letters", "last"), zip([pa.int32()] * 4 + [pa.string(), pa.int64(), pa.int32()], rows)))
-        yield batch_of(kinds)
-
-
-KEYED = "gram int, side int, place int, size int, word string, letters long, last int"
+                mask |= 1 << (ord(c) * 7 & 63)
+            letters.append(mask - ((mask >> 63) << 64))
+            lasts.append(max(g for g, _ in prefix))
+            own = [key(gram, side, place, size) for gram, at in prefix for side, place in ((START, at), (END, size - at))]
+            kinds += [KEPT] * len(own)
+            # Of equal length, a bigram that lives on stays at its place; else it keeps its distance from the start or the end.
+            asked = [key(gram, side, place, other) for gram, at in pivots_of(prefix) for side, place, other in (
+                (START, at, size), (START, at, size + 1), (START, at, size - 1), (END, size - at, size + 1), (END, size - at, size - 1))]
+            kinds += [ASKS] * len(asked)
+            keys += own + asked
+            owner += [number] * (len(own) + len(asked))
+        taken = pa.array(owner, pa.int64())
+        yield batch_of({"key": (pa.int64(), keys), "kind": (pa.int32(), kinds), "word": (pa.string(), batch.column(0).take(taken)),
+                        "letters": (pa.int64(), pa.array(letters, pa.int64()).take(taken)), "last": (pa.int32(), pa.array(lasts, pa.int32()).take(taken))})
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether two words differ by exactly one edit: what they share at the start and at the end makes up all but one."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    shared = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    ending = next((k for k, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    return shared + ending >= max(len(a), len(b)) - 1
+
+
+def _codes(words: list[str], size: np.ndarray, right: bool) -> np.ndarray:
+    """Code points as a matrix, read from the left or from the right; words beyond ``SHORT`` are left out."""
+    out = np.zeros((len(words), SHORT), np.uint32)
+    short = size <= SHORT
+    flat = np.frombuffer("".join(w for w, s in zip(words, short.tolist()) if s).encode("utf-32-le"), "<u4")
+    sizes = np.where(short, size, 0)
+    row = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[row, place] = flat[np.repeat(np.cumsum(sizes), sizes) - 1 - place] if right else flat
+    return out
+
+
+def _near(words: list[str], size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs (x, y) of row numbers are one edit apart."""
+    good = np.zeros(len(x), bool)
+    used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    own = [words[k] for k in used.tolist()]
+    left, right = _codes(own, size[used], False), _codes(own, size[used], True)
+    u, v = at[:len(x)], at[len(x):]
+    longer = np.maximum(size[x], size[y])
+    short = np.flatnonzero(longer <= SHORT)
+    for part in np.array_split(short, -(-len(short) // (1 << 16)) or 1):
+        # Beyond both words all is equal, so the shared parts are bounded by the shorter word.
+        fewer = np.minimum(size[x[part]], size[y[part]])
+        start, end = ((m[u[part]] != m[v[part]]) for m in (left, right))
+        shared = np.minimum(np.where(start.any(axis=1), start.argmax(axis=1), SHORT), fewer)
+        ending = np.minimum(np.where(end.any(axis=1), end.argmax(axis=1), SHORT), fewer)
+        differ = start.any(axis=1) | (size[x[part]] != size[y[part]])
+        good[part] = differ & (np.abs(size[x[part]] - size[y[part]]) <= 1) & (shared + ending >= longer[part] - 1)
+    for k in np.flatnonzero(longer > SHORT).tolist():
+        good[k] = one_edit(words[x[k]], words[y[k]])
+    return good
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and kind: the near pairs among those that meet under a key.
+
+    A task holds ``ROWS`` rows or those of one key, which are words of one length that share a rare bigram at one place.
+    """
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, kind, last = (rows.column(c).to_numpy() for c in ("key", "kind", "last"))
+        letters = rows.column("letters").to_numpy().view(np.uint64)
+        words = rows.column("word").to_pylist()
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        kept, asks = np.flatnonzero(kind == KEPT), np.flatnonzero(kind == ASKS)
+        begin = np.searchsorted(key[kept], key[asks], "left")
+        number = np.searchsorted(key[kept], key[asks], "right") - begin
+        ends = np.cumsum(number)
+        at = 0
+        while at < len(asks):
+            # At least one asking row, with all its meetings.
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - number[at] + MEETINGS, "right")))
+            n = number[at:stop]
+            x = np.repeat(asks[at:stop], n)
+            y = kept[np.repeat(begin[at:stop], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            at = stop
+            # The prefix of the pivot's word ends first; one edit changes at most two letters.
+            open_ = np.flatnonzero(np.bitwise_count(letters[x] ^ letters[y]) <= 2)
+            open_ = open_[last[x[open_]] <= last[y[open_]]]
+            x, y = x[open_], y[open_]
+            if len(x):
+                good = np.flatnonzero(_near(words, size, x, y))
+                own = rows.column("word").combine_chunks() if isinstance(rows.column("word"), pa.ChunkedArray) else rows.column("word")
+                yield batch_of({"a": (pa.string(), own.take(pa.array(x[good]))), "b": (pa.string(), own.take(pa.array(y[good])))})
+
+    held: list[pa.RecordBatch] = []
+    number = 0
+    for batch in batches:
+        held.append(batch)
+        number += batch.num_rows
+        if number < ROWS or not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches(held)
+        cut = int(np.searchsorted(rows.column("key").to_numpy(), rows.column("key")[-1].as_py(), "left"))
+        if cut:
+            yield from pairs(rows.slice(0, cut).combine_chunks())
+            held = rows.slice(cut).combine_chunks().to_batches()
+            number = rows.num_rows - cut
+    if number:
+        yield from pairs(pa.Table.from_batches(held).combine_chunks())
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -126,19 +230,13 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     Words are distinct and have at least five code points.
     """
+    prepare(words.sparkSession)
     bigrams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word") - 1), lambda k: F.substring("word", k, F.lit(2)))).alias("gram"))
     # At most one number for each pair of the 90 letters.
     order = {r.gram: k for k, r in enumerate(sorted(bigrams.groupBy("gram").count().collect(), key=lambda r: (r["count"], r.gram)))}
-
-    def keyed(pivots: bool) -> DataFrame:
-        return words.select("word").mapInArrow(lambda batches: _keyed(batches, order, pivots), KEYED)
-
-    asked, kept = keyed(True).alias("x"), keyed(False).alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("gram", "side", "place", "size")]
-    # The prefix of the pivot's word ends first; one edit changes at most two letters.
-    few = (F.col("x.last") <= F.col("y.last")) & (F.bit_count(F.col("x.letters").bitwiseXOR(F.col("y.letters"))) <= 2)
-    met = asked.join(kept, same[0] & same[1] & same[2] & same[3] & few & (F.col("x.word") != F.col("y.word")) & (F.levenshtein("x.word", "y.word", 1) == 1))
-    once = met.select(F.least("x.word", "y.word").alias("a"), F.greatest("x.word", "y.word").alias("b")).distinct()
+    keyed = words.select("word").mapInArrow(lambda batches: _keyed(batches, order), KEYED)
+    met = keyed.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_met, "a string, b string")
+    once = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
