@@ -12,11 +12,14 @@ from tracewell.functions import spans, text
 from tracewell.functions.money import rewrite_amounts
 from tracewell.functions.vectors import hash_counts, window_encoder
 from tracewell.operators import claims, evidence, fields, grouping, layout, prompts, reasoning, registry, retrieval, validation
+from tracewell.operators.deletion import Deletion
 from tracewell.operators.upload import process_uploads
 from tracewell.plans.chunk_queries import OVERLAP, SIZE, SQL_SPLIT
 from tracewell.plans.registry import Tables, query
-from tracewell.plans.retrieval_queries import sql_fused
-from tracewell.session import shared_folder
+from tracewell.plans.retrieval_queries import sql_counts, sql_fused
+from tracewell.session import cut_lineage, shared_folder
+from tracewell.sources.artifacts import ArtifactFolder
+from tracewell.sources.embeddings import EmbeddingStore
 from tracewell.sources.documents import template_sections as template_of
 from tracewell.sources.index import ChunkIndex
 
@@ -241,12 +244,66 @@ def upload_flow(t: Tables):
     return process_uploads(files, tenant="t", case="c", size=SIZE, overlap=OVERLAP)[1]
 
 
+class _FailsOnce(ArtifactFolder):
+    """A file store that cannot be reached at first."""
+
+    failed = False
+
+    def delete(self, scope):
+        if not self.failed:
+            self.failed = True
+            raise OSError("file store is away")
+        return super().delete(scope)
+
+
 @query("delete_lifecycle", """
-SELECT 'DELETING' AS status, count(*) AS chunks FROM documents WHERE lang = 'de' AND source = 'src1' UNION ALL SELECT 'DELETED', 0""")
+WITH d AS (SELECT count(*) AS n FROM documents WHERE lang = 'de' AND source = 'src1')
+SELECT 1 AS run, 'DELETING' AS status, n AS chunks, NULL AS error FROM d UNION ALL SELECT 1, 'VECTORS', n, NULL FROM d UNION ALL SELECT 1, 'VERIFIED', 0, NULL
+UNION ALL SELECT 1, 'FAILED', 0, 'file store is away' UNION ALL SELECT 2, 'VERIFIED', 0, NULL UNION ALL SELECT 2, 'ARTIFACTS', 0, NULL UNION ALL SELECT 2, 'DELETED', 0, NULL
+UNION ALL SELECT 3, 'DELETED', 0, 'no file left'""")
 def delete_lifecycle(t: Tables):
     index, chunks = _index(t)
     index.create(chunks, META)
-    return index.delete_with_events(tenant_id="de", case_id="src1")
+    scope = {"tenant_id": "de", "case_id": "src1"}
+    files = _FailsOnce(t.spark, f"{shared_folder(t.spark)}/files-{uuid.uuid4().hex}")
+    t.documents.where("lang = 'de' AND source = 'src1'").select("text").write.text(files.place(scope))
+    deletion = Deletion(index, files, f"{shared_folder(t.spark)}/deletions-{uuid.uuid4().hex}")
+    for _ in range(3):
+        last = deletion.run(**scope)
+    log = deletion.history(scope).select("run", "status", "chunks", "error")
+    return log.unionByName(t.spark.createDataFrame([(3, last, index.count(scope), "files left" if files.present(scope) else "no file left")], log.schema))
+
+
+@query("corrupt_index", """
+SELECT lang AS tenant_id, source AS case_id, CASE WHEN lang = 'de' AND source = 'src1' THEN 'missing,unknown' ELSE 'ok' END AS said FROM (SELECT DISTINCT lang, source FROM documents)""")
+def corrupt_index(t: Tables):
+    """What the manifest says of every case after the files of one were replaced behind it."""
+    index, chunks = _index(t)
+    index.create(chunks, META)
+    near = cut_lineage(index.read({"tenant_id": "de", "case_id": "src1"}))
+    near.withColumn("embedding_text", F.concat(F.col("embedding_text"), F.lit("!"))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "tenant_id", "case_id", "bucket").parquet(f"{index.path}/data")
+    t.spark.catalog.refreshByPath(f"{index.path}/data")
+    wrong = index.corrupt_files().groupBy("tenant_id", "case_id").agg(F.array_join(F.array_sort(F.collect_set("said")), ",").alias("said"))
+    cases = index.read().select("tenant_id", "case_id").distinct()
+    return cases.join(wrong, ["tenant_id", "case_id"], "left").select("tenant_id", "case_id", F.coalesce("said", F.lit("ok")).alias("said"))
+
+
+@query("embedding_store", sql_counts("dv", "documents", "doc_id").join(["WITH ", """,
+n AS (SELECT doc_id, count(*) AS buckets, max(n) AS largest FROM dv GROUP BY doc_id)
+SELECT d.doc_id, coalesce(buckets, 0) AS buckets, coalesce(largest, 0) AS largest,
+  (SELECT count(DISTINCT text) FROM documents) AS stored FROM documents d LEFT JOIN n USING (doc_id)"""]))
+def embedding_store(t: Tables):
+    """Half of the documents are encoded, then all: only new contents are, and each once."""
+    name = f"embeddings_{uuid.uuid4().hex}"
+    store = EmbeddingStore(t.spark, name, f"{shared_folder(t.spark)}/{name}", buckets=8)
+    docs = t.documents.select("doc_id", "text")
+    for part in (docs.where("doc_id % 2 = 0"), docs):
+        store.add(part, "text", "hash-8", hash_counts)
+    stored = store.rows().count()
+    found = store.vectors(docs, "text", "hash-8", "doc_id")
+    own = F.filter("vector", lambda x: x > 0)
+    return found.select("doc_id", F.size(own).cast("long").alias("buckets"), F.coalesce(F.array_max(own).cast("long"), F.lit(0)).alias("largest"), F.lit(stored).alias("stored"))
 
 
 @query("pooled_encode", """

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,9 +70,11 @@ class ChunkIndex:
         """Hybrid search for (query_id, text, vector); tenant and case must be given.
 
         A filter value may be a list, and so may an index column: a row passes when the two meet.
-        BM25 statistics come from the whole index; scoring and ranking read the named cases only.
+        BM25 statistics come from the whole index; scoring and ranking read the named cases only, whose
+        files are compared with the manifest before.
         """
         require_scope(filters)
+        self.verify(filters)
         rows = self.read()
         lists = {f.name for f in rows.schema if isinstance(f.dataType, T.ArrayType)}
         plain = {k: v for k, v in filters.items() if k not in lists}
@@ -97,12 +99,15 @@ class ChunkIndex:
 
     def _write(self, rows: DataFrame) -> None:
         self._by_place(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(f"{self.path}/data")
+        self.spark.catalog.refreshByPath(f"{self.path}/data")
 
     def create(self, chunks: DataFrame, metadata: Mapping[str, object]) -> None:
         placed = self._placed(chunks)
         require_unique(placed, ["tenant_id", "case_id", "chunk_no"])
         self._by_place(placed).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*PLACE).parquet(f"{self.path}/data")
         self._describe(metadata, placed.schema)
+        self.spark.catalog.refreshByPath(f"{self.path}/data")
+        self._note_files()
 
     def _describe(self, metadata: Mapping[str, object], schema: T.StructType) -> None:
         text = json.dumps({**metadata, "schema": json.loads(schema.json())}, ensure_ascii=False)
@@ -123,6 +128,7 @@ class ChunkIndex:
         self._write(merged)
         if set(merged.columns) != set(self.read().columns):
             self._describe(metadata, merged.schema)
+        self._note_files(touched)
 
     def delete(self, **scope: str) -> int:
         """Delete a document or a case; returns the number of removed chunks and verifies zero remain."""
@@ -137,21 +143,52 @@ class ChunkIndex:
             self._write(rest)
         kept = {r[0] for r in rest.select("bucket").distinct().collect()}
         for bucket in set(places) - kept:
-            self._files().delete(self._path("data", f"tenant_id={scope['tenant_id']}", f"case_id={scope['case_id']}", f"bucket={bucket}"), True)
+            for part in ("data", "_manifest"):
+                self._files().delete(self._path(part, f"tenant_id={scope['tenant_id']}", f"case_id={scope['case_id']}", f"bucket={bucket}"), True)
         self.spark.catalog.refreshByPath(f"{self.path}/data")
+        if kept:
+            self._note_files(rest.select(*PLACE).distinct())
         if self.count(scope):
             raise RuntimeError("deletion could not be verified: chunks remain")
         return removed
 
-    def delete_with_events(self, **scope: str) -> DataFrame:
-        """The life cycle of a deletion as rows (status, chunks): DELETING, then DELETED or FAILED with what remains."""
-        rows = [("DELETING", self.count(scope))]
-        try:
-            self.delete(**scope)
-            rows.append(("DELETED", 0))
-        except RuntimeError:
-            rows.append(("FAILED", self.count(scope)))
-        return self.spark.createDataFrame(rows, "status string, chunks long")
+    # -- manifest ---------------------------------------------------------------------------
+
+    def _digests(self, places: DataFrame | None = None, chosen: Column | None = None) -> DataFrame:
+        """Rows and an order-free digest of every data file, of the given places or chosen rows only."""
+        rows = self.read().withColumn("file", F.col("_metadata.file_name"))
+        plain = [F.to_json(F.col(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in rows.schema if f.name not in (*PLACE, "file")]
+        if places is not None:
+            rows = rows.join(places, list(PLACE), "left_semi")
+        if chosen is not None:
+            rows = rows.where(chosen)
+        return rows.groupBy(*PLACE, "file").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*plain).cast("decimal(38,0)")).alias("digest"))
+
+    def _note_files(self, places: DataFrame | None = None) -> None:
+        """Write down what the given places, or all, now hold."""
+        mode = "static" if places is None else "dynamic"
+        self._digests(places).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*PLACE).parquet(f"{self.path}/_manifest")
+
+    def corrupt_files(self, filters: Mapping[str, object] | None = None) -> DataFrame:
+        """Rows (tenant_id, case_id, bucket, file, said) of the named tenants and cases: files that are missing, altered or unknown.
+
+        Every file is compared with the manifest by its rows and digest.
+        """
+        wanted = {k: v for k, v in (filters or {}).items() if k in PLACE}
+        chosen = overlap_filter({k: F.col(k) for k in wanted}, wanted)
+        kinds = {f.name: f.dataType.simpleString() for f in self.read().schema if f.name in PLACE}
+        schema = "file string, rows long, digest decimal(38,0), " + ", ".join(f"{k} {kinds[k]}" for k in PLACE)
+        told = self.spark.read.schema(schema).parquet(f"{self.path}/_manifest").where(chosen).withColumnsRenamed({"rows": "told_rows", "digest": "told_digest"})
+        both = told.join(self._digests(chosen=chosen), [*PLACE, "file"], "full")
+        wrong = both.where(~F.col("rows").eqNullSafe(F.col("told_rows")) | ~F.col("digest").eqNullSafe(F.col("told_digest")))
+        said = F.when(F.col("rows").isNull(), "missing").when(F.col("told_rows").isNull(), "unknown").otherwise("altered")
+        return wrong.select(*PLACE, "file", said.alias("said"))
+
+    def verify(self, filters: Mapping[str, object] | None = None) -> None:
+        """Fail, naming files, unless the named tenants and cases hold the rows that were written."""
+        found = self.corrupt_files(filters).orderBy("file").limit(5).collect()
+        if found:
+            raise ValueError("index is corrupt: " + ", ".join(f"{r.file} is {r.said}" for r in found))
 
     def check_rows(self) -> DataFrame:
         """Rows whose vector is missing or has another dimension than the index says."""
