@@ -75,3 +75,28 @@ def test_generator_plans_are_whitelisted(spark):
     assert {(r["review_item"], r["title"]) for r in reasoning.with_fallback(got, fallback).where("rank = 1").collect()} == {("A", "t0"), ("B", "fallback")}
     signals = reasoning.accept_signals(replies, evidence).orderBy("rank").collect()
     assert [(r["type"], r["evidence_ids"]) for r in signals] == [("S", [C]), ("T", [])]
+
+
+def test_the_judged_one_of_equal_sentences_is_patched(spark):
+    said = "매출은 100이다. 매출은 100이다.\n끝. 😀 매출은 100이다."
+    sections = spark.createDataFrame([("s", "A", said), ("empty", "A", ""), ("none", "A", None)], "section string, item string, text string")
+    evidence = spark.createDataFrame([("s", A)], "section string, evidence_id string")
+    reply = {"status": "FAIL", "severity": "MINOR", "reason_code": "UNIT_MISMATCH", "span": "100", "replacement": "200"}
+
+    def judge(parts, which, ids=(A,), **other):
+        hit = F.col("claim_id").isin(*which)
+        own = {k: F.when(hit, v).otherwise({"status": "PASS", "severity": "MINOR"}.get(k, "")) for k, v in {**reply, **other}.items()}
+        return parts.withColumns(own).withColumn("said_ids", F.array(*map(F.lit, ids)))
+
+    def run(mode, which, most=1, **other):
+        return {r.section: (r.text, r.findings, r.failing, r.patched) for r in claims.verified(sections, evidence, lambda p: judge(p, which, **other), mode, most=most).collect()}
+
+    ids = [r.claim_id for r in claims.bound_claims(sections, evidence).orderBy("start").collect()]
+    assert len(ids) == 4
+    assert run("ENFORCE", [ids[1]])["s"] == ("매출은 100이다. 매출은 200이다.\n끝. 😀 매출은 100이다.", 4, 1, True)
+    assert run("ENFORCE", [ids[3]])["s"] == ("매출은 100이다. 매출은 100이다.\n끝. 😀 매출은 200이다.", 4, 1, True)
+    assert run("ENFORCE", [ids[0], ids[3]])["s"][:3] == ("매출은 200이다. 매출은 100이다.\n끝. 😀 매출은 100이다.", 4, 2)
+    assert run("ENFORCE", [ids[0], ids[3]], most=2, replacement="2,000")["s"][0] == "매출은 2,000이다. 매출은 100이다.\n끝. 😀 매출은 2,000이다."
+    assert run("SHADOW", [ids[1]])["s"] == (said, 4, 1, False) and run("OFF", [ids[1]])["s"] == (said, 0, 0, False)
+    assert run("ENFORCE", [ids[1]], ids=("elsewhere",))["s"] == (said, 4, 0, False)
+    assert run("ENFORCE", [ids[1]])["empty"] == ("", 0, 0, False) and run("ENFORCE", [ids[1]])["none"] == (None, 0, 0, False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,24 +112,48 @@ def apply_patches(text: Column, patches: Column, limit: int = 1) -> Column:
 MODES = ("OFF", "SHADOW", "ENFORCE")
 
 
-def verified(sections: DataFrame, findings: DataFrame, mode: str) -> DataFrame:
-    """Sections after verification: (section, text, findings, patched).
+def bound_claims(sections: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Claims of (section, item, text) with their offsets, cited ids and ``bound``, the evidence each is judged by.
+
+    ``evidence`` has (section, evidence_id); a section's evidence is what its prompt could hold.
+    """
+    allowed = evidence.groupBy("section").agg(F.collect_set("evidence_id").alias("_ids"))
+    known = sections.join(allowed, "section", "left").withColumn("_ids", F.coalesce("_ids", F.array().cast("array<string>")))
+    claims = segment_claims(known, "section", F.col("_ids"))
+    bound = bind_evidence(claims, evidence, "section").groupBy("section", "claim_id").agg(F.sort_array(F.collect_set("evidence_id")).alias("bound"))
+    return claims.join(bound, ["section", "claim_id"], "left").withColumn("bound", F.coalesce("bound", F.array().cast("array<string>")))
+
+
+def judged_claims(claims: DataFrame) -> DataFrame:
+    """Findings of judged claims with their final ``verdict`` and ``reason`` and, if there is one, the ``repaired`` claim.
+
+    ``claims`` are ``bound_claims`` with the reply of a judge: status, severity, reason_code, span,
+    replacement and said_ids, the evidence ids that it names.
+    """
+    known = F.size(F.array_intersect("said_ids", "bound"))
+    outcome = scale_finding(*[F.col(c) for c in ("status", "severity", "reason_code", "span", "claim")], F.size("bound"), known)
+    judged = claims.withColumn("_f", outcome).withColumns({"verdict": F.col("_f.status"), "reason": F.col("_f.reason_code")}).drop("_f")
+    repaired = splice_patch(F.col("claim"), F.col("span"), F.col("replacement"), F.upper("severity"))
+    return judged.withColumn("repaired", F.when((F.col("verdict") == "FAIL") & (repaired != F.col("claim")), repaired))
+
+
+def verified(sections: DataFrame, evidence: DataFrame, judge: Callable[[DataFrame], DataFrame], mode: str, *, most: int = 1) -> DataFrame:
+    """Sections after verification: (section, text, findings, failing, patched).
 
-    ``sections``: section, text. ``findings``: section, position, claim, span, replacement, status,
-    severity, reason_code, evidence_rows, evidence_ids (counts). OFF ignores the findings, SHADOW
-    counts the failing ones, ENFORCE also applies the first that passes the patch guard.
+    Segments the text of (section, item, text), binds evidence to each claim, asks ``judge`` (see
+    ``judged_claims``) and patches. OFF asks nothing; SHADOW counts all findings and the failing ones;
+    ENFORCE also puts the first ``most`` repaired claims into their own places, told by offset, so that of equal
+    sentences the one that was judged is changed.
     """
     if mode not in MODES:
         raise ValueError(f"unknown verification mode {mode}")
+    none = F.lit(0).cast("long")
     if mode == "OFF":
-        return sections.select("section", "text", F.lit(0).cast("long").alias("findings"), F.lit(False).alias("patched"))
-    judged = findings.withColumn("_f", scale_finding(*[F.col(c) for c in ("status", "severity", "reason_code", "span", "claim", "evidence_rows", "evidence_ids")]))
-    failing = judged.where("_f.status = 'FAIL'").withColumn("_new", splice_patch(F.col("claim"), F.col("span"), F.col("replacement"), F.upper("severity")))
-    at = F.when(F.col("_new").isNotNull(), F.col("position"))
-    marks = failing.groupBy("section").agg(F.count(F.lit(1)).alias("findings"), F.min_by("claim", at).alias("_claim"), F.min_by("_new", at).alias("_new"))
-    held = sections.join(marks, "section", "left").withColumn("findings", F.coalesce("findings", F.lit(0).cast("long")))
-    place = F.instr(F.col("text"), F.col("_claim"))
-    usable = F.coalesce(place > 0, F.lit(False)) & F.lit(mode == "ENFORCE")
-    text = F.when(usable, F.concat(F.substring(F.col("text"), F.lit(1), place - 1), F.col("_new"), F.substring(
-        F.col("text"), place + F.length("_claim"), F.length("text")))).otherwise(F.col("text"))
-    return held.select("section", text.alias("text"), "findings", usable.alias("patched"))
+        return sections.select("section", "text", none.alias("findings"), none.alias("failing"), F.lit(False).alias("patched"))
+    judged = judged_claims(judge(bound_claims(sections, evidence)))
+    patch = F.when(F.col("repaired").isNotNull(), F.struct("start", "stop", F.col("repaired").alias("text")))
+    marks = judged.groupBy("section").agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("verdict") == "FAIL").alias("failing"), F.collect_list(patch).alias("_patches"))
+    held = sections.join(marks, "section", "left")
+    usable = F.coalesce(F.size("_patches") > 0, F.lit(False)) & F.lit(mode == "ENFORCE" and most > 0)
+    return held.select("section", F.when(usable, apply_patches(F.col("text"), F.col("_patches"), max(1, most))).otherwise(F.col("text")).alias("text"),
+                       F.coalesce("findings", none).alias("findings"), F.coalesce("failing", none).alias("failing"), usable.alias("patched"))

@@ -49,7 +49,8 @@ def char_windows(t: Tables):
 @query("local_ids", SQL_SPLIT + """
 SELECT doc_id, count(*) AS part_count, min(length(piece)) AS shortest, max(length(piece)) AS longest FROM p WHERE piece <> '' GROUP BY doc_id""")
 def local_ids(t: Tables):
-    d = t.spread("documents", "doc_id", "text").select("doc_id", spans.char_split(SIZE, OVERLAP)("text").alias("p")).where(F.size("p") > 0)
+    parts = F.explode_outer(F.array(spans.char_split(SIZE, OVERLAP)("text")))
+    d = t.spread("documents", "doc_id", "text").select("doc_id", parts.alias("p")).where(F.size("p") > 0)
     lengths = F.transform("p", F.length)
     return d.select("doc_id", F.size("p").alias("part_count"), F.array_min(lengths).alias("shortest"), F.array_max(lengths).alias("longest"))
 
@@ -99,7 +100,9 @@ n AS (SELECT doc_id, line, {sql_norm('line')} AS norm FROM l),
 r AS (SELECT doc_id, norm FROM n WHERE length(line) <= 160 AND norm <> '' GROUP BY ALL HAVING count(*) >= 3)
 SELECT doc_id, count(*) AS kept_lines, CAST(sum(length(line)) AS BIGINT) AS kept_chars FROM n ANTI JOIN r USING (doc_id, norm) GROUP BY doc_id""")
 def repeated_lines(t: Tables):
-    kept = t.spread("documents", "doc_id", "text").select("doc_id", unrepeated_lines(F.split("text", "\n")).alias("kept")).where(F.size("kept") > 0)
+    # The outer form: a filter on the result itself is evaluated once more, below the repartition.
+    lines = F.explode_outer(F.array(unrepeated_lines(F.split("text", "\n"))))
+    kept = t.spread("documents", "doc_id", "text").select("doc_id", lines.alias("kept")).where(F.size("kept") > 0)
     chars = F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     return kept.select("doc_id", F.size("kept").alias("kept_lines"), chars.alias("kept_chars"))
 

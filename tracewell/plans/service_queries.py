@@ -340,20 +340,26 @@ def window_encode(t: Tables):
 
 
 @query("verification_modes", """
-WITH f AS (SELECT o_orderkey, 'order ' || o_orderpriority || ' is ' || o_orderstatus || '. Rest.' AS text, o_custkey % 3 = 0 AS failing, o_custkey % 2 = 0 AS located, o_orderstatus AS s, o_orderpriority AS p FROM orders)
-SELECT 'OFF' AS mode, o_orderkey, text, 0 AS findings, false AS patched FROM f
-UNION ALL SELECT 'SHADOW', o_orderkey, text, CASE WHEN failing AND located THEN 1 ELSE 0 END, false FROM f
-UNION ALL SELECT 'ENFORCE', o_orderkey, CASE WHEN failing AND located THEN 'order ' || p || ' is fine. Rest.' ELSE text END, CASE WHEN failing AND located THEN 1 ELSE 0 END, failing AND located FROM f""")
+WITH f AS (SELECT o_orderkey, 'order ' || o_orderpriority || ' is ' || o_orderstatus || '.' AS one, 'order ' || o_orderpriority || ' is fine.' AS fine, o_custkey % 3 = 0 AND o_custkey % 2 = 0 AS failing FROM orders)
+SELECT 'OFF' AS mode, o_orderkey, one || ' ' || one || ' Rest.' AS text, 0 AS findings, 0 AS failing, false AS patched FROM f
+UNION ALL SELECT 'SHADOW', o_orderkey, one || ' ' || one || ' Rest.', 3, CAST(failing AS INTEGER), false FROM f
+UNION ALL SELECT 'ENFORCE', o_orderkey, one || ' ' || CASE WHEN failing THEN fine ELSE one END || ' Rest.', 3, CAST(failing AS INTEGER), failing FROM f""")
 def verification_modes(t: Tables):
+    """Every order says a sentence twice; the judge fails the second one, of a third of them, half of the time with a span that is there."""
     claim = F.concat(F.lit("order "), "o_orderpriority", F.lit(" is "), "o_orderstatus", F.lit("."))
-    sections = t.orders.select(F.col("o_orderkey").alias("section"), F.concat(claim, F.lit(" Rest.")).alias("text"))
-    findings = t.orders.select(
-        F.col("o_orderkey").alias("section"), F.lit(1).alias("position"), claim.alias("claim"),
+    sections = t.orders.select(F.col("o_orderkey").alias("section"), F.lit("A").alias("item"), F.concat(claim, F.lit(" "), claim, F.lit(" Rest.")).alias("text"))
+    evidence = t.orders.select(F.col("o_orderkey").alias("section"), F.col("o_custkey").cast("string").alias("evidence_id"))
+    replies = t.orders.select(
+        F.col("o_orderkey").alias("section"), F.lit("A-002").alias("claim_id"), F.array(F.col("o_custkey").cast("string")).alias("said_ids"),
         F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("is "), "o_orderstatus")).otherwise("absent").alias("span"), F.lit("is fine").alias("replacement"),
-        F.when(F.col("o_custkey") % 3 == 0, "FAIL").otherwise("PASS").alias("status"), F.lit("MINOR").alias("severity"), F.lit("UNIT_MISMATCH").alias("reason_code"),
-        F.lit(1).alias("evidence_rows"), F.lit(1).alias("evidence_ids"))
-    found = [claims.verified(sections, findings, mode).withColumn("mode", F.lit(mode)) for mode in claims.MODES]
-    return found[0].unionByName(found[1]).unionByName(found[2]).select("mode", F.col("section").alias("o_orderkey"), "text", "findings", "patched")
+        F.when(F.col("o_custkey") % 3 == 0, "FAIL").otherwise("PASS").alias("status"), F.lit("MINOR").alias("severity"), F.lit("UNIT_MISMATCH").alias("reason_code"))
+
+    def judge(claims_: DataFrame) -> DataFrame:
+        held = claims_.join(replies, ["section", "claim_id"], "left")
+        return held.withColumns({"status": F.coalesce("status", F.lit("PASS")), "severity": F.coalesce("severity", F.lit("MINOR")), "reason_code": F.coalesce("reason_code", F.lit("SUPPORTED"))})
+
+    found = [claims.verified(sections, evidence, judge, mode).withColumn("mode", F.lit(mode)) for mode in claims.MODES]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("mode", F.col("section").alias("o_orderkey"), "text", "findings", "failing", "patched")
 
 
 @query("opinion_context", """
