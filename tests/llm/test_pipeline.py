@@ -1,4 +1,5 @@
 import random
+import os
 import shutil
 import subprocess
 import sys
@@ -90,5 +91,26 @@ def test_the_rest_works_without_the_package(tmp_path, gone):
     for name in gone:
         path = tmp_path / name
         shutil.rmtree(path) if path.is_dir() else path.unlink()
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25' in q and 'pipeline' not in q and 'op1_secret_scan' not in q; assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+    subprocess.run([sys.executable, "-c", LEFT_OUT], cwd=tmp_path, check=True, timeout=120, env=apart())
+
+
+LEFT_OUT = "import __spark_entry__ as e; q = e.queries(); assert 'bm25' in q and 'pipeline' not in q and 'op1_secret_scan' not in q; assert set(e.oracle_sql()) <= set(q)"
+
+
+def apart(*paths):
+    """The environment without ways to the repository but for those given."""
+    held = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and not os.path.exists(os.path.join(p, "corpus_pipeline.py"))]
+    return os.environ | {"PYTHONPATH": os.pathsep.join([*map(str, paths), *held])}
+
+
+def test_the_repository_on_the_path_does_not_bring_the_package_back(tmp_path):
+    """Deleted from a copy, the operators stay away although the path also leads to the repository."""
+    shutil.copytree(ROOT / "tracewell", tmp_path / "tracewell", ignore=shutil.ignore_patterns("__pycache__", "llm"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path / "__spark_entry__.py")
+    subprocess.run([sys.executable, "-c", LEFT_OUT], cwd=tmp_path, check=True, timeout=120, env=apart(ROOT))
+
+
+@pytest.mark.parametrize("absent", ["xxhash", "tiktoken", "public_tokenizers"])
+def test_the_rest_works_without_what_the_package_needs(absent):
+    code = f"import sys; sys.modules['{absent}'] = None; " + LEFT_OUT
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=ROOT, check=True, timeout=120, env=apart())
