@@ -110,7 +110,7 @@ def test_the_repository_on_the_path_does_not_bring_the_package_back(tmp_path):
     subprocess.run([sys.executable, "-c", LEFT_OUT], cwd=tmp_path, check=True, timeout=120, env=apart(ROOT))
 
 
-@pytest.mark.parametrize("absent", ["xxhash", "tiktoken", "public_tokenizers"])
+@pytest.mark.parametrize("absent", ["xxhash", "public_tokenizers"])
 def test_the_rest_works_without_what_the_package_needs(absent):
     code = f"import sys; sys.modules['{absent}'] = None; " + LEFT_OUT
     subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=ROOT, check=True, timeout=120, env=apart())
