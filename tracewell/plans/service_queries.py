@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.functions import spans, text
 from tracewell.functions.money import rewrite_amounts
@@ -18,6 +23,7 @@ from tracewell.plans.chunk_queries import OVERLAP, SIZE, SQL_SPLIT
 from tracewell.plans.registry import Tables, query
 from tracewell.plans.retrieval_queries import sql_counts, sql_fused
 from tracewell.session import cut_lineage, shared_folder
+from tracewell.sources import files, workbooks
 from tracewell.sources.artifacts import ArtifactFolder
 from tracewell.sources.embeddings import EmbeddingStore
 from tracewell.sources.documents import template_sections as template_of
@@ -188,6 +194,108 @@ def section_issues(t: Tables):
     return validation.validate_sections(*_sections(t))
 
 
+@query("section_leaks", """
+WITH s AS (SELECT o_orderkey, o_custkey % 3 AS kind, o_custkey + 100 AS n, o_custkey % 5 = 0 AS agrees FROM orders)
+SELECT o_orderkey AS section, 'credit_report_direct_conflict' AS code, n || '백만원' AS detail, 'ERROR' AS severity FROM s WHERE kind = 0 AND NOT agrees
+UNION ALL SELECT o_orderkey, 'unsupported_numeric_fact', '77%%', 'ERROR' FROM s WHERE kind = 1
+UNION ALL SELECT o_orderkey, 'few_shot_numeric_leakage', '77%%', 'ERROR' FROM s WHERE kind = 1
+UNION ALL SELECT o_orderkey, 'few_shot_token_leakage', 'Acme Corp', 'ERROR' FROM s WHERE kind = 2 AND NOT agrees""")
+def section_leaks(t: Tables):
+    """Attachments against the credit report, numbers and names of the style examples: the codes that need more than evidence.
+
+    A percentage is shown as it stands and with its unit, so its sign comes twice.
+    """
+    kind, n, agrees = F.col("o_custkey") % 3, F.col("o_custkey") + 100, F.col("o_custkey") % 5 == 0
+    digest = F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 20)
+    att, credit = F.concat(F.lit("ATT_"), digest), F.concat(F.lit("CR_"), digest)
+    amount = lambda x: F.concat(F.lit("금액="), x.cast("string"), F.lit("; 단위=백만원")).alias("content")
+    said = F.when(kind == 0, F.concat(F.lit("The size is "), n.cast("string"), F.lit("백만원 ["), att, F.lit("]."))).when(
+        kind == 1, F.concat(F.lit("The rate is 77% ["), att, F.lit("]."))).otherwise(F.concat(F.lit("Acme Corp does well ["), att, F.lit("].")))
+    base = t.orders.select(F.col("o_orderkey").alias("section"), "*")
+    sections = base.select("section", said.alias("text"))
+    own = F.when((kind == 2) & agrees, F.lit("Acme Corp is named")).otherwise(amount(n))
+    evidence = base.select("section", att.alias("evidence_id"), own.alias("content")).unionByName(
+        base.select("section", credit.alias("evidence_id"), amount(F.when(agrees, n).otherwise(n + 1))))
+    examples = base.select("section", F.lit("Once it was 77%.").alias("output_example"), F.array(F.lit("Acme Corp"), F.lit("")).alias("forbidden_tokens"))
+    conflicts = base.select("section", att.alias("evidence_id"), credit.alias("credit_id"))
+    return validation.validate_sections(sections, evidence, examples, conflicts)
+
+
+# --- files ------------------------------------------------------------------------------------
+
+@F.arrow_udf(T.BinaryType())
+def _docx_of(texts: pa.Array) -> pa.Array:
+    """A document package with a paragraph for every line and a table of one row with the first two words."""
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    found = []
+    for text in texts.to_pylist():
+        run = lambda x: f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>"
+        cells = "".join(f"<w:tc>{run(x)}</w:tc>" for x in (text.split(" ") + ["", ""])[:2])
+        body = "".join(map(run, text.split("\n"))) + f"<w:tbl><w:tr>{cells}</w:tr></w:tbl>"
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as package:
+            package.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+        found.append(out.getvalue())
+    return pa.array(found, pa.binary())
+
+
+@query("docx_blocks", """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+w AS (SELECT doc_id, list_resize(string_split(text, ' '), 2, '')[1:2] AS w FROM documents),
+c AS (SELECT doc_id, list_transform(w, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS c FROM w)
+SELECT doc_id, 'paragraph:' || n AS location, sha256(trim(line, ' ' || chr(9) || chr(13))) AS text_sha FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
+UNION ALL SELECT doc_id, 'table:1:row:1', sha256(c[1] || ' | ' || c[2]) FROM c WHERE c[1] <> '' OR c[2] <> ''""")
+def docx_blocks(t: Tables):
+    packages = t.spread("documents", "doc_id", "text").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), _docx_of("text").alias("content"))
+    blocks = files.extract_blocks(packages)
+    return blocks.select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("doc_id"), "location", F.sha2("text", 256).alias("text_sha"))
+
+
+@F.arrow_udf(T.BinaryType())
+def _xlsx_of(rows: pa.Array) -> pa.Array:
+    """A workbook with one sheet: columns A (number), B (text) and C (a formula with its value) for every row."""
+    main, rel = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    found = []
+    for lines in rows.to_pylist():
+        body = "".join(f'<row><c r="A{k}"><v>{x["a"]}</v></c><c r="B{k}" t="inlineStr"><is><t>{escape(x["b"])}</t></is></c><c r="C{k}"><f>A{k}*2</f><v>{2 * x["a"]}</v></c></row>'
+                       for k, x in enumerate(lines, 1))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as book:
+            book.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
+            book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
+            book.writestr("xl/worksheets/s.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
+        found.append(out.getvalue())
+    return pa.array(found, pa.binary())
+
+
+def _books(t: Tables) -> DataFrame:
+    """One workbook of each order's lines."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("a"), F.col("l_returnflag").alias("b"))
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("rows"))
+    return rows.select(F.concat(F.col("l_orderkey").cast("string"), F.lit(".xlsx")).alias("path"), _xlsx_of(F.transform("rows", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))).alias("content"))
+
+
+SQL_BOOKS = """
+WITH r AS (SELECT l_orderkey, CAST(l_quantity AS INTEGER) AS a, l_returnflag AS b,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER), l_returnflag) AS k FROM lineitem)"""
+
+
+@query("xlsx_rows", SQL_BOOKS + """
+SELECT l_orderkey, 'sheet:S:row:' || k AS location, '시트=S; A' || k || '=' || a || '; B' || k || '=' || b || '; C' || k || '==A' || k || '*2' AS text FROM r""")
+def xlsx_rows(t: Tables):
+    blocks = files.extract_blocks(_books(t))
+    return blocks.select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("l_orderkey"), "location", "text")
+
+
+@query("mapped_workbooks", SQL_BOOKS + """
+SELECT l_orderkey, 'size:A' || k AS field_id, CAST(a AS VARCHAR) AS value, '백만원' AS unit, NULL AS formula FROM r WHERE k <= 3
+UNION ALL SELECT l_orderkey, 'twice', CAST(2 * a AS VARCHAR), (SELECT b FROM r x WHERE x.l_orderkey = r.l_orderkey AND x.k = 1), '=A1*2' FROM r WHERE k = 1""")
+def mapped_workbooks(t: Tables):
+    mapping = t.spark.createDataFrame([("size", "크기", "S", "A1:A3", ["A"], False, "백만원", None, None, None), ("twice", "두배", "S", "C1", ["B"], False, None, "B1", None, None)], workbooks.MAPPING)
+    facts = workbooks.mapped_facts(files.read_cells(_books(t)), mapping, (F.lit("t"), F.lit("c"), F.col("path")), F.col("path"))
+    return facts.select(F.regexp_extract("source_filename", "([0-9]+)", 1).cast("long").alias("l_orderkey"), "field_id", "value", "unit", "formula")
+
+
 @query("cross_section", """
 WITH s AS (SELECT o_custkey, o_orderstatus AS item, strftime(o_orderdate, '%Y') AS y, CAST(100 + o_orderkey % 3 AS VARCHAR) AS v FROM orders)
 SELECT o_custkey, y AS period, min(v) AS low, max(v) AS high, count(*) AS claims FROM s GROUP BY ALL HAVING min(v) <> max(v) AND min(item) <> max(item)""")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SUPPORTED = (".pdf", ".docx", ".xlsx", ".txt", ".md")
+#: Rows that are handed on together; one file's rows stay together.
+ROWS = 4096
 ENCODINGS = ("utf-8-sig", "cp949", "utf-8")
 
 BLOCKS = (T.StructType().add("path", "string").add("block_no", "integer").add("text", "string").add("page", "integer")
@@ -131,6 +133,13 @@ def extract_blocks(files: DataFrame) -> DataFrame:
     """Blocks of every file by suffix; unsupported or broken files give an error row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+
+        def handed() -> pd.DataFrame:
+            out = pd.DataFrame(held, columns=BLOCKS.names).astype({"block_no": "int32", "page": "Int32"})
+            held.clear()
+            return out
+
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
                 suffix = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
@@ -140,7 +149,11 @@ def extract_blocks(files: DataFrame) -> DataFrame:
                     rows = [(path, i, *b, None) for i, b in enumerate(_READERS[suffix](content), 1)]
                 except Exception as exc:  # the row carries the reason; the batch goes on
                     rows = [(path, 0, None, None, None, None, None, f"{type(exc).__name__}: {exc}")]
-                yield pd.DataFrame(rows, columns=BLOCKS.names).astype({"block_no": "int32", "page": "Int32"})
+                held += rows
+                if len(held) >= ROWS:
+                    yield handed()
+        if held:
+            yield handed()
 
     return files.select("path", "content").mapInPandas(run, BLOCKS)
 
@@ -149,9 +162,14 @@ def read_cells(files: DataFrame) -> DataFrame:
     """Cell rows of workbooks, with the digest of the file they came from."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
         for frame in frames:
             for path, content, digest in zip(frame["path"], frame["content"], frame["digest"]):
-                rows = [(path, *cell, digest) for cell in workbook_cells(content)]
-                yield pd.DataFrame(rows, columns=CELLS.names)
+                held += [(path, *cell, digest) for cell in workbook_cells(content)]
+                if len(held) >= ROWS:
+                    yield pd.DataFrame(held, columns=CELLS.names)
+                    held = []
+        if held:
+            yield pd.DataFrame(held, columns=CELLS.names)
 
     return files.select("path", "content", F.sha2("content", 256).alias("digest")).mapInPandas(run, CELLS)
