@@ -1,10 +1,12 @@
 """Language-model scores of texts from causal self-attention trained in numpy (operator 2).
 
-Subword ids are predicted in two steps: attention over the ids before gives the class of the next
-id, and the corpus gives the id within its class. Windows of 32 ids overlap by half; each scores the
-second half, so that every id is scored once and sees at least 16 ids before it. Word counts, id
-counts, the base score and the weights cover all training documents; the weights are fitted in every
-task by itself and averaged by the number of windows.
+Subword ids are predicted in steps: attention over the ids before gives the group of the next id's
+class and the class within its group, and the corpus gives the id within its class. Windows of 32 ids
+overlap by half; each scores the second half, so that every id is scored once and sees at least 16 ids
+before it. Word counts, id counts, the base score and the weights cover all training documents. The
+weights are fitted in rounds over parts of the documents: in a round every task goes on from the same
+weights by itself, and the weights of all tasks are averaged by their numbers of windows. So the score
+depends a little on how the input is split into tasks; the base score and the counts do not.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ from tracewell.llm.common import LOWER, batch_of, raw, remainder, written
 
 HALF = 16
 WIDTH = 16
-CLASSES = 192
+GROUPS = 14
+GROUP_CLASSES = 14
+CLASSES = GROUPS * GROUP_CLASSES
 INPUTS = 2048
 FREQUENT = 200_000
 HELD_WORDS = 1 << 19
-CHUNK_WINDOWS = 64
+CHUNK_WINDOWS = 128
 GROUP_WORDS = 1 << 14
 RUN_IDS = 384
 #: The word that stands for the end of a text; no text has it, as it holds white space.
@@ -40,10 +44,12 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 @dataclass(frozen=True)
 class Settings:
-    """``share``: one in so many runs of ``RUN_IDS`` ids is fitted, 1 for all; ``steps``: a task with fewer
+    """``share``: one in so many runs of ``RUN_IDS`` ids is fitted, 1 for all; ``rounds``: parts of the
+    documents, after each of which the tasks' weights are averaged; ``steps``: a task with fewer in all
     takes its last runs again; ``frequent``: most words sent to every task."""
 
     share: int = 1
+    rounds: int = 3
     steps: int = 100
     rate: float = 0.01
     batch: int = 128
@@ -154,11 +160,13 @@ OPENING = np.where(np.arange(2 * HALF) < HALF - 1, -1e9, 0).astype(np.float32)
 
 
 def start_weights(prior: np.ndarray, inputs: int = INPUTS, seed: int = 7) -> Weights:
-    """Small random weights; the class bias starts at the corpus' class rates. The last input is the start mark."""
+    """Small random weights; the biases start at the corpus' rates of groups and classes. The last input is the start mark."""
     rng = np.random.default_rng(seed)
-    normal = lambda *size: (rng.standard_normal(size) * 0.3 / np.sqrt(size[0] if size[0] <= 64 else 1)).astype(np.float32)
+    normal = lambda *size: (rng.standard_normal(size) * 0.3 / np.sqrt(size[-2] if size[-2] <= 64 else 1)).astype(np.float32)
+    own = prior.reshape(GROUPS, GROUP_CLASSES)
+    group = np.log(np.exp(own).sum(axis=1))
     return {"E": normal(inputs + 1, WIDTH), "P": normal(2 * HALF, WIDTH), "Q": normal(WIDTH, WIDTH), "K": normal(WIDTH, WIDTH), "V": normal(WIDTH, WIDTH),
-            "O": normal(WIDTH, WIDTH), "U": normal(WIDTH, len(prior)), "b": prior.copy()}
+            "O": normal(WIDTH, WIDTH), "G": normal(WIDTH, GROUPS), "g": group.copy(), "U": normal(GROUPS, WIDTH, GROUP_CLASSES), "b": own - group[:, None]}
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -169,42 +177,72 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def loss_and_gradient(w: Weights, inputs: np.ndarray, target: np.ndarray, weight: np.ndarray, opening: np.ndarray) -> tuple[float, Weights]:
-    """Mean cross entropy of the targets of windows (n, 32) -> (n, 16), and its gradient."""
+def by_group(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of rows by their class' group, and the groups present with their first row and the one after the last."""
+    group = (target // GROUP_CLASSES).astype(np.uint8)
+    order = np.argsort(group, kind="stable")
+    ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+    return order, [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+
+
+def loss_and_gradient(w: Weights, inputs: np.ndarray, target: np.ndarray, weight: np.ndarray, opening: np.ndarray, want_loss: bool = True) -> tuple[float, Weights]:
+    """Mean cross entropy of the targets of windows (n, 32) -> (n, 16), and its gradient; the loss is 0 unless wanted.
+
+    Keys and values are never formed: a query meets the inputs through the product of its own and
+    the keys' projection, and what is seen passes the product of the values' and the output's.
+    """
     scale = np.float32(1 / np.sqrt(WIDTH))
-    x = w["E"][inputs] + w["P"]
-    own = x[:, HALF - 1:-1]
-    q, k, v = own @ w["Q"], x @ w["K"], x @ w["V"]
-    q *= scale
-    seen = q @ k.transpose(0, 2, 1)
+    asking, giving = w["Q"] @ w["K"].T * scale, w["V"] @ w["O"]
+    x = w["E"][inputs]
+    x += w["P"]
+    across = x.transpose(0, 2, 1)
+    own = np.ascontiguousarray(x[:, HALF - 1:-1]).reshape(-1, WIDTH)
+    shape = (len(x), HALF, WIDTH)
+    q = (own @ asking).reshape(shape)
+    seen = q @ across
     seen += CAUSAL
     seen[opening] += OPENING
     seen = _softmax(seen)
-    mixed = seen @ v
-    hidden = own + mixed @ w["O"]
-    p = _softmax(hidden @ w["U"] + w["b"])
-    rows, places = np.indices(target.shape)
+    mixed = (seen @ x).reshape(-1, WIDTH)
+    target, weight = target.ravel(), weight.ravel()
+    order, present = by_group(target)
+    # From here on the rows are in the order of their groups.
+    target = target[order]
+    hidden = (own + mixed @ giving)[order]
+    group, place, rows = target // GROUP_CLASSES, target % GROUP_CLASSES, np.arange(len(target))
+    p = _softmax(hidden @ w["G"] + w["g"])
+    inner = w["b"][group]
+    for k, a, b in present:
+        inner[a:b] += hidden[a:b] @ w["U"][k]
+    inner = _softmax(inner)
     total = max(float(weight.sum()), 1.0)
-    loss = float(-(weight * np.log(p[rows, places, target] + 1e-30)).sum() / total)
-    p[rows, places, target] -= 1
-    dz = p
-    dz *= (weight / total)[:, :, None].astype(np.float32)
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    g: Weights = {"U": flat(hidden).T @ flat(dz), "b": flat(dz).sum(axis=0)}
-    dh = dz @ w["U"].T
-    g["O"] = flat(mixed).T @ flat(dh)
-    dmixed = dh @ w["O"].T
-    dseen = dmixed @ v.transpose(0, 2, 1)
-    dv = seen.transpose(0, 2, 1) @ dmixed
-    ds = seen * (dseen - (dseen * seen).sum(axis=-1, keepdims=True))
-    # The scale is part of q.
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-    g["Q"], g["K"], g["V"] = flat(own).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dk @ w["K"].T + dv @ w["V"].T
-    dx[:, HALF - 1:-1] += dh + dq @ w["Q"].T
+    part = (weight[order] / total).astype(hidden.dtype)
+    loss = float(-(part * (np.log(p[rows, group] + 1e-30) + np.log(inner[rows, place] + 1e-30))).sum()) if want_loss else 0.0
+    for z, right in ((p, group), (inner, place)):
+        z[rows, right] -= 1
+        z *= part[:, None]
+    g: Weights = {"G": hidden.T @ p, "g": p.sum(axis=0), "U": np.zeros_like(w["U"]), "b": np.zeros_like(w["b"])}
+    there = p @ w["G"].T
+    for k, a, b in present:
+        g["U"][k] = hidden[a:b].T @ inner[a:b]
+        g["b"][k] = inner[a:b].sum(axis=0)
+        there[a:b] += inner[a:b] @ w["U"][k].T
+    dh = np.empty_like(there)
+    dh[order] = there
+    dmixed = (dh @ giving.T).reshape(shape)
+    slope = dmixed @ across
+    slope -= np.einsum("wij,wij->wi", slope, seen)[:, :, None]
+    slope *= seen
+    dq = (slope @ x).reshape(-1, WIDTH)
+    dasking, dgiving = own.T @ dq, mixed.T @ dh
+    g["Q"], g["K"] = dasking @ w["K"] * scale, dasking.T @ w["Q"] * scale
+    g["V"], g["O"] = dgiving @ w["O"].T, w["V"].T @ dgiving
+    dx = slope.transpose(0, 2, 1) @ q
+    dx += seen.transpose(0, 2, 1) @ dmixed
+    dx[:, HALF - 1:-1] += (dh + dq @ asking.T).reshape(shape)
     g["P"] = dx.sum(axis=0)
-    g["E"] = np.zeros_like(w["E"])
-    np.add.at(g["E"], inputs, dx)
+    cell = inputs.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    g["E"] = np.bincount(cell.ravel(), dx.ravel(), w["E"].size).reshape(w["E"].shape).astype(w["E"].dtype)
     return loss, g
 
 
@@ -228,7 +266,10 @@ def windows_of(parts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndar
 
 
 def fit_here(w: Weights, parts: list[np.ndarray], held: Classes, settings: Settings, moments: dict) -> int:
-    """Adam steps over the windows of some id sequences, in place; returns the number of windows."""
+    """Adam steps over the windows of some id sequences, in place; returns the number of windows.
+
+    ``moments`` starts empty or with the steps ``before``, from which on the rate falls.
+    """
     start = len(w["E"]) - 1
     flat, chosen, opening = windows_of([held.inputs[p] for p in parts], start)
     target, _, _ = windows_of([held.classes[p] for p in parts], 0)
@@ -236,39 +277,85 @@ def fit_here(w: Weights, parts: list[np.ndarray], held: Classes, settings: Setti
     for at in range(0, len(chosen), settings.batch):
         own = chosen[at:at + settings.batch]
         place = own[:, None] * HALF + np.arange(-HALF, HALF)
-        _, g = loss_and_gradient(w, flat[place], target[place[:, HALF:]], filled[place[:, HALF:]], opening[at:at + settings.batch])
+        _, g = loss_and_gradient(w, flat[place], target[place[:, HALF:]], filled[place[:, HALF:]], opening[at:at + settings.batch], want_loss=False)
         moments["t"] = moments.get("t", 0) + 1
-        rate = settings.rate * min(1.0, moments["t"] / 20) / (1 + moments["t"] / 400)
+        rate = settings.rate * min(1.0, moments["t"] / 20) / (1 + (moments["t"] + moments.get("before", 0)) / 400)
         for name, slope in g.items():
             m, v = moments.setdefault(name, (np.zeros_like(slope), np.zeros_like(slope)))
-            m += 0.1 * (slope - m)
-            v += 0.01 * (slope * slope - v)
-            fair = np.float32(1 - 0.9 ** moments["t"]), np.float32(1 - 0.99 ** moments["t"])
-            w[name] -= (rate * (m / fair[0]) / (np.sqrt(v / fair[1]) + 1e-6)).astype(np.float32)
+            m += np.float32(0.1) * (slope - m)
+            slope *= slope
+            slope -= v
+            slope *= np.float32(0.01)
+            v += slope
+            fair = 1 - 0.9 ** moments["t"], np.float32(1 / (1 - 0.99 ** moments["t"]))
+            below = np.sqrt(v * fair[1])
+            below += np.float32(1e-6)
+            w[name] -= np.float32(rate / fair[0]) * m / below
     return len(chosen)
 
 
-def runs_of(text: bytes | None, path: str, share: int) -> list[np.ndarray]:
+def runs(ids: np.ndarray, share: int) -> list[np.ndarray]:
     """The ids of a text that are fitted: all in one, or one in ``share`` runs of ``RUN_IDS`` ids."""
-    ids = ids_of(words_in(text), path)
     if share == 1:
         return [ids]
-    starts = range(zlib.crc32(text or b"") % share * RUN_IDS, len(ids), share * RUN_IDS)
+    starts = range(zlib.crc32(ids.tobytes()) % share * RUN_IDS, len(ids), share * RUN_IDS)
     return [ids[k:k + RUN_IDS] for k in starts]
 
 
+def runs_of(text: bytes | None, path: str, share: int) -> list[np.ndarray]:
+    """The same of a text that is not encoded yet."""
+    return runs(ids_of(words_in(text), path), share)
+
+
+def stored_kind(path: str) -> type:
+    """The smallest unsigned integers that hold every id."""
+    return np.uint16 if n_ids(path) <= 1 << 16 else np.uint32
+
+
+def encoded(texts: DataFrame, path: str, rounds: int) -> DataFrame:
+    """Rows (ids, round) of a single text column."""
+    kind = stored_kind(path)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [ids_of(words_in(text), path).astype(kind).tobytes() for text in raw(batch.column(0))]
+            yield batch_of({"ids": (pa.binary(), own), "round": (pa.int32(), [zlib.crc32(o) % rounds for o in own])})
+
+    return texts.mapInArrow(made, "ids binary, round int")
+
+
 def fit(training: DataFrame, held: Classes, path: str, settings: Settings = Settings()) -> Weights:
-    """Weights fitted on all training texts (or one in ``share`` runs of them), averaged over the tasks.
+    """Weights fitted on all texts of a single text column (or one in ``share`` runs of them)."""
+    return fit_ids(written(encoded(training, path, settings.rounds), "training-ids"), held, path, settings)
+
+
+def fit_ids(training: DataFrame, held: Classes, path: str, settings: Settings = Settings()) -> Weights:
+    """Weights fitted on all rows (ids, round), averaged over the tasks after each round.
 
-    The average is formed on the executors; one set of weights comes to the driver.
+    The average is formed on the executors; one set of weights a round comes to the driver. A round
+    without rows changes nothing.
     """
-    begin = start_weights(held.prior)
+    w, before = start_weights(held.prior), 0
+    names = sorted(w)
+    for number in range(settings.rounds):
+        flat = _round(training.where(F.col("round") == number).select("ids"), w, held, path, settings, before)
+        if flat is None:
+            continue
+        sizes = np.cumsum([w[k].size for k in names])
+        w = {k: part.reshape(w[k].shape) for k, part in zip(names, np.split(flat[:-1].astype(np.float32), sizes[:-1]))}
+        before += int(flat[-1])
+    return w
+
+
+def _round(training: DataFrame, begin: Weights, held: Classes, path: str, settings: Settings, before: int) -> np.ndarray | None:
+    """The averaged weights in the order of their names, and the mean number of steps."""
+    kind, least = stored_kind(path), -(-settings.steps // settings.rounds)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, moments, number, parts, last, load = {k: v.copy() for k, v in begin.items()}, {}, 0, [], [], 0
+        w, moments, number, parts, last, load = {k: v.copy() for k, v in begin.items()}, {"before": before}, 0, [], [], 0
         for batch in batches:
-            for text in raw(batch.column(0)):
-                for part in runs_of(text, path, settings.share):
+            for own in batch.column(0):
+                for part in runs(np.frombuffer(own.as_buffer(), kind).astype(np.int64), settings.share):
                     parts.append(part)
                     load += len(part)
                 if load > 1 << 16:
@@ -276,22 +363,18 @@ def fit(training: DataFrame, held: Classes, path: str, settings: Settings = Sett
                     last, parts, load = parts, [], 0
         if parts:
             number += fit_here(w, parts, held, settings, moments)
-        while (parts or last) and moments["t"] < settings.steps:
+        while (parts or last) and moments["t"] < least:
             fit_here(w, parts or last, held, settings, moments)
         if number:
-            flat = np.concatenate([w[k].ravel() for k in sorted(w)]).astype(np.float64)
+            flat = np.concatenate([*(w[k].ravel() for k in sorted(w)), [moments["t"]]]).astype(np.float64)
             yield batch_of({"at": (pa.int64(), np.arange(len(flat))), "value": (pa.float64(), flat * number), "n": (pa.int64(), np.full(len(flat), number))})
 
     found = training.mapInArrow(fitted, "at long, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).toArrow()
     if not found.num_rows:
-        return begin
-    flat = np.zeros(sum(v.size for v in begin.values()), np.float32)
+        return None
+    flat = np.zeros(found.num_rows)
     flat[found.column("at").to_numpy()] = found.column("value").to_numpy()
-    out, at = {}, 0
-    for name in sorted(begin):
-        out[name] = flat[at:at + begin[name].size].reshape(begin[name].shape)
-        at += begin[name].size
-    return out
+    return flat
 
 
 class Scorer:
@@ -307,11 +390,15 @@ class Scorer:
         self.inputs, self.classes = np.append(held.inputs, len(w["E"]) - 1).astype(np.int32), np.append(held.classes, 0).astype(np.int32)
         asking = w["Q"] @ w["K"].T / np.float32(np.sqrt(WIDTH))
         self.q, self.q_place = w["E"] @ asking, w["P"][HALF - 1:-1] @ asking
-        self.out = np.concatenate([w["U"], w["V"] @ w["O"] @ w["U"]])
+        giving = w["V"] @ w["O"]
+        self.out = np.concatenate([w["G"], giving @ w["G"]])
+        self.inner = np.concatenate([w["U"], giving @ w["U"]], axis=1)
         length = lambda a: float(np.sqrt((a * a).sum(axis=-1)).max())
         x = length(w["E"]) + length(w["P"])
         # Only weights that could overflow an exponential need the largest value taken off.
-        self.small = (length(self.q) + length(self.q_place)) * x < 60 and float(np.abs(w["b"]).max()) + np.sqrt(2) * x * length(self.out.T) < 60
+        widest = max(length(self.out.T), length(self.inner.transpose(0, 2, 1)))
+        bias = max(float(np.abs(w[k]).max()) for k in ("g", "b"))
+        self.small = (length(self.q) + length(self.q_place)) * x < 60 and bias + np.sqrt(2) * x * widest < 60
 
     def class_scores(self, parts: list[np.ndarray]) -> list[np.ndarray]:
         """log10 of the probability of the class of each id, given the ids before it."""
@@ -322,7 +409,7 @@ class Scorer:
         blocks = flat.reshape(-1, HALF)
         before = np.append(self.inputs[start], flat[:-1]).reshape(-1, HALF)
         out = np.zeros((len(blocks), HALF), np.float64)
-        every, keys = np.ones(self.out.shape[1], np.float32), np.ones((2 * HALF, 1), np.float32)
+        keys = np.ones((2 * HALF, 1), np.float32)
         for at in range(0, len(chosen), CHUNK_WINDOWS):
             own, first = chosen[at:at + CHUNK_WINDOWS], opening[at:at + CHUNK_WINDOWS]
             x = np.empty((len(own), 2 * HALF, WIDTH), np.float32)
@@ -340,13 +427,17 @@ class Scorer:
             both[:, :, :WIDTH] = x[:, HALF - 1:-1]
             np.matmul(seen, x, out=both[:, :, WIDTH:])
             both[:, :, WIDTH:] /= seen @ keys
-            z = both.reshape(-1, 2 * WIDTH) @ self.out
-            z += self.w["b"]
-            if not self.small:
-                z -= z.max(axis=1, keepdims=True)
-            right = z[np.arange(len(z)), target[own].ravel()]
-            np.exp(z, out=z)
-            out[own] = (right - np.log(z @ every)).reshape(-1, HALF)
+            goal = target[own].ravel()
+            order, present = by_group(goal)
+            goal, hidden = goal[order], both.reshape(-1, 2 * WIDTH)[order]
+            group = goal // GROUP_CLASSES
+            inner = self.w["b"][group]
+            for k, a, b in present:
+                inner[a:b] += hidden[a:b] @ self.inner[k]
+            told = self._right(hidden @ self.out + self.w["g"], group) + self._right(inner, goal % GROUP_CLASSES)
+            there = np.empty_like(told)
+            there[order] = told
+            out[own] = there.reshape(-1, HALF)
         out /= np.log(10)
         whole, at, found = out.ravel(), 0, []
         for part in parts:
@@ -355,6 +446,14 @@ class Scorer:
             at += -(-len(part) // HALF) * HALF
         return found
 
+    def _right(self, z: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The logarithm of the right one's probability in each row of scores, which are overwritten."""
+        if not self.small:
+            z -= z.max(axis=1, keepdims=True)
+        own = z[np.arange(len(z)), right]
+        np.exp(z, out=z)
+        return own - np.log(z @ np.ones(z.shape[1], np.float32))
+
     def scores(self, parts: list[np.ndarray]) -> list[float]:
         """log10 of the probability of each id sequence."""
         return [float(c.sum() + self.held.within[p].sum()) for c, p in zip(self.class_scores(parts), parts)]
@@ -405,13 +504,13 @@ def score(docs: DataFrame, path: str, modulus: int = 7, left: int = 2, settings:
     rows are scored each. Without training documents every count is 0 and the weights are the start.
 
     Words that are not among the ``settings.frequent`` most frequent ones are joined with the counts.
+    The ids of every text are written once, and read for fitting and for scoring.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    training = texts.where(remainder(F.col("doc_id"), modulus) != left).select("text")
-    words = written(word_counts(training), "word-counts")
+    learned = remainder(F.col("doc_id"), modulus) != left
+    words = written(word_counts(texts.where(learned).select("text")), "word-counts")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     held = classes_of(id_counts(words, path))
-    weights = fit(training, held, path, settings)
     level = F.floor(F.log2("n") * 4).cast("int")
     levels = sorted(words.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level)
     taken, least = 0, None
@@ -423,11 +522,11 @@ def score(docs: DataFrame, path: str, modulus: int = 7, left: int = 2, settings:
     frequent = WordIds([r.word.encode() for r in often], [r.n for r in often], path)
     known_end = (words.where(F.col("word") == END).first() or [END, 0])[1]
     floor = total + distinct + 1
-    model = docs.sparkSession.sparkContext.broadcast((frequent, weights, held))
+    kind, n_rounds = stored_kind(path), settings.rounds
+    stock = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, w, classes = model.value
-        scorer = Scorer(w, classes)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = stock.value
         for batch in batches:
             n, known, base, rare, final, group, load = [], [], [], [], [], [], 0
             for text in raw(batch.column("text")):
@@ -441,23 +540,43 @@ def score(docs: DataFrame, path: str, modulus: int = 7, left: int = 2, settings:
                 group.append((own, number))
                 load += len(own) + 1
                 if load > GROUP_WORDS:
-                    final += scorer.scores(frequent.sequences(group))
+                    final += [p.astype(kind).tobytes() for p in frequent.sequences(group)]
                     group, load = [], 0
             if group:
-                final += scorer.scores(frequent.sequences(group))
-            kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
-            yield batch_of({"row": (pa.int64(), batch.column("row")), "doc_id": (None, batch.column("doc_id")), "n_tokens": (pa.int64(), n), "n_known": (pa.int64(), known),
-                            "base_score": (pa.float64(), base), "rare": (kind, pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))).cast(kind)),
-                            "score": (pa.float64(), final)})
-
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = written(texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        scored, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, rare array<struct<word string, n long>>, score double"), "scored")
+                final += [p.astype(kind).tobytes() for p in frequent.sequences(group)]
+            pairs = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+            yield batch_of({"row": (pa.int64(), batch.column("row")), "doc_id": (None, batch.column("doc_id")), "learned": (None, batch.column("learned")),
+                            "n_tokens": (pa.int64(), n), "n_known": (pa.int64(), known), "base_score": (pa.float64(), base),
+                            "rare": (pairs, pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))).cast(pairs)),
+                            "round": (pa.int32(), [zlib.crc32(p) % n_rounds for p in final]), "ids": (pa.binary(), final)})
+
+    own_kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = written(texts.withColumn("row", F.monotonically_increasing_id()).withColumn("learned", F.coalesce(learned, F.lit(False))).mapInArrow(
+        counted, f"row long, doc_id {own_kind}, learned boolean, n_tokens long, n_known long, base_score double, "
+                 "rare array<struct<word string, n long>>, round int, ids binary"), "text-ids")
+    weights = fit_ids(rows.where("learned").select("ids", "round"), held, path, settings)
+    model = docs.sparkSession.sparkContext.broadcast((weights, held))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*model.value)
+        for batch in batches:
+            final, group, load = [], [], 0
+            for own in batch.column("ids"):
+                group.append(np.frombuffer(own.as_buffer(), kind).astype(np.int64))
+                load += len(group[-1])
+                if load > GROUP_WORDS:
+                    final += scorer.scores(group)
+                    group, load = [], 0
+            if group:
+                final += scorer.scores(group)
+            yield batch_of({"row": (pa.int64(), batch.column("row")), "score": (pa.float64(), final)})
+
+    scores = rows.select("row", "ids").mapInArrow(scored, "row long, score double")
     seldom = rows.select("row", F.explode("rare").alias("own")).select("row", "own.word", F.col("own.n").alias("times"))
     found = seldom.join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     more = found.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
                                     F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(floor))).alias("more_base"))
-    whole = rows.drop("rare").join(more, "row", "left")
+    whole = rows.drop("rare", "ids").join(scores, "row").join(more, "row", "left")
     return whole.select(
         "doc_id", F.coalesce(remainder(F.col("doc_id"), modulus) == left, F.lit(False)).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
