@@ -170,11 +170,16 @@ def start_weights(prior: np.ndarray, inputs: int = INPUTS, seed: int = 7) -> Wei
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """Along the last axis, in place."""
-    x -= x.max(axis=-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
-    return x
+    """Along the last axis; the rows' largest values are taken off only where an exponential would leave its range."""
+    ones = np.ones((x.shape[-1], 1), x.dtype)
+    with np.errstate(over="ignore"):
+        held = np.exp(x)
+        total = held.reshape(-1, x.shape[-1]) @ ones
+    if not (total.min() > 1e-20 and total.max() < 1e30):
+        held = np.exp(x - x.max(axis=-1, keepdims=True))
+        total = held.reshape(-1, x.shape[-1]) @ ones
+    held /= total.reshape(*x.shape[:-1], 1)
+    return held
 
 
 def by_group(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -193,7 +198,7 @@ def loss_and_gradient(w: Weights, inputs: np.ndarray, target: np.ndarray, weight
     """
     scale = np.float32(1 / np.sqrt(WIDTH))
     asking, giving = w["Q"] @ w["K"].T * scale, w["V"] @ w["O"]
-    x = w["E"][inputs]
+    x = w["E"].take(inputs, axis=0)
     x += w["P"]
     across = x.transpose(0, 2, 1)
     own = np.ascontiguousarray(x[:, HALF - 1:-1]).reshape(-1, WIDTH)
@@ -208,10 +213,10 @@ def loss_and_gradient(w: Weights, inputs: np.ndarray, target: np.ndarray, weight
     order, present = by_group(target)
     # From here on the rows are in the order of their groups.
     target = target[order]
-    hidden = (own + mixed @ giving)[order]
+    hidden = (own + mixed @ giving).take(order, axis=0)
     group, place, rows = target // GROUP_CLASSES, target % GROUP_CLASSES, np.arange(len(target))
     p = _softmax(hidden @ w["G"] + w["g"])
-    inner = w["b"][group]
+    inner = w["b"].take(group, axis=0)
     for k, a, b in present:
         inner[a:b] += hidden[a:b] @ w["U"][k]
     inner = _softmax(inner)
@@ -227,8 +232,9 @@ def loss_and_gradient(w: Weights, inputs: np.ndarray, target: np.ndarray, weight
         g["U"][k] = hidden[a:b].T @ inner[a:b]
         g["b"][k] = inner[a:b].sum(axis=0)
         there[a:b] += inner[a:b] @ w["U"][k].T
-    dh = np.empty_like(there)
-    dh[order] = there
+    back = np.empty_like(order)
+    back[order] = rows
+    dh = there.take(back, axis=0)
     dmixed = (dh @ giving.T).reshape(shape)
     slope = dmixed @ across
     slope -= np.einsum("wij,wij->wi", slope, seen)[:, :, None]
@@ -241,8 +247,12 @@ def loss_and_gradient(w: Weights, inputs: np.ndarray, target: np.ndarray, weight
     dx += seen.transpose(0, 2, 1) @ dmixed
     dx[:, HALF - 1:-1] += (dh + dq @ asking.T).reshape(shape)
     g["P"] = dx.sum(axis=0)
-    cell = inputs.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-    g["E"] = np.bincount(cell.ravel(), dx.ravel(), w["E"].size).reshape(w["E"].shape).astype(w["E"].dtype)
+    flat = inputs.ravel().astype(np.uint16)
+    there = np.argsort(flat, kind="stable")
+    flat = flat[there]
+    begin = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    g["E"] = np.zeros_like(w["E"])
+    g["E"][flat[begin]] = np.add.reduceat(dx.reshape(-1, WIDTH).take(there, axis=0), begin, axis=0)
     return loss, g
 
 
