@@ -82,3 +82,32 @@ def test_base32(spark):
     frame = spark.createDataFrame([("",), ("abc",), ("é" * 50,)], "t string")
     rows = frame.select("t", c.base32_of(c.F.sha1(frame.t.cast("binary"))).alias("d")).collect()
     assert all(r.d == sha(r.t) for r in rows)
+
+
+def block(kind, body, version="1.1", **fields):
+    lines = [f"WARC/{version}", f"WARC-Type: {kind}", *[f"{k.replace('_', '-')}: {v}" for k, v in fields.items()], f"Content-Length: {len(body)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    page = b"<p>hello</p>" + FAKE.encode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page
+    told = "sha1:" + base64.b32encode(hashlib.sha1(page).digest()).decode()
+    records = [
+        block("warcinfo", b"software: x\r\n", "1.0", WARC_Record_ID="<urn:uuid:1>"),
+        block("request", b"GET / HTTP/1.1\r\n\r\n", WARC_Record_ID="<urn:uuid:2>", Content_Type="application/http; msgtype=request"),
+        block("response", http, WARC_Record_ID="<urn:uuid:3>", WARC_Target_URI="http://a.b/\r\n  folded", Content_Type="application/http; msgtype=response", WARC_Payload_Digest=told),
+        block("response", http, WARC_Record_ID="<urn:uuid:4>", Content_Type="application/http", WARC_Payload_Digest="sha1:" + "A" * 32),
+        block("metadata", FAKE.encode() * 2, WARC_Record_ID="<urn:uuid:5>")]
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    rows = c.read(spark, str(tmp_path)).collect()
+    for name in ("members.warc.gz", "one.warc.gz", "plain.warc"):
+        own = sorted((r for r in rows if r.file.endswith("/" + name)), key=lambda r: r.at)
+        assert [r.kind for r in own] == ["warcinfo", "request", "response", "response", "metadata"]
+        assert [r.record_id for r in own] == [f"<urn:uuid:{k}>" for k in range(1, 6)]
+        assert [r.sound for r in own] == [True, True, True, False, True] and own[2].uri == "http://a.b/ folded"
+        assert own[2].bytes == len(page) and own[2].digest == told[5:] and own[1].bytes == 0
+    assert len(rows) == 15

@@ -9,10 +9,10 @@ records really reaches.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracewell.llm.common import batch_of
 from tracewell.session import cut_lineage, shared_folder
 
-MAGIC = b"WARC/1.0\r\n"
-HEADER = re.compile(rb"WARC/1\.0\r\n((?:[!-9;-~]+:[^\r\n]*\r\n)+)\r\n")
+HEADER = re.compile(rb"WARC/(?:0\.1[78]|1\.[01])\r\n((?:[!-9;-~]+:[^\r\n]*\r\n(?:[ \t][^\r\n]*\r\n)*)+)\r\n")
+GZIP = b"\x1f\x8b"
 RECORDS_PER_FILE = 1024
 DATE = "1970-01-01T00:00:00Z"
 
@@ -71,30 +71,55 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, records_per_file:
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(folder)
 
 
+RECORD = "page_id long, kind string, refers_to long, bytes long, digest string, sound boolean, uri string, record_id string"
+
+
+def unpacked(content: bytes) -> bytes:
+    """An archive's bytes: all gzip members one after the other, or as they are if it is not packed."""
+    return gzip.decompress(content) if content[:2] == GZIP else content
+
+
+def fields_of(lines: bytes) -> dict[bytes, bytes]:
+    """Header fields by lower-case name; a line that begins with white space goes on with the one before."""
+    pairs = (line.partition(b":") for line in re.sub(rb"\r\n[ \t]+", b" ", lines).split(b"\r\n"))
+    return {k.strip().lower(): v.strip() for k, _, v in pairs}
+
+
+def _payload(block: bytes, kind: bytes) -> bytes:
+    """What a block carries: of an HTTP message the part after its header."""
+    return block.partition(b"\r\n\r\n")[2] if kind.lower().startswith(b"application/http") else block
+
+
+def _record_at(data: bytes, found: re.Match) -> dict:
+    """The record that a header claims, with the offset of its successor (None if it does not end as a record does)."""
+    fields = fields_of(found[1])
+    length = fields.get(b"content-length", b"")
+    end = found.end() + int(length) if length.isdigit() else len(data)
+    whole = data[end:end + 4] == b"\r\n\r\n"
+    payload = _payload(data[found.end():end], fields.get(b"content-type", b"")) if whole else b""
+    kind = fields.get(b"warc-type", b"").decode("latin-1")
+    way, _, told = fields.get(b"warc-payload-digest", b"").decode("latin-1").rpartition(":")
+    own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    again = kind == "revisit"
+    full = fields.get(b"x-payload-length", b"")
+    ids = [re.fullmatch(rb"<urn:page:(-?\d*)>", fields.get(k, b"")) for k in (b"warc-record-id", b"warc-refers-to")]
+    page, target = (int(m[1]) if m and m[1].strip(b"-") else None for m in ids)
+    return {"at": found.start(), "next": end + 4 if whole else None, "page_id": page, "kind": kind, "refers_to": target,
+            "bytes": int(full) if again and full.isdigit() else len(payload), "digest": told if again else own,
+            # Only a SHA-1 can be compared; a revisit holds no payload to compare.
+            "sound": whole and (again or way.lower() != "sha1" or told.upper() == own),
+            "uri": fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"), "record_id": fields.get(b"warc-record-id", b"").decode("latin-1")}
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every place that looks like a record: its offset, the offset after it, and its fields."""
+    kinds = {"at": pa.int64(), "next": pa.int64(), "page_id": pa.int64(), "kind": pa.string(), "refers_to": pa.int64(), "bytes": pa.int64(),
+             "digest": pa.string(), "sound": pa.bool_(), "uri": pa.string(), "record_id": pa.string()}
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            data = zlib.decompress(content.as_buffer(), wbits=47)
-            rows: dict[str, list] = {k: [] for k in ("at", "next", "page_id", "kind", "refers_to", "bytes", "digest", "sound")}
-            for found in HEADER.finditer(data):
-                fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in found[1].split(b"\r\n"))}
-                length = fields.get(b"content-length", b"")
-                end = found.end() + int(length) if length.isdigit() else len(data)
-                whole = data[end:end + 4] == b"\r\n\r\n"
-                payload = memoryview(data)[found.end():end] if whole else b""
-                revisit = fields.get(b"warc-type") == b"revisit"
-                told = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("latin-1")
-                digest = told if revisit else base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                full = fields.get(b"x-payload-length", b"")
-                ids = [re.fullmatch(rb"<urn:page:(-?\d*)>", fields.get(k, b"")) for k in (b"warc-record-id", b"warc-refers-to")]
-                page, target = (int(m[1]) if m and m[1].strip(b"-") else None for m in ids)
-                values = (found.start(), end + 4 if whole else None, page, "revisit" if revisit else "response", target,
-                          int(full) if revisit and full.isdigit() else len(payload), digest, whole and digest == told)
-                for name, value in zip(rows, values):
-                    rows[name].append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield batch_of({"file": (pa.string(), [path] * len(rows["at"]))} | {k: (kind, v) for kind, (k, v) in zip(kinds, rows.items())})
+            data = unpacked(content.as_py())
+            rows = [_record_at(data, found) for found in HEADER.finditer(data)]
+            yield batch_of({"file": (pa.string(), [path] * len(rows))} | {k: (kind, [r[k] for r in rows]) for k, kind in kinds.items()})
 
 
 def reached(candidates: DataFrame) -> DataFrame:
@@ -115,10 +140,15 @@ def reached(candidates: DataFrame) -> DataFrame:
 
 
 def read(spark, folder: str) -> DataFrame:
-    """The true records of all archives below ``folder``; payload magic that no chain reaches is left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path", "content")
-    found = files.mapInArrow(_candidates, "file string, at long, next long, page_id long, kind string, refers_to long, bytes long, digest string, sound boolean")
-    return reached(cut_lineage(found))
+    """The true records of all archives (.warc, .gz) below ``folder``, of any type, which ``kind`` names.
+
+    Packed archives may consist of one gzip member or of one per record. Payload magic that no chain
+    reaches is left out. ``bytes`` and ``digest`` are those of the payload, without an HTTP header; a
+    record id of another form than the one written here gives a NULL ``page_id``. A damaged gzip
+    member fails the job. A task unpacks one file whole.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(folder).select("path", "content")
+    return reached(cut_lineage(files.mapInArrow(_candidates, f"file string, at long, next long, {RECORD}")))
 
 
 def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
