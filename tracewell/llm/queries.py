@@ -36,7 +36,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 @query
 def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return secret_guess.scan(table(spark, folder, "documents"))
+    docs = table(spark, folder, "documents")
+    return secret_guess.scan(docs, secret_guess.learned(docs))
 
 
 @query
