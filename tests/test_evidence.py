@@ -1,8 +1,10 @@
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from tracewell.operators import evidence
+from tracewell.session import shared_folder
 
 
 def test_conflict_pairs_equal_brute_force(spark):
@@ -46,6 +48,23 @@ def test_conflict_pairs_equal_brute_force(spark):
         assert marks[i] == ((partners, []) if side == "att" else ([], partners))
 
 
+def _sides(spark, data):
+    df = spark.createDataFrame(data, "id long, tenant string, side string, content string")
+    return df, [evidence.conflict_features(df.where(F.col("side") == s), ["tenant"], "id", "content", [], []) for s in ("credit", "att")]
+
+
+def test_small_scopes_write_no_features(spark):
+    data = [(4 * k + j, f"t{k}", side, f"alpha beta {said}") for k in range(500) for j, (side, said) in enumerate(
+        [("credit", 10), ("att", 11), ("att", 10), ("credit", 12)])]
+    df, parts = _sides(spark, data)
+    folder = shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(at, n)) for at, _, names in os.walk(folder) for n in names if not n.endswith(".crc"))
+    before = size()
+    marks = {r["id"]: (r["conflicts_with_credit"], r["conflicting_attachments"]) for r in evidence.Conflicts(*parts, ["tenant"]).annotate(df.select("id"), "id").collect()}
+    assert size() - before < 20_000  # the features written down took 80 kB
+    assert marks[40] == ([], [41]) and marks[41] == ([40, 43], []) and marks[42] == ([43], []) and marks[43] == ([], [41, 42]) and len(marks) == 2000
+
+
 def greedy(rows, budget, share=0.5):
     """Plain restatement on the full list, without the pre-cut."""
     ranked = sorted(rows, key=lambda r: (-r["score"], r["key"]))

@@ -92,18 +92,42 @@ class Conflicts:
 
     A pair conflicts when its numbers differ, its explicit years are not disjoint, and it either
     shares at least two terms with Jaccard similarity >= ``jaccard`` or shares a year and a term.
-    Everything is decided between distinct feature sets (``groups``); ``pairs`` and ``annotate``
-    list the single rows. ``scope`` is the case and the review item: only rows that share them are
-    compared.
+    ``scope`` is the case and the review item: only rows that share them are compared.
+
+    A scope with at most ``direct`` pairs of rows is decided row against row in one join. In the
+    larger ones everything is decided between distinct feature sets (``groups``) that meet in an
+    index; only these write their features down. ``pairs`` and ``annotate`` list the single rows.
     """
 
-    def __init__(self, credit: DataFrame, attachment: DataFrame, scope: Sequence[str], *, jaccard: float = 0.20):
+    def __init__(self, credit: DataFrame, attachment: DataFrame, scope: Sequence[str], *, jaccard: float = 0.20, direct: int = 4096):
         both = (F.size("terms") > 0) & (F.size("numbers") > 0)
         self.scope, self.jaccard = list(scope), jaccard
-        # The features are read several times; they are far smaller than the texts.
-        self.rows = {"credit": cut_lineage(credit).where(both), "attachment": cut_lineage(attachment).where(both)}
-        self.sets = {k: cut_lineage(_signatures(v, self.scope)) for k, v in self.rows.items()}
-        self.groups = cut_lineage(self._groups())
+        sides = {"credit": credit, "attachment": attachment}
+        counts = credit.select(*scope, F.lit(1.0).alias("_c"), F.lit(0.0).alias("_a")).unionAll(
+            attachment.select(*scope, F.lit(0.0).alias("_c"), F.lit(1.0).alias("_a")))
+        large = cut_lineage(counts.groupBy(*scope).agg(F.sum("_c").alias("_c"), F.sum("_a").alias("_a")).where(
+            F.col("_c") * F.col("_a") > direct).select(*scope))
+        self.groups = None
+        if not large.isEmpty():
+            # The features are read several times; they are far smaller than the texts.
+            self.rows = {k: cut_lineage(v.join(large, self.scope, "left_semi")).where(both) for k, v in sides.items()}
+            self.sets = {k: cut_lineage(_signatures(v, self.scope)) for k, v in self.rows.items()}
+            self.groups = cut_lineage(self._groups())
+            sides = {k: v.join(large, self.scope, "left_anti") for k, v in sides.items()}
+        self.small = {k: v.where(both) for k, v in sides.items()}
+
+    def _common(self) -> Column:
+        return F.size(F.array_intersect("credit_terms", "attachment_terms"))
+
+    def _conflict(self) -> Column:
+        """The full test of a pair."""
+        common = self._common()
+        union = F.size("credit_terms") + F.size("attachment_terms") - common
+        both_dated = (F.size("credit_years") > 0) & (F.size("attachment_years") > 0)
+        same_year = F.arrays_overlap("credit_years", "attachment_years")
+        return (
+            (F.col("credit_numbers") != F.col("attachment_numbers")) & ~(both_dated & ~same_year)
+            & (((common >= 2) & (common / union >= self.jaccard)) | (both_dated & same_year & (common >= 1))))
 
     def _groups(self) -> DataFrame:
         """Pairs of conflicting feature sets.
@@ -136,39 +160,39 @@ class Conflicts:
             named = self.sets[side].select(*scope, F.col("signature").alias(side), *[
                 F.col(c).alias(f"{side}_{c}") for c in ("terms", "numbers", "years", "members", "first_id")])
             candidates = candidates.join(named, [*scope, side])
-        common = F.size(F.array_intersect("credit_terms", "attachment_terms"))
-        union = F.size("credit_terms") + F.size("attachment_terms") - common
-        both_dated = (F.size("credit_years") > 0) & (F.size("attachment_years") > 0)
-        same_year = F.arrays_overlap("credit_years", "attachment_years")
-        keep = (
-            (F.col("credit_numbers") != F.col("attachment_numbers")) & ~(both_dated & ~same_year)
-            & (((common >= 2) & (common / union >= jaccard)) | (both_dated & same_year & (common >= 1))))
-        return candidates.where(keep).select(
-            *ids, common.alias("common"), *[f"{s}_{c}" for s in ("credit", "attachment") for c in ("members", "first_id")])
+        return candidates.where(self._conflict()).select(
+            *ids, self._common().alias("common"), *[f"{s}_{c}" for s in ("credit", "attachment") for c in ("members", "first_id")])
 
     def _members(self, side: str) -> DataFrame:
         """(scope, row id, signature) of the rows that take part in a conflict."""
         rows = self.rows[side].select(*self.scope, F.col("id").alias(side + "_id"), _signature().alias(side))
         return rows.join(self.groups.select(*self.scope, side).distinct(), [*self.scope, side], "left_semi")
 
+    def _direct(self) -> DataFrame:
+        """Conflicting rows of the small scopes."""
+        credit, attachment = [rows.select(*self.scope, *[F.col(c).alias(f"{side}_{c}") for c in ("id", "terms", "numbers", "years")])
+                              for side, rows in self.small.items()]
+        return credit.join(attachment, self.scope).where(self._conflict()).select(
+            *self.scope, "credit_id", "attachment_id", self._common().alias("common"))
+
     def pairs(self) -> DataFrame:
+        if self.groups is None:
+            return self._direct()
         out = self.groups.select(*self.scope, "credit", "attachment", "common")
         for side in ("credit", "attachment"):
             out = out.join(self._members(side), [*self.scope, side])
-        return out.select(*self.scope, "credit_id", "attachment_id", "common")
+        return out.select(*self.scope, "credit_id", "attachment_id", "common").unionByName(self._direct())
 
     def annotate(self, rows: DataFrame, key: str) -> DataFrame:
         """Sorted partner ids of every row: ``conflicts_with_credit`` and ``conflicting_attachments``.
 
         Partners lie in the row's own scope, a case and review item, which bounds the lists.
         """
-        pairs = self.pairs()
-
-        def partners(own: str, other: str, name: str) -> DataFrame:
-            return pairs.groupBy(F.col(own).alias(key)).agg(F.array_sort(F.collect_list(other)).alias(name))
-
-        marks = partners("attachment_id", "credit_id", "conflicts_with_credit").join(
-            partners("credit_id", "attachment_id", "conflicting_attachments"), key, "full")
+        # Each pair once for either row, so that one grouping lists the partners of both sides.
+        sides = F.array(F.struct(F.col("attachment_id").alias(key), F.col("credit_id").alias("_c"), F.lit(None).alias("_a")),
+                        F.struct(F.col("credit_id").alias(key), F.lit(None).alias("_c"), F.col("attachment_id").alias("_a")))
+        marks = self.pairs().select(F.inline(sides)).groupBy(key).agg(
+            F.array_sort(F.collect_list("_c")).alias("conflicts_with_credit"), F.array_sort(F.collect_list("_a")).alias("conflicting_attachments"))
         return rows.join(marks, key, "left").withColumns({
             c: F.coalesce(F.col(c), F.array().cast(marks.schema[c].dataType)) for c in ("conflicts_with_credit", "conflicting_attachments")})
 
