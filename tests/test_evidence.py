@@ -65,6 +65,18 @@ def test_small_scopes_write_no_features(spark):
     assert marks[40] == ([], [41]) and marks[41] == ([40, 43], []) and marks[42] == ([43], []) and marks[43] == ([], [41, 42]) and len(marks) == 2000
 
 
+def test_pairs_do_not_depend_on_where_scopes_are_decided(spark):
+    rng = random.Random(5)
+    words = [a + b for a in "abcdefg" for b in "xyz"]
+    data = [(i, f"t{min(i % 9, 2 + i % 2)}", rng.choice(["credit", "att"]), " ".join(rng.sample(words, rng.randint(1, 6)) + [rng.choice(["10", "11", "2020", "2021"])])) for i in range(240)]
+    data += [(240 + i, *data[i][1:]) for i in range(60)]  # copies
+    _, parts = _sides(spark, data)
+    some = evidence.Conflicts(*parts, ["tenant"], direct=1500)  # both kinds of scope
+    assert some.groups is not None and some.small["credit"].count() > 0
+    rows = [sorted(map(tuple, c.pairs().collect())) for c in (evidence.Conflicts(*parts, ["tenant"], direct=0), some, evidence.Conflicts(*parts, ["tenant"], direct=10**9))]
+    assert len(rows[0]) > 100 and rows[0] == rows[1] == rows[2]
+
+
 def greedy(rows, budget, share=0.5):
     """Plain restatement on the full list, without the pre-cut."""
     ranked = sorted(rows, key=lambda r: (-r["score"], r["key"]))
