@@ -8,7 +8,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 # Helpers in Python: blocks outside, packing and paths for texts, packing for tables; once for all levels.
-@pytest.mark.parametrize("name, helpers", [("render_levels", 4), ("level_matrix", 4), ("level_payload", 4)])
+@pytest.mark.parametrize("name, helpers", [("body_blocks", 1), ("render_levels", 4), ("level_matrix", 4), ("level_payload", 4)])
 def test_master_queries_work_once(spark, name, helpers):
     plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == helpers
