@@ -64,6 +64,27 @@ def test_mapped_facts(spark, tmp_path):
     assert workbooks.missing_sheets(cells).first()["missing"] == list(workbooks.SHEET_ITEMS)
 
 
+def test_parts_of_one_layout_are_parsed_once(monkeypatch):
+    parsed = []
+    real = files.ElementTree.fromstring
+    monkeypatch.setattr(files.ElementTree, "fromstring", lambda data: parsed.append(1) or real(data))
+    books = [workbook({"S1": {"A1": n}, "S2": {"AB12": (n, "A1")}}) for n in range(10)]
+    found = [list(files.workbook_cells(book)) for book in books]
+    assert found[3] == [("S1", 1, 1, 1, "A1", "3", None), ("S2", 2, 12, 28, "AB12", "3", "=A1")]
+    assert len(parsed) == 2 * len(books) + 2  # it was four for each
+
+
+def test_unit_cells_of_many_files(spark):
+    """Every file takes the unit of its own cell; an empty unit cell gives none."""
+    rows = spark.createDataFrame([(f"{n}.xlsx", bytearray(workbook({"S": {"A1": n, "A2": n + 1, "B1": unit}}))) for n, unit in ((10, "천원"), (20, " "), (30, "억원"))], "path string, content binary")
+    mapping = spark.createDataFrame([("size", "크기", "S", "A1:A2", ["A"], False, None, "B1", None, "Z9"), ("own", "단위", "S", "B1", ["A"], False, None, "B1", None, None)], workbooks.MAPPING)
+    facts = workbooks.mapped_facts(files.read_cells(rows), mapping, (F.lit("t"), F.lit("c"), F.col("path")), F.col("path")).collect()
+    assert sorted((r["source_filename"], r["field_id"], r["value"], r["unit"], r["period"]) for r in facts) == [
+        ("10.xlsx", "own", "천원", "천원", None), ("10.xlsx", "size:A1", "10", "천원", None), ("10.xlsx", "size:A2", "11", "천원", None),
+        ("20.xlsx", "size:A1", "20", " ", None), ("20.xlsx", "size:A2", "21", " ", None),
+        ("30.xlsx", "own", "억원", "억원", None), ("30.xlsx", "size:A1", "30", "억원", None), ("30.xlsx", "size:A2", "31", "억원", None)]
+
+
 def test_semantic_workbook(spark, tmp_path):
     sheets = {name: {} for name in workbooks.SHEET_ITEMS}
     sheets["3. 재무현황"] = {"A1": "총괄", "A2": "현금흐름표", "A3": "영업", "B3": 5}

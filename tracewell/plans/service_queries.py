@@ -255,14 +255,16 @@ def docx_blocks(t: Tables):
 def _xlsx_of(rows: pa.Array) -> pa.Array:
     """A workbook with one sheet: columns A (number), B (text) and C (a formula with its value) for every row."""
     main, rel = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    found = []
+    blank, found = io.BytesIO(), []
+    with zipfile.ZipFile(blank, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
     for lines in rows.to_pylist():
         body = "".join(f'<row><c r="A{k}"><v>{x["a"]}</v></c><c r="B{k}" t="inlineStr"><is><t>{escape(x["b"])}</t></is></c><c r="C{k}"><f>A{k}*2</f><v>{2 * x["a"]}</v></c></row>'
                        for k, x in enumerate(lines, 1))
         out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as book:
-            book.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
-            book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
+        out.write(blank.getbuffer())
+        with zipfile.ZipFile(out, "a") as book:
             book.writestr("xl/worksheets/s.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
         found.append(out.getvalue())
     return pa.array(found, pa.binary())
