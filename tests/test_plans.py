@@ -16,6 +16,13 @@ def test_master_queries_work_once(spark, name, helpers):
     assert "aggregate(coalesce(semantic_elements" not in plan
 
 
+def test_workbooks_are_opened_once(spark):
+    """Facts, units and periods come from one reading of the cells, and a template is not joined by shuffling every cell to its sheet."""
+    plan = entry.queries()["mapped_workbooks"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("MapInPandas") == 0
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_long_document(spark):
     """A document of 4000 lines takes seconds; its headings were gone through for every heading of every window."""
     from pyspark.sql import functions as F

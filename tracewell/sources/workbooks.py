@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.identity import evidence_id
@@ -66,17 +66,19 @@ def mapped_facts(cells: DataFrame, mapping: DataFrame, scope: tuple[Column, Colu
     """One fact per filled cell of every mapped range.
 
     The range test is a residual of an equi join on the sheet. Unit and period come from the
-    mapping or from a referenced cell of the same sheet and file.
+    mapping or from a referenced cell of the same sheet and file. The cells are read once: a
+    referenced cell is kept beside the facts of its file until they have taken its value.
     """
     first, last = F.element_at(F.split("cell_range", ":"), 1), F.element_at(F.split("cell_range", ":"), -1)
     boxes = mapping.withColumns({
         "c0": _column_no(first), "c1": _column_no(last), "r0": _row_no(first), "r1": _row_no(last)}).withColumnRenamed("sheet_name", "sheet")
-    filled = cells.where(F.trim(F.coalesce("value", F.lit(""))) != "")
-    hits = filled.join(boxes, "sheet").where(F.col("col").between(F.col("c0"), F.col("c1")) & F.col("row").between(F.col("r0"), F.col("r1")))
-    looked = cells.select("path", "sheet", "coordinate", "value")
-    for name in ("unit", "period"):
-        side = looked.select("path", "sheet", F.col("coordinate").alias(name + "_cell"), F.col("value").alias(name + "_value"))
-        hits = hits.join(side, ["path", "sheet", name + "_cell"], "left").withColumn(name, F.coalesce(name, name + "_value"))
+    inside = (F.trim(F.coalesce("value", F.lit(""))) != "") & F.col("col").between(F.col("c0"), F.col("c1")) & F.col("row").between(F.col("r0"), F.col("r1"))
+    refers = {name: F.col("coordinate") == F.col(name + "_cell") for name in ("unit", "period")}
+    # A template has few rows and its few sheets are in every file: dealt by sheet, all cells would meet in a few tasks.
+    near = cells.join(F.broadcast(boxes), "sheet").withColumn("_inside", F.coalesce(inside, F.lit(False))).where(
+        F.col("_inside") | refers["unit"] | refers["period"])
+    alike = Window.partitionBy("path", "sheet", "unit_cell", "period_cell")
+    hits = near.withColumns({name: F.coalesce(name, F.max(F.when(at, F.col("value"))).over(alike)) for name, at in refers.items()}).where("_inside")
     field = F.when(F.col("cell_range") == F.col("coordinate"), F.col("field_id")).otherwise(F.concat_ws(":", "field_id", "coordinate"))
     hits = hits.withColumn("_f", field)
     return hits.select(
