@@ -127,3 +127,17 @@ def test_scaffolding(spark):
             "```markdown\n본문\n```"]
     got = values(spark, data, text.strip_scaffolding(F.col("x")))
     assert got == ["의견이다.\n\n끝.", "그대로\n둔다", "앞\n뒤", "근거요약\n| a |", "본문"]
+
+
+def test_recurring_texts_are_scanned_once(monkeypatch):
+    import pyarrow as pa
+
+    from tracewell.functions import spans
+
+    scanned = []
+    real = spans._numbers_of
+    monkeypatch.setattr(spans, "_numbers_of", lambda t: scanned.append(t) or real(t))
+    texts = ["in 1995년 12%", None, "no figure", "2024.3.5 A1=20: 7배"] * 50 + ["once 30"]
+    found = spans._numbers.func(pa.array(texts)).to_pylist()
+    assert [[tuple(x.values()) for x in row] for row in found] == [real(t) for t in texts]
+    assert len(scanned) == 5  # it was 201
