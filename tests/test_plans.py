@@ -23,6 +23,12 @@ def test_workbooks_are_opened_once(spark):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_sections_are_scanned_once(spark):
+    """Of the numbers only those of whole sections and of examples are found while the issues are joined; each check scanned the texts anew."""
+    plan = entry.queries()["section_leaks"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+
+
 def test_long_document(spark):
     """A document of 4000 lines takes seconds; its headings were gone through for every heading of every window."""
     from pyspark.sql import functions as F
