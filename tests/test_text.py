@@ -141,3 +141,22 @@ def test_recurring_texts_are_scanned_once(monkeypatch):
     found = spans._numbers.func(pa.array(texts)).to_pylist()
     assert [[tuple(x.values()) for x in row] for row in found] == [real(t) for t in texts]
     assert len(scanned) == 5  # it was 201
+
+
+def test_batches_are_worked_off_in_slices(monkeypatch):
+    """Of a batch of 10,000 texts only a slice is held as Python text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tracewell.functions.vectors import hash_counts, hash_counts_of
+
+    texts = pa.array([f"{i} " + "word " * 400 for i in range(4000)] + [None, ""])
+    for run in (spans.char_split(1000, 100).func, hash_counts.func):
+        tracemalloc.start()
+        found = run(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) == len(texts) and peak < 4_000_000  # it was more than the texts, 8 MB
+    assert found[7].as_py() == hash_counts_of(texts[7].as_py()).tolist()
+    assert spans.char_split(1000, 100).func(texts)[300].as_py() == spans.char_split_of(texts[300].as_py(), 1000, 100)

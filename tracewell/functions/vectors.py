@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.functions.spans import in_slices
+
 HASH_DIMENSION = 8
 
 
@@ -40,9 +42,12 @@ def hash_counts_of(text: str, dimension: int = HASH_DIMENSION) -> np.ndarray:
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def hash_counts(texts: pa.Array) -> pa.Array:
     """Character counts per bucket (code point + position) mod 8: exact small integers."""
-    rows = np.array([hash_counts_of(t or "") for t in texts.to_pylist()], dtype=np.float32).reshape(-1, HASH_DIMENSION)
-    offsets = pa.array(np.arange(len(rows) + 1) * HASH_DIMENSION, pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))
+    def counted(part: pa.Array) -> pa.Array:
+        rows = np.array([hash_counts_of(t or "") for t in part.to_pylist()], dtype=np.float32).reshape(-1, HASH_DIMENSION)
+        offsets = pa.array(np.arange(len(rows) + 1) * HASH_DIMENSION, pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))
+
+    return in_slices(texts, counted)
 
 
 def encoder_udf(load: Callable[[], Callable[[list[str]], np.ndarray]], prefix: str = "passage: "):
