@@ -77,6 +77,17 @@ def test_pairs_do_not_depend_on_where_scopes_are_decided(spark):
     assert len(rows[0]) > 100 and rows[0] == rows[1] == rows[2]
 
 
+def test_pairs_of_rows_equal_those_of_two_sides(spark):
+    data = [(i, None if i % 17 == 0 else f"t{i % 9}", None if i % 13 == 0 else i % 9 > 6 or i % 2 == 0, f"alpha {'beta' if i % 4 else 'gamma'} {10 + i % 5}") for i in range(120)]
+    df = spark.createDataFrame(data, "id long, tenant string, credit boolean, content string")
+    of = lambda rows: evidence.conflict_features(rows, ["tenant"], "id", "content", [], [])
+    want = sorted(map(tuple, evidence.Conflicts(of(df.where("credit")), of(df.where("NOT credit")), ["tenant"]).pairs().collect()))
+    for direct in (0, 30, 4096):
+        found = evidence.Conflicts.of_rows(df, ["tenant"], "credit", of, direct=direct)
+        assert sorted(map(tuple, found.pairs().collect())) == want
+    assert len(want) > 50 and not {row[0] for row in want} & {"t7", "t8"}
+
+
 def greedy(rows, budget, share=0.5):
     """Plain restatement on the full list, without the pre-cut."""
     ranked = sorted(rows, key=lambda r: (-r["score"], r["key"]))

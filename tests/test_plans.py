@@ -23,6 +23,21 @@ def test_workbooks_are_opened_once(spark):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_conflicts_shuffle_keys_only(spark):
+    """Rows come together by case and item before their texts are looked up; the lists of terms made of these were shuffled."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(limit)
+    spark.conf.set(limit, "20000")  # parts are looked up, lines are not
+    try:
+        plan = entry.queries()["conflict_pairs"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(limit, held)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
+    lines = plan.splitlines()
+    below = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert below and not any("terms" in line or "regexp" in line for line in below)
+
+
 def test_sections_are_scanned_once(spark):
     """Of the numbers only those of whole sections and of examples are found while the issues are joined; each check scanned the texts anew."""
     plan = entry.queries()["section_leaks"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()

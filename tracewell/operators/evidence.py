@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -100,21 +100,52 @@ class Conflicts:
     """
 
     def __init__(self, credit: DataFrame, attachment: DataFrame, scope: Sequence[str], *, jaccard: float = 0.20, direct: int = 4096):
-        both = (F.size("terms") > 0) & (F.size("numbers") > 0)
-        self.scope, self.jaccard = list(scope), jaccard
         sides = {"credit": credit, "attachment": attachment}
-        counts = credit.select(*scope, F.lit(1.0).alias("_c"), F.lit(0.0).alias("_a")).unionAll(
-            attachment.select(*scope, F.lit(0.0).alias("_c"), F.lit(1.0).alias("_a")))
-        large = cut_lineage(counts.groupBy(*scope).agg(F.sum("_c").alias("_c"), F.sum("_a").alias("_a")).where(
-            F.col("_c") * F.col("_a") > direct).select(*scope))
-        self.groups = None
-        if not large.isEmpty():
+        large = self._large(credit.select(*scope, F.lit(True).alias("_credit")).unionAll(
+            attachment.select(*scope, F.lit(False).alias("_credit"))), scope, "_credit", direct)
+        if large is None:
+            self._decide(scope, jaccard, sides)
+        else:
+            self._decide(scope, jaccard, {k: v.join(large, [*scope], "left_anti") for k, v in sides.items()},
+                         {k: v.join(large, [*scope], "left_semi") for k, v in sides.items()})
+
+    @classmethod
+    def of_rows(cls, rows: DataFrame, scope: Sequence[str], credit: str, features: Callable[[DataFrame], DataFrame], *,
+                jaccard: float = 0.20, direct: int = 4096) -> Conflicts:
+        """Between the rows where the column ``credit`` holds and those where it does not.
+
+        ``features`` makes of some of the rows what ``conflict_features`` returns. Scopes are counted and
+        brought together as the given columns, and those with one side are left out, before it is called:
+        if it only looks texts up, neither they nor the features are shuffled.
+        """
+        large = cls._large(rows, scope, credit, direct)
+        few = rows if large is None else rows.join(large, [*scope], "left_anti")
+        place = Window.partitionBy(*scope)
+        both = few.withColumns({"_any": F.max(credit).over(place), "_all": F.min(credit).over(place)}).where("_any AND NOT _all").drop("_any", "_all")
+
+        def sides(held: DataFrame) -> dict[str, DataFrame]:
+            return {"credit": features(held.where(F.col(credit))), "attachment": features(held.where(~F.col(credit)))}
+
+        found = cls.__new__(cls)
+        found._decide(scope, jaccard, sides(both), None if large is None else sides(rows.join(large, [*scope], "left_semi")))
+        return found
+
+    @staticmethod
+    def _large(rows: DataFrame, scope: Sequence[str], credit: str, direct: int) -> DataFrame | None:
+        """The scopes with more than ``direct`` pairs of rows, if there are any."""
+        held = cut_lineage(rows.groupBy(*scope).agg(F.count_if(F.col(credit)).alias("_c"), F.count_if(~F.col(credit)).alias("_a")).where(
+            F.col("_c").cast("double") * F.col("_a") > direct).select(*scope))
+        return None if held.isEmpty() else held
+
+    def _decide(self, scope: Sequence[str], jaccard: float, small: dict[str, DataFrame], large: dict[str, DataFrame] | None = None) -> None:
+        both = (F.size("terms") > 0) & (F.size("numbers") > 0)
+        self.scope, self.jaccard, self.groups = list(scope), jaccard, None
+        if large is not None:
             # The features are read several times; they are far smaller than the texts.
-            self.rows = {k: cut_lineage(v.join(large, self.scope, "left_semi")).where(both) for k, v in sides.items()}
+            self.rows = {k: cut_lineage(v).where(both) for k, v in large.items()}
             self.sets = {k: cut_lineage(_signatures(v, self.scope)) for k, v in self.rows.items()}
             self.groups = cut_lineage(self._groups())
-            sides = {k: v.join(large, self.scope, "left_anti") for k, v in sides.items()}
-        self.small = {k: v.where(both) for k, v in sides.items()}
+        self.small = {k: v.where(both) for k, v in small.items()}
 
     def _common(self) -> Column:
         return F.size(F.array_intersect("credit_terms", "attachment_terms"))

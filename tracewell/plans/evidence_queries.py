@@ -117,16 +117,19 @@ k AS (SELECT * FROM p WHERE NOT (dated AND NOT same) AND ((common >= 2 AND commo
 
 def _evidence_rows(t: Tables):
     name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    year = F.concat(F.lit(" in "), (F.lit(1993) + F.col("l_suppkey") % 3).cast("string"), F.lit("년"))
-    said = F.concat("p_name", F.lit(" "), "p_type", F.lit(" size "), F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_suppkey") % 3 == 0, "").otherwise(year))
-    lines = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type"), "l_partkey")
-    return lines.select("l_orderkey", "l_returnflag", name.alias("evidence_id"), (F.col("l_linestatus") == "O").alias("credit"), said.alias("text"))
+    return t.lineitem.select("l_orderkey", "l_returnflag", (F.col("l_linestatus") == "O").alias("credit"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), name
 
 
 def _conflicts(t: Tables):
-    rows, scope = _evidence_rows(t), ["l_orderkey", "l_returnflag"]
-    parts = [evidence.conflict_features(rows.where(side), scope, "evidence_id", "text", STOP, PARTICLES) for side in (F.col("credit"), ~F.col("credit"))]
-    return evidence.Conflicts(*parts, scope)
+    (lines, name), scope = _evidence_rows(t), ["l_orderkey", "l_returnflag"]
+
+    def features(rows):
+        year = F.concat(F.lit(" in "), (F.lit(1993) + F.col("l_suppkey") % 3).cast("string"), F.lit("년"))
+        said = F.concat("p_name", F.lit(" "), "p_type", F.lit(" size "), F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_suppkey") % 3 == 0, "").otherwise(year))
+        texts = rows.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type"), "l_partkey").select(*scope, name.alias("evidence_id"), said.alias("text"))
+        return evidence.conflict_features(texts, scope, "evidence_id", "text", STOP, PARTICLES)
+
+    return evidence.Conflicts.of_rows(lines, scope, "credit", features)
 
 
 @query("conflict_pairs", SQL_CONFLICT + " SELECT l_orderkey, l_returnflag, credit_id, attachment_id, common FROM k")
@@ -139,7 +142,9 @@ a AS (SELECT attachment_id AS evidence_id, string_agg(credit_id, ',' ORDER BY cr
 c AS (SELECT credit_id AS evidence_id, string_agg(attachment_id, ',' ORDER BY attachment_id) AS a FROM k GROUP BY ALL)
 SELECT evidence_id, coalesce(a.c, '') AS conflicts_with_credit, coalesce(c.a, '') AS conflicting_attachments FROM e LEFT JOIN a USING (evidence_id) LEFT JOIN c USING (evidence_id)""")
 def conflict_annotate(t: Tables):
-    found = _conflicts(t).annotate(_evidence_rows(t).select("evidence_id"), "evidence_id")
+    lines, name = _evidence_rows(t)
+    rows = lines.join(t.part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey").select(name.alias("evidence_id"))
+    found = _conflicts(t).annotate(rows, "evidence_id")
     return found.select("evidence_id", *[F.array_join(c, ",").alias(c) for c in ("conflicts_with_credit", "conflicting_attachments")])
 
 
