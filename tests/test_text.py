@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tracewell.functions import identity, money, spans, text
+from tracewell.functions import identity, money, patterns, spans, text
 from tracewell.functions.packing import pack
 
 
@@ -160,3 +160,17 @@ def test_batches_are_worked_off_in_slices(monkeypatch):
         assert len(found) == len(texts) and peak < 4_000_000  # it was more than the texts, 8 MB
     assert found[7].as_py() == hash_counts_of(texts[7].as_py()).tolist()
     assert spans.char_split(1000, 100).func(texts)[300].as_py() == spans.char_split_of(texts[300].as_py(), 1000, 100)
+
+
+def test_java_white_space_is_the_same(spark):
+    """The quick class for Java and the one shared with SQL hold the same characters; citations go with the blanks before them."""
+    points = spark.range(0x110000).where("id < 55296 OR id > 57343").select(
+        F.decode(F.to_binary(F.lpad(F.hex("id"), 8, "0"), F.lit("hex")), "UTF-32").alias("c"))
+    for java, shared in ((patterns.JAVA_WS, patterns.WS), (patterns.JAVA_WS_INLINE, patterns.WS_INLINE)):
+        assert points.where(F.col("c").rlike(java) != F.col("c").rlike(shared)).count() == 0
+    assert points.where(F.col("c").rlike(patterns.JAVA_WS)).count() == 29
+    cite = "cr_" + "aB0" * 6 + "9f"
+    said = [f"a [ {cite} ] .", f"a [ [　{cite}\xa0][{cite}]b", f"a  XATT_{'0' * 20}] ;c", f"[ [ {cite[:-1]} ]"]
+    want = ["a.", "a [b", "a X;c", f"[ [ {cite[:-1]} ]"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("i", text.visible_text(F.col("t")).alias("v")).orderBy("i").collect()
+    assert [r["v"] for r in got] == want
