@@ -170,7 +170,28 @@ def test_java_white_space_is_the_same(spark):
         assert points.where(F.col("c").rlike(java) != F.col("c").rlike(shared)).count() == 0
     assert points.where(F.col("c").rlike(patterns.JAVA_WS)).count() == 29
     cite = "cr_" + "aB0" * 6 + "9f"
-    said = [f"a [ {cite} ] .", f"a [ [　{cite}\xa0][{cite}]b", f"a  XATT_{'0' * 20}] ;c", f"[ [ {cite[:-1]} ]"]
-    want = ["a.", "a [b", "a X;c", f"[ [ {cite[:-1]} ]"]
+    said = [f"a [ {cite} ] .", f"a [ [\u3000{cite}\xa0][{cite}]b", f"a\u2003 XATT_{'0' * 20}] ;c", f"[ [ {cite[:-1]} ]"]
+    want = ["a.", "a [ b", "a\u2003 X;c", f"[ [ {cite[:-1]} ]"]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("i", text.visible_text(F.col("t")).alias("v")).orderBy("i").collect()
     assert [r["v"] for r in got] == want
+
+
+def test_counted_tokens_equal_the_tokens(spark):
+    """Words, numbers and letter pairs counted by the helper are those of the token list; the plan makes no list of them."""
+    from tracewell.operators import lexical
+
+    said = ["", None, "a", "Ab ab AB ab1.5,2 1.5 ٣٤,5", "매출ㆍ원가 1,250.5 매출", "x\U0001f600yz é end", "가a힣 z", "ab " * 700, "한글만 있는 글", "İstanbul ǅ"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said * 60)], "i int, t string").coalesce(1)
+    want = {(r["i"], r["term"]): r["tf"] for r in lexical.term_frequency(lexical.tokenized(df, "i", F.col("t")), "i").collect()}
+    counts = lexical.text_counts(df, "i", F.col("t"))
+    rows = counts.collect()
+    got = {(r["i"], x["term"]): x["tf"] for r in rows for x in r["counts"]}
+    assert got == want and len(rows) == 600 and sum(len(r["counts"]) for r in rows) == len(want)
+    assert rows[0]["counts"] == [] and "regexp_extract_all" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_of_the_queries_are_counted_by_the_helper(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["term_freq"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import lexical_tokens
-from tracewell.operators.lexical import term_counts, term_frequency, tokenized
+from tracewell.operators.lexical import term_frequency, text_counts
 from tracewell.operators.places import column, meet
 from tracewell.operators.scoring import B, DIGITS, K1
 from tracewell.session import cut_lineage
@@ -41,8 +41,8 @@ class Postings:
 
     def build(self, corpus: DataFrame, id_col: str, text_col: str) -> Postings:
         """Write the postings of all texts; each text is tokenised once and its terms are never shuffled one by one."""
-        tokens = tokenized(corpus.withColumnRenamed(id_col, "id"), "id", F.col(text_col))
-        counted = term_counts(tokens, "id").withColumn("size", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x["tf"]))
+        counts = text_counts(corpus.withColumnRenamed(id_col, "id"), "id", F.col(text_col))
+        counted = counts.withColumn("size", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x["tf"]))
         words = F.filter("counts", lambda x: ~x["term"].startswith("c2:"))
         lead = F.array_max(F.transform(words, lambda x: F.struct(x["tf"], x["term"])))["term"]
         counted = cut_lineage(counted.select("id", F.coalesce("size", F.lit(0)).cast("long").alias("size"), lead.alias("lead"), "counts"))
