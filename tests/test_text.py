@@ -195,3 +195,21 @@ def test_terms_of_the_queries_are_counted_by_the_helper(spark):
 
     plan = entry.queries()["term_freq"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
+
+
+def test_columns_are_counted_in_their_row(spark):
+    """As by one group per key and column, also for repeated keys and empty grids; cells are neither rows nor groups."""
+    from tracewell.operators import layout
+
+    grids = [(1, [[1, 2, 3], [4], [5, 6]]), (2, []), (1, [[7], [8, 9, 10, 11]]), (None, [[1]]), (3, [[], [2]]), (4, None), (None, [[5, 5], [6]]), (1, [[2]])] + [
+        (10 + i, [[i] * (i % 5 + 1)] * (i % 3)) for i in range(600)]
+    df = spark.createDataFrame(grids, "k int, x array<array<int>>").coalesce(1)
+    cells = df.select("k", F.posexplode("x").alias("r", "l")).select("k", "r", F.posexplode("l").alias("c", "v"))
+    want = cells.groupBy("k", F.concat(F.lit("c"), F.col("c").cast("string")).alias("column_id")).agg(
+        F.count(F.lit(1)).alias("cells"), F.max("r").alias("last_row"), F.sum("v").alias("chars"))
+    got = layout.unpivoted(df, "k", "x").select(want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+    import __spark_entry__ as entry
+    plan = entry.queries()["unpivot_cells"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "column_id" not in plan[plan.index("Exchange"):]
