@@ -161,3 +161,20 @@ def test_stored_embeddings_are_joined_in_place(spark, tmp_path):
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_changes_leave_no_copies(spark, index):
+    """What an upsert and a deletion write down on their way is gone afterwards, also when they fail."""
+    from tracewell.session import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    held = lambda: {os.path.join(at, n) for at, _, names in os.walk(folder) for n in names}
+    before = held()
+    index.upsert(chunks(spark, [("t", "c", "d3", "1", "new text"), ("t", "c", "d9", "1", "more")]), META)
+    index.delete(tenant_id="t", case_id="c", document_id="d1")
+    with pytest.raises(ValueError, match="duplicate"):
+        index.upsert(chunks(spark, [("t", "c", "d4", "1", "once"), ("t", "c", "d4", "1", "twice")]), META)
+    assert held() == before
+    index.verify()
+    said = {(r["document_id"], r["embedding_text"]) for r in index.read().where("case_id = 'c'").collect()}
+    assert said == {("d0", "text number 0"), ("d2", "text number 2"), ("d3", "new text"), ("d4", "text number 4"), ("d5", "text number 5"), ("d9", "more")}

@@ -8,7 +8,9 @@ commit protocol replaces a lock and a rename. One writer at a time is assumed.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+import uuid
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 from tracewell.operators.retrieval import overlap_filter, overlap_filter_arrays, require_scope
 from tracewell.operators.scoring import hybrid_search
 from tracewell.operators.upsert import SCOPE, delete_scope, replace_documents, require_unique
-from tracewell.session import cut_lineage
+from tracewell.session import shared_folder
 
 PLACE = ("tenant_id", "case_id", "bucket")
 
@@ -119,16 +121,17 @@ class ChunkIndex:
             self.create(chunks, metadata)
             return
         self._check(metadata)
-        newer = cut_lineage(self._placed(chunks))
-        require_unique(newer, ["tenant_id", "case_id", "chunk_no"])
-        touched = newer.select(*PLACE).distinct()
-        near = self.read().join(touched, list(PLACE), "left_semi")
-        # The result is written down before the partitions it was read from are replaced.
-        merged = cut_lineage(replace_documents(near, newer))
-        self._write(merged)
-        if set(merged.columns) != set(self.read().columns):
-            self._describe(metadata, merged.schema)
-        self._note_files(touched)
+        with self._staged() as write_down:
+            newer = write_down(self._placed(chunks))
+            require_unique(newer, ["tenant_id", "case_id", "chunk_no"])
+            touched = newer.select(*PLACE).distinct()
+            near = self.read().join(touched, list(PLACE), "left_semi")
+            # The result is written down before the partitions it was read from are replaced.
+            merged = write_down(replace_documents(near, newer))
+            self._write(merged)
+            if set(merged.columns) != set(self.read().columns):
+                self._describe(metadata, merged.schema)
+            self._note_files(touched)
 
     def delete(self, **scope: str) -> int:
         """Delete a document or a case; returns the number of removed chunks and verifies zero remain."""
@@ -138,20 +141,37 @@ class ChunkIndex:
             return 0
         near = {k: scope[k] for k in ("tenant_id", "case_id")}
         places = [r[0] for r in self.read(scope).select("bucket").distinct().collect()]  # at most ``buckets``
-        rest = cut_lineage(delete_scope(self.read(near).where(F.col("bucket").isin(places)), scope))
-        if not rest.isEmpty():
-            self._write(rest)
-        kept = {r[0] for r in rest.select("bucket").distinct().collect()}
-        for bucket in set(places) - kept:
-            for part in ("data", "_manifest"):
-                self._files().delete(self._path(part, f"tenant_id={scope['tenant_id']}", f"case_id={scope['case_id']}", f"bucket={bucket}"), True)
-        self.spark.catalog.refreshByPath(f"{self.path}/data")
-        if kept:
-            self._note_files(rest.select(*PLACE).distinct())
+        with self._staged() as write_down:
+            rest = write_down(delete_scope(self.read(near).where(F.col("bucket").isin(places)), scope))
+            if not rest.isEmpty():
+                self._write(rest)
+            kept = {r[0] for r in rest.select("bucket").distinct().collect()}
+            for bucket in set(places) - kept:
+                for part in ("data", "_manifest"):
+                    self._files().delete(self._path(part, f"tenant_id={scope['tenant_id']}", f"case_id={scope['case_id']}", f"bucket={bucket}"), True)
+            self.spark.catalog.refreshByPath(f"{self.path}/data")
+            if kept:
+                self._note_files(rest.select(*PLACE).distinct())
         if self.count(scope):
             raise RuntimeError("deletion could not be verified: chunks remain")
         return removed
 
+    @contextmanager
+    def _staged(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """Writes rows down as Parquet until the block ends; a checkpoint would hold texts and lists uncompressed."""
+        folder = f"{shared_folder(self.spark)}/staged-{uuid.uuid4().hex}"
+
+        def write_down(rows: DataFrame) -> DataFrame:
+            place = f"{folder}/{uuid.uuid4().hex}"
+            rows.write.parquet(place)
+            return self.spark.read.schema(rows.schema).parquet(place)
+
+        try:
+            yield write_down
+        finally:
+            staged = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            staged.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(staged, True)
+
     # -- manifest ---------------------------------------------------------------------------
 
     def _digests(self, places: DataFrame | None = None, chosen: Column | None = None) -> DataFrame:
