@@ -145,3 +145,21 @@ def test_clusters_equal_plain_comparison_and_leave_rings_out(spark, tmp_path, mo
     assert found == plain_cosine(rows, [x for x in queries if x[1]], 6)
     work = {r.query_id: (r.vectors, r.scored) for r in index.work(asked, 6, "q", "w").collect()}
     assert all(whole == 691 for whole, _ in work.values()) and work["a"][1] < 480 and work["b"][1] < 480
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    """However many words a task meets, it remembers a fixed number of them, and counts the same."""
+    import pyarrow as pa
+
+    from tracewell.operators import scoring
+
+    words = [[f"w{i}", f"w{i + 1}", "ab", "w7"] for i in range(70_000)]
+    held = pa.array(words)
+    counter = scoring._TermCounter({"w7": 0, "ab": 1, "c2:ab": 2}, True)
+    tf, length = counter(held)
+    assert len(counter.seen) <= 1 << 16
+    monkeypatch.setattr(scoring, "WORDS", 10**6)
+    whole = scoring._TermCounter({"w7": 0, "ab": 1, "c2:ab": 2}, True)
+    wanted, sizes = whole(held)
+    assert len(whole.seen) > 70_000 and (tf == wanted).all() and (length == sizes).all()
+    assert tf[7].tolist() == [2.0, 1.0, 1.0] and tf[0].tolist() == [1.0, 1.0, 1.0]

@@ -91,21 +91,25 @@ def _block(rows: list, with_vectors: bool) -> QueryBlock:
     return QueryBlock([r["i"] for r in rows], [r["t"] for r in rows], vectors, vocabulary, counts)
 
 
+#: Words whose places in the block are remembered by a task; rare ones are looked up again.
+WORDS = 1 << 16
+
+
 class _TermCounter:
     """Term frequencies of the block vocabulary for a batch of word lists."""
 
     def __init__(self, vocabulary: dict[str, int], with_bigrams: bool):
         self.vocabulary, self.with_bigrams = vocabulary, with_bigrams
-        self.seen: dict[str, tuple[list[int], int]] = {}
+        self.seen: dict[str, tuple[tuple[int, ...], int]] = {}
 
-    def _hits(self, word: str) -> tuple[list[int], int]:
+    def _hits(self, word: str) -> tuple[tuple[int, ...], int]:
         got = self.seen.get(word)
         if got is None:
             parts = [word]
             if self.with_bigrams and not word[0].isdigit():
                 parts += ["c2:" + word[i:i + 2] for i in range(len(word) - 1)]
-            got = ([self.vocabulary[p] for p in parts if p in self.vocabulary], len(parts))
-            if len(self.seen) > 500_000:
+            got = (tuple([self.vocabulary[p] for p in parts if p in self.vocabulary]), len(parts))  # words without any share one
+            if len(self.seen) >= WORDS:
                 self.seen.clear()
             self.seen[word] = got
         return got
