@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import docs, lower, odd_rows, words
 
@@ -30,6 +31,67 @@ def test_gradient_is_the_slope():
         assert math.isclose((ends[0] - ends[1]) / 2e-4, g[name][place], rel_tol=1e-3, abs_tol=1e-8), name
 
 
+def test_windows_that_share_a_half_have_the_same_gradient():
+    rng = np.random.default_rng(6)
+    held = a.classes_of(rng.integers(0, 100, 5000))
+    w = {k: v.astype(np.float64) for k, v in a.start_weights(held.prior).items()}
+    flat, chosen, opening = a.windows_of([rng.integers(0, 40, n) for n in (50, 3, 16, 90)], a.INPUTS)
+    halves, follows = flat.reshape(-1, 16), np.diff(chosen) == 1
+    x, y = np.concatenate([halves[chosen - 1], halves[chosen]], axis=1), rng.integers(0, a.CLASSES, (len(chosen), 16))
+    assert follows.any() and not follows.all()
+    told, g = a.loss_and_gradient(w, x, y, np.ones(y.shape), opening, follows=follows)
+    plain, want = a.loss_and_gradient(w, x, y, np.ones(y.shape), opening)
+    assert told == plain
+    for name in w:
+        assert np.allclose(g[name], want[name], rtol=1e-9, atol=1e-12), name
+
+
+def test_weights_that_overflow_an_exponential_still_sum_to_one():
+    rng = np.random.default_rng(7)
+    held = a.classes_of(rng.integers(0, 50, 800), inputs=256)
+    w = {k: v * np.float32(12) for k, v in a.start_weights(held.prior, 256).items()}
+    begin = rng.integers(0, 800, 20)
+    parts = [np.append(begin, k) for k in range(800)]
+    last = [c[-1] + held.within[p[-1]] for c, p in zip(a.Scorer(w, held).class_scores(parts), parts)]
+    assert abs(sum(10.0 ** x for x in last) - 1) < 1e-3
+
+
+ODD_TEXTS = ["The  the\tTHE\n", None, "", " ", "a", "b a", "\x0b\x0cé É\u00a0x \u2003 \x1fz\r", "end ", " begin", "日本 日本", "end"]
+
+
+def test_words_are_split_as_by_python():
+    column = pa.array(ODD_TEXTS)
+    for part in (column, column[3:9], column[:0], column[1:2], pa.concat_arrays([column, column]).cast(pa.large_string())[4:17]):
+        distinct, codes, begin = a.split_words(part)
+        spelled = distinct.to_pylist()
+        assert len(begin) == len(part) + 1 and len(spelled) == len(set(spelled))
+        for k, text in enumerate(part.to_pylist()):
+            assert [spelled[c] for c in codes[begin[k]:begin[k + 1]]] == a.words_in(text.encode() if text else None)
+
+
+@pytest.mark.parametrize("most", [1, 5, 1000])
+def test_word_counts_of_a_task_equal_a_plain_count(monkeypatch, most):
+    monkeypatch.setattr(a, "HELD_WORDS", most)
+    batches = [pa.record_batch({"text": pa.array(ODD_TEXTS[k:k + 4])}) for k in range(0, 12, 4)]
+    got, want = Counter(), Counter()
+    for batch in a._counted(iter(batches)):
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            got[word] += n
+    for text in ODD_TEXTS:
+        want.update([w.decode() for w in a.words_in(text.encode() if text else None)] + [a.END])
+    assert got == want
+
+
+def test_a_word_is_looked_up_once_a_batch():
+    table = a.WordIds([b"the", b"of"], [4, 3], PATH)
+    distinct, codes, begin = a.split_words(pa.array(["the of the", None, "of rare the rare", "rare"] * 50))
+    number = table.numbers(distinct.to_pylist())
+    assert len(number) == 3
+    flat, ends = table.lines(distinct.to_pylist(), number, codes, begin)
+    want = [a.ids_of(t.split(), PATH).tolist() for t in (b"the of the", b"", b"of rare the rare", b"rare")] * 50
+    assert [p.tolist() for p in np.split(flat, ends[:-1])] == want
+
+
 def test_each_id_is_scored_once_with_its_window():
     rng = np.random.default_rng(1)
     held = a.classes_of(rng.integers(0, 100, 3000))

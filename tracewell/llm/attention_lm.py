@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,6 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tracewell.llm.common import LOWER, batch_of, raw, remainder, written
@@ -34,10 +34,14 @@ INPUTS = 2048
 FREQUENT = 200_000
 HELD_WORDS = 1 << 19
 CHUNK_WINDOWS = 128
+HEAD_WINDOWS = 512
 GROUP_WORDS = 1 << 14
 RUN_IDS = 384
+KEPT_BYTES = 24 << 20
 #: The word that stands for the end of a text; no text has it, as it holds white space.
 END = " "
+#: Lower-cases A-Z and makes every white space a blank.
+SPACED = LOWER.translate(bytes.maketrans(b"\t\n\v\f\r", b"     "))
 # Fixed value: the public pre-token pattern of byte-level BPE.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -56,6 +60,15 @@ class Settings:
     frequent: int = FREQUENT
 
 
+def keep_freed_memory() -> None:
+    """Lets a task's process keep the memory it frees for the next arrays.
+
+    Otherwise arrays of some 100 KB go back to the system and cost a page fault every 4 KB when they
+    come again; once a larger block was freed, the C library keeps all smaller ones.
+    """
+    np.empty(KEPT_BYTES, np.uint8)
+
+
 @lru_cache(maxsize=2)
 def subwords(path: str):
     import tiktoken
@@ -82,21 +95,51 @@ def ids_of(words: list[bytes], path: str) -> np.ndarray:
 
 # word and id counts
 
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a column of texts, the place of every word among them, and where each text's words begin, with the end of the last.
+
+    Only distinct words are handled one by one afterwards.
+    """
+    texts = pc.fill_null(column.cast(pa.large_binary()), b"")
+    _, offsets, held = texts.buffers()
+    edges = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(held[edges[0]:edges[-1]].to_pybytes().translate(SPACED) if held else b"", np.uint8)
+    edges = edges - edges[0]
+    inside = data != 32
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    # A text begins a word also where the one before ends in one.
+    opens = edges[:-1][edges[:-1] < edges[1:]]
+    first[opens] = inside[opens]
+    begin = np.searchsorted(np.flatnonzero(first), edges)
+    bounds = np.append(np.flatnonzero(first[inside]), np.count_nonzero(inside))
+    words = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])])
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), begin
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count: Counter = Counter()
+    held, size = [], 0
 
-    def give() -> pa.RecordBatch:
-        return batch_of({"word": (pa.string(), pa.array(list(count), pa.binary()).cast(pa.string())), "n": (pa.int64(), list(count.values()))})
+    def summed() -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+    def given(words: pa.Table) -> Iterator[pa.RecordBatch]:
+        return words.set_column(0, "word", words.column("word").cast(pa.string())).to_batches()
 
     for batch in batches:
-        for text in raw(batch.column(0)):
-            count.update(words_in(text))
-            count[END.encode()] += 1
-            if len(count) > HELD_WORDS:
-                yield give()
-                count.clear()
-    if count:
-        yield give()
+        distinct, codes, _ = split_words(batch.column(0))
+        held.append(pa.table({"word": pa.concat_arrays([distinct, pa.array([END.encode()], distinct.type)]),
+                              "n": np.append(np.bincount(codes, minlength=len(distinct)), batch.num_rows)}))
+        size += len(distinct) + 1
+        if size > HELD_WORDS:
+            held = [summed()]
+            size = held[0].num_rows
+            if size > HELD_WORDS // 2:
+                yield from given(held[0])
+                held, size = [], 0
+    if held:
+        yield from given(summed())
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -169,17 +212,28 @@ def start_weights(prior: np.ndarray, inputs: int = INPUTS, seed: int = 7) -> Wei
             "O": normal(WIDTH, WIDTH), "G": normal(WIDTH, GROUPS), "g": group.copy(), "U": normal(GROUPS, WIDTH, GROUP_CLASSES), "b": own - group[:, None]}
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Along the last axis; the rows' largest values are taken off only where an exponential would leave its range."""
-    ones = np.ones((x.shape[-1], 1), x.dtype)
+def _powers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials and, as a column, their sums along the last axis.
+
+    The rows' largest values are taken off, in ``x`` too, only where an exponential would leave its range.
+    """
+    ones = np.ones(x.shape[-1], x.dtype)
     with np.errstate(over="ignore"):
         held = np.exp(x)
-        total = held.reshape(-1, x.shape[-1]) @ ones
-    if not (total.min() > 1e-20 and total.max() < 1e30):
-        held = np.exp(x - x.max(axis=-1, keepdims=True))
-        total = held.reshape(-1, x.shape[-1]) @ ones
-    held /= total.reshape(*x.shape[:-1], 1)
-    return held
+        total = held.reshape(-1, len(ones)) @ ones
+    if not (total.min() > 1e-12 and total.max() < 1e20):
+        x -= x.max(axis=-1, keepdims=True)
+        held = np.exp(x)
+        total = held.reshape(-1, len(ones)) @ ones
+    return held, total[:, None]
+
+
+def heads_of(w: Weights) -> np.ndarray:
+    """For each group the weights of the groups and of its classes side by side, the biases as last row."""
+    heads = np.empty((GROUPS, WIDTH + 1, GROUPS + GROUP_CLASSES), w["G"].dtype)
+    heads[:, :-1, :GROUPS], heads[:, -1, :GROUPS] = w["G"], w["g"]
+    heads[:, :-1, GROUPS:], heads[:, -1, GROUPS:] = w["U"], w["b"]
+    return heads
 
 
 def by_group(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -190,11 +244,26 @@ def by_group(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]
     return order, [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
 
 
-def loss_and_gradient(w: Weights, inputs: np.ndarray, target: np.ndarray, weight: np.ndarray, opening: np.ndarray, want_loss: bool = True) -> tuple[float, Weights]:
+def headed(hidden: np.ndarray, heads: np.ndarray, target: np.ndarray, present: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the groups and of the own group's classes of rows in the order of their groups, and the flat places of the right ones."""
+    z = np.empty((len(hidden), heads.shape[2]), hidden.dtype)
+    for k, a, b in present:
+        np.matmul(hidden[a:b], heads[k], out=z[a:b])
+    group = target // GROUP_CLASSES
+    right = np.empty((len(z), 2), np.int64)
+    right[:, 0] = np.arange(0, z.size, z.shape[1]) + group
+    right[:, 1] = right[:, 0] + (GROUPS + target - group * (GROUP_CLASSES + 1))
+    return z, right
+
+
+def loss_and_gradient(w: Weights, inputs: np.ndarray, target: np.ndarray, weight: np.ndarray, opening: np.ndarray, want_loss: bool = True,
+                      follows: np.ndarray | None = None) -> tuple[float, Weights]:
     """Mean cross entropy of the targets of windows (n, 32) -> (n, 16), and its gradient; the loss is 0 unless wanted.
 
+    ``follows``: for all windows but the last whether their second half is the first half of the next one.
     Keys and values are never formed: a query meets the inputs through the product of its own and
     the keys' projection, and what is seen passes the product of the values' and the output's.
+    Attention is not divided by its sums; what it mixes and the slopes that come back are.
     """
     scale = np.float32(1 / np.sqrt(WIDTH))
     asking, giving = w["Q"] @ w["K"].T * scale, w["V"] @ w["O"]
@@ -207,50 +276,60 @@ def loss_and_gradient(w: Weights, inputs: np.ndarray, target: np.ndarray, weight
     seen = q @ across
     seen += CAUSAL
     seen[opening] += OPENING
-    seen = _softmax(seen)
+    seen, total = _powers(seen)
     mixed = (seen @ x).reshape(-1, WIDTH)
+    mixed /= total
     target, weight = target.ravel(), weight.ravel()
     order, present = by_group(target)
+    hidden = np.ones((len(own), WIDTH + 1), own.dtype)
+    np.add(mixed @ giving, own, out=hidden[:, :-1])
     # From here on the rows are in the order of their groups.
-    target = target[order]
-    hidden = (own + mixed @ giving).take(order, axis=0)
-    group, place, rows = target // GROUP_CLASSES, target % GROUP_CLASSES, np.arange(len(target))
-    p = _softmax(hidden @ w["G"] + w["g"])
-    inner = w["b"].take(group, axis=0)
+    hidden = hidden.take(order, axis=0)
+    heads = heads_of(w)
+    z, right = headed(hidden, heads, target[order], present)
+    z, sums = _powers(z.reshape(-1, 2, GROUPS))
+    part = (weight[order] / max(float(weight.sum()), 1.0)).astype(hidden.dtype)
+    loss = float(-(part[:, None] * np.log(z.ravel()[right] / sums.reshape(-1, 2) + 1e-30)).sum()) if want_loss else 0.0
+    z = z.reshape(-1, GROUPS)
+    z *= part.repeat(2)[:, None] / sums
+    z.ravel()[right] -= part[:, None]
+    z = z.reshape(-1, GROUPS + GROUP_CLASSES)
+    slopes, across_heads = np.zeros_like(heads), np.ascontiguousarray(heads[:, :-1].transpose(0, 2, 1))
+    there = np.empty((len(z), WIDTH), z.dtype)
     for k, a, b in present:
-        inner[a:b] += hidden[a:b] @ w["U"][k]
-    inner = _softmax(inner)
-    total = max(float(weight.sum()), 1.0)
-    part = (weight[order] / total).astype(hidden.dtype)
-    loss = float(-(part * (np.log(p[rows, group] + 1e-30) + np.log(inner[rows, place] + 1e-30))).sum()) if want_loss else 0.0
-    for z, right in ((p, group), (inner, place)):
-        z[rows, right] -= 1
-        z *= part[:, None]
-    g: Weights = {"G": hidden.T @ p, "g": p.sum(axis=0), "U": np.zeros_like(w["U"]), "b": np.zeros_like(w["b"])}
-    there = p @ w["G"].T
-    for k, a, b in present:
-        g["U"][k] = hidden[a:b].T @ inner[a:b]
-        g["b"][k] = inner[a:b].sum(axis=0)
-        there[a:b] += inner[a:b] @ w["U"][k].T
+        np.matmul(hidden[a:b].T, z[a:b], out=slopes[k])
+        np.matmul(z[a:b], across_heads[k], out=there[a:b])
+    g: Weights = {"G": slopes[:, :-1, :GROUPS].sum(axis=0), "g": slopes[:, -1, :GROUPS].sum(axis=0), "U": slopes[:, :-1, GROUPS:], "b": slopes[:, -1, GROUPS:]}
     back = np.empty_like(order)
-    back[order] = rows
+    back[order] = np.arange(len(order))
     dh = there.take(back, axis=0)
-    dmixed = (dh @ giving.T).reshape(shape)
-    slope = dmixed @ across
-    slope -= np.einsum("wij,wij->wi", slope, seen)[:, :, None]
+    dmixed = dh @ giving.T
+    dmixed /= total
+    slope = dmixed.reshape(shape) @ across
+    slope -= np.einsum("ij,ij->i", dmixed, mixed).reshape(len(x), HALF, 1)
     slope *= seen
     dq = (slope @ x).reshape(-1, WIDTH)
+    dx = slope.transpose(0, 2, 1) @ q
+    dx += seen.transpose(0, 2, 1) @ dmixed.reshape(shape)
     dasking, dgiving = own.T @ dq, mixed.T @ dh
     g["Q"], g["K"] = dasking @ w["K"] * scale, dasking.T @ w["Q"] * scale
     g["V"], g["O"] = dgiving @ w["O"].T, w["V"].T @ dgiving
-    dx = slope.transpose(0, 2, 1) @ q
-    dx += seen.transpose(0, 2, 1) @ dmixed
-    dx[:, HALF - 1:-1] += (dh + dq @ asking.T).reshape(shape)
+    dq = dq @ asking.T
+    dq += dh
+    dx[:, HALF - 1:-1] += dq.reshape(shape)
     g["P"] = dx.sum(axis=0)
-    flat = inputs.ravel().astype(np.uint16)
+    # A half that two windows share is summed over both first; ``lone``: windows whose second half is not the next one's first.
+    lone = np.arange(len(x)) if follows is None else np.append(np.flatnonzero(~follows), len(x) - 1)
+    if follows is not None:
+        first = dx[lone[:-1] + 1, :HALF]
+        dx[1:, :HALF] += dx[:-1, HALF:]
+        dx[lone[:-1] + 1, :HALF] = first
+    halves = np.concatenate([np.arange(0, 2 * len(x), 2), 2 * lone + 1])
+    flat = inputs.reshape(-1, HALF).take(halves, axis=0).ravel().astype(np.uint16)
     there = np.argsort(flat, kind="stable")
     flat = flat[there]
-    begin = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    begin = np.append(0, np.flatnonzero(flat[1:] != flat[:-1]) + 1)
+    there = (halves[:, None] * HALF + np.arange(HALF)).ravel()[there]
     g["E"] = np.zeros_like(w["E"])
     g["E"][flat[begin]] = np.add.reduceat(dx.reshape(-1, WIDTH).take(there, axis=0), begin, axis=0)
     return loss, g
@@ -278,29 +357,42 @@ def windows_of(parts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndar
 def fit_here(w: Weights, parts: list[np.ndarray], held: Classes, settings: Settings, moments: dict) -> int:
     """Adam steps over the windows of some id sequences, in place; returns the number of windows.
 
-    ``moments`` starts empty or with the steps ``before``, from which on the rate falls.
+    ``moments`` starts empty or with the steps ``before``, from which on the rate falls. All weights
+    lie in one array, of which ``w`` holds views.
     """
+    names = sorted(w)
+    if "all" not in moments:
+        moments["all"] = np.concatenate([w[k].ravel() for k in names])
+        moments["mean"], moments["square"] = np.zeros_like(moments["all"]), np.zeros_like(moments["all"])
+        for k, part in zip(names, np.split(moments["all"], np.cumsum([w[k].size for k in names])[:-1])):
+            w[k] = part.reshape(w[k].shape)
+    whole, m, v = moments["all"], moments["mean"], moments["square"]
+    change = np.empty_like(whole)
     start = len(w["E"]) - 1
     flat, chosen, opening = windows_of([held.inputs[p] for p in parts], start)
     target, _, _ = windows_of([held.classes[p] for p in parts], 0)
     filled, _, _ = windows_of([np.ones(len(p), np.int64) for p in parts], 0)
+    flat, target, filled = (a.reshape(-1, HALF) for a in (flat, target, filled))
     for at in range(0, len(chosen), settings.batch):
         own = chosen[at:at + settings.batch]
-        place = own[:, None] * HALF + np.arange(-HALF, HALF)
-        _, g = loss_and_gradient(w, flat[place], target[place[:, HALF:]], filled[place[:, HALF:]], opening[at:at + settings.batch], want_loss=False)
+        _, g = loss_and_gradient(w, np.concatenate([flat[own - 1], flat[own]], axis=1), target[own], filled[own], opening[at:at + settings.batch],
+                                 want_loss=False, follows=np.diff(own) == 1)
         moments["t"] = moments.get("t", 0) + 1
         rate = settings.rate * min(1.0, moments["t"] / 20) / (1 + (moments["t"] + moments.get("before", 0)) / 400)
-        for name, slope in g.items():
-            m, v = moments.setdefault(name, (np.zeros_like(slope), np.zeros_like(slope)))
-            m += np.float32(0.1) * (slope - m)
-            slope *= slope
-            slope -= v
-            slope *= np.float32(0.01)
-            v += slope
-            fair = 1 - 0.9 ** moments["t"], np.float32(1 / (1 - 0.99 ** moments["t"]))
-            below = np.sqrt(v * fair[1])
-            below += np.float32(1e-6)
-            w[name] -= np.float32(rate / fair[0]) * m / below
+        slope = np.concatenate([g[k].ravel() for k in names])
+        np.subtract(slope, m, out=change)
+        change *= np.float32(0.1)
+        m += change
+        slope *= slope
+        slope -= v
+        slope *= np.float32(0.01)
+        v += slope
+        np.multiply(v, np.float32(1 / (1 - 0.99 ** moments["t"])), out=change)
+        np.sqrt(change, out=change)
+        change += np.float32(1e-6)
+        np.divide(m, change, out=change)
+        change *= np.float32(rate / (1 - 0.9 ** moments["t"]))
+        whole -= change
     return len(chosen)
 
 
@@ -362,6 +454,7 @@ def _round(training: DataFrame, begin: Weights, held: Classes, path: str, settin
     kind, least = stored_kind(path), -(-settings.steps // settings.rounds)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         w, moments, number, parts, last, load = {k: v.copy() for k, v in begin.items()}, {"before": before}, 0, [], [], 0
         for batch in batches:
             for own in batch.column(0):
@@ -388,11 +481,7 @@ def _round(training: DataFrame, begin: Weights, held: Classes, path: str, settin
 
 
 class Scorer:
-    """Batched masked attention with the projections of all input vectors formed beforehand.
-
-    A query meets the input vectors themselves, as its own projection already holds that of the
-    keys; the projection of the values is part of the output weights.
-    """
+    """Batched masked attention; the product of every input vector with the queries' and keys' projections is formed beforehand."""
 
     def __init__(self, w: Weights, held: Classes):
         self.held, self.w = held, w
@@ -400,51 +489,29 @@ class Scorer:
         self.inputs, self.classes = np.append(held.inputs, len(w["E"]) - 1).astype(np.int32), np.append(held.classes, 0).astype(np.int32)
         asking = w["Q"] @ w["K"].T / np.float32(np.sqrt(WIDTH))
         self.q, self.q_place = w["E"] @ asking, w["P"][HALF - 1:-1] @ asking
-        giving = w["V"] @ w["O"]
-        self.out = np.concatenate([w["G"], giving @ w["G"]])
-        self.inner = np.concatenate([w["U"], giving @ w["U"]], axis=1)
-        length = lambda a: float(np.sqrt((a * a).sum(axis=-1)).max())
-        x = length(w["E"]) + length(w["P"])
-        # Only weights that could overflow an exponential need the largest value taken off.
-        widest = max(length(self.out.T), length(self.inner.transpose(0, 2, 1)))
-        bias = max(float(np.abs(w[k]).max()) for k in ("g", "b"))
-        self.small = (length(self.q) + length(self.q_place)) * x < 60 and bias + np.sqrt(2) * x * widest < 60
+        self.giving, self.heads = w["V"] @ w["O"], heads_of(w)
 
     def class_scores(self, parts: list[np.ndarray]) -> list[np.ndarray]:
         """log10 of the probability of the class of each id, given the ids before it."""
         start = len(self.inputs) - 1
         ids, chosen, opening = windows_of(parts, start)
-        flat = self.inputs[ids]
         target = self.classes[ids].reshape(-1, HALF)
+        flat = self.inputs[ids]
         blocks = flat.reshape(-1, HALF)
         before = np.append(self.inputs[start], flat[:-1]).reshape(-1, HALF)
         out = np.zeros((len(blocks), HALF), np.float64)
-        keys = np.ones((2 * HALF, 1), np.float32)
-        for at in range(0, len(chosen), CHUNK_WINDOWS):
-            own, first = chosen[at:at + CHUNK_WINDOWS], opening[at:at + CHUNK_WINDOWS]
-            x = np.empty((len(own), 2 * HALF, WIDTH), np.float32)
-            x[:, :HALF], x[:, HALF:] = self.w["E"][blocks[own - 1]], self.w["E"][blocks[own]]
-            x += self.w["P"]
-            q = self.q[before[own]]
-            q += self.q_place
-            seen = q @ x.transpose(0, 2, 1)
-            seen += CAUSAL
-            seen[first] += OPENING
-            if not self.small:
-                seen -= seen.max(axis=-1, keepdims=True)
-            np.exp(seen, out=seen)
-            both = np.empty((len(own), HALF, 2 * WIDTH), np.float32)
-            both[:, :, :WIDTH] = x[:, HALF - 1:-1]
-            np.matmul(seen, x, out=both[:, :, WIDTH:])
-            both[:, :, WIDTH:] /= seen @ keys
+        for at in range(0, len(chosen), HEAD_WINDOWS):
+            own = chosen[at:at + HEAD_WINDOWS]
+            hidden = np.ones((len(own) * HALF, WIDTH + 1), np.float32)
+            for k in range(0, len(own), CHUNK_WINDOWS):
+                self._attend(blocks, before, own[k:k + CHUNK_WINDOWS], opening[at + k:at + k + CHUNK_WINDOWS],
+                             hidden[k * HALF:(k + CHUNK_WINDOWS) * HALF, :-1])
             goal = target[own].ravel()
             order, present = by_group(goal)
-            goal, hidden = goal[order], both.reshape(-1, 2 * WIDTH)[order]
-            group = goal // GROUP_CLASSES
-            inner = self.w["b"][group]
-            for k, a, b in present:
-                inner[a:b] += hidden[a:b] @ self.inner[k]
-            told = self._right(hidden @ self.out + self.w["g"], group) + self._right(inner, goal % GROUP_CLASSES)
+            z, right = headed(hidden.take(order, axis=0), self.heads, goal[order], present)
+            sums = _powers(z.reshape(-1, GROUPS))[1].reshape(-1, 2)
+            told = z.ravel()[right].sum(axis=1)
+            told -= np.log(sums).sum(axis=1)
             there = np.empty_like(told)
             there[order] = told
             out[own] = there.reshape(-1, HALF)
@@ -456,13 +523,21 @@ class Scorer:
             at += -(-len(part) // HALF) * HALF
         return found
 
-    def _right(self, z: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The logarithm of the right one's probability in each row of scores, which are overwritten."""
-        if not self.small:
-            z -= z.max(axis=1, keepdims=True)
-        own = z[np.arange(len(z)), right]
-        np.exp(z, out=z)
-        return own - np.log(z @ np.ones(z.shape[1], np.float32))
+    def _attend(self, blocks: np.ndarray, before: np.ndarray, own: np.ndarray, first: np.ndarray, hidden: np.ndarray) -> None:
+        """Writes what the windows that end with the blocks ``own`` hand to the heads."""
+        x = self.w["E"].take(np.concatenate([blocks[own - 1], blocks[own]], axis=1), axis=0)
+        x += self.w["P"]
+        q = self.q.take(before[own], axis=0)
+        q += self.q_place
+        seen = q @ x.transpose(0, 2, 1)
+        seen += CAUSAL
+        seen[first] += OPENING
+        seen, total = _powers(seen)
+        mixed = (seen @ x).reshape(-1, WIDTH)
+        mixed /= total
+        mixed = (mixed @ self.giving).reshape(q.shape)
+        mixed += x[:, HALF - 1:-1]
+        hidden[...] = mixed.reshape(-1, WIDTH)
 
     def scores(self, parts: list[np.ndarray]) -> list[float]:
         """log10 of the probability of each id sequence."""
@@ -490,20 +565,35 @@ class WordIds:
 
     def sequences(self, texts: list[tuple[list[bytes], np.ndarray]]) -> list[np.ndarray]:
         """The id sequences of several texts, each with the end."""
-        number = np.concatenate([np.append(n, -2) for _, n in texts])
-        others = [words[k] for words, n in texts for k in np.flatnonzero(n < 0)]
+        words = [w for own, _ in texts for w in own]
+        begin = np.append(0, np.cumsum([len(own) for own, _ in texts]))
+        flat, ends = self.lines(words, np.concatenate([n for _, n in texts]), np.arange(len(words)), begin)
+        return np.split(flat, ends[:-1])
+
+    def lines(self, distinct: list[bytes], number: np.ndarray, codes: np.ndarray, begin: np.ndarray, kind: type = np.int32) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts as ``split_words`` gives them, each with the end, in one array; and where each text ends."""
         coder = subwords(self.path)
-        own = np.array(coder.encode_ordinary((b" " + b" ".join(others)).decode("utf-8", "replace")) if others else [], np.int32)
+        place, frequent = np.flatnonzero(number < 0), np.flatnonzero(number >= 0)
+        own = np.array(coder.encode_ordinary((b" " + b" ".join(distinct[k] for k in place)).decode("utf-8", "replace")) if len(place) else [], np.int32)
         first = np.flatnonzero(self.opens[own])
-        place, frequent, ends = (np.flatnonzero(x) for x in (number == -1, number >= 0, number == -2))
-        # One pool of ids: those of the frequent words, the end, those of the other words here.
-        pool = np.concatenate([self.ids, np.array([coder.n_vocab], np.int32), own])
-        sizes, source = np.ones(len(number), np.int32), np.full(len(number), len(self.ids), np.int32)
-        sizes[frequent], source[frequent] = self.sizes[number[frequent]], self.starts[number[frequent]]
-        sizes[place], source[place] = np.diff(np.append(first, len(own))), len(self.ids) + 1 + first
-        starts = np.cumsum(sizes, dtype=np.int32) - sizes
-        out = pool[np.repeat(source - starts, sizes) + np.arange(int(sizes.sum()), dtype=np.int32)]
-        return np.split(out, starts[ends[:-1]] + 1)
+        # One pool of ids: those of the frequent words here, of the other words here, and the end.
+        known = self.sizes[number[frequent]]
+        starts = np.cumsum(known) - known
+        pool = np.concatenate([self.ids[np.repeat(self.starts[number[frequent]] - starts, known) + np.arange(known.sum())], own, [coder.n_vocab]]).astype(kind)
+        sizes, source = np.ones(len(distinct) + 1, np.int32), np.full(len(distinct) + 1, len(pool) - 1, np.int32)
+        sizes[frequent], source[frequent] = known, starts
+        sizes[place], source[place] = np.diff(np.append(first, len(own))), int(known.sum()) + first
+        tokens = np.full(len(codes) + len(begin) - 1, len(distinct), np.int32)
+        inside = np.ones(len(tokens), bool)
+        inside[begin[1:] + np.arange(len(begin) - 1)] = False
+        tokens[inside] = codes
+        out = []
+        for at in range(0, len(tokens), GROUP_WORDS):
+            part = tokens[at:at + GROUP_WORDS]
+            size = sizes[part]
+            out.append(pool[np.repeat(source[part] - (np.cumsum(size, dtype=np.int32) - size), size) + np.arange(int(size.sum()), dtype=np.int32)])
+        ends = np.append(0, np.cumsum(sizes[tokens], dtype=np.int64))[begin[1:] + np.arange(1, len(begin))]
+        return np.concatenate([*out, np.empty(0, kind)]), ends
 
 
 def score(docs: DataFrame, path: str, modulus: int = 7, left: int = 2, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -536,28 +626,28 @@ def score(docs: DataFrame, path: str, modulus: int = 7, left: int = 2, settings:
     stock = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         frequent = stock.value
+        worth = np.log10((frequent.counts + 1) / floor)
         for batch in batches:
-            n, known, base, rare, final, group, load = [], [], [], [], [], [], 0
-            for text in raw(batch.column("text")):
-                own = words_in(text)
-                number = frequent.numbers(own)
-                count = np.append(frequent.counts[number[number >= 0]], known_end)
-                n.append(len(own) + 1)
-                known.append(int((count > 0).sum()))
-                base.append(float(np.log10((count + 1) / floor).sum()))
-                rare.append([{"word": k, "n": v} for k, v in Counter(own[k] for k in np.flatnonzero(number < 0)).items()])
-                group.append((own, number))
-                load += len(own) + 1
-                if load > GROUP_WORDS:
-                    final += [p.astype(kind).tobytes() for p in frequent.sequences(group)]
-                    group, load = [], 0
-            if group:
-                final += [p.astype(kind).tobytes() for p in frequent.sequences(group)]
-            pairs = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+            distinct, codes, begin = split_words(batch.column("text"))
+            spelled, n = distinct.to_numpy(zero_copy_only=False).tolist(), np.diff(begin)
+            number = frequent.numbers(spelled)
+            often = number >= 0
+            own = np.zeros(len(spelled))
+            own[often] = worth[number[often]]
+            base = np.full(len(n), float(np.log10((known_end + 1) / floor)))
+            base[n > 0] += np.add.reduceat(own[codes], begin[:-1][n > 0]) if len(codes) else 0
+            known = np.diff(np.append(0, np.cumsum(often[codes]))[begin]) + int(known_end > 0)
+            seldom = np.flatnonzero(~often[codes])
+            pairs, times = np.unique(np.repeat(np.arange(len(n)), n)[seldom] * max(len(spelled), 1) + codes[seldom], return_counts=True)
+            line, code = np.divmod(pairs, max(len(spelled), 1))
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(line, np.arange(len(n) + 1)), pa.int32()), pa.StructArray.from_arrays(
+                [distinct.take(pa.array(code)).cast(pa.string()), pa.array(times, pa.int64())], names=["word", "n"]))
+            flat, ends = frequent.lines(spelled, number, codes, begin, kind)
+            final = [own.tobytes() for own in np.split(flat, ends[:-1])] if len(n) else []
             yield batch_of({"row": (pa.int64(), batch.column("row")), "doc_id": (None, batch.column("doc_id")), "learned": (None, batch.column("learned")),
-                            "n_tokens": (pa.int64(), n), "n_known": (pa.int64(), known), "base_score": (pa.float64(), base),
-                            "rare": (pairs, pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))).cast(pairs)),
+                            "n_tokens": (pa.int64(), n + 1), "n_known": (pa.int64(), known), "base_score": (pa.float64(), base), "rare": (None, rare),
                             "round": (pa.int32(), [zlib.crc32(p) % n_rounds for p in final]), "ids": (pa.binary(), final)})
 
     own_kind = texts.schema["doc_id"].dataType.simpleString()
@@ -568,6 +658,7 @@ def score(docs: DataFrame, path: str, modulus: int = 7, left: int = 2, settings:
     model = docs.sparkSession.sparkContext.broadcast((weights, held))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         scorer = Scorer(*model.value)
         for batch in batches:
             final, group, load = [], [], 0
