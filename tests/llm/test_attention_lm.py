@@ -46,6 +46,25 @@ def test_windows_that_share_a_half_have_the_same_gradient():
         assert np.allclose(g[name], want[name], rtol=1e-9, atol=1e-12), name
 
 
+@pytest.mark.parametrize("size", [0, 5, 64, 200, 7000])
+def test_batches_are_sorted_at_once_as_one_by_one(size):
+    target = np.random.default_rng(8).integers(0, a.CLASSES, size)
+    got = a.by_batch_and_group(target, 64)
+    want = [a.by_group(target[k:k + 64]) for k in range(0, size, 64)]
+    assert [(o.tolist(), p) for o, p in got] == [(o.tolist(), p) for o, p in want]
+
+
+def test_ids_of_all_words_are_counted(spark):
+    words = {"the": 5, "été": 2, "x'sy": 3, "a,b": 1, "odd\u00a0": 4, "\u2003": 2, "日本": 7, a.END: 9}
+    want = np.zeros(a.n_ids(PATH), np.int64)
+    for word, n in words.items():
+        for k in [len(want) - 1] if word == a.END else a.ids_of([word.encode()], PATH)[:-1]:
+            want[k] += n
+    for own in (words, {a.END: 2}, {"the": 1}):
+        got = a.id_counts(spark.createDataFrame(list(own.items()), "word string, n long").coalesce(1), PATH)
+        assert (got == want).all() if own is words else got.sum() == sum(own.values())
+
+
 def test_weights_that_overflow_an_exponential_still_sum_to_one():
     rng = np.random.default_rng(7)
     held = a.classes_of(rng.integers(0, 50, 800), inputs=256)

@@ -30,6 +30,7 @@ WIDTH = 16
 GROUPS = 14
 GROUP_CLASSES = 14
 CLASSES = GROUPS * GROUP_CLASSES
+PLACES = 16
 INPUTS = 2048
 FREQUENT = 200_000
 HELD_WORDS = 1 << 19
@@ -37,7 +38,7 @@ CHUNK_WINDOWS = 128
 HEAD_WINDOWS = 512
 GROUP_WORDS = 1 << 14
 RUN_IDS = 384
-KEPT_BYTES = 24 << 20
+KEPT_BYTES = 4 << 20
 #: The word that stands for the end of a text; no text has it, as it holds white space.
 END = " "
 #: Lower-cases A-Z and makes every white space a blank.
@@ -93,6 +94,19 @@ def ids_of(words: list[bytes], path: str) -> np.ndarray:
     return np.array([*own, coder.n_vocab], np.int64)
 
 
+@lru_cache(maxsize=2)
+def openers(path: str) -> np.ndarray:
+    """Which ids begin with a blank; of a word's ids only the first does, by the blank before the word."""
+    coder = subwords(path)
+    return np.array([coder.decode_single_token_bytes(k)[:1] == b" " for k in range(coder.n_vocab)])
+
+
+def spelled_ids(words: str, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words with one blank between them, and where those of each word begin."""
+    own = np.array(subwords(path).encode_ordinary(" " + words) if words else [], np.int32)
+    return own, np.flatnonzero(openers(path)[own])
+
+
 # word and id counts
 
 def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -153,11 +167,14 @@ def id_counts(words: DataFrame, path: str) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        coder = subwords(path)
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for own in [coder.n_vocab] if word == END else coder.encode_ordinary(" " + word):
-                    total[own] += n
+            words, n = batch.column(0).to_numpy(zero_copy_only=False).tolist(), batch.column(1).to_numpy()
+            end = words.index(END) if END in words else None
+            if end is not None:
+                total[-1] += n[end]
+                words, n = words[:end] + words[end + 1:], np.delete(n, end)
+            own, first = spelled_ids(" ".join(words), path)
+            np.add.at(total, own, n.repeat(np.diff(np.append(first, len(own)))))
         own = np.flatnonzero(total)
         yield batch_of({"id": (pa.int64(), own), "n": (pa.int64(), total[own])})
 
@@ -229,10 +246,14 @@ def _powers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def heads_of(w: Weights) -> np.ndarray:
-    """For each group the weights of the groups and of its classes side by side, the biases as last row."""
-    heads = np.empty((GROUPS, WIDTH + 1, GROUPS + GROUP_CLASSES), w["G"].dtype)
+    """For each group the weights of the groups and of its classes side by side, the biases as last row.
+
+    Either is filled up to ``PLACES`` columns, whose bias leaves them no probability: products are faster at that width.
+    """
+    heads = np.zeros((GROUPS, WIDTH + 1, 2 * PLACES), w["G"].dtype)
+    heads[:, -1] = -1e9
     heads[:, :-1, :GROUPS], heads[:, -1, :GROUPS] = w["G"], w["g"]
-    heads[:, :-1, GROUPS:], heads[:, -1, GROUPS:] = w["U"], w["b"]
+    heads[:, :-1, PLACES:PLACES + GROUP_CLASSES], heads[:, -1, PLACES:PLACES + GROUP_CLASSES] = w["U"], w["b"]
     return heads
 
 
@@ -244,6 +265,17 @@ def by_group(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]
     return order, [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
 
 
+def by_batch_and_group(target: np.ndarray, batch: int) -> list[tuple[np.ndarray, list[tuple[int, int, int]]]]:
+    """The same for every ``batch`` rows, sorted all at once."""
+    if not len(target):
+        return []
+    number = np.arange(len(target)) // batch * GROUPS + target // GROUP_CLASSES
+    number = number.astype(np.min_scalar_type(number[-1] + GROUPS))
+    order = np.argsort(number, kind="stable") % batch
+    ends = np.bincount(number, minlength=-(-len(target) // batch) * GROUPS).reshape(-1, GROUPS).cumsum(axis=1)
+    return [(order[k * batch:(k + 1) * batch], [(j, a, b) for j, (a, b) in enumerate(zip([0, *own], own)) if a < b]) for k, own in enumerate(ends.tolist())]
+
+
 def headed(hidden: np.ndarray, heads: np.ndarray, target: np.ndarray, present: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Scores of the groups and of the own group's classes of rows in the order of their groups, and the flat places of the right ones."""
     z = np.empty((len(hidden), heads.shape[2]), hidden.dtype)
@@ -252,15 +284,16 @@ def headed(hidden: np.ndarray, heads: np.ndarray, target: np.ndarray, present: l
     group = target // GROUP_CLASSES
     right = np.empty((len(z), 2), np.int64)
     right[:, 0] = np.arange(0, z.size, z.shape[1]) + group
-    right[:, 1] = right[:, 0] + (GROUPS + target - group * (GROUP_CLASSES + 1))
+    right[:, 1] = right[:, 0] + (PLACES + target - group * (GROUP_CLASSES + 1))
     return z, right
 
 
 def loss_and_gradient(w: Weights, inputs: np.ndarray, target: np.ndarray, weight: np.ndarray, opening: np.ndarray, want_loss: bool = True,
-                      follows: np.ndarray | None = None) -> tuple[float, Weights]:
+                      follows: np.ndarray | None = None, groups: tuple[np.ndarray, list[tuple[int, int, int]]] | None = None) -> tuple[float, Weights]:
     """Mean cross entropy of the targets of windows (n, 32) -> (n, 16), and its gradient; the loss is 0 unless wanted.
 
-    ``follows``: for all windows but the last whether their second half is the first half of the next one.
+    ``follows``: for all windows but the last whether their second half is the first half of the next one;
+    ``groups``: what ``by_group`` gives for the targets, if known.
     Keys and values are never formed: a query meets the inputs through the product of its own and
     the keys' projection, and what is seen passes the product of the values' and the output's.
     Attention is not divided by its sums; what it mixes and the slopes that come back are.
@@ -280,26 +313,26 @@ def loss_and_gradient(w: Weights, inputs: np.ndarray, target: np.ndarray, weight
     mixed = (seen @ x).reshape(-1, WIDTH)
     mixed /= total
     target, weight = target.ravel(), weight.ravel()
-    order, present = by_group(target)
-    hidden = np.ones((len(own), WIDTH + 1), own.dtype)
-    np.add(mixed @ giving, own, out=hidden[:, :-1])
+    order, present = groups or by_group(target)
+    given = mixed @ giving
+    given += own
     # From here on the rows are in the order of their groups.
-    hidden = hidden.take(order, axis=0)
+    hidden = np.ones((len(own), WIDTH + 1), own.dtype)
+    hidden[:, :-1] = given.take(order, axis=0)
     heads = heads_of(w)
     z, right = headed(hidden, heads, target[order], present)
-    z, sums = _powers(z.reshape(-1, 2, GROUPS))
+    z, sums = _powers(z.reshape(-1, PLACES))
     part = (weight[order] / max(float(weight.sum()), 1.0)).astype(hidden.dtype)
     loss = float(-(part[:, None] * np.log(z.ravel()[right] / sums.reshape(-1, 2) + 1e-30)).sum()) if want_loss else 0.0
-    z = z.reshape(-1, GROUPS)
     z *= part.repeat(2)[:, None] / sums
     z.ravel()[right] -= part[:, None]
-    z = z.reshape(-1, GROUPS + GROUP_CLASSES)
+    z = z.reshape(-1, 2 * PLACES)
     slopes, across_heads = np.zeros_like(heads), np.ascontiguousarray(heads[:, :-1].transpose(0, 2, 1))
     there = np.empty((len(z), WIDTH), z.dtype)
     for k, a, b in present:
         np.matmul(hidden[a:b].T, z[a:b], out=slopes[k])
         np.matmul(z[a:b], across_heads[k], out=there[a:b])
-    g: Weights = {"G": slopes[:, :-1, :GROUPS].sum(axis=0), "g": slopes[:, -1, :GROUPS].sum(axis=0), "U": slopes[:, :-1, GROUPS:], "b": slopes[:, -1, GROUPS:]}
+    g: Weights = {"G": slopes[:, :-1, :GROUPS].sum(axis=0), "g": slopes[:, -1, :GROUPS].sum(axis=0), "U": slopes[:, :-1, PLACES:PLACES + GROUP_CLASSES], "b": slopes[:, -1, PLACES:PLACES + GROUP_CLASSES]}
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
     dh = there.take(back, axis=0)
@@ -318,20 +351,18 @@ def loss_and_gradient(w: Weights, inputs: np.ndarray, target: np.ndarray, weight
     dq += dh
     dx[:, HALF - 1:-1] += dq.reshape(shape)
     g["P"] = dx.sum(axis=0)
-    # A half that two windows share is summed over both first; ``lone``: windows whose second half is not the next one's first.
-    lone = np.arange(len(x)) if follows is None else np.append(np.flatnonzero(~follows), len(x) - 1)
-    if follows is not None:
-        first = dx[lone[:-1] + 1, :HALF]
-        dx[1:, :HALF] += dx[:-1, HALF:]
-        dx[lone[:-1] + 1, :HALF] = first
-    halves = np.concatenate([np.arange(0, 2 * len(x), 2), 2 * lone + 1])
-    flat = inputs.reshape(-1, HALF).take(halves, axis=0).ravel().astype(np.uint16)
+    # A half that two windows share is summed over both first.
+    first = 2 * np.arange(len(x)) if follows is None else np.append(0, np.cumsum(2 - follows))
+    halves, flat = np.zeros((first[-1] + 2, HALF, WIDTH), x.dtype), np.empty((first[-1] + 2, HALF), np.uint16)
+    flat[first], flat[first + 1] = inputs[:, :HALF], inputs[:, HALF:]
+    halves[first + 1] = dx[:, HALF:]
+    halves[first] += dx[:, :HALF]
+    flat = flat.ravel()
     there = np.argsort(flat, kind="stable")
     flat = flat[there]
     begin = np.append(0, np.flatnonzero(flat[1:] != flat[:-1]) + 1)
-    there = (halves[:, None] * HALF + np.arange(HALF)).ravel()[there]
     g["E"] = np.zeros_like(w["E"])
-    g["E"][flat[begin]] = np.add.reduceat(dx.reshape(-1, WIDTH).take(there, axis=0), begin, axis=0)
+    g["E"][flat[begin]] = np.add.reduceat(halves.reshape(-1, WIDTH).take(there, axis=0), begin, axis=0)
     return loss, g
 
 
@@ -367,32 +398,33 @@ def fit_here(w: Weights, parts: list[np.ndarray], held: Classes, settings: Setti
         for k, part in zip(names, np.split(moments["all"], np.cumsum([w[k].size for k in names])[:-1])):
             w[k] = part.reshape(w[k].shape)
     whole, m, v = moments["all"], moments["mean"], moments["square"]
-    change = np.empty_like(whole)
-    start = len(w["E"]) - 1
-    flat, chosen, opening = windows_of([held.inputs[p] for p in parts], start)
-    target, _, _ = windows_of([held.classes[p] for p in parts], 0)
-    filled, _, _ = windows_of([np.ones(len(p), np.int64) for p in parts], 0)
-    flat, target, filled = (a.reshape(-1, HALF) for a in (flat, target, filled))
-    for at in range(0, len(chosen), settings.batch):
+    # Ids count from 1 here: 0 fills the end of a block, the one after the last id is the start mark.
+    ids, chosen, opening = windows_of([p + 1 for p in parts], len(held.inputs) + 1)
+    ids = ids.reshape(-1, HALF)
+    flat = np.concatenate([[0], held.inputs, [len(w["E"]) - 1]]).astype(np.int32).take(ids)
+    target = np.concatenate([[0], held.classes, [0]]).astype(np.int32).take(ids)
+    filled = ids > 0
+    groups = by_batch_and_group(target[chosen].ravel(), settings.batch * HALF)
+    for number, at in enumerate(range(0, len(chosen), settings.batch)):
         own = chosen[at:at + settings.batch]
         _, g = loss_and_gradient(w, np.concatenate([flat[own - 1], flat[own]], axis=1), target[own], filled[own], opening[at:at + settings.batch],
-                                 want_loss=False, follows=np.diff(own) == 1)
+                                 want_loss=False, follows=np.diff(own) == 1, groups=groups[number])
         moments["t"] = moments.get("t", 0) + 1
         rate = settings.rate * min(1.0, moments["t"] / 20) / (1 + (moments["t"] + moments.get("before", 0)) / 400)
         slope = np.concatenate([g[k].ravel() for k in names])
-        np.subtract(slope, m, out=change)
-        change *= np.float32(0.1)
-        m += change
+        # The sums of slopes and squares are kept undivided; the shares 0.1 and 0.01 of the new ones go into two numbers.
+        below = np.sqrt(0.01 / (1 - 0.99 ** moments["t"]))
+        least, rate = np.float32(1e-6 / below), np.float32(0.1 * rate / (1 - 0.9 ** moments["t"]) / below)
+        m *= np.float32(0.9)
+        m += slope
         slope *= slope
-        slope -= v
-        slope *= np.float32(0.01)
+        v *= np.float32(0.99)
         v += slope
-        np.multiply(v, np.float32(1 / (1 - 0.99 ** moments["t"])), out=change)
-        np.sqrt(change, out=change)
-        change += np.float32(1e-6)
-        np.divide(m, change, out=change)
-        change *= np.float32(rate / (1 - 0.9 ** moments["t"]))
-        whole -= change
+        np.sqrt(v, out=slope)
+        slope += least
+        np.divide(m, slope, out=slope)
+        slope *= rate
+        whole -= slope
     return len(chosen)
 
 
@@ -509,7 +541,7 @@ class Scorer:
             goal = target[own].ravel()
             order, present = by_group(goal)
             z, right = headed(hidden.take(order, axis=0), self.heads, goal[order], present)
-            sums = _powers(z.reshape(-1, GROUPS))[1].reshape(-1, 2)
+            sums = _powers(z.reshape(-1, PLACES))[1].reshape(-1, 2)
             told = z.ravel()[right].sum(axis=1)
             told -= np.log(sums).sum(axis=1)
             there = np.empty_like(told)
@@ -550,14 +582,9 @@ class WordIds:
     def __init__(self, words: list[bytes], counts: list[int], path: str):
         self.number = {w: k for k, w in enumerate(words)}
         self.counts = np.array(counts, np.int64)
-        coder = subwords(path)
-        own = [coder.encode_ordinary(" " + w.decode()) for w in words]
-        self.sizes = np.array([len(o) for o in own], np.int32)
-        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
-        self.ids = np.array([i for o in own for i in o], np.int32)
+        self.ids, starts = spelled_ids(b" ".join(words).decode(), path)
+        self.sizes, self.starts = np.diff(np.append(starts, len(self.ids))).astype(np.int32), starts.astype(np.int32)
         self.path = path
-        # Only the first id of a word begins with the space before it.
-        self.opens = np.array([coder.decode_single_token_bytes(k)[:1] == b" " for k in range(coder.n_vocab)])
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The word numbers, -1 for the others."""
@@ -572,14 +599,12 @@ class WordIds:
 
     def lines(self, distinct: list[bytes], number: np.ndarray, codes: np.ndarray, begin: np.ndarray, kind: type = np.int32) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts as ``split_words`` gives them, each with the end, in one array; and where each text ends."""
-        coder = subwords(self.path)
         place, frequent = np.flatnonzero(number < 0), np.flatnonzero(number >= 0)
-        own = np.array(coder.encode_ordinary((b" " + b" ".join(distinct[k] for k in place)).decode("utf-8", "replace")) if len(place) else [], np.int32)
-        first = np.flatnonzero(self.opens[own])
+        own, first = spelled_ids(b" ".join(distinct[k] for k in place).decode("utf-8", "replace"), self.path)
         # One pool of ids: those of the frequent words here, of the other words here, and the end.
         known = self.sizes[number[frequent]]
         starts = np.cumsum(known) - known
-        pool = np.concatenate([self.ids[np.repeat(self.starts[number[frequent]] - starts, known) + np.arange(known.sum())], own, [coder.n_vocab]]).astype(kind)
+        pool = np.concatenate([self.ids[np.repeat(self.starts[number[frequent]] - starts, known) + np.arange(known.sum())], own, [n_ids(self.path) - 1]]).astype(kind)
         sizes, source = np.ones(len(distinct) + 1, np.int32), np.full(len(distinct) + 1, len(pool) - 1, np.int32)
         sizes[frequent], source[frequent] = known, starts
         sizes[place], source[place] = np.diff(np.append(first, len(own))), int(known.sum()) + first
